@@ -6,13 +6,60 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contamination
+from .exact import exact_duplicates
 from .jaccard import jaccard_components
+from .mixing import mix
+from .sharding import shard_documents
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP5_SQL = r"""
+WITH t AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark
+), w AS (
+  SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM t
+), s AS (
+  SELECT kind, id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END AS sh FROM w
+), d AS (SELECT id AS doc_id, sh FROM s WHERE kind = 'd'), i AS (SELECT id AS item_id, sh FROM s WHERE kind = 'i' AND len(sh) > 0),
+near AS (
+  SELECT DISTINCT a.doc_id, b.item_id FROM (SELECT doc_id, unnest(sh) AS h FROM d) a JOIN (SELECT item_id, unnest(sh) AS h FROM i) b ON a.h = b.h
+), win AS (
+  SELECT doc_id, item_id, len(i.sh) AS size, unnest(range(1, greatest(len(d.sh) - len(i.sh) + 1, 1) + 1)) AS start, d.sh AS sh FROM near JOIN d USING (doc_id) JOIN i USING (item_id)
+), cut AS (SELECT doc_id, item_id, start, size, sh[start:start + size - 1] AS sh FROM win),
+c AS (SELECT doc_id, item_id, start, h, count(*) AS n FROM (SELECT doc_id, item_id, start, unnest(sh) AS h FROM cut) GROUP BY ALL),
+ic AS (SELECT item_id, h, count(*) AS n FROM (SELECT item_id, unnest(sh) AS h FROM i) GROUP BY ALL),
+inter AS (SELECT doc_id, item_id, start, sum(least(c.n, ic.n)) AS both_ FROM c JOIN ic USING (item_id, h) GROUP BY ALL),
+sim AS (SELECT doc_id, item_id, max(both_ / (len(sh) + size - both_)) AS similarity FROM inter JOIN cut USING (doc_id, item_id, start) WHERE 100 * both_ >= 80 * (len(sh) + size - both_) GROUP BY ALL),
+per AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS item_ids, round(max(similarity), 6) AS similarity FROM sim GROUP BY 1)
+SELECT d.doc_id, per.doc_id IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(item_ids, '') AS item_ids, similarity
+FROM documents d LEFT JOIN per USING (doc_id)
+"""
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(_table(spark, sf_dir, "documents"))
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(text) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY text)
+"""
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -33,9 +80,53 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, mi
 """
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix-1:' || doc_id::VARCHAR) AS turn FROM documents
+), p AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM d GROUP BY source
+), q AS (
+  SELECT *, sum(source_size) OVER () * 1.5::DOUBLE AS budget,
+    sum(source_size) OVER (ORDER BY source_size / weight RANGE UNBOUNDED PRECEDING) AS below,
+    sum(weight) OVER () - sum(weight) OVER (ORDER BY source_size / weight RANGE UNBOUNDED PRECEDING) AS above FROM p
+), f AS (SELECT *, below * 2 + source_size * 2 / weight * above <= budget AS is_full FROM q),
+t AS (
+  SELECT source, source_size, CASE WHEN is_full THEN (source_size * 2)::DOUBLE
+    ELSE least((budget - 2 * coalesce(sum(source_size) FILTER (is_full) OVER (), 0))::DOUBLE * weight / sum(weight) FILTER (NOT is_full) OVER (), source_size * 2) END AS target FROM f
+), r AS (
+  SELECT d.*, t.source_size, t.target, floor(t.target)::BIGINT AS quota, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY turn, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), k AS (
+  SELECT *, greatest(least(size, quota - before), 0) AS a, greatest(least(size, quota - before - source_size), 0) AS b FROM r
+), u AS (
+  SELECT doc_id, source, turn, size, a AS words, (before + a) / target AS time, 0 AS pass FROM k WHERE a > 0
+  UNION ALL SELECT doc_id, source, turn, size, b, (before + source_size + b) / target, 1 FROM k WHERE b > 0
+), m AS (
+  SELECT *, coalesce(sum(words) OVER (ORDER BY time, source NULLS FIRST, turn, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS mix_start FROM u
+)
+SELECT k.doc_id, k.size, k.source_size, k.target, (a + b)::BIGINT AS taken, CASE WHEN a > 0 THEN (before + a) / target END AS finish, m.mix_start
+FROM k LEFT JOIN m ON m.doc_id = k.doc_id AND m.pass = 0
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_jaccard_join": op9_jaccard_join}
+    return {
+        "op5_decontamination": op5_decontamination,
+        "op6_sharding": op6_sharding,
+        "op7_exact_dedup": op7_exact_dedup,
+        "op9_jaccard_join": op9_jaccard_join,
+        "op10_mixing": op10_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_jaccard_join": OP9_SQL}
+    return {
+        "op5_decontamination": OP5_SQL,
+        "op7_exact_dedup": OP7_SQL,
+        "op9_jaccard_join": OP9_SQL,
+        "op10_mixing": OP10_SQL,
+    }
