@@ -1,4 +1,69 @@
-"""The corpus pipeline: documents through language ID, near-duplicate removal, decontamination, mixing and sharding."""
+"""The corpus pipeline: documents through language ID, near-duplicate removal, decontamination, mixing and sharding.
 
-STAGES = []
+Every stage works on all that the one before has kept. All but the last
+return the columns of documents; the last returns each kept document's shard.
+Empty tables pass through every stage. Rows with a null doc_id pass the
+language and decontamination stages by their text alone.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lathe.llm.common import saved
+from lathe.llm.decontaminate import decontaminated
+from lathe.llm.jaccard import jaccard_components
+from lathe.llm.language import identify
+from lathe.llm.mixing import mix
+from lathe.llm.sharding import shard_documents
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is among ids, null included."""
+    return docs.join(ids.select(F.col("doc_id").alias("_kept")).distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which no language can be found: no text, or no letter in it."""
+    return _without(docs, identify(docs).where("lang_pred = 'und'"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of every component of near-duplicates the document with the smallest doc_id; documents without words are none."""
+    return _without(docs, jaccard_components(docs).where("component_id != doc_id"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark passage."""
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or drops documents as the mix takes them: a document that the mix takes more of than its size is there twice."""
+    taken = saved(mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.when(F.col("taken") > F.col("size"), 2).otherwise(1).alias("_times")).groupBy("_id").agg(F.max("_times").alias("_times")), "taken")
+    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return shard_documents(docs)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
+
+#: The language, mixing and sharding stages can't be expressed in SQL; tests hold them against a brute-force version.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = saved(docs, name)
+    return docs
