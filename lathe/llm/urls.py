@@ -1,13 +1,14 @@
 """URL filters: rules by host and path, and for all other URLs a ratio of character language models.
 
 Two variable-order Markov models over the bytes of host and path are counted
-over all URLs of the table that are known to be accepted or rejected: those
-which a rule judges, and those whose host holds one of the rejected words.
+over all URLs of the table: one over the rejected ones, which a rule blocks or
+whose host holds one of the rejected words, and one over all others, which
+count as accepted.
 Orders 0 to ORDER are interpolated, each smoothed with the next lower one.
 Contexts are hashed into tables of a fixed size, so the models don't grow with
 the data. A URL is allowed if the length-normalised log-likelihood difference
-reaches a threshold, which is calibrated on a fifth of the known URLs that
-the models haven't counted.
+reaches a threshold, which is calibrated on a fifth of the URLs that the
+models haven't counted.
 """
 
 from __future__ import annotations
@@ -106,7 +107,7 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     rule is null where none fits; then the models decide. score is the mean
     log-likelihood difference per byte of host and path (0 if both are empty).
     A null URL or one without '://' has an empty host and path and is allowed
-    if 0 reaches the threshold. Without known URLs of both verdicts the
+    if 0 reaches the threshold. Without URLs of both kinds the
     threshold is the lowest, so all are allowed. Repeated rows get
     equal results; an empty table an empty result.
     """
@@ -117,9 +118,9 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     word = F.lit(False)
     for w in REJECTED_WORDS:
         word = word | F.contains("host", F.lit(w))
-    known = F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0).when(word, 1)
+    bad = F.when(F.col("ruled") == "block", 1).when(F.col("ruled").isNull() & word, 1).otherwise(0)
     held = F.pmod(F.xxhash64("text"), F.lit(5)) == 0
-    labelled = rows.select("text", known.alias("bad"), held.alias("held")).where("bad is not null and text != ''")
+    labelled = rows.select("text", bad.alias("bad"), held.alias("held")).where("text != ''")
     counted = labelled.where("not held").select("text", "bad").mapInArrow(_count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(2 * (ORDER + 1) * 2 * SLOTS)
     counts[counted["slot"].to_numpy(np.int64)] = counted["n"].to_numpy(np.float64)
