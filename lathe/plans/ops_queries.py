@@ -1,0 +1,121 @@
+"""Queries over metrics, costs, events, breakers, snapshots and webhooks; and the text scans."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import events as ev
+from ..operators import metrics
+from .dialect import both, frame, table
+
+c = F.col
+NOW = "2024-01-31 00:00:00"
+
+
+def _recent(d, seconds: int) -> str:
+    return f"ts >= {d.seconds_before(chr(39) + NOW + chr(39), seconds)}"
+
+
+@frame("metrics_window_summary", lambda d: f"""
+SELECT query_type, count(ms) AS n, round(sum(ms), 4) AS total, round(avg(ms), 4) AS mean, min(ms) AS low, max(ms) AS high, {d.arg_max('ms', 'event_id')} AS latest FROM query_metrics WHERE {_recent(d, 864000)} GROUP BY query_type""", "query_metrics")
+def metrics_window_summary(spark, sf_dir):
+    recent = table(spark, sf_dir, "query_metrics").where(f"ts >= TIMESTAMP_NTZ'{NOW}' - INTERVAL '864000' SECOND")
+    return metrics.summary(recent, ["query_type"], "ms", ["event_id"])
+
+
+both("perf_overall", "query_metrics")(lambda d: f"""
+SELECT count(*) AS total, sum(CASE WHEN failed THEN 1 ELSE 0 END) AS errors, sum(CASE WHEN cache_hit THEN 1 ELSE 0 END) AS hits, round(avg(ms), 4) AS mean, {d.nth_sorted('ms', 'floor(count(ms) * 0.95E0)')} AS p95, {d.nth_sorted('ms', 'floor(count(ms) * 0.99E0)')} AS p99,
+  round(CAST(sum(CASE WHEN failed THEN 1 ELSE 0 END) AS DOUBLE) / count(*) * 100, 4) AS error_rate FROM query_metrics""")
+
+
+@frame("perf_by_type", lambda d: f"""
+SELECT query_type, {d.nth_sorted('ms', 'floor(count(ms) * 0.5E0)')} AS p50, {d.nth_sorted('ms', 'floor(count(ms) * 0.95E0)')} AS p95, {d.nth_sorted('ms', 'floor(count(ms) * 0.99E0)')} AS p99 FROM query_metrics GROUP BY query_type""", "query_metrics")
+def perf_by_type(spark, sf_dir):
+    return metrics.exact_percentile(table(spark, sf_dir, "query_metrics"), ["query_type"], "ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+
+
+both("perf_slowest", "query_metrics")(lambda d: f"SELECT event_id, query_type, ms FROM query_metrics WHERE {_recent(d, 864000)} ORDER BY ms DESC, event_id LIMIT 10")
+both("kpis", "query_metrics")(lambda d: "SELECT user_id % 10 AS team, round(CAST(sum(CASE WHEN failed THEN 0 ELSE 1 END) AS DOUBLE) / count(*) * 100, 2) AS success, round(avg(ms), 2) AS mean_ms, round(sum(ms) / count(DISTINCT user_id), 4) AS per_user FROM query_metrics GROUP BY user_id % 10")
+both("alerts", "query_metrics")(lambda d: """
+SELECT team, CASE WHEN errors > 22 THEN 'error_rate' WHEN mean > 105 THEN 'latency' WHEN hits < 40 THEN 'cache' ELSE 'none' END AS alert FROM (SELECT user_id % 30 AS team, CAST(sum(CASE WHEN failed THEN 1 ELSE 0 END) AS DOUBLE) / count(*) * 100 AS errors, avg(ms) AS mean, CAST(sum(CASE WHEN cache_hit THEN 1 ELSE 0 END) AS DOUBLE) / count(*) * 100 AS hits FROM query_metrics GROUP BY user_id % 30) x""")
+both("service_rates", "query_metrics")(lambda d: "SELECT query_type, round(avg(CASE WHEN cache_hit THEN 1.0E0 ELSE 0.0E0 END), 6) AS hit_rate, round(avg(CASE WHEN failed THEN 1.0E0 ELSE 0.0E0 END), 6) AS failure_rate FROM query_metrics GROUP BY query_type")
+both("pool_timing_avg", "query_metrics")(lambda d: "SELECT query_type, round(avg(ms), 4) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY query_type ORDER BY ts DESC, event_id DESC) AS r FROM query_metrics) x WHERE r <= 100 GROUP BY query_type")
+both("bounded_history", "query_metrics")(lambda d: "SELECT event_id, query_type FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS r FROM query_metrics) x WHERE r <= 500")
+both("health_rollup", "query_metrics")(lambda d: "SELECT CASE max(s) WHEN 2 THEN 'unhealthy' WHEN 1 THEN 'degraded' ELSE 'healthy' END AS overall, sum(CASE WHEN s > 0 THEN 1 ELSE 0 END) AS affected FROM (SELECT query_type, CASE WHEN avg(ms) > 150 THEN 2 WHEN avg(ms) > 100 THEN 1 ELSE 0 END AS s FROM query_metrics GROUP BY query_type) x")
+
+
+@frame("alert_transitions", lambda d: """
+SELECT user_id, event_id, CASE WHEN failed THEN 'triggered' ELSE 'resolved' END AS transition FROM (SELECT *, coalesce(lag(failed) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) AS before FROM query_metrics) x WHERE failed <> before""", "query_metrics")
+def alert_transitions(spark, sf_dir):
+    return metrics.transitions(table(spark, sf_dir, "query_metrics"), "user_id", ["ts", "event_id"], "failed").select("user_id", "event_id", "transition")
+
+
+both("llm_cost")(lambda d: f"""
+SELECT model, round(sum(n_in * p_in + n_out * p_out) / 1000000, 4) AS cost FROM (SELECT conv_id % 4 AS m, CASE WHEN role = 'assistant' THEN 0 ELSE length(text) END AS n_in, CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END AS n_out FROM {d.t('conversations')}) u
+LEFT JOIN (SELECT 0 AS k, 'opus-3' AS name, 15.0E0 AS a, 75.0E0 AS b UNION ALL SELECT 1, 'gemini-1.5-pro', 1.25E0, 5.0E0 UNION ALL SELECT 2, 'gemini-1.5-flash', 0.075E0, 0.3E0) p ON p.k = u.m
+CROSS JOIN (SELECT 3.0E0 AS da, 15.0E0 AS db) q, (SELECT 1 AS one) z WHERE one = 1 GROUP BY model""".replace("u\nLEFT JOIN", "u0\nLEFT JOIN").replace("p.k = u.m", "p.k = u0.m").replace("SELECT model, round(sum(n_in * p_in + n_out * p_out)", "SELECT coalesce(name, 'sonnet-3.5') AS model, round(sum(n_in * coalesce(a, da) + n_out * coalesce(b, db))").replace("GROUP BY model", "GROUP BY coalesce(name, 'sonnet-3.5')"))
+
+
+@frame("event_sequence", lambda d: "SELECT workflow_id, event_id, sequence FROM workflow_events", "workflow_events")
+def event_sequence(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(F.concat(F.lit("wf-"), c("user_id").cast("string")).alias("workflow_id"), "ts", "event_id")
+    return ev.sequenced(events, "workflow_id", ["ts", "event_id"]).select("workflow_id", "event_id", "sequence")
+
+
+@frame("events_since", lambda d: "SELECT workflow_id, event_id, sequence FROM (SELECT *, row_number() OVER (PARTITION BY workflow_id ORDER BY sequence) AS r FROM workflow_events WHERE sequence > 10) x WHERE r <= 50", "workflow_events")
+def events_since(spark, sf_dir):
+    return ev.since(table(spark, sf_dir, "workflow_events"), "workflow_id", 10, 50).select("workflow_id", "event_id", "sequence")
+
+
+@frame("events_until_terminal", lambda d: "SELECT workflow_id, event_id, sequence FROM (SELECT *, min(CASE WHEN event_type IN ('workflow_completed', 'workflow_failed') THEN sequence END) OVER (PARTITION BY workflow_id) AS e FROM workflow_events) x WHERE e IS NULL OR sequence <= e", "workflow_events")
+def events_until_terminal(spark, sf_dir):
+    return ev.until_terminal(table(spark, sf_dir, "workflow_events"), "workflow_id").select("workflow_id", "event_id", "sequence")
+
+
+both("event_latest_sequence", "workflow_events")(lambda d: "SELECT workflow_id, coalesce(max(sequence), 0) + 1 AS next_sequence FROM workflow_events GROUP BY workflow_id")
+
+
+def _breaker_sql(decay: bool):
+    fewer = "greatest(failures - 1, 0)" if decay else "0"
+    return lambda d: f"""
+WITH RECURSIVE k AS (SELECT user_id, failed, CAST(floor(epoch(ts)) AS BIGINT) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM (SELECT user_id, event_type IN ('error', 'view') AS failed, ts, event_id FROM events) e),
+f AS (SELECT user_id, CAST(0 AS BIGINT) AS r, 'closed' AS state, 0 AS failures, 0 AS good, CAST(0 AS BIGINT) AS opened, 0 AS trips FROM (SELECT DISTINCT user_id FROM k) u
+  UNION ALL SELECT user_id, r, CASE WHEN waiting THEN state WHEN opens THEN 'open' WHEN trial AND good2 >= 2 THEN 'closed' WHEN trial THEN 'half_open' ELSE 'closed' END,
+    CASE WHEN waiting THEN failures WHEN opens OR (NOT trial AND failed) THEN failures + 1 WHEN trial AND good2 >= 2 THEN 0 WHEN trial THEN failures ELSE {fewer} END, CASE WHEN waiting THEN good WHEN trial AND NOT opens AND good2 < 2 THEN good2 ELSE 0 END,
+    CASE WHEN NOT waiting AND opens THEN t ELSE opened END, CASE WHEN NOT waiting AND opens THEN trips + 1 ELSE trips END
+  FROM (SELECT *, (trial AND failed) OR (NOT trial AND failed AND failures + 1 >= 3) AS opens, CASE WHEN state = 'half_open' THEN good ELSE 0 END + 1 AS good2 FROM (
+    SELECT k.user_id, k.r, k.failed, k.t, f.state, f.failures, f.good, f.opened, f.trips, f.state = 'open' AND k.t - f.opened < 40000 AS waiting, f.state = 'half_open' OR (f.state = 'open' AND k.t - f.opened >= 40000) AS trial FROM f JOIN k ON k.user_id = f.user_id AND k.r = f.r + 1) a) b)
+SELECT user_id, state, CAST(failures AS BIGINT) AS failures, CAST(trips AS BIGINT) AS trips FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY r DESC) AS last FROM f) x WHERE last = 1"""
+
+
+def _calls(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("user_id", "ts", "event_id", c("event_type").isin("error", "view").alias("failed"), F.floor(F.unix_timestamp(c("ts").cast("timestamp"))).cast("long").alias("at"))
+
+
+@frame("breaker_consecutive", _breaker_sql(False))
+def breaker_consecutive(spark, sf_dir):
+    return metrics.breaker(_calls(spark, sf_dir), "user_id", ["ts", "event_id"], "failed", "at", threshold=3, wait=40_000, successes=2)
+
+
+@frame("breaker_decay", _breaker_sql(True))
+def breaker_decay(spark, sf_dir):
+    return metrics.breaker(_calls(spark, sf_dir), "user_id", ["ts", "event_id"], "failed", "at", threshold=3, wait=40_000, successes=2, decay=True)
+
+
+both("breaker_rollup", "query_metrics")(lambda d: "SELECT CASE max(CASE WHEN errors > 20 THEN 2 WHEN errors > 10 THEN 1 ELSE 0 END) WHEN 2 THEN 'open' WHEN 1 THEN 'half_open' ELSE 'closed' END AS worst, CAST(sum(errors) AS BIGINT) AS failures, count(*) AS breakers FROM (SELECT user_id, sum(CASE WHEN failed THEN 1 ELSE 0 END) AS errors FROM query_metrics GROUP BY user_id) x")
+both("snapshot_latest")(lambda d: f"SELECT o_custkey AS repo_id, o_orderkey AS snapshot_id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM {d.t('orders')}) x WHERE r = 1")
+both("indexing_decision")(lambda d: f"""
+SELECT c_custkey AS repo_id, CASE WHEN c_acctbal < 0 THEN 'sha_resolution_failed' WHEN s.o_custkey IS NULL THEN 'no_previous_snapshot' WHEN s.latest % 2 = c_custkey % 2 THEN 'sha_unchanged' ELSE 'sha_changed' END AS reason
+FROM {d.t('customer')} LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS latest FROM {d.t('orders')} GROUP BY o_custkey) s ON s.o_custkey = c_custkey""")
+both("pr_upsert")(lambda d: f"SELECT repo, pr, title, version FROM (SELECT o_custkey AS repo, o_orderkey % 3 AS pr, o_orderpriority AS title, o_orderkey AS version, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 3 ORDER BY o_orderkey DESC) AS r FROM {d.t('orders')}) x WHERE r = 1")
+both("review_run_status")(lambda d: f"SELECT o_orderkey AS run_id, CASE WHEN n IS NULL THEN 'pending' WHEN returned > 0 THEN 'failed' ELSE 'published' END AS status FROM {d.t('orders')} LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS returned FROM {d.t('lineitem')} GROUP BY l_orderkey) l ON l_orderkey = o_orderkey")
+both("snapshot_append")(lambda d: f"SELECT o_custkey AS repo_id, o_orderkey AS snapshot_id FROM {d.t('orders')} UNION ALL SELECT c_custkey, -1 FROM {d.t('customer')}")
+both("findings_append", "findings")(lambda d: "SELECT ord, upper(severity) AS severity, ord % 40 + 1 AS line_number FROM findings WHERE anchored")
+both("installation_upsert")(lambda d: f"SELECT n_nationkey AS installation_id, coalesce(max(s_name), 'none') AS account, count(s_suppkey) AS repositories FROM {d.t('nation')} LEFT JOIN {d.t('supplier')} ON s_nationkey = n_nationkey GROUP BY n_nationkey")
+both("webhook_routing")(lambda d: f"""
+SELECT event_id, CASE WHEN event_type = 'purchase' AND k % 3 = 0 THEN 'review' WHEN event_type = 'signup' THEN 'installation' WHEN event_type = 'click' THEN 'push' ELSE 'ignored' END AS route FROM (SELECT event_id, event_type, CAST({d.json('props', 'k')} AS BIGINT) AS k FROM {d.t('events')}) e""")
+both("webhook_validation")(lambda d: f"SELECT event_id, k IS NOT NULL AND event_type IS NOT NULL AS valid, coalesce({d.json('props', 'branch')}, 'main') AS branch FROM (SELECT *, {d.json('props', 'k')} AS k FROM {d.t('events')}) e")
+both("date_cutoffs")(lambda d: f"SELECT event_id, ts >= {d.seconds_before(chr(39) + NOW + chr(39), 604800)} AS in_week, ts >= {d.seconds_before(chr(39) + NOW + chr(39), 86400)} AS in_day FROM {d.t('events')}")
+both("fs_files_lines", "doc_lines")(lambda d: "SELECT doc_id, n, length(content) AS width FROM doc_lines")
+both("fs_text_files", "kg_texts")(lambda d: f"SELECT node_id, path FROM kg_texts WHERE {d.matches('path', '[.](md|txt|rst|markdown)$')}")
+both("fs_incremental", "kg_files", "changed_lines")(lambda d: "SELECT path, parent FROM kg_files WHERE path IN (SELECT path FROM changed_lines) UNION SELECT path, parent FROM kg_files WHERE path IN (SELECT parent FROM kg_files WHERE path IN (SELECT path FROM changed_lines))")

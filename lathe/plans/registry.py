@@ -26,9 +26,16 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    from . import views  # noqa: F401, I001  the others name its views
+    from . import graph_queries, ops_queries, review_queries, text_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
