@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width
+from .common import bounded_batches, shuffle_width
 
 VOCABULARY = os.environ.get("LATHE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: The split pattern of that vocabulary, and the marks of the template.
@@ -114,6 +114,7 @@ def format_turns(conversations: DataFrame, vocabulary: str = VOCABULARY) -> Data
     role or text counts as empty. Repeated rows are turns of their own; an
     empty table gives an empty result; other columns are ignored.
     """
+    bounded_batches(conversations.sparkSession)
     rows = conversations.selectExpr("cast(conv_id as long) as conv_id", "cast(turn as long) as turn", "cast(role as string) as role", "text")
     return rows.mapInArrow(_format(vocabulary), TURNS)
 

@@ -30,6 +30,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Has Python workers get at most so many rows at once, as rows may be whole texts. Holds for the session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by saved() once nothing reads it any more."""
     spark = df.sparkSession

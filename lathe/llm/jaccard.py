@@ -4,9 +4,10 @@ Documents are partitioned into groups by the smallest hash of their shingle
 set, which similar documents share with a probability of their similarity.
 Each group keeps the union of its members' prefix tokens (the token-group
 matrix, stored sparsely as token, group). Two sets that reach the threshold t
-share at least EXTRA of their n - ceil(t n) + EXTRA first tokens in any fixed
-order of tokens, so a group is opened for a query only if they share so many.
-Tokens are ordered by how often they occur (from a count sketch of fixed
+share at least e(n) of their n - ceil(t n) + e(n) first tokens in any fixed
+order of tokens, for any e; of two sizes the smaller e(n) holds. A group is
+opened for a query only if they share so many: first its root alone, and its
+members only if the two aren't in one component by then. Tokens are ordered by how often they occur (from a count sketch of fixed
 size), so passages which many documents hold hardly ever open a group. What
 is opened is verified exactly on the full sets.
 """
@@ -20,18 +21,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, saved, shuffle_width
+from .common import bounded_batches, connected_components, saved, shuffle_width
 
-#: Prefix tokens that two similar sets share at least. Different sets at a threshold of 0.75 or more have an overlap of 3 or more.
-EXTRA = 2
+#: Prefix tokens that two similar sets share: a share of the set's size, and EXTRA at least. Different sets at a threshold of 0.75 or more have an overlap of 3 or more.
+EXTRA, EXTRA_SHARE = 2, 20
 #: Members of a family against which all others are compared before anything else.
 PIVOTS = 16
 #: Query sets that one verification task holds.
 BLOCK = 2000
-SKETCH_BITS, SLICES, FILTER_BITS = 20, 64, 23
+SKETCH_BITS, SLICES, MOST_BITS = 20, 64, 27
+#: Tokens that one task sorts at once, about.
+TOKENS_PER_BUCKET = 1_000_000
 
 _K, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -57,10 +61,14 @@ def shingle_set(text: bytes | None, words: int = 5) -> np.ndarray:
     return np.unique(s)
 
 
+def extra(n):
+    return np.maximum(EXTRA, n // EXTRA_SHARE)
+
+
 def prefix_tokens(tokens: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     """The rarest tokens of a set, as many as the prefix bound asks for."""
     n = len(tokens)
-    keep = min(n, n - -(-percent * n // 100) + EXTRA)
+    keep = min(n, n - -(-percent * n // 100) + int(extra(n)))
     order = np.argsort(counts[(tokens & np.uint64(len(counts) - 1)).astype(np.int64)], kind="stable")
     return tokens[order[:keep]]
 
@@ -109,13 +117,13 @@ def _hit(bits: np.ndarray, value: int) -> bool:
 
 
 def _filter_of(df: DataFrame, column: str) -> np.ndarray:
-    """A filter of fixed size (1 MB) with a bit for each value of a long column; false hits cost work, never results."""
-    words = 1 << (FILTER_BITS - 6)
+    """A filter with a bit for each value of a long column, of 16 MB at most; false hits cost work, never results."""
+    words = 1 << (min(MOST_BITS, max(16, (8 * df.count()).bit_length())) - 6)
     slot = F.shiftrightunsigned(column, 6).bitwiseAND(words - 1).cast("int")
     bit = F.expr(f"shiftleft(1L, cast({column} & 63L as int))")
     found = df.groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("bits")).toPandas()
     out = np.zeros(words, np.int64)
-    out[found["slot"].to_numpy()] = found["bits"].to_numpy()
+    out[found["slot"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
     return out.view(np.uint64)
 
 
@@ -161,24 +169,33 @@ def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(v, 65535).astype(np.uint16).tobytes() for v in sums.values()], pa.binary())], names=["slice", "blob"])
 
 
-PARTS = "fam long, sig binary, n int, blob binary, whole boolean"
-_PARTS = pa.schema([("fam", pa.int64()), ("sig", pa.binary()), ("n", pa.int32()), ("blob", pa.binary()), ("whole", pa.bool_())])
+PARTS = "fam long, sig binary, n int, blob binary, whole boolean, gid long"
+_PARTS = pa.schema([("fam", pa.int64()), ("sig", pa.binary()), ("n", pa.int32()), ("blob", pa.binary()), ("whole", pa.bool_()), ("gid", pa.int64())])
+
 
+def _first_id(kind: int) -> int:
+    """Where a task begins to number its groups: the numbers of two tasks or kinds never meet, and a repeated task gives the same."""
+    return (TaskContext.get().partitionId() << 33) + (kind << 32)
 
-def _part(words: int, percent: int, counts, many):
+
+def _part(words: int, percent: int, counts, many, firsts):
     """Pass 2: per set its prefix tokens if no other set is in its family, else the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, bits, seen = np.frombuffer(counts.value, np.uint16), np.frombuffer(many.value, np.uint64), set()
+        table, bits, seen, gid = np.frombuffer(counts.value, np.uint16), np.frombuffer(many.value, np.uint64), set(), _first_id(0)
+        chosen = np.frombuffer(firsts.value, np.uint64)
         for batch in batches:
             rows = []
-            for text in _texts(batch):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), _texts(batch), strict=True):
+                if doc is None or not _hit(chosen, doc):
+                    continue
                 tokens = shingle_set(text, words)
                 if not len(tokens) or (sig := _signature(tokens)) in seen:
                     continue
                 seen.add(sig)
                 whole = _hit(bits, int(tokens[0]))
-                rows.append((tokens[0], sig, len(tokens), (tokens if whole else prefix_tokens(tokens, table, percent)).tobytes(), whole))
+                rows.append((tokens[0], sig, len(tokens), (tokens if whole else prefix_tokens(tokens, table, percent)).tobytes(), whole, gid))
+                gid += 1
             if rows:
                 fams, *rest = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(_as_long(fams)), *(pa.array(list(c), f.type) for c, f in zip(rest, list(_PARTS)[1:], strict=True))], schema=_PARTS)
@@ -186,15 +203,15 @@ def _part(words: int, percent: int, counts, many):
     return run
 
 
-STARS = "sig binary, pivot binary, grp binary, n int, blob binary"
-_STARS = pa.schema([("sig", pa.binary()), ("pivot", pa.binary()), ("grp", pa.binary()), ("n", pa.int32()), ("blob", pa.binary())])
+STARS = "sig binary, pivot binary, grp binary, gid long, n int, blob binary"
+_STARS = pa.schema([("sig", pa.binary()), ("pivot", pa.binary()), ("grp", pa.binary()), ("gid", pa.int64()), ("n", pa.int32()), ("blob", pa.binary())])
 
 
 def _star(percent: int, counts):
     """Families in order of (fam, sig): link members to the first PIVOTS of their family. Holds only these, whatever the family's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(counts.value, np.uint16)
+        table, gid = np.frombuffer(counts.value, np.uint16), _first_id(1)
         fam, last, pivots, sigs, roots, opened = None, None, [], [], [], None
         for batch in batches:
             rows = []
@@ -205,9 +222,12 @@ def _star(percent: int, counts):
                     continue
                 last, tokens = sig, np.frombuffer(blob, np.uint64)
                 links = np.flatnonzero(linked(percent, opened.overlaps(tokens), opened.sizes, n)) if pivots else ()
-                root = roots[links[0]] if len(links) else sig
+                if len(links):
+                    root = roots[links[0]]
+                else:
+                    root, gid = (sig, gid), gid + 1
                 prefix = prefix_tokens(tokens, table, percent).tobytes()
-                rows += [(sig, sigs[i], root, n, prefix if k == 0 else None) for k, i in enumerate(links)] or [(sig, None, root, n, prefix)]
+                rows += [(sig, sigs[i], *root, n, prefix if k == 0 else None) for k, i in enumerate(links)] or [(sig, None, *root, n, prefix)]
                 if len(pivots) < PIVOTS:
                     pivots.append(tokens)
                     sigs.append(sig)
@@ -219,60 +239,130 @@ def _star(percent: int, counts):
     return run
 
 
-TOKENS = "token long, grp binary, n int"
+TOKENS = "bucket int, first long, n binary, at binary, token binary"
 
 
-def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = [np.frombuffer(b, np.int64) for b in batch.column("blob").to_pylist()]
-        if lists:
-            at = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), batch.column("grp").take(at), batch.column("n").take(at)], names=["token", "grp", "n"])
+def _spread(buckets: int):
+    """Packs tokens by bucket: each row has those of some hundred thousand tokens that fall into a bucket, with their groups' numbers (less first) and set sizes.
 
+    Of a token, 48 bits below those that give the bucket are kept; a chance
+    agreement opens a group in vain at worst.
+    """
 
-PAIRS = "a binary, b binary, shared long"
+    def packed(tokens: list[np.ndarray], gids: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for task in np.unique(gids >> 32):
+            own = np.flatnonzero(gids >> 32 == task)
+            flat, owner = np.concatenate([tokens[i] for i in own]), np.repeat(own, [len(tokens[i]) for i in own])
+            bucket = (flat % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bucket, flat, owner = bucket[order], flat[order], owner[order]
+            starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            ends = np.append(starts[1:], len(bucket))
+            low = flat.view(np.uint8).reshape(-1, 8)[:, 2:]
+            first = int(task) << 32
+            at, n = (gids[owner] - first).astype(np.uint32), sizes[owner].astype(np.uint32)
+            cut = [(low[i:j].tobytes(), at[i:j].tobytes(), n[i:j].tobytes()) for i, j in zip(starts, ends, strict=True)]
+            columns = [pa.array([c[k] for c in cut], pa.binary()) for k in (2, 1, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), pa.array(np.full(len(cut), first, np.int64)), *columns], names=["bucket", "first", "n", "at", "token"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, gids, sizes, total = [], [], [], 0
+        for batch in batches:
+            tokens += [np.frombuffer(b, np.uint64) for b in batch.column("blob").to_pylist()]
+            gids.append(batch.column("gid").to_numpy(zero_copy_only=False))
+            sizes.append(batch.column("n").to_numpy(zero_copy_only=False))
+            total += batch.column("blob").nbytes // 8
+            if total >= TOKENS_PER_BUCKET // 2:
+                yield from packed(tokens, np.concatenate(gids), np.concatenate(sizes))
+                tokens, gids, sizes, total = [], [], [], 0
+        if tokens:
+            yield from packed(tokens, np.concatenate(gids), np.concatenate(sizes))
+
+    return run
 
-def _pairs(percent: int):
-    """Rows in order of (token, grp): pairs of groups that share a token, if their sets' sizes allow a link."""
 
-    def pairs_of(token: np.ndarray, grp: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[pa.RecordBatch]:
-        lag = 1
-        at = np.flatnonzero(token[1:] == token[:-1])
+PAIRS = "a long, b long, shared long, need long"
+
+
+def _pairs(percent: int):
+    """Rows in order of bucket: pairs of groups that share a token, if their sets' sizes allow a link, counted within the bucket."""
+
+    def pairs_of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        raw = np.zeros((sum(len(t) // 6 for *_, t in rows), 8), np.uint8)
+        raw[:, 2:] = np.frombuffer(b"".join(t for *_, t in rows), np.uint8).reshape(-1, 6)
+        token = raw.view(np.uint64).ravel()
+        gid = np.concatenate([np.frombuffer(at, np.uint32).astype(np.int64) + first for first, _, at, _ in rows])
+        n = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) for _, x, _, _ in rows])
+        order = np.argsort(token)
+        token = token[order]
+        same = token[1:] == token[:-1]
+        shared = np.append(False, same) | np.append(same, False)
+        order, token = order[shared], token[shared]
+        order = order[np.lexsort((gid[order], token))]
+        token, gid, n = raw.view(np.uint64).ravel()[order], gid[order], n[order]
+        if not len(token):
+            return
+        starts = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])))
+        token, gid, low, high = token[starts], gid[starts], np.minimum.reduceat(n, starts), np.maximum.reduceat(n, starts)
+        lag, at = 1, np.flatnonzero(token[1:] == token[:-1])
         while len(at):
             a, b = at, at + lag
             fits = (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a])
-            for part in np.array_split(np.flatnonzero(fits), max(1, int(fits.sum()) // 100_000)):
-                if len(part):
-                    yield pa.RecordBatch.from_arrays([pa.array(grp[a[part]], pa.binary()), pa.array(grp[b[part]], pa.binary()), pa.array(np.ones(len(part), np.int64))], names=["a", "b", "shared"])
+            a, b = a[fits], b[fits]
+            if len(a):
+                need = extra(np.minimum(low[a], low[b]))
+                columns = gid[a], gid[b], np.ones(len(a), np.int64), need
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "shared", "need"])
             lag += 1
             at = at[at + lag < len(token)]
             at = at[token[at + lag] == token[at]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        bucket, rows = None, []
         for batch in batches:
-            token = batch.column("token").to_numpy(zero_copy_only=False)
-            grp = np.array(batch.column("grp").to_pylist(), object)
-            n = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
-            low = high = n
-            if rest is not None:
-                token, grp, low, high = (np.concatenate(x) for x in zip(rest, (token, grp, low, high), strict=True))
-            if not len(token):
-                continue
-            new = np.append(True, (token[1:] != token[:-1]) | (grp[1:] != grp[:-1]))
-            starts = np.flatnonzero(new)
-            token, grp, low, high = token[starts], grp[starts], np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
-            cut = int(np.searchsorted(token, token[-1]))
-            rest = token[cut:], grp[cut:], low[cut:], high[cut:]
-            yield from pairs_of(token[:cut], grp[:cut], low[:cut], high[:cut])
-        if rest is not None:
-            yield from pairs_of(*rest)
+            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "first", "n", "at", "token")), strict=True):
+                if k != bucket and rows:
+                    yield from pairs_of(rows)
+                    rows = []
+                bucket = k
+                rows.append(row)
+        if rows:
+            yield from pairs_of(rows)
 
     return run
 
 
-SETS = "sig binary, n int, blob binary"
+SETS = "sig binary, n int, blob binary, places binary"
+
+
+def places(tokens: np.ndarray) -> bytes:
+    """How many tokens of a set fall into each of about half as many places; empty if a count exceeds a byte.
+
+    The smaller counts of two sets, summed over all places, bound their overlap.
+    """
+    size = 1 << max(4, len(tokens).bit_length() - 2)
+    counts = np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size)
+    return b"" if counts.max() > 255 else counts.astype(np.uint8).tobytes()
+
+
+def may_link(percent: int, a: bytes, b: bytes, na: int, nb: int) -> bool:
+    """False only if two sets can't reach the threshold, by their places."""
+    if not a or not b:
+        return True
+    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+    size = min(len(x), len(y))
+    most = int(np.minimum(x.reshape(-1, size).sum(axis=0), y.reshape(-1, size).sum(axis=0)).sum())
+    return 100 * most >= percent * (na + nb - most)
+
+
+def _bounded(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("pa", "pb", "na", "nb")), strict=True)
+            keep = pa.array([may_link(percent, *r) for r in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("home"), batch.column("query")], names=["home", "query"]).filter(keep)
+
+    return run
 
 
 def _sets(words: int, wanted):
@@ -282,14 +372,16 @@ def _sets(words: int, wanted):
         bits, seen = np.frombuffer(wanted.value, np.uint64), set()
         for batch in batches:
             rows = []
-            for text in _texts(batch):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), _texts(batch), strict=True):
+                if doc is None or not _hit(bits, doc):
+                    continue
                 tokens = shingle_set(text, words)
-                if len(tokens) and (sig := _signature(tokens)) not in seen and _hit(bits, int.from_bytes(sig[:8], "big")):
+                if len(tokens) and (sig := _signature(tokens)) not in seen:
                     seen.add(sig)
-                    rows.append((sig, len(tokens), tokens.tobytes()))
+                    rows.append((sig, len(tokens), tokens.tobytes(), places(tokens)))
             if rows:
-                sigs, sizes, blobs = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())], names=["sig", "n", "blob"])
+                types = [pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["sig", "n", "blob", "places"])
 
     return run
 
@@ -330,18 +422,19 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: float = 0.8)
     row of docs: doc_id, n_shingles (size of its set), component_id (smallest
     doc_id reachable by links, its own included). A null or empty text has an
     empty set and no links. Equal sets are one class and link as a whole. A
-    null doc_id is returned with a null component_id unless others are in its
-    component. Rows with one doc_id are separate documents. An empty table
-    gives an empty result. Links are exact but for collisions of 64-bit
+    text that occurs with null doc_ids only is returned with a null component_id
+    and links no others. Rows that share a doc_id count as one document. An
+    empty table gives an empty result. Links are exact but for collisions of 64-bit
     shingle hashes. threshold must be 0.75 or more (see EXTRA).
     """
     if not 0.75 <= threshold <= 1:
         raise ValueError("threshold must be from 0.75 to 1")
     spark, percent = docs.sparkSession, math.ceil(round(threshold * 100, 6))
-    texts = docs.select("doc_id", "text")
+    bounded_batches(spark)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     width = shuffle_width(spark)
 
-    base = saved(texts.select(F.col("doc_id").cast("long"), "text").mapInArrow(_describe(words), BASE), "base")
+    base = saved(texts.mapInArrow(_describe(words), BASE), "base")
     found = base.where("slice is not null").select("slice", "blob").repartition(min(SLICES, width), "slice").mapInArrow(_sum_slices, "slice int, blob binary").collect()
     parts = {r["slice"]: bytes(r["blob"]) for r in found}
     empty = bytes(2 << SKETCH_BITS)[: (2 << SKETCH_BITS) // SLICES]
@@ -352,44 +445,78 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: float = 0.8)
     reps = saved(reps, "reps")
     many = spark.sparkContext.broadcast(_filter_of(reps.groupBy("fam").count().where("count > 1"), "fam").tobytes())
 
-    part = saved(texts.select("text").mapInArrow(_part(words, percent, counts, many), PARTS), "parts")
+    firsts = spark.sparkContext.broadcast(_filter_of(reps.where("rep is not null"), "rep").tobytes())
+    part = saved(texts.mapInArrow(_part(words, percent, counts, many, firsts), PARTS), "parts")
     stars = part.where("whole").select("fam", "sig", "n", "blob").repartition(width, "fam").sortWithinPartitions("fam", "sig").mapInArrow(_star(percent, counts), STARS)
     stars = saved(stars, "stars")
 
-    alone = part.where("not whole").select(F.col("sig").alias("grp"), "n", "blob")
-    tokens = alone.union(stars.where("blob is not null").select("grp", "n", "blob")).mapInArrow(_flatten, TOKENS)
-    pairs = tokens.repartition(width, "token").sortWithinPartitions("token", "grp").mapInArrow(_pairs(percent), PAIRS)
-    pairs = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= EXTRA).select("a", "b")
-    pairs = saved(pairs, "pairs")
-
+    total = part.where("not whole").agg(F.sum(F.length("blob"))).first()[0] or 0
+    total += stars.agg(F.sum(F.length("blob"))).first()[0] or 0
+    buckets = max(width, -(-total // (8 * TOKENS_PER_BUCKET)))
+    tokens = part.where("not whole").select("gid", "n", "blob").union(stars.where("blob is not null").select("gid", "n", "blob")).mapInArrow(_spread(buckets), TOKENS)
+    pairs = tokens.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_pairs(percent), PAIRS)
+    pairs = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
+    names = part.where("not whole").select("gid", F.col("sig").alias("grp")).union(stars.where("blob is not null and sig = grp").select("gid", "grp"))
+    pairs = pairs.join(names.select(F.col("gid").alias("a"), F.col("grp").alias("ga")), "a").join(names.select(F.col("gid").alias("b"), F.col("grp").alias("gb")), "b")
+    pairs = saved(pairs.select(F.col("ga").alias("a"), F.col("gb").alias("b")), "pairs")
+
+    ids = reps.where("rep is not null").select("sig", "rep")
     groups = stars.where("blob is not null").select("grp", "sig")
-    core = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    sized = pairs.join(core.select(F.col("grp").alias("a"), F.col("m").alias("ma")), "a", "left").join(core.select(F.col("grp").alias("b"), F.col("m").alias("mb")), "b", "left")
-    first = F.coalesce("ma", F.lit(1)) >= F.coalesce("mb", F.lit(1))
-    opened = sized.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("home"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("query"), F.coalesce(F.when(first, F.col("mb")).otherwise(F.col("ma")), F.lit(1)).alias("mq"))
-    homes = opened.groupBy("home").agg(F.ceil(F.sum("mq") / BLOCK).cast("int").alias("blocks"))
-    members = core.join(groups, "grp").select("grp", "sig")
-
-    def with_members(df: DataFrame, group: str) -> DataFrame:
-        right = members.withColumnRenamed("grp", group).withColumnRenamed("sig", "_sig")
+    named = pairs.select(F.col("a").alias("grp")).union(pairs.select("b")).distinct()
+    wanted = named.join(groups, "grp", "left").select(F.coalesce("sig", "grp").alias("sig")).distinct()
+    bits = spark.sparkContext.broadcast(_filter_of(wanted.join(ids, "sig").select("rep"), "rep").tobytes())
+    sets = saved(texts.mapInArrow(_sets(words, bits), SETS), "sets")
+    cores = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = saved(cores.join(groups, "grp").select("grp", "sig"), "members")
+
+    def each(df: DataFrame, group: str, whole: bool) -> DataFrame:
+        """With every member's sig, or the root's alone."""
+        if not whole:
+            return df.withColumn("sig", F.col(group))
+        right = members.select(F.col("grp").alias(group), F.col("sig").alias("_sig"))
         return df.join(right, group, "left").withColumn("sig", F.coalesce("_sig", group)).drop("_sig")
 
-    asked = with_members(opened.join(homes, "home"), "query").select("home", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("member"), "sig")
-    held = with_members(homes, "home").select("home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("member"), "sig")
-    roles = saved(asked.union(held).distinct(), "roles")
-    wanted = roles.select(F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long").alias("key"))
-    bits = spark.sparkContext.broadcast(_filter_of(wanted, "key").tobytes())
-    sets = texts.select("text").mapInArrow(_sets(words, bits), SETS)
-    links = roles.join(sets, "sig").repartition(width, "home", "block").sortWithinPartitions("home", "block", "member", "sig").mapInArrow(_open(percent), LINKS)
+    def compared(opened: DataFrame, all_queries: bool, all_members: bool) -> DataFrame:
+        """Links between what stands for the groups home and query."""
+        asked = each(opened, "query", all_queries).select("home", "sig")
+        homes = asked.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        asked = asked.join(homes, "home").select("home", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("member"), "sig")
+        held = each(homes, "home", all_members).select("home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("member"), "sig")
+        roles = asked.union(held).join(sets.select("sig", "n", "blob"), "sig")
+        return roles.repartition(width, "home", "block").sortWithinPartitions("home", "block", "member", "sig").mapInArrow(_open(percent), LINKS)
+
+    def numbered(links: DataFrame) -> DataFrame:
+        out = links.join(ids.select(F.col("sig").alias("a"), F.col("rep").alias("src")), "a")
+        return out.join(ids.select(F.col("sig").alias("b"), F.col("rep").alias("dst")), "b").select("src", "dst")
+
+    # Roots with roots, by their places first; then roots with members, and members with members, of what isn't connected yet.
+    sized = pairs.join(cores.select(F.col("grp").alias("a"), F.col("m").alias("ma")), "a", "left").join(cores.select(F.col("grp").alias("b"), F.col("m").alias("mb")), "b", "left")
+    first = F.coalesce("ma", F.lit(1)) >= F.coalesce("mb", F.lit(1))
+    sized = sized.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("home"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("query"), F.greatest("ma", "mb").isNotNull().alias("core"), (F.col("ma").isNotNull() & F.col("mb").isNotNull()).alias("cores"))
+    sized = saved(sized, "sized")
+    light = sets.select("sig", "n", "places")
+    bounded = sized.join(light.select(F.col("sig").alias("home"), F.col("n").alias("na"), F.col("places").alias("pa")), "home").join(light.select(F.col("sig").alias("query"), F.col("n").alias("nb"), F.col("places").alias("pb")), "query")
+    bounded = bounded.select("home", "query", "pa", "pb", "na", "nb").mapInArrow(_bounded(percent), "home binary, query binary")
+    within = stars.where("pivot is not null").select("grp", F.col("pivot").alias("sig")).join(groups.select("sig", F.col("grp").alias("other")), "sig").where("grp != other").select(F.col("grp").alias("a"), F.col("other").alias("b"))
+    links = saved(compared(bounded, False, False).union(within.distinct()), "links")
+    for which, all_queries in (("core", False), ("cores", True)):
+        # A member stands for its group here, as groups are connected.
+        of_group = groups.select(F.col("sig").alias("b"), F.col("grp").alias("_b"))
+        ends = links.join(of_group, "b", "left").select("a", F.coalesce("_b", "b").alias("b")).join(of_group.withColumnsRenamed({"b": "a", "_b": "_a"}), "a", "left").select(F.coalesce("_a", "a").alias("a"), "b")
+        comps = connected_components(numbered(ends))
+        of = saved(ids.join(comps.withColumnRenamed("node", "rep"), "rep").select("sig", "component"), "component-of")
+        left = sized.where(which).select("home", "query").join(of.select(F.col("sig").alias("home"), F.col("component").alias("ca")), "home", "left").join(of.select(F.col("sig").alias("query"), F.col("component").alias("cb")), "query", "left")
+        left = saved(left.where("ca is null or cb is null or ca != cb").select("home", "query"), "left")
+        if left.isEmpty():
+            continue
+        links = saved(links.union(compared(left, all_queries, True)), "links")
 
     edges = stars.where("pivot is not null").select(F.col("sig").alias("a"), F.col("pivot").alias("b")).union(links).where("a != b").distinct()
-    ids = reps.select("sig", "rep")
-    edges = edges.join(ids.select(F.col("sig").alias("a"), F.col("rep").alias("src")), "a").join(ids.select(F.col("sig").alias("b"), F.col("rep").alias("dst")), "b").where("src is not null and dst is not null").select("src", "dst")
-    comps = connected_components(edges)
-    return _labelled(spark, rows, ids.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component")))
+    comps = connected_components(numbered(edges))
+    return _labelled(rows, reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component")))
 
 
-def _labelled(spark: SparkSession, rows: DataFrame, classes: DataFrame) -> DataFrame:
+def _labelled(rows: DataFrame, classes: DataFrame) -> DataFrame:
     right = classes.select(F.col("sig").alias("_sig"), "component")
     out = rows.join(right, F.col("sig") == F.col("_sig"), "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 DIM = 1 << 15
 #: Bounds of the training sample: rows and landmarks per language, languages (the most frequent).
 ROWS, LANDMARKS, LANGUAGES = 400, 50, 64
@@ -116,6 +118,7 @@ def identify(docs: DataFrame) -> DataFrame:
     results; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     usable = rows.where(~held & F.col("lang").isNotNull() & F.col("text").isNotNull())

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Bound of the classifier's training sample, half of each label; places for hashed trigrams of character kinds.
 SAMPLE, PLACES = 4000, 1 << 11
 RIDGE, STEPS = 1e-3, 30
@@ -113,6 +115,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     equal results; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select("doc_id", "text", F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"))
     marks = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("good"))
     labelled = rows.select("doc_id", "host", "path").join(marks, "doc_id")

@@ -20,6 +20,8 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bounded_batches
+
 #: The rules in the order in which kinds are listed. The last value is the least length of the part after the sign, or 0.
 RULES = (
     ("assign", r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=\-]+", 6),
@@ -349,6 +351,7 @@ def secrets(docs: DataFrame) -> DataFrame:
     kind as in RULES, and empty without secrets. Repeated rows give repeated results, an empty
     table an empty one; columns other than doc_id and text are ignored.
     """
+    bounded_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_scan, FOUND)
 
 
