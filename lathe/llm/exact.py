@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, saved
+from .common import saved
 
 #: A cut is a space after a character of the first and second class and before one of the third: about every 60th space.
 CUT = "(?<=[a-fà-ê][n-zë-ü]) (?=[a-d])"
@@ -22,21 +22,26 @@ CUT = "(?<=[a-fà-ê][n-zë-ü]) (?=[a-d])"
 LONGEST = 8192
 
 
+#: Runs of white space that aren't a single space already.
+UNEVEN = r"\x20[\x20\x09-\x0D]+|[\x09-\x0D][\x20\x09-\x0D]*"
+
+
 def normalised(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), UNEVEN, " ")
 
 
-def chunks(text: Column) -> Column:
-    """The ordered chunks of a normalised text; an empty text has one empty chunk."""
+def with_chunks(df: DataFrame) -> DataFrame:
+    """Replaces the normalised text by chunk, its ordered chunks; an empty text has one empty chunk."""
 
     def pieces(chunk: Column) -> Column:
         starts = F.sequence(F.lit(0), F.floor((F.length(chunk) - 1) / LONGEST).cast("int"))
         cut = F.transform(starts, lambda i: F.substring(chunk, i * LONGEST + 1, F.lit(LONGEST)))
         return F.when(F.length(chunk) > LONGEST, cut).otherwise(F.array(chunk))
 
-    found = F.split(text, CUT, -1)
-    longest = F.array_max(F.transform(found, lambda c: F.length(c)))
-    return F.when(longest > LONGEST, F.flatten(F.transform(found, pieces))).otherwise(found)
+    # Each step is a column of its own, and a row number stands above them: else a generator's filter would run them all again.
+    df = df.withColumn("_found", F.split("text", CUT, -1)).withColumn("_longest", F.array_max(F.transform("_found", lambda c: F.length(c))))
+    df = df.withColumn("chunk", F.when(F.col("_longest") > LONGEST, F.flatten(F.transform("_found", pieces))).otherwise(F.col("_found")))
+    return df.drop("text", "_found", "_longest").withColumn("_row", F.monotonically_increasing_id())
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,11 +55,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     a null keep_id and its rows are kept. Empty tables give empty results.
     """
     text = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("text"))
-    cut = text.select("doc_id", F.sha2("text", 256).alias("text_sha256"), chunks(F.col("text")).alias("chunk"))
-    recipes = cut.select("doc_id", "text_sha256", F.transform("chunk", lambda c: F.xxhash64(c)).alias("recipe"))
+    recipes = with_chunks(text.withColumn("text_sha256", F.sha2("text", 256))).select("doc_id", "text_sha256", F.transform("chunk", lambda c: F.xxhash64(c)).alias("recipe"))
     recipes = saved(recipes, "recipes")
 
-    distinct = cut.select(F.explode("chunk").alias("chunk")).select(F.xxhash64("chunk").alias("id"), "chunk").distinct()
+    distinct = with_chunks(text.select("text")).select("_row", F.explode("chunk").alias("chunk")).select(F.xxhash64("chunk").alias("id"), "chunk").distinct()
     shared_ids = saved(distinct.groupBy("id").count().where("count > 1").select("id"), "shared-ids")
     if not shared_ids.isEmpty():
         doubtful = recipes.select("text_sha256", F.explode("recipe").alias("id")).join(shared_ids, "id", "left_semi").select("text_sha256").distinct()
@@ -65,7 +69,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     keys = ["key", "recipe", "tie"]
     groups = recipes.groupBy(*keys).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    # Of a hot group, copies are many: only groups of two or more take part in a join, by a short key with the list as its check.
+    # The join goes by a short key with the list as its check; a hot group's rows are split by the adaptive join, as its other side is one row.
     groups = groups.select(*[F.col(k).alias(f"_{k}") for k in keys], "keep_id", "group_size")
     match = [F.col(k) == F.col(f"_{k}") for k in keys]
     out = recipes.join(groups, match)
