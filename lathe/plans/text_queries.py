@@ -1 +1,98 @@
-"""Queries that need Python: text chunks, parsing, name similarity, boundaries, repairs and spreading."""
+"""Queries that need Python: text chunks, name similarity, boundaries, repairs and spreading; and the streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import text
+from ..streaming import events as streams
+from .dialect import frame, table
+
+c = F.col
+
+CHUNK_SQL = """
+WITH RECURSIVE t AS (SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL),
+s AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS chunk, CAST(0 AS BIGINT) AS start_at, CASE WHEN n <= 1000 THEN n ELSE {cut0} END AS reach FROM t
+  UNION ALL SELECT doc_id, chunk + 1, start_at, {cut} FROM (SELECT t.doc_id, t.text, t.n, s.chunk, s.reach - 200 AS start_at FROM s JOIN t ON t.doc_id = s.doc_id WHERE t.n > 1000 AND s.reach - 200 > 0 AND s.reach - 200 < t.n) x
+), r AS (SELECT s.doc_id, chunk, start_at AS "begin", least(reach, n) AS "end", text FROM s JOIN t ON t.doc_id = s.doc_id),
+chunks AS (SELECT doc_id, chunk, "begin", "end", CAST(len(substr(text, "begin" + 1, "end" - "begin")) - len(replace(substr(text, "begin" + 1, "end" - "begin"), chr(10), '')) AS BIGINT) AS lines FROM r)
+"""
+WINDOW = "reverse(substr(text, {b} + 801, 200))"
+
+
+def _cut(b: str) -> str:
+    w = WINDOW.format(b=b)
+    return f"CASE WHEN {b} + 1000 >= n THEN {b} + 1000 WHEN instr({w}, chr(10)) > 0 THEN {b} + 1001 - instr({w}, chr(10)) WHEN instr({w}, ' ') > 0 THEN {b} + 1001 - instr({w}, ' ') ELSE {b} + 1000 END"
+
+
+_CHUNKS = CHUNK_SQL.format(cut0=_cut("0"), cut=_cut("start_at"))
+
+
+@frame("text_chunks", lambda d: _CHUNKS + 'SELECT doc_id, chunk, "begin", "end", lines FROM chunks')
+def text_chunks(spark, sf_dir):
+    return text.text_chunks(table(spark, sf_dir, "documents"))
+
+
+@frame("next_chunk_edges", lambda d: _CHUNKS + "SELECT doc_id, chunk AS src, next_chunk AS dst FROM (SELECT doc_id, chunk, lead(chunk) OVER (PARTITION BY doc_id ORDER BY chunk) AS next_chunk FROM chunks) x WHERE next_chunk IS NOT NULL")
+def next_chunk_edges(spark, sf_dir):
+    return text.linked_chunks(text.text_chunks(table(spark, sf_dir, "documents"))).where("next_chunk IS NOT NULL").select("doc_id", c("chunk").alias("src"), c("next_chunk").alias("dst"))
+
+
+@frame("chunk_line_offsets", lambda d: _CHUNKS + "SELECT doc_id, chunk, CAST(coalesce(sum(lines) OVER (PARTITION BY doc_id ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS BIGINT) AS first_line FROM chunks")
+def chunk_line_offsets(spark, sf_dir):
+    return text.linked_chunks(text.text_chunks(table(spark, sf_dir, "documents"))).select("doc_id", "chunk", "first_line")
+
+
+@frame("rank_name_similarity")
+def rank_name_similarity(spark, sf_dir):
+    seeds = table(spark, sf_dir, "seeds").select("path", c("name").alias("seed"))
+    symbols = table(spark, sf_dir, "kg_symbols").select("path", "node_id", "name")
+    return symbols.join(seeds, "path").select("node_id", "seed", F.round(text.name_similarity("name", "seed"), 6).alias("similarity")).groupBy("node_id").agg(F.max("similarity").alias("similarity"))
+
+
+@frame("snippet_truncate_boundary")
+def snippet_truncate_boundary(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.boundary_truncated("text", F.lit(2000)).alias("snippet"))
+
+
+@frame("json_repair_literal")
+def json_repair_literal(spark, sf_dir):
+    return table(spark, sf_dir, "llm_responses").select("conv_id", "turn", text.json_repaired("raw").alias("body"))
+
+
+@frame("anchor_spread")
+def anchor_spread(spark, sf_dir):
+    found = table(spark, sf_dir, "findings").select("ord", (c("ord") % 200).alias("doc_id"), (c("ord") % 3).alias("hunk"), (c("ord") % 7).alias("line"))
+    hunks = table(spark, sf_dir, "hunks").select("doc_id", "hunk", c("path").alias("file"), "n_lines")
+    return text.spread(found.join(hunks, ["doc_id", "hunk"]).select("file", "hunk", "ord", "line", "n_lines"))
+
+
+@frame("review_payload_json")
+def review_payload_json(spark, sf_dir):
+    return table(spark, sf_dir, "findings").where("anchored").select("ord", F.to_json(F.struct("file_path", "severity", "category", "title")).alias("payload"))
+
+
+@frame("metrics_json")
+def metrics_json(spark, sf_dir):
+    return table(spark, sf_dir, "query_metrics").groupBy("query_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ms"), 2).alias("mean")).select("query_type", F.to_json(F.struct("n", "mean")).alias("metrics"))
+
+
+@frame("stream_event_sequence", lambda d: "SELECT 'wf-' || CAST(user_id AS STRING) AS workflow_id, count(*) AS last_sequence FROM events GROUP BY user_id")
+def stream_event_sequence(spark, sf_dir):
+    return streams.drained(spark, streams.next_sequences(streams.event_stream(spark, sf_dir)), "complete")
+
+
+@frame("stream_metrics_window", lambda d: "SELECT CAST(time_bucket(INTERVAL '5 minutes', ts) AS STRING) AS start_at, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_metrics_window(spark, sf_dir):
+    return streams.drained(spark, streams.windowed(streams.event_stream(spark, sf_dir)), "complete").select(F.date_format("start_at", "yyyy-MM-dd HH:mm:ss").alias("start_at"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@frame("stream_event_tail")
+def stream_event_tail(spark, sf_dir):
+    return streams.drained(spark, streams.tail(streams.event_stream(spark, sf_dir)), "append")
+
+
+@frame("stream_heartbeat_frames")
+def stream_heartbeat_frames(spark, sf_dir):
+    return streams.drained(spark, streams.heartbeats(streams.event_stream(spark, sf_dir)), "complete")
