@@ -9,7 +9,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,8 +54,7 @@ def linked_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("next_chunk", F.lead("chunk").over(w)).withColumn("first_line", first.cast("long"))
 
 
-@F.pandas_udf("double")
-def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
@@ -72,8 +71,7 @@ def cut_at_boundary(text: str, n: int, mark: str = "\n... [truncated] ...\n") ->
     return text[: cut if cut > 0 else room] + mark
 
 
-@F.pandas_udf("string")
-def boundary_truncated(text: pd.Series, n: pd.Series) -> pd.Series:
+def _boundary(text: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else cut_at_boundary(t, int(k)) for t, k in zip(text, n, strict=True)])
 
 
@@ -95,11 +93,23 @@ def repaired(raw: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
-def json_repaired(raw: pd.Series) -> pd.Series:
+def _repair(raw: pd.Series) -> pd.Series:
     return raw.map(repaired)
 
 
+# The functions are made when a plan asks for them: workers import this module, and can't make any.
+def name_similarity(a: Column | str, b: Column | str) -> Column:
+    return F.pandas_udf(_ratios, "double")(a, b)
+
+
+def boundary_truncated(text: Column | str, n: Column | str) -> Column:
+    return F.pandas_udf(_boundary, "string")(text, n)
+
+
+def json_repaired(raw: Column | str) -> Column:
+    return F.pandas_udf(_repair, "string")(raw)
+
+
 def spread(findings: DataFrame) -> DataFrame:
     """Gives findings of one hunk lines of their own: file, hunk, ord, line, n_lines -> assigned. A taken line yields to the nearest free one, later first."""
 
