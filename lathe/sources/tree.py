@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +20,53 @@ TEXT_SUFFIXES = (".md", ".txt", ".rst", ".markdown")
 LARGE, TOO_LARGE = 1 << 20, 10 << 20
 
 
+def _hidden_files(spark: SparkSession, root: str) -> list[tuple[str, int]]:
+    """Paths and lengths of the files that Spark's own listing leaves out: a part of their path below root begins with '_' or '.'."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    base, found, files = fs.resolvePath(top).toUri().getPath().rstrip("/") + "/", [], fs.listFiles(top, True)
+    while files.hasNext():
+        f = files.next()
+        path = f.getPath().toUri().getPath().removeprefix(base)
+        if any(x[:1] in "_." for x in path.split("/")):
+            found.append((path, f.getLen()))
+    return found
+
+
+def _opened(root: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            contents = []
+            for path in batch["path"]:
+                with open(f"{root}/{path}", "rb") as file:
+                    contents.append(file.read())
+            yield batch.assign(content=contents)
+
+    return run
+
+
 def scan_tree(spark: SparkSession, root: str, with_content: bool = True) -> DataFrame:
-    """Files under a folder of any store that Spark reads: path (relative), length, content."""
+    """Files under a folder: path (relative), length, content.
+
+    Spark's readers skip names that begin with '_' or '.', such as
+    __init__.py; these are listed on the driver, which holds their names only,
+    and opened by the executors, for which root must be a shared mount. In a
+    store that only Spark reads they are listed without content.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").removeprefix("file://")
-    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*(?=/)", ""), "^" + base.replace("\\", "\\\\").replace(".", "\\.") + "/", "")
-    return files.select(path.alias("path"), "length", *(["content"] if with_content else []))
+    local = re.sub(r"^file:/*(?=/)", "", root).rstrip("/")
+    base = re.sub(r"^[a-z0-9]+:/*(?=/)", "", local)
+    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*(?=/)", ""), "^" + re.escape(base) + "/", "")
+    seen = files.select(path.alias("path"), "length", *(["content"] if with_content else []))
+    hidden = _hidden_files(spark, root)
+    if not hidden:
+        return seen
+    rest = spark.createDataFrame(hidden, "path string, length long")
+    if with_content and local.startswith("/"):
+        rest = rest.mapInPandas(_opened(local), "path string, length long, content binary")
+    elif with_content:
+        rest = rest.withColumn("content", F.lit(None).cast("binary"))
+    return seen.unionByName(rest)
 
 
 def excluded(path: Column) -> Column:
