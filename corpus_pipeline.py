@@ -2,7 +2,8 @@
 
 Every stage works on all that the one before has kept. All but the last
 return the columns of documents; the last returns each kept document's shard.
-Empty tables pass through every stage. Rows with a null doc_id pass the
+Empty tables pass through every stage. Rows that share a doc_id are one
+document and stay or go together. Rows with a null doc_id pass the
 language and decontamination stages by their text alone.
 """
 
