@@ -16,8 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import bounded_batches
 
@@ -70,22 +72,23 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(langs: list[str], x: np.ndarray, names: list[str], landmarks: int = LANDMARKS) -> np.ndarray:
     """Weights (DIM + 1 rows, a column per name) such that presences / sqrt(their number) times the weights, plus the last row, are the scores."""
-    x = x.astype(np.float32)
-    x /= np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
+    sizes = np.sqrt(np.maximum(1, x.sum(axis=1, dtype=np.int64)))[:, None].astype(np.float32)
     pick = np.concatenate([[i for i, lang in enumerate(langs) if lang == name][:landmarks] for name in names]).astype(int)
-    marks = x[pick]
+    marks = x[pick].astype(np.float32) / sizes[pick]
+    # The sample stays in bytes; a hundred rows at a time become numbers.
+    to_marks = np.vstack([x[i : i + 100].astype(np.float32) / sizes[i : i + 100] @ marks.T for i in range(0, len(x), 100)])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6 * values[-1]
     white = vectors[:, keep] / np.sqrt(values[keep])
-    features = np.hstack([(x @ marks.T).astype(np.float64) @ white, np.ones((len(x), 1))])
+    features = np.hstack([to_marks.astype(np.float64) @ white, np.ones((len(x), 1))])
     y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     penalty = RIDGE * np.eye(features.shape[1])
     penalty[-1, -1] = 1e-9
     beta = np.linalg.solve(features.T @ features + penalty, features.T @ y)
-    return np.vstack([marks.T.astype(np.float64) @ (white @ beta[:-1]), beta[-1:]]).astype(np.float32)
+    return np.vstack([marks.T @ (white @ beta[:-1]).astype(np.float32), beta[-1:]]).astype(np.float32)
 
 
-def _predict(names: list[str], model):
+def _predict(names: list[str], model, carry: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.frombuffer(model.value, np.float32).reshape(DIM + 1, max(1, len(names)))
         for batch in batches:
@@ -100,28 +103,22 @@ def _predict(names: list[str], model):
                 score[at] = e.max(axis=1) / e.sum(axis=1)
                 for i, k in zip(at, s.argmax(axis=1), strict=True):
                     lang[i] = names[k]
-            rest = [n for n in batch.schema.names if n != "text"]
+            rest = [n for n in batch.schema.names if carry or n != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(lang), pa.array(score)], names=[*rest, "lang_pred", "score"])
 
     return run
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """The language of every whole text, one row per row of docs: doc_id, held_out, lang_pred, score.
+def _held_out() -> Column:
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
-    Learns from text and lang of rows whose crc32(doc_id) mod 4 isn't 2 (these
-    are held_out), from the first ROWS of every language in an order that a
-    hash of doc_id gives; of more than LANGUAGES languages the most frequent
-    ones. A null text or one without a letter gets 'und' and 0, and so does
-    everything if nothing can be learned. A null lang isn't learned from, a
-    null doc_id isn't held out. Ties go to the first language by name. Repeated rows get equal
-    results; an empty table gives an empty result.
-    """
+
+def learned(docs: DataFrame) -> tuple[list[str], Broadcast]:
+    """Languages and weights from the labelled rows that aren't held out."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    usable = rows.where(~held & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    usable = rows.where(~_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     langs = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
     usable = usable.where(F.col("lang").isin(langs) if langs else F.lit(False))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
@@ -134,4 +131,27 @@ def identify(docs: DataFrame) -> DataFrame:
         x = np.unpackbits(np.frombuffer(b"".join(b for _, b in sample), np.uint8).reshape(len(sample), -1), axis=1)
         weights = fit([lang for lang, _ in sample], x, names)
     model = spark.sparkContext.broadcast(weights.tobytes())
-    return rows.select("doc_id", held.alias("held_out"), "text").mapInArrow(_predict(names, model), "doc_id long, held_out boolean, lang_pred string, score double")
+    return names, model
+
+
+def identify(docs: DataFrame) -> DataFrame:
+    """The language of every whole text, one row per row of docs: doc_id, held_out, lang_pred, score.
+
+    Learns from text and lang of rows whose crc32(doc_id) mod 4 isn't 2 (these
+    are held_out), from the first ROWS of every language in an order that a
+    hash of doc_id gives; of more than LANGUAGES languages the most frequent
+    ones. A null text or one without a letter gets 'und' and 0, and so does
+    everything if nothing can be learned. A null lang isn't learned from, a
+    null doc_id isn't held out. Ties go to the first language by name. Repeated rows get equal
+    results; an empty table gives an empty result.
+    """
+    names, model = learned(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _held_out().alias("held_out"), "text")
+    return rows.mapInArrow(_predict(names, model), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def with_language(docs: DataFrame) -> DataFrame:
+    """docs with lang_pred and score behind its own columns, which pass through as they are; docs has no columns of these names."""
+    names, model = learned(docs)
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return docs.mapInArrow(_predict(names, model, carry=True), schema)
