@@ -9,7 +9,7 @@ total budget is used up.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, bucket_count, running_total, saved
@@ -42,25 +42,18 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return per.select("source", "source_size", F.least(target, (F.col("source_size") * repeat).cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeat: int = 2, seed: str = "mix-1") -> DataFrame:
-    """What a mix takes of every document.
+def _turn(seed: str) -> Column:
+    """The shuffled order of documents."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
 
-    Returns one row per row of docs: doc_id, size (words), source_size,
-    target (of its source), taken (words, repeats counted; the document at
-    which a source reaches its target is taken in part), finish (virtual
-    finish time of its first pass; null if nothing is taken) and mix_start (the words of the mix
-    before that pass, in order of finish time, source and document; null if
-    nothing is taken). A null text has size 0 and nothing taken. A null
-    source is a source of its own and the last. Rows with equal doc_id and
-    source are served in order of size. Empty tables give empty results; if all sizes are 0, all
-    targets are 0. The order depends on seed, doc_id and size alone.
-    """
+
+def _served(docs: DataFrame, weights: tuple[int, ...], share: float, repeat: int, seed: str) -> tuple[DataFrame, int]:
+    """Per document what each of its passes gives to the mix; and the number of buckets that fits the table."""
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sized = saved(sized, "sized")
     buckets = bucket_count(sized.count())
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
     # The first hex digits place a document in a bucket, so that buckets follow the shuffled order.
-    queued = sized.withColumn("turn", order).withColumn("bucket", F.floor(F.conv(F.substring("turn", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).cast("int"))
+    queued = sized.withColumn("turn", _turn(seed)).withColumn("bucket", F.floor(F.conv(F.substring("turn", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).cast("int"))
     queued = running_total(queued, ["source"], "bucket", ["turn", "size"], "size", "before")
     targets = source_targets(sized, weights, share, repeat).select(F.col("source").alias("_source"), "source_size", "target")
     served = queued.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("quota", F.floor("target").cast("long"))
@@ -70,6 +63,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     served = served.withColumn("finish", F.when(F.col("first") > 0, (F.col("before") + F.col("first")) / F.col("target")))
     served = saved(served.select("doc_id", "source", "size", "source_size", "target", "taken", "finish", "turn", "before", "first", F.array(*takes).alias("takes"), F.array(*begins).alias("begins")), "served")
 
+    return served, buckets
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeat: int = 2, seed: str = "mix-1") -> DataFrame:
+    """What a mix takes of every document.
+
+    Returns one row per row of docs: doc_id, size (words), source_size,
+    target (of its source), taken (words, repeats counted; the document at
+    which a source reaches its target is taken in part), finish (virtual
+    finish time of its first pass; null if nothing is taken) and mix_start (the words of the mix
+    before that pass, in order of finish time, source and document; null if
+    nothing is taken). A null text has size 0 and nothing taken. A null
+    source is a source of its own and the last. Rows with equal doc_id and
+    source are served in order of size. Empty tables give empty results; if all sizes are 0, all
+    targets are 0. The order depends on seed, doc_id and size alone.
+    """
+    served, buckets = _served(docs, weights, share, repeat, seed)
     # The mix as a whole: every pass over a document in the order in which it ends, cut at the budget.
     passes = served.select("doc_id", "source", "turn", "size", "target", F.explode(F.arrays_zip("takes", "begins")).alias("pass"))
     passes = passes.select("doc_id", "source", "turn", "size", "target", F.col("pass.takes").alias("words"), F.col("pass.begins").alias("begin")).where("words > 0")
@@ -79,3 +89,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     match = [F.col("turn") == F.col("_turn"), F.col("before") == F.col("_begin"), F.col("source").eqNullSafe(F.col("_source"))]
     out = served.join(starts, [F.col("first") > 0, *match], "left")
     return out.select("doc_id", "size", "source_size", "target", "taken", "finish", "mix_start")
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeat: int = 2, seed: str = "mix-1") -> DataFrame:
+    """The rows of docs as the mix takes them, each once for every pass that it has a part in; columns stay as they are.
+
+    A pass takes a source's documents up to a place in its shuffled order, so
+    one such place per source and pass decides, and texts don't move. A
+    document that a pass takes in part comes as a whole. Documents without
+    words don't come.
+    """
+    served, _ = _served(docs, weights, share, repeat, seed)
+    ends = served.groupBy(F.col("source").alias("_source")).agg(*[F.max(F.when(F.col("takes")[k] > 0, F.col("turn"))).alias(f"_end{k}") for k in range(repeat)])
+    ends = saved(ends, "ends")  # so its size is known before the join is planned
+    rows = docs.where(F.col("text").rlike(WORD)).withColumn("_turn", _turn(seed)).join(ends, F.col("source").cast("string").eqNullSafe(F.col("_source")))
+    times = sum((F.when(F.col("_turn") <= F.col(f"_end{k}"), 1).otherwise(0) for k in range(1, repeat)), F.when(F.col("_turn") <= F.col("_end0"), 1).otherwise(0))
+    rows = rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times)))
+    return rows.select(*docs.columns)
