@@ -15,23 +15,20 @@ from pyspark.sql import functions as F
 from lathe.llm.common import saved
 from lathe.llm.decontaminate import decontaminated
 from lathe.llm.jaccard import jaccard_components
-from lathe.llm.language import identify
-from lathe.llm.mixing import mix
+from lathe.llm.language import with_language
+from lathe.llm.mixing import mixed
 from lathe.llm.sharding import shard_documents
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids, null included."""
-    return docs.join(ids.select(F.col("doc_id").alias("_kept")).distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-
-
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """docs without these doc_ids. They are saved, so their size is known before the join is planned: few are broadcast, and texts stay where they are."""
+    gone = saved(ids.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which no language can be found: no text, or no letter in it."""
-    return _without(docs, identify(docs).where("lang_pred = 'und'"))
+    return with_language(docs).where("lang_pred != 'und'").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +42,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents as the mix takes them: a document that the mix takes more of than its size is there twice."""
-    taken = saved(mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.when(F.col("taken") > F.col("size"), 2).otherwise(1).alias("_times")).groupBy("_id").agg(F.max("_times").alias("_times")), "taken")
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """Repeats or drops documents as the mix takes them."""
+    return mixed(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

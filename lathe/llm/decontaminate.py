@@ -130,5 +130,6 @@ def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of docs that hold no benchmark item, with their columns as they are."""
-    bad = leaks(docs, items, **options).select(F.col("doc_id").alias("_leaking")).distinct()
+    # Saved, so its size is known before the join is planned: few ids are broadcast, and texts stay where they are.
+    bad = saved(leaks(docs, items, **options).select(F.col("doc_id").alias("_leaking")).distinct(), "leaking")
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_leaking")), "left_anti")
