@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, saved, shuffle_width
+from .common import bounded_batches, connected_components, discard, saved, shuffle_width
 
 #: Prefix tokens that two similar sets share: a share of the set's size, and EXTRA at least. Different sets at a threshold of 0.75 or more have an overlap of 3 or more.
 EXTRA, EXTRA_SHARE = 2, 20
@@ -499,6 +499,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: float = 0.8)
     bounded = bounded.select("home", "query", "pa", "pb", "na", "nb").mapInArrow(_bounded(percent), "home binary, query binary")
     within = stars.where("pivot is not null").select("grp", F.col("pivot").alias("sig")).join(groups.select("sig", F.col("grp").alias("other")), "sig").where("grp != other").select(F.col("grp").alias("a"), F.col("other").alias("b"))
     links = saved(compared(bounded, False, False).union(within.distinct()), "links")
+    spent = [part, stars, pairs, sets, members, sized, links]
     for which, all_queries in (("core", False), ("cores", True)):
         # A member stands for its group here, as groups are connected.
         of_group = groups.select(F.col("sig").alias("b"), F.col("grp").alias("_b"))
@@ -507,12 +508,17 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: float = 0.8)
         of = saved(ids.join(comps.withColumnRenamed("node", "rep"), "rep").select("sig", "component"), "component-of")
         left = sized.where(which).select("home", "query").join(of.select(F.col("sig").alias("home"), F.col("component").alias("ca")), "home", "left").join(of.select(F.col("sig").alias("query"), F.col("component").alias("cb")), "query", "left")
         left = saved(left.where("ca is null or cb is null or ca != cb").select("home", "query"), "left")
+        spent += [of, left]
         if left.isEmpty():
             continue
         links = saved(links.union(compared(left, all_queries, True)), "links")
+        spent.append(links)
 
     edges = stars.where("pivot is not null").select(F.col("sig").alias("a"), F.col("pivot").alias("b")).union(links).where("a != b").distinct()
     comps = connected_components(numbered(edges))
+    # The components are saved by now, and only base and reps are read from here on.
+    for done in spent:
+        discard(done)
     return _labelled(rows, reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component")))
 
 
