@@ -186,6 +186,24 @@ def test_sharding_law(spark, odd, empty):
     assert (by_id[0].size, by_id[15].size, by_id[15].text_crc32) == (1, 101, zlib.crc32(("é" * 50).encode()))
 
 
+def test_sharding_settles_every_text(spark):
+    """Groups whose documents are dealt evenly, a hot text and few single ones: only texts at a shard's edge are cut."""
+    sixteen = [f"g{i // 16}" for i in range(1600)]
+    sizes = [random.randint(2, 100) for _ in range(70)]
+    mixed = [f"m{k}" for k, n in enumerate(sizes) for _ in range(n)]
+    mixed += ["hot"] * (len(mixed) // 2) + [f"only {i}" for i in range(len(mixed) // 9)]
+    for texts in (sixteen, mixed):
+        rows = shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+        slots, shards = defaultdict(list), defaultdict(set)
+        for r in rows:
+            slots[r.shard].append(r.slot)
+            shards[texts[r.doc_id]].add(r.shard)
+        assert len(rows) == len(texts) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+        assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+        assert len(shards.pop("hot", {0})) <= 4
+        assert sum(len(v) > 1 for v in shards.values()) <= 7
+
+
 def test_exact_duplicates_against_grouping(odd, empty):
     groups = defaultdict(list)
     for i, t, *_ in ROWS:
