@@ -5,10 +5,11 @@ over all URLs of the table: one over the rejected ones, which a rule blocks or
 whose host holds one of the rejected words, and one over all others, which
 count as accepted.
 Orders 0 to ORDER are interpolated, each smoothed with the next lower one.
-Contexts are hashed into tables of a fixed size, so the models don't grow with
-the data. A URL is allowed if the length-normalised log-likelihood difference
-reaches a threshold, which is calibrated on a fifth of the URLs that the
-models haven't counted.
+Grams are counted by their own bytes, with nothing hashed or left out, so the
+models grow with the URLs; the most frequent grams are scored from a broadcast
+of bounded size, all others by joins. A URL is allowed if the
+length-normalised log-likelihood difference reaches a threshold, which is
+calibrated on a fifth of the URLs that the models haven't counted.
 """
 
 from __future__ import annotations
@@ -20,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, discard, saved
 
 #: Fixed values: (host, path, verdict); a rule's name is its host and path.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 #: Words in hosts that count as rejected.
 REJECTED_WORDS = ("casino", "poker", "bets", "pills", "pharma", "ads-", "track", "porn", "xxx", "loan")
-ORDER, SLOTS, KAPPA = 5, 1 << 14, 4.0
+ORDER, KAPPA = 5, 4.0
 BINS, SPAN = 400, 4.0
+#: Bits of a symbol of a gram: a byte, or 256 before the first one.
+BITS = 9
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -46,69 +49,107 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def _contexts(urls: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """For all bytes of all URLs: owner, byte, and for each order the slots of the context and of the context with the byte."""
+def _grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For all bytes of all URLs: the owner, and the byte with the ORDER symbols before it as one number (the byte lowest)."""
     raw = [bytes(ORDER) + u.encode() for u in urls]
-    flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+    flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
     sizes = np.array([len(r) for r in raw])
     owner = np.repeat(np.arange(len(raw)), sizes)
     real = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) >= ORDER
-    at = np.flatnonzero(real)
-    contexts, joints, h = [], [], np.full(len(at), 17, np.uint64)
+    flat[~real] = 256
+    at, gram = np.flatnonzero(real), np.int64(0)
     for k in range(ORDER + 1):
-        if k:
-            h = (h ^ flat[at - k]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(31)
-        both = (h ^ (flat[at] + np.uint64(257))) * np.uint64(0xD6E8FEB86659FD93)
-        contexts.append((h & np.uint64(SLOTS - 1)).astype(np.int64))
-        joints.append(((both ^ (both >> np.uint64(29))) & np.uint64(SLOTS - 1)).astype(np.int64))
-    return owner[at], flat[at], contexts, joints
+        gram = gram + (flat[at - k] << (BITS * k))
+    return owner[at], gram
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of slots by (rejected, order, joint): at most 4 * (ORDER + 1) * SLOTS rows a task."""
-    sums = np.zeros((2, ORDER + 1, 2, SLOTS), np.int64)
+    """Grams of every batch: how often they occur, and how often in URLs the models count, accepted and rejected."""
     for batch in batches:
-        urls, bad = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), np.int64)
-        if urls:
-            owner, _, contexts, joints = _contexts(urls)
-            for k in range(ORDER + 1):
-                for j, slots in enumerate((contexts[k], joints[k])):
-                    for c in (0, 1):
-                        sums[c, k, j] += np.bincount(slots[bad[owner] == c], minlength=SLOTS)
-    at = np.flatnonzero(sums)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums.ravel()[at])], names=["slot", "n"])
-
-
-def _score(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.frombuffer(model.value, np.float64).reshape(2, ORDER + 1, 2, SLOTS)
+        urls = batch.column(0).to_pylist()
+        if any(urls):
+            bad, held = (np.array(batch.column(k).to_pylist(), bool) for k in (1, 2))
+            owner, gram = _grams(urls)
+            found, at = np.unique(gram, return_inverse=True)
+            counts = [np.bincount(at[x[owner]], minlength=len(found)) for x in (np.ones(len(urls), bool), ~held & ~bad, ~held & bad)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (found, *counts)], names=["gram", "n", "n0", "n1"])
+
+
+def _ratios(grams: DataFrame) -> DataFrame:
+    """gram, n and d, the log-likelihood difference of the two models for the gram's last byte.
+
+    A gram of order k meets its context and the gram one symbol shorter, which
+    no more than 257 grams share, so the joins have no hot keys.
+    """
+    levels = [grams]
+    for k in range(ORDER - 1, -1, -1):
+        shorter = F.col("gram").bitwiseAND(F.lit((1 << BITS * (k + 1)) - 1)).alias("gram")
+        levels.insert(0, saved(levels[0].groupBy(shorter).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "grams"))
+    lower, context = None, F.shiftright("gram", BITS)
+    for k, level in enumerate(levels):
+        all_ = level.groupBy(context.alias("context")).agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"))
+        here = level.withColumn("context", context).join(all_, "context")
+        if k:
+            here = here.withColumn("short", F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1))).join(lower, "short")
+        else:
+            here = here.withColumn("p0", F.lit(1 / 256)).withColumn("p1", F.lit(1 / 256))
+        p = [(F.col(f"n{c}") + KAPPA * F.col(f"p{c}")) / (F.col(f"c{c}") + KAPPA) for c in (0, 1)]
+        lower = here.select(F.col("gram").alias("short"), *[x.alias(f"p{c}") for c, x in enumerate(p)])
+    found = saved(here.select("gram", "n", (F.log(p[0]) - F.log(p[1])).alias("d")), "ratios")
+    for level in levels[:-1]:
+        discard(level)
+    return found
+
+
+def _scored(rows: DataFrame, ratios: DataFrame, hot: int) -> DataFrame:
+    """rows (with a unique _row and text) and score; the hot most frequent grams are broadcast, the others joined."""
+    spark = rows.sparkSession
+    most = ratios.orderBy(F.col("n").desc(), "gram").limit(hot).select("gram", "d").toPandas().sort_values("gram")
+    model = spark.sparkContext.broadcast((most["gram"].to_numpy(np.int64), most["d"].to_numpy(np.float64)))
+
+    def found(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        keys, values = model.value
+        owner, gram = _grams(urls)
+        at = np.minimum(np.searchsorted(keys, gram), max(0, len(keys) - 1))
+        known = keys[at] == gram if len(keys) else np.zeros(len(gram), bool)
+        return owner, gram, known, np.where(known, values[at], 0.0) if len(keys) else np.zeros(len(gram))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            urls = batch.column("text").to_pylist()
+            total, size = np.zeros(len(urls)), np.zeros(len(urls), np.int64)
+            if any(urls):
+                owner, _, _, d = found(urls)
+                total, size = np.bincount(owner, d, len(urls)), np.bincount(owner, minlength=len(urls))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total), pa.array(size)], names=[*batch.schema.names, "total", "bytes"])
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             urls = batch.column("text").to_pylist()
-            score = np.zeros(len(urls))
             if any(urls):
-                owner, _, contexts, joints = _contexts(urls)
-                logs = []
-                for c in (0, 1):
-                    p = np.full(len(owner), 1 / 256)
-                    for k in range(ORDER + 1):
-                        p = (counts[c, k, 1][joints[k]] + KAPPA * p) / (np.maximum(counts[c, k, 0][contexts[k]], counts[c, k, 1][joints[k]]) + KAPPA)
-                    logs.append(np.log(p))
-                score = np.bincount(owner, logs[0] - logs[1], len(urls)) / np.maximum(1, np.bincount(owner, minlength=len(urls)))
-            columns = {n: batch.column(n) for n in batch.schema.names if n != "text"}
-            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(score)], names=[*columns, "score"])
+                owner, gram, known, _ = found(urls)
+                row = np.array(batch.column("_row").to_pylist(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(row[owner[~known]]), pa.array(gram[~known])], names=["_row", "gram"])
 
-    return run
+    kinds = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
+    parts = rows.mapInArrow(part, f"{kinds}, total double, bytes long")
+    if len(most) == hot:
+        joined = rows.select("_row", "text").mapInArrow(rest, "_row long, gram long").join(ratios.select("gram", "d"), "gram")
+        # Whole numbers, as sums of doubles depend on their order and equal URLs get equal scores.
+        more = joined.groupBy("_row").agg((F.sum(F.round(F.col("d") * (1 << 40)).cast("long")) / (1 << 40)).alias("more"))
+        parts = parts.join(more, "_row", "left").withColumn("total", F.col("total") + F.coalesce("more", F.lit(0.0))).drop("more")
+    return parts.withColumn("score", F.col("total") / F.greatest(F.col("bytes"), F.lit(1))).drop("total", "bytes")
 
 
-def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, hot: int = 1 << 19) -> DataFrame:
     """A verdict for every URL, one row per row of pages: page_id, host, path, rule, verdict, score.
 
     rule is null where none fits; then the models decide. score is the mean
     log-likelihood difference per byte of host and path (0 if both are empty).
     A null URL or one without '://' has an empty host and path and is allowed
     if 0 reaches the threshold. Without URLs of both kinds the
-    threshold is the lowest, so all are allowed. Repeated rows get
+    threshold is the lowest, so all are allowed. hot grams (16 bytes each) are
+    broadcast; the result doesn't depend on their number. Repeated rows get
     equal results; an empty table an empty result.
     """
     host, path = host_and_path(F.col("url"))
@@ -120,23 +161,20 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
         word = word | F.contains("host", F.lit(w))
     bad = F.when(F.col("ruled") == "block", 1).when(F.col("ruled").isNull() & word, 1).otherwise(0)
     held = F.pmod(F.xxhash64("text"), F.lit(5)) == 0
-    labelled = rows.select("text", bad.alias("bad"), held.alias("held")).where("text != ''")
-    counted = labelled.where("not held").select("text", "bad").mapInArrow(_count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(2 * (ORDER + 1) * 2 * SLOTS)
-    counts[counted["slot"].to_numpy(np.int64)] = counted["n"].to_numpy(np.float64)
-    model = pages.sparkSession.sparkContext.broadcast(counts.tobytes())
-    seen = counts.reshape(2, ORDER + 1, 2, SLOTS)[:, 0, 0].sum(axis=1)
+    rows = saved(rows.select("*", bad.alias("bad"), held.alias("held"), F.monotonically_increasing_id().alias("_row")), "urls")
+    grams = saved(rows.select("text", "bad", "held").mapInArrow(_count, "gram long, n long, n0 long, n1 long").groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n", "n0", "n1")]), "grams")
+    scored = saved(_scored(rows, _ratios(grams), hot), "scored")
+    seen = grams.agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first()
     threshold = -SPAN
-    if seen.min() > 0:
+    if min(seen) > 0:
         bins = F.least(F.greatest(F.floor((F.col("score") + SPAN) * (BINS / (2 * SPAN))), F.lit(0)), F.lit(BINS - 1)).cast("int")
-        scored = labelled.where("held").select("text", "bad").mapInArrow(_score(model), "bad int, score double").groupBy(bins.alias("bin"), "bad").count().collect()
+        binned = scored.where("held and text != ''").groupBy(bins.alias("bin"), "bad").count().collect()
         by = np.zeros((2, BINS + 1))
-        for r in scored:
+        for r in binned:
             by[r["bad"], r["bin"]] = r["count"]
         # Of all thresholds the one with the best mean of both rates; the middle of a stretch of equals.
         share = by / np.maximum(1, by.sum(axis=1, keepdims=True))
         right = np.append(0, np.cumsum(share[1]))[: BINS + 1] + 1 - np.append(0, np.cumsum(share[0]))[: BINS + 1]
         best = np.flatnonzero(right >= right.max() - 1e-12)
         threshold = best[len(best) // 2] * (2 * SPAN / BINS) - SPAN
-    out = rows.mapInArrow(_score(model), "page_id long, host string, path string, rule string, ruled string, score double")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= threshold, "allow").otherwise("block")).alias("verdict"), "score")
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= threshold, "allow").otherwise("block")).alias("verdict"), "score")

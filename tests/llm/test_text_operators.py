@@ -1,6 +1,7 @@
 """Text operators on a table of odd rows, on an empty one, and against brute force or their SQL."""
 
 import hashlib
+import math
 import random
 import re
 import sys
@@ -133,6 +134,41 @@ def test_urls_against_rules(spark):
     assert sum((r.verdict == "block") == (r.page_id % 3 == 0) for r in rows) >= 0.95 * len(rows)
 
 
+def test_url_models_against_counting(spark):
+    """Scores of many different URLs are those of models that count every context by itself, whatever is broadcast."""
+    from pyspark.sql import functions as F
+
+    made = ["".join(random.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(20)) for _ in range(1500)]
+    urls = [f"x://{'free-bets' if i % 3 == 0 else 'news'}.{t[:8]}.info/{t[8:]}" for i, t in enumerate(made)]
+    pages = spark.createDataFrame([*enumerate(urls), (9999, urls[7])], "page_id long, url string").repartition(4)
+    texts = [u[4:] for u in urls] + [urls[7][4:]]
+    held = [r.h for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", (F.pmod(F.xxhash64("t"), F.lit(5)) == 0).alias("h")).orderBy("i").collect()]
+    joint, context = (Counter(), Counter()), (Counter(), Counter())
+    for t, h in zip(texts, held, strict=True):
+        for i in range(0 if h else len(t)):
+            for k in range(6):
+                before = ("^" * 5 + t)[i + 5 - k : i + 5]
+                joint["bets" in t][before, t[i]] += 1
+                context["bets" in t][before] += 1
+
+    def logs(t, c):
+        total = 0
+        for i in range(len(t)):
+            p = 1 / 256
+            for k in range(6):
+                before = ("^" * 5 + t)[i + 5 - k : i + 5]
+                p = (joint[c][before, t[i]] + 4 * p) / (context[c][before] + 4)
+            total += math.log(p)
+        return total / len(t)
+
+    want = {i: logs(t, 0) - logs(t, 1) for i, t in zip([*range(1500), 9999], texts, strict=True)}
+    everything = {r.page_id: r for r in judge_urls(pages).collect()}
+    assert len(everything) == 1501 and all(abs(everything[i].score - want[i]) < 1e-9 for i in want)
+    few = {r.page_id: r for r in judge_urls(pages, hot=100).collect()}
+    assert len(few) == 1501 and all(abs(few[i].score - want[i]) < 1e-9 for i in want)
+    assert few[7].score == few[9999].score and all(everything[i].verdict == few[i].verdict for i in want)
+
+
 def test_language_on_held_out_rows(spark, odd, empty):
     vocab = {"en": ["the", "and", "house", "water", "through"], "de": ["der", "und", "haus", "wasser", "durch"], "fr": ["le", "et", "maison", "eau", "travers"]}
     rows = [(i, " ".join(random.choice(vocab[lang]) for _ in range(20)), lang, "s", 0, 1, "h", 1, "c", 1) for i in range(300) for lang in [("en", "de", "fr")[i % 3]]]
