@@ -102,6 +102,19 @@ def name_similarity(a: Column | str, b: Column | str) -> Column:
     return F.pandas_udf(_ratios, "double")(a, b)
 
 
+def best_name_similarity(symbols: DataFrame, seeds: DataFrame) -> DataFrame:
+    """symbols with similarity: the largest of the name with any name of seeds, 0 without a name or seeds.
+
+    Every distinct name meets every distinct seed name once, pair by pair, in
+    tasks dealt by name.
+    """
+    width = int(symbols.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = symbols.select(F.col("name").alias("_name")).where("name != ''").distinct().repartition(width, "_name")
+    others = seeds.select(F.col("name").alias("_seed")).distinct()
+    best = names.crossJoin(others).select("_name", name_similarity("_name", "_seed").alias("_ratio")).groupBy("_name").agg(F.max("_ratio").alias("similarity"))
+    return symbols.join(best, F.col("name") == F.col("_name"), "left").drop("_name").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+
+
 def boundary_truncated(text: Column | str, n: Column | str) -> Column:
     return F.pandas_udf(_boundary, "string")(text, n)
 

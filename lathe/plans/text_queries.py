@@ -46,9 +46,8 @@ def chunk_line_offsets(spark, sf_dir):
 
 @frame("rank_name_similarity")
 def rank_name_similarity(spark, sf_dir):
-    seeds = table(spark, sf_dir, "seeds").select("path", c("name").alias("seed"))
-    symbols = table(spark, sf_dir, "kg_symbols").select("path", "node_id", "name")
-    return symbols.join(seeds, "path").select("node_id", "seed", F.round(text.name_similarity("name", "seed"), 6).alias("similarity")).groupBy("node_id").agg(F.max("similarity").alias("similarity"))
+    symbols = table(spark, sf_dir, "kg_symbols").select("node_id", "name")
+    return text.best_name_similarity(symbols, table(spark, sf_dir, "seeds").select("name")).select("node_id", F.round("similarity", 6).alias("similarity"))
 
 
 @frame("snippet_truncate_boundary")

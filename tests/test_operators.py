@@ -1,5 +1,7 @@
 """Operators on small examples with hand-written results."""
 
+import difflib
+
 from pyspark.sql import functions as F
 
 from lathe.functions import scalar
@@ -117,6 +119,26 @@ def test_repairs_and_boundaries():
     assert len(cut) <= 200 and cut.endswith("... [truncated] ...\n")
 
 
+def test_best_name_similarity_is_over_all_seeds(spark):
+    """Seeds of other files count, and a symbol without a seed in its file has a row."""
+    symbols = spark.createDataFrame([("a", "x.py", "parse_file"), ("b", "y.py", "parse_line"), ("c", "y.py", "parse_file"), ("d", "z.py", None), ("e", "z.py", "")], "node_id string, path string, name string")
+    seeds = spark.createDataFrame([("x.py", "run"), ("q.py", "parse_files"), ("q.py", "parse_files"), ("q.py", None)], "path string, name string")
+    got = {r.node_id: r.similarity for r in text.best_name_similarity(symbols, seeds).collect()}
+    want = {i: max((difflib.SequenceMatcher(None, n, s).ratio() for s in ("run", "parse_files")), default=0) if n else 0 for i, _, n in symbols.collect()}
+    assert got == want and text.best_name_similarity(symbols, seeds.limit(0)).where("similarity = 0").count() == 5
+
+
+def test_rank_name_similarity_has_every_symbol(spark):
+    from lathe.plans import registry
+    from lathe.plans.dialect import table
+
+    d, query = "/root/testdata/sf0.001", registry.queries()["rank_name_similarity"]
+    symbols, seeds = table(spark, d, "kg_symbols").collect(), {r.name for r in table(spark, d, "seeds").collect()}
+    best = {n: max(round(difflib.SequenceMatcher(None, n, s).ratio(), 6) for s in seeds) for n in {r.name for r in symbols}}
+    got = [(r.node_id, r.similarity) for r in query(spark, d).collect()]
+    assert sorted(got) == sorted((r.node_id, best[r.name]) for r in symbols)
+
+
 def test_spread_gives_free_lines(spark):
     rows = [("f", 1, 0, 2, 4), ("f", 1, 1, 2, 4), ("f", 1, 2, 2, 4)]
     got = text.spread(spark.createDataFrame(rows, "file string, hunk long, ord long, line long, n_lines long")).orderBy("ord").collect()
