@@ -27,8 +27,8 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language can be found: no text, or no letter in it."""
-    return with_language(docs).where("lang_pred != 'und'").select(*docs.columns)
+    """Drops documents in which no language can be found: no text, or no letter in it. The others stay if no language could be learned."""
+    return with_language(docs).where("lang_pred IS NULL OR lang_pred != 'und'").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

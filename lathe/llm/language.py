@@ -24,8 +24,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from .common import bounded_batches
 
 DIM = 1 << 15
-#: Bounds of the training sample: rows and landmarks per language, languages (the most frequent).
-ROWS, LANDMARKS, LANGUAGES = 400, 50, 64
+#: Bounds of the training sample: rows and landmarks per language; of more than SHARED languages each gets fewer, but FEWEST rows.
+ROWS, LANDMARKS, SHARED, FEWEST = 400, 50, 64, 8
 RIDGE, SHARPNESS = 0.1, 4.0
 _LETTER = re.compile(r"[^\W\d_]")
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -70,21 +70,36 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([b.tobytes() for b in bits], pa.binary())], names=["lang", "bits"])
 
 
-def fit(langs: list[str], x: np.ndarray, names: list[str], landmarks: int = LANDMARKS) -> np.ndarray:
-    """Weights (DIM + 1 rows, a column per name) such that presences / sqrt(their number) times the weights, plus the last row, are the scores."""
-    sizes = np.sqrt(np.maximum(1, x.sum(axis=1, dtype=np.int64)))[:, None].astype(np.float32)
-    pick = np.concatenate([[i for i, lang in enumerate(langs) if lang == name][:landmarks] for name in names]).astype(int)
-    marks = x[pick].astype(np.float32) / sizes[pick]
-    # The sample stays in bytes; a hundred rows at a time become numbers.
-    to_marks = np.vstack([x[i : i + 100].astype(np.float32) / sizes[i : i + 100] @ marks.T for i in range(0, len(x), 100)])
+def fit(langs: list[str], bits: np.ndarray, names: list[str], landmarks: int = LANDMARKS) -> np.ndarray:
+    """Weights (DIM + 1 rows, a column per name) such that presences / sqrt(their number) times the weights, plus the last row, are the scores.
+
+    bits are packed presences. The sample stays packed; a hundred rows at a time become numbers.
+    """
+
+    def rows(at: np.ndarray) -> np.ndarray:
+        x = np.unpackbits(bits[at], axis=1)
+        return x.astype(np.float32) / np.sqrt(np.maximum(1, x.sum(axis=1, dtype=np.int64)))[:, None].astype(np.float32)
+
+    own: dict[str, list[int]] = {name: [] for name in names}
+    for i, lang in enumerate(langs):
+        own[lang].append(i)
+    pick = np.array([i for name in names for i in own[name][:landmarks]])
+    marks = np.vstack([rows(pick[i : i + 100]) for i in range(0, len(pick), 100)])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6 * values[-1]
     white = vectors[:, keep] / np.sqrt(values[keep])
-    features = np.hstack([to_marks.astype(np.float64) @ white, np.ones((len(x), 1))])
-    y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
-    penalty = RIDGE * np.eye(features.shape[1])
+    place = {name: k for k, name in enumerate(names)}
+    label = np.array([place[lang] for lang in langs])
+    squares, sums = np.zeros((white.shape[1] + 1, white.shape[1] + 1)), np.zeros((white.shape[1] + 1, len(names)))
+    for i in range(0, len(bits), 100):
+        at = np.arange(i, min(i + 100, len(bits)))
+        features = np.hstack([(rows(at) @ marks.T).astype(np.float64) @ white, np.ones((len(at), 1))])
+        y = np.where(label[at][:, None] == np.arange(len(names))[None, :], 1.0, -1.0)
+        squares += features.T @ features
+        sums += features.T @ y
+    penalty = RIDGE * np.eye(len(squares))
     penalty[-1, -1] = 1e-9
-    beta = np.linalg.solve(features.T @ features + penalty, features.T @ y)
+    beta = np.linalg.solve(squares + penalty, sums)
     return np.vstack([marks.T @ (white @ beta[:-1]).astype(np.float32), beta[-1:]]).astype(np.float32)
 
 
@@ -94,7 +109,11 @@ def _predict(names: list[str], model, carry: bool = False):
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
-            known = [i for i, t in enumerate(texts) if names and _LETTER.search(t)]
+            known = [i for i, t in enumerate(texts) if (names or carry) and _LETTER.search(t)]
+            if not names:
+                for i in known:
+                    lang[i] = None
+                known = []
             for lot in _batches([texts[i] for i in known]):
                 at = [known[i] for i in lot]
                 x = presences([texts[i] for i in at]).astype(np.float32)
@@ -104,7 +123,7 @@ def _predict(names: list[str], model, carry: bool = False):
                 for i, k in zip(at, s.argmax(axis=1), strict=True):
                     lang[i] = names[k]
             rest = [n for n in batch.schema.names if carry or n != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(lang), pa.array(score)], names=[*rest, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(lang, pa.string()), pa.array(score)], names=[*rest, "lang_pred", "score"])
 
     return run
 
@@ -119,17 +138,18 @@ def learned(docs: DataFrame) -> tuple[list[str], Broadcast]:
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     usable = rows.where(~_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    usable = usable.where(F.col("lang").isin(langs) if langs else F.lit(False))
+    count = max(1, usable.select("lang").distinct().count())
+    per = min(ROWS, max(FEWEST, ROWS * SHARED // count))
+    lettered = usable.where(F.col("text").rlike(r"\p{L}"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= ROWS).select("doc_id", "lang").distinct()
-    # At most ROWS * LANGUAGES rows of DIM / 8 bytes each.
-    sample = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).where(F.col("text").rlike(r"\p{L}")).select("lang", "text").mapInArrow(_packed, "lang string, bits binary").collect()
+    chosen = lettered.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= per).select("doc_id", "lang").distinct()
+    # At most ROWS * SHARED rows of DIM / 8 bytes each, or FEWEST a language.
+    sample = lettered.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").mapInArrow(_packed, "lang string, bits binary").collect()
     sample = sorted((r["lang"], bytes(r["bits"])) for r in sample)
     names, weights = sorted({lang for lang, _ in sample}), np.zeros((DIM + 1, 1), np.float32)
     if names:
-        x = np.unpackbits(np.frombuffer(b"".join(b for _, b in sample), np.uint8).reshape(len(sample), -1), axis=1)
-        weights = fit([lang for lang, _ in sample], x, names)
+        bits = np.frombuffer(b"".join(b for _, b in sample), np.uint8).reshape(len(sample), -1)
+        weights = fit([lang for lang, _ in sample], bits, names, min(LANDMARKS, max(1, LANDMARKS * SHARED // len(names))))
     model = spark.sparkContext.broadcast(weights.tobytes())
     return names, model
 
@@ -138,9 +158,9 @@ def identify(docs: DataFrame) -> DataFrame:
     """The language of every whole text, one row per row of docs: doc_id, held_out, lang_pred, score.
 
     Learns from text and lang of rows whose crc32(doc_id) mod 4 isn't 2 (these
-    are held_out), from the first ROWS of every language in an order that a
-    hash of doc_id gives; of more than LANGUAGES languages the most frequent
-    ones. A null text or one without a letter gets 'und' and 0, and so does
+    are held_out), from the first ROWS with a letter of every language in an
+    order that a hash of doc_id gives; all languages are learned, of more than
+    SHARED from fewer rows each. A null text or one without a letter gets 'und' and 0, and so does
     everything if nothing can be learned. A null lang isn't learned from, a
     null doc_id isn't held out. Ties go to the first language by name. Repeated rows get equal
     results; an empty table gives an empty result.
@@ -151,7 +171,10 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def with_language(docs: DataFrame) -> DataFrame:
-    """docs with lang_pred and score behind its own columns, which pass through as they are; docs has no columns of these names."""
+    """docs with lang_pred and score behind its own columns, which pass through as they are; docs has no columns of these names.
+
+    Where nothing can be learned, lang_pred is null for texts with a letter and 'und' for others.
+    """
     names, model = learned(docs)
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return docs.mapInArrow(_predict(names, model, carry=True), schema)

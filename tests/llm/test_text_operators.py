@@ -184,6 +184,18 @@ def test_language_on_held_out_rows(spark, odd, empty):
     assert {r.lang_pred for r in identify(docs.withColumn("lang", docs.lang.substr(9, 1)).selectExpr("doc_id", "text", "nullif(lang, '') AS lang")).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    """More languages than 64, the rarest too; and documents with letters stay where no row has a language."""
+    r = random.Random(3)
+    vocab = [["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for _ in range(70)]
+    rows = [(i, " ".join(r.choice(vocab[k]) for _ in range(20)), f"l{k:02}", "s", 60) for i, k in enumerate(k for k in range(70) for _ in range(24 if k < 66 else 12))]
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    got = {x.doc_id: x.lang_pred for x in identify(spark.createDataFrame(rows, columns)).collect()}
+    assert len(got) == len(rows) and all(got[i] == lang for i, _, lang, *_ in rows)
+    plain = spark.createDataFrame([(1, "some words", None, "s", 10), (2, "12 %", None, "s", 4), (3, None, None, "s", 0)], columns)
+    assert [x.doc_id for x in corpus_pipeline.language(spark, plain, "").collect()] == [1]
+
+
 def test_contamination_against_all_windows(odd, items, empty):
     benchmark = {1: shingles(" ".join(ITEM)), 2: shingles("a b c d"), 5: shingles(" ".join(ITEM * 2))}
     want = {}
