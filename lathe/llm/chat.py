@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shuffle_width
+from .common import pieces, shuffle_width
 
 VOCABULARY = os.environ.get("LATHE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: The split pattern of that vocabulary, and the marks of the template.
@@ -99,7 +99,7 @@ TURNS = "conv_id long, turn long, role string, ids array<int>, mask array<tinyin
 def _format(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
+        for batch in pieces(batches):
             turns = [assemble(c, r or "", t or "") for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)]
             ids, mask = pa.array([a for a, _ in turns], pa.list_(pa.int32())), pa.array([b for _, b in turns], pa.list_(pa.int8()))
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), batch.column("role"), ids, mask], names=["conv_id", "turn", "role", "ids", "mask"])
@@ -114,7 +114,6 @@ def format_turns(conversations: DataFrame, vocabulary: str = VOCABULARY) -> Data
     role or text counts as empty. Repeated rows are turns of their own; an
     empty table gives an empty result; other columns are ignored.
     """
-    bounded_batches(conversations.sparkSession)
     rows = conversations.selectExpr("cast(conv_id as long) as conv_id", "cast(turn as long) as turn", "cast(role as string) as role", "text")
     return rows.mapInArrow(_format(vocabulary), TURNS)
 
@@ -134,7 +133,7 @@ def _digest(path: str):
             names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
             return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-        for batch in batches:
+        for batch in pieces(batches):
             done = []
             for conv, ids, mask in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "ids", "mask")), strict=True):
                 if (conv,) != key:

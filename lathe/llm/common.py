@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +16,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder the cluster names in spark.checkpoint.dir. Where that is unset: a temporary one in local mode, an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="lathe-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -30,11 +35,20 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Has Python workers get at most so many rows at once, as rows may be whole texts. Holds for the session."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, rows)
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of so many rows and, but for single rows, about so many bytes, as rows may be whole texts. Spark bounds a batch by spark.sql.execution.arrow.maxBytesPerBatch."""
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+        for i in range(0, batch.num_rows, step):
+            yield batch.slice(i, step)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, made from name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def discard(df: DataFrame) -> None:
@@ -54,13 +68,14 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """Components of an undirected graph given as columns src, dst (longs); returns node, component (its smallest node).
 
     Alternates large-star and small-star steps until nothing changes, which
     takes a number of rounds logarithmic in the longest path. Every round is
     saved, so a lost executor costs one round at most. Self-loops and repeated
-    edges are ignored; isolated nodes aren't returned.
+    edges are ignored; isolated nodes aren't returned. rounds is a bound at
+    which it gives up with an error.
     """
     now = edges.where("src != dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     now, mark = saved(now, "edges"), None
@@ -76,6 +91,8 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct()
         before, now = now, saved(small, "edges")
         discard(before)
+    else:
+        raise RuntimeError(f"components are not stable after {rounds} rounds")
     tops = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(tops)
 

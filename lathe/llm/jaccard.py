@@ -1,15 +1,27 @@
 """N-gram Jaccard join on a token-group matrix: components of documents whose shingle sets are similar.
 
 Documents are partitioned into groups by the smallest hash of their shingle
-set, which similar documents share with a probability of their similarity.
-Each group keeps the union of its members' prefix tokens (the token-group
-matrix, stored sparsely as token, group). Two sets that reach the threshold t
-share at least e(n) of their n - ceil(t n) + e(n) first tokens in any fixed
-order of tokens, for any e; of two sizes the smaller e(n) holds. A group is
-opened for a query only if they share so many: first its root alone, and its
-members only if the two aren't in one component by then. Tokens are ordered by how often they occur (from a count sketch of fixed
-size), so passages which many documents hold hardly ever open a group. What
-is opened is verified exactly on the full sets.
+set, which similar documents share with a probability of their similarity;
+inside such a family, members link to a few pivots, those that hold the most
+frequent tokens first, as the origin of many copies does. Each group keeps the
+union of its members' prefix tokens (the token-group matrix, stored sparsely as
+token, group). Tokens are ordered by how often they occur (from a count sketch
+of fixed size, which only decides about the order), so passages that many
+documents hold hardly ever come up.
+
+Two sets of sizes a and b that reach the threshold t overlap in
+o = ceil(t (a + b) / (1 + t)) tokens at least. Of the first
+n - ceil(t n) + e(n) tokens of both, in any order of all tokens, they share
+all of o but those that either prefix leaves out (see needed()), so a group is
+opened for a query only if the unions share that many.
+
+Groups are opened in two phases. First each token that many groups hold links
+them to its few foremost groups; what turns out to be similar is contracted.
+Then pairs are formed between components only, so a large group of copies
+makes no pairs with itself, and every pair of different components is still
+judged. A group is opened by its root first, and its members only if the two
+aren't in one component by then. What is opened is verified exactly on the
+full sets.
 """
 
 from __future__ import annotations
@@ -22,20 +34,30 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, discard, saved, shuffle_width
-
-#: Prefix tokens that two similar sets share: a share of the set's size, and EXTRA at least. Different sets at a threshold of 0.75 or more have an overlap of 3 or more.
-EXTRA, EXTRA_SHARE = 2, 20
-#: Members of a family against which all others are compared before anything else.
-PIVOTS = 16
-#: Query sets that one verification task holds.
-BLOCK = 2000
-SKETCH_BITS, SLICES, MOST_BITS = 20, 64, 27
+from .common import connected_components, discard, pieces, saved, shuffle_width
+
+#: Prefix tokens that two similar sets of equal prefix bounds share at least: a share of the set's size, EXTRA at least, and one for small sets.
+EXTRA, EXTRA_SHARE, SMALL = 2, 20, 10
+#: Members of a family against which all its others are compared before anything else, and sets in a family; larger ones are dealt out by hash.
+PIVOTS, FAMILY = 16, 1000
+#: A token that more groups hold links these to its first HUBS groups before pairs are formed.
+HEAVY, HUBS = 16, 4
+#: Query sets that one verification task holds; pairs that are formed at once.
+BLOCK, AT_ONCE = 2000, 1 << 20
+SKETCH_BITS, SLICES = 20, 64
+#: Ids that a broadcast filter may hold (16 MB); beyond that documents are chosen by a join.
+FILTER_MOST = 1 << 23
 #: Tokens that one task sorts at once, about.
 TOKENS_PER_BUCKET = 1_000_000
+#: Least sizes of the classes that stand for set sizes in the matrix: exact up to 40, then in steps of 5 %.
+_least = list(range(41))
+while len(_least) < 256:
+    _least.append(max(_least[-1] + 1, _least[-1] * 21 // 20))
+LOW = np.array(_least, np.int64)
+HIGH = np.append(LOW[1:] - 1, 1 << 40)
 
 _K, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -62,15 +84,38 @@ def shingle_set(text: bytes | None, words: int = 5) -> np.ndarray:
 
 
 def extra(n):
-    return np.maximum(EXTRA, n // EXTRA_SHARE)
+    return np.maximum(np.where(np.asarray(n) < SMALL, 1, EXTRA), n // EXTRA_SHARE)
 
 
-def prefix_tokens(tokens: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """The rarest tokens of a set, as many as the prefix bound asks for."""
+def prefix_tokens(tokens: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The rarest tokens of a set, as many as the prefix bound asks for; and how frequent these are, from 0 to 255."""
     n = len(tokens)
     keep = min(n, n - -(-percent * n // 100) + int(extra(n)))
-    order = np.argsort(counts[(tokens & np.uint64(len(counts) - 1)).astype(np.int64)], kind="stable")
-    return tokens[order[:keep]]
+    often = counts[(tokens & np.uint64(len(counts) - 1)).astype(np.int64)]
+    order = np.argsort(often, kind="stable")[:keep]
+    return tokens[order], min(255, int(16 * np.log2(1.0 + often[order]).mean()))
+
+
+def size_class(n):
+    return np.searchsorted(LOW, n, side="right") - 1
+
+
+def needed(percent: int, low_a, high_a, low_b, high_b):
+    """Prefix tokens that two sets of sizes within these bounds share at least if they reach the threshold.
+
+    For exact sizes this is their least overlap, less what either prefix may
+    leave out. Over a range it is smallest where the larger set's size is as
+    large as the smaller one's allows; 2 less make up for rounding.
+    """
+
+    def least(small, low, high):
+        large = np.clip(small * 100 // percent, low, high)
+        small = np.maximum(np.minimum(small, large), -(-percent * large // 100))
+        overlap = -(-percent * (large + small) // (100 + percent))
+        return overlap - np.maximum(-(-percent * large // 100) - extra(large), -(-percent * small // 100) - extra(small))
+
+    found = np.minimum(least(low_b, low_a, high_a), least(low_a, low_b, high_b))
+    return np.maximum(found - 2 * ((low_a != high_a) | (low_b != high_b)), extra(np.minimum(low_a, low_b)))
 
 
 def linked(percent: int, inter: np.ndarray, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray:
@@ -113,20 +158,33 @@ def _as_long(values) -> np.ndarray:
 
 
 def _hit(bits: np.ndarray, value: int) -> bool:
-    return bool(bits[(value >> 6) & (len(bits) - 1)] >> (value & 63) & 1)
+    """Whether a filter may hold a value; all do if there is no filter."""
+    if not len(bits):
+        return True
+    mask, other = len(bits) - 1, value >> 29
+    return bool(bits[(value >> 6) & mask] >> (value & 63) & 1 and bits[(other >> 6) & mask] >> (other & 63) & 1)
 
 
 def _filter_of(df: DataFrame, column: str) -> np.ndarray:
-    """A filter with a bit for each value of a long column, of 16 MB at most; false hits cost work, never results."""
-    words = 1 << (min(MOST_BITS, max(16, (8 * df.count()).bit_length())) - 6)
-    slot = F.shiftrightunsigned(column, 6).bitwiseAND(words - 1).cast("int")
-    bit = F.expr(f"shiftleft(1L, cast({column} & 63L as int))")
-    found = df.groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    """A filter with two bits for each value of a long column, of 16 MB at most for FILTER_MOST values; false hits cost work, never results."""
+    words = 1 << max(10, (16 * df.count() - 1).bit_length() - 6)
+    sides = F.explode(F.array(F.col(column), F.shiftrightunsigned(column, 29)))
+    slot = F.shiftrightunsigned("_x", 6).bitwiseAND(words - 1).cast("int")
+    bit = F.expr("shiftleft(1L, cast(_x & 63L as int))")
+    found = df.select(sides.alias("_x")).groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("bits")).toPandas()
     out = np.zeros(words, np.int64)
     out[found["slot"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
     return out.view(np.uint64)
 
 
+def _chosen(texts: DataFrame, ids: DataFrame) -> tuple[DataFrame, bytes]:
+    """texts (doc_id, text) for the ids in rep: with a filter that tells them, which may be broadcast; or joined, if these are too many for one."""
+    spark = texts.sparkSession
+    if ids.count() <= FILTER_MOST:
+        return texts, _filter_of(ids, "rep").tobytes()
+    return texts.join(ids, texts["doc_id"] == ids["rep"], "left_semi"), b""
+
+
 BASE = "doc_id long, n int, sig binary, fam long, slice int, blob binary"
 
 
@@ -136,7 +194,7 @@ def _describe(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen, schema = np.zeros(1 << SKETCH_BITS, np.uint32), set(), None
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("fam", pa.int64()), ("slice", pa.int32()), ("blob", pa.binary())])
-        for batch in batches:
+        for batch in pieces(batches):
             sizes, sigs, fams, fresh = [], [], [], []
             for text in _texts(batch):
                 tokens = shingle_set(text, words)
@@ -169,8 +227,8 @@ def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(v, 65535).astype(np.uint16).tobytes() for v in sums.values()], pa.binary())], names=["slice", "blob"])
 
 
-PARTS = "fam long, sig binary, n int, blob binary, whole boolean, gid long"
-_PARTS = pa.schema([("fam", pa.int64()), ("sig", pa.binary()), ("n", pa.int32()), ("blob", pa.binary()), ("whole", pa.bool_()), ("gid", pa.int64())])
+PARTS = "fam long, sig binary, n int, blob binary, whole boolean, gid long, hub int"
+_PARTS = pa.schema([("fam", pa.int64()), ("sig", pa.binary()), ("n", pa.int32()), ("blob", pa.binary()), ("whole", pa.bool_()), ("gid", pa.int64()), ("hub", pa.int32())])
 
 
 def _first_id(kind: int) -> int:
@@ -184,17 +242,18 @@ def _part(words: int, percent: int, counts, many, firsts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bits, seen, gid = np.frombuffer(counts.value, np.uint16), np.frombuffer(many.value, np.uint64), set(), _first_id(0)
         chosen = np.frombuffer(firsts.value, np.uint64)
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), _texts(batch), strict=True):
+        for batch in pieces(batches):
+            rows, known = [], batch.column("whole").to_pylist()
+            for doc, text, whole in zip(batch.column("doc_id").to_pylist(), _texts(batch), known, strict=True):
                 if doc is None or not _hit(chosen, doc):
                     continue
                 tokens = shingle_set(text, words)
                 if not len(tokens) or (sig := _signature(tokens)) in seen:
                     continue
                 seen.add(sig)
-                whole = _hit(bits, int(tokens[0]))
-                rows.append((tokens[0], sig, len(tokens), (tokens if whole else prefix_tokens(tokens, table, percent)).tobytes(), whole, gid))
+                whole = _hit(bits, int(tokens[0])) if whole is None else whole
+                prefix, hub = prefix_tokens(tokens, table, percent)
+                rows.append((tokens[0], sig, len(tokens), (tokens if whole else prefix).tobytes(), whole, gid, hub))
                 gid += 1
             if rows:
                 fams, *rest = zip(*rows, strict=True)
@@ -203,19 +262,19 @@ def _part(words: int, percent: int, counts, many, firsts):
     return run
 
 
-STARS = "sig binary, pivot binary, grp binary, gid long, n int, blob binary"
-_STARS = pa.schema([("sig", pa.binary()), ("pivot", pa.binary()), ("grp", pa.binary()), ("gid", pa.int64()), ("n", pa.int32()), ("blob", pa.binary())])
+STARS = "sig binary, pivot binary, grp binary, gid long, n int, blob binary, hub int"
+_STARS = pa.schema([("sig", pa.binary()), ("pivot", pa.binary()), ("grp", pa.binary()), ("gid", pa.int64()), ("n", pa.int32()), ("blob", pa.binary()), ("hub", pa.int32())])
 
 
 def _star(percent: int, counts):
-    """Families in order of (fam, sig): link members to the first PIVOTS of their family. Holds only these, whatever the family's size."""
+    """Families in order of (fam, part, down, sig): link members to the first PIVOTS of their family. Holds only these, whatever the family's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, gid = np.frombuffer(counts.value, np.uint16), _first_id(1)
         fam, last, pivots, sigs, roots, opened = None, None, [], [], [], None
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
-            for f, sig, n, blob in zip(*(batch.column(c).to_pylist() for c in ("fam", "sig", "n", "blob")), strict=True):
+            for *f, hub, sig, n, blob in zip(*(batch.column(c).to_pylist() for c in ("fam", "part", "hub", "sig", "n", "blob")), strict=True):
                 if f != fam:
                     fam, last, pivots, sigs, roots = f, None, [], [], []
                 if sig == last:
@@ -226,8 +285,8 @@ def _star(percent: int, counts):
                     root = roots[links[0]]
                 else:
                     root, gid = (sig, gid), gid + 1
-                prefix = prefix_tokens(tokens, table, percent).tobytes()
-                rows += [(sig, sigs[i], *root, n, prefix if k == 0 else None) for k, i in enumerate(links)] or [(sig, None, *root, n, prefix)]
+                prefix = prefix_tokens(tokens, table, percent)[0].tobytes()
+                rows += [(sig, sigs[i], *root, n, prefix if k == 0 else None, hub) for k, i in enumerate(links)] or [(sig, None, *root, n, prefix, hub)]
                 if len(pivots) < PIVOTS:
                     pivots.append(tokens)
                     sigs.append(sig)
@@ -239,19 +298,20 @@ def _star(percent: int, counts):
     return run
 
 
-TOKENS = "bucket int, first long, n binary, at binary, token binary"
+TOKENS = "bucket int, first long, size binary, hub binary, at binary, token binary"
 
 
 def _spread(buckets: int):
-    """Packs tokens by bucket: each row has those of some hundred thousand tokens that fall into a bucket, with their groups' numbers (less first) and set sizes.
+    """Packs tokens by bucket: each row has those of some hundred thousand tokens that fall into a bucket, with their groups' numbers (as steps from first on), size classes and hubs.
 
-    Of a token, 48 bits below those that give the bucket are kept; a chance
+    Of a token, 48 bits above those that give the bucket are kept; a chance
     agreement opens a group in vain at worst.
     """
 
-    def packed(tokens: list[np.ndarray], gids: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def packed(tokens: list[np.ndarray], gids: np.ndarray, sizes: np.ndarray, hubs: np.ndarray) -> Iterator[pa.RecordBatch]:
         for task in np.unique(gids >> 32):
             own = np.flatnonzero(gids >> 32 == task)
+            own = own[np.argsort(gids[own], kind="stable")]
             flat, owner = np.concatenate([tokens[i] for i in own]), np.repeat(own, [len(tokens[i]) for i in own])
             bucket = (flat % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -259,75 +319,149 @@ def _spread(buckets: int):
             starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             ends = np.append(starts[1:], len(bucket))
             low = flat.view(np.uint8).reshape(-1, 8)[:, 2:]
-            first = int(task) << 32
-            at, n = (gids[owner] - first).astype(np.uint32), sizes[owner].astype(np.uint32)
-            cut = [(low[i:j].tobytes(), at[i:j].tobytes(), n[i:j].tobytes()) for i, j in zip(starts, ends, strict=True)]
-            columns = [pa.array([c[k] for c in cut], pa.binary()) for k in (2, 1, 0)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), pa.array(np.full(len(cut), first, np.int64)), *columns], names=["bucket", "first", "n", "at", "token"])
+            first, at = int(gids[own[0]]), gids[owner]
+            step = np.diff(at, prepend=first)
+            step[starts] = at[starts] - first
+            step = step.astype(np.uint16 if step.max() < 1 << 16 else np.uint32)
+            size, hub = size_class(sizes[owner]).astype(np.uint8), hubs[owner].astype(np.uint8)
+            cut = [(size[i:j].tobytes(), hub[i:j].tobytes(), step[i:j].tobytes(), low[i:j].tobytes()) for i, j in zip(starts, ends, strict=True)]
+            columns = [pa.array([c[k] for c in cut], pa.binary()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), pa.array(np.full(len(cut), first, np.int64)), *columns], names=["bucket", "first", "size", "hub", "at", "token"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, gids, sizes, total = [], [], [], 0
+        kept, total = [], 0
         for batch in batches:
-            tokens += [np.frombuffer(b, np.uint64) for b in batch.column("blob").to_pylist()]
-            gids.append(batch.column("gid").to_numpy(zero_copy_only=False))
-            sizes.append(batch.column("n").to_numpy(zero_copy_only=False))
+            kept.append(([np.frombuffer(b, np.uint64) for b in batch.column("blob").to_pylist()], *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("gid", "n", "hub"))))
             total += batch.column("blob").nbytes // 8
             if total >= TOKENS_PER_BUCKET // 2:
-                yield from packed(tokens, np.concatenate(gids), np.concatenate(sizes))
-                tokens, gids, sizes, total = [], [], [], 0
-        if tokens:
-            yield from packed(tokens, np.concatenate(gids), np.concatenate(sizes))
+                yield from packed([t for k in kept for t in k[0]], *(np.concatenate([k[i] for k in kept]) for i in (1, 2, 3)))
+                kept, total = [], 0
+        if kept:
+            yield from packed([t for k in kept for t in k[0]], *(np.concatenate([k[i] for k in kept]) for i in (1, 2, 3)))
 
     return run
 
 
-PAIRS = "a long, b long, shared long, need long"
+#: Either a pair of groups from a heavy token, or a shared token's group (a) with the classes of its sets' sizes.
+SHARED = "token long, a long, b long, low int, high int, need long"
 
 
-def _pairs(percent: int):
-    """Rows in order of bucket: pairs of groups that share a token, if their sets' sizes allow a link, counted within the bucket."""
+def _shared(percent: int):
+    """Rows in order of bucket: the tokens that several groups hold, and of those that many hold the pairs with their first groups."""
 
-    def pairs_of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        raw = np.zeros((sum(len(t) // 6 for *_, t in rows), 8), np.uint8)
-        raw[:, 2:] = np.frombuffer(b"".join(t for *_, t in rows), np.uint8).reshape(-1, 6)
+    def found(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        raw = np.zeros((sum(len(r[-1]) // 6 for r in rows), 8), np.uint8)
+        raw[:, 2:] = np.frombuffer(b"".join(r[-1] for r in rows), np.uint8).reshape(-1, 6)
         token = raw.view(np.uint64).ravel()
-        gid = np.concatenate([np.frombuffer(at, np.uint32).astype(np.int64) + first for first, _, at, _ in rows])
-        n = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) for _, x, _, _ in rows])
+        gid = np.concatenate([first + np.cumsum(np.frombuffer(at, np.uint16 if len(at) == 2 * len(size) else np.uint32), dtype=np.int64) for first, size, _, at, _ in rows])
+        size, hub = (np.frombuffer(b"".join(r[k] for r in rows), np.uint8).astype(np.int64) for k in (1, 2))
         order = np.argsort(token)
         token = token[order]
         same = token[1:] == token[:-1]
-        shared = np.append(False, same) | np.append(same, False)
-        order, token = order[shared], token[shared]
+        order = order[np.append(False, same) | np.append(same, False)]
+        token = raw.view(np.uint64).ravel()[order]
         order = order[np.lexsort((gid[order], token))]
-        token, gid, n = raw.view(np.uint64).ravel()[order], gid[order], n[order]
+        token, gid, size, hub = raw.view(np.uint64).ravel()[order], gid[order], size[order], hub[order]
         if not len(token):
             return
         starts = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])))
-        token, gid, low, high = token[starts], gid[starts], np.minimum.reduceat(n, starts), np.maximum.reduceat(n, starts)
-        lag, at = 1, np.flatnonzero(token[1:] == token[:-1])
-        while len(at):
-            a, b = at, at + lag
+        token, gid, low, high, hub = token[starts], gid[starts], np.minimum.reduceat(size, starts), np.maximum.reduceat(size, starts), np.maximum.reduceat(hub, starts)
+        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        held = np.diff(np.append(starts, len(token)))
+        many = np.repeat(held, held)
+        token, gid, low, high, hub, many = (x[many > 1] for x in (token, gid, low, high, hub, many))
+        name = (token >> np.uint64(16)).astype(np.int64)
+        nothing = pa.nulls(len(gid), pa.int64())
+        columns = [pa.array(name), pa.array(gid), nothing, pa.array(low, pa.int32()), pa.array(high, pa.int32()), nothing]
+        yield pa.RecordBatch.from_arrays(columns, names=["token", "a", "b", "low", "high", "need"])
+
+        order = np.flatnonzero(many > HEAVY)
+        order = order[np.lexsort((gid[order], -hub[order], token[order]))]
+        token, gid, low, high, held = token[order], gid[order], LOW[low[order]], HIGH[high[order]], many[order]
+        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.empty(0, np.int64)
+        place = np.arange(len(token)) - np.repeat(starts, held[starts])
+        for k in range(HUBS):
+            b = np.flatnonzero(place > k)
+            a = b - place[b] + k
             fits = (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a])
             a, b = a[fits], b[fits]
             if len(a):
-                need = extra(np.minimum(low[a], low[b]))
-                columns = gid[a], gid[b], np.ones(len(a), np.int64), need
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "shared", "need"])
-            lag += 1
-            at = at[at + lag < len(token)]
-            at = at[token[at + lag] == token[at]]
+                nothing = pa.nulls(len(a), pa.int64())
+                need = needed(percent, low[a], high[a], low[b], high[b])
+                yield pa.RecordBatch.from_arrays([nothing, pa.array(gid[a]), pa.array(gid[b]), nothing.cast(pa.int32()), nothing.cast(pa.int32()), pa.array(need)], names=["token", "a", "b", "low", "high", "need"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, rows = None, []
         for batch in batches:
-            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "first", "n", "at", "token")), strict=True):
+            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "first", "size", "hub", "at", "token")), strict=True):
                 if k != bucket and rows:
-                    yield from pairs_of(rows)
+                    yield from found(rows)
                     rows = []
                 bucket = k
                 rows.append(row)
         if rows:
-            yield from pairs_of(rows)
+            yield from found(rows)
+
+    return run
+
+
+PAIRS = "a long, b long, need long"
+
+
+def _crossed(percent: int):
+    """Rows in order of (token, alone, component): all pairs of a token's groups that aren't in one component, if their sets' sizes allow a link.
+
+    alone tells that the group is a component of its own; most, how many
+    tokens it can have in common with any other.
+    """
+
+    def pairs_of(token, alone, comp, gid, low, high, most) -> Iterator[pa.RecordBatch]:
+        ends = np.append(np.flatnonzero(token[1:] != token[:-1]) + 1, len(token))
+        changes = (token[1:] != token[:-1]) | alone[1:] | alone[:-1] | (comp[1:] != comp[:-1])
+        runs = np.append(np.flatnonzero(changes) + 1, len(token))
+        at = np.arange(len(token))
+        begin, end = runs[np.searchsorted(runs, at, side="right")], ends[np.searchsorted(ends, at, side="right")]
+        upto = np.cumsum(end - begin)
+        i = 0
+        while i < len(at):
+            # Rows whose pairs are formed at once; of a row with very many, all.
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + AT_ONCE, side="right")))
+            size = (end - begin)[i:j]
+            a = np.repeat(at[i:j], size)
+            b = np.repeat(begin[i:j] - np.cumsum(size) + size, size) + np.arange(len(a))
+            fits = (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a])
+            fits &= (100 + percent) * np.minimum(most[a], most[b]) >= percent * (low[a] + low[b])
+            a, b, i = a[fits], b[fits], j
+            if len(a):
+                need = needed(percent, low[a], high[a], low[b], high[b])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(gid[a], gid[b])), pa.array(np.maximum(gid[a], gid[b])), pa.array(need)], names=["a", "b", "need"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "alone", "comp", "gid", "low", "high", "most")]
+            now = now if kept is None else [np.concatenate(x) for x in zip(kept, now, strict=True)]
+            if not len(now[0]):
+                continue
+            cut = int(np.searchsorted(now[0], now[0][-1]))
+            # The last token may go on in the next batch.
+            if cut:
+                yield from pairs_of(*(x[:cut] for x in now))
+            kept = [x[cut:] for x in now]
+        if kept is not None:
+            yield from pairs_of(*kept)
+
+    return run
+
+
+def _need(percent: int):
+    """Keeps pairs that share enough tokens for the exact sizes of their groups' sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shared, la, ha, lb, hb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shared", "la", "ha", "lb", "hb"))
+            keep = pa.array(shared >= needed(percent, la, ha, lb, hb), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("ga"), batch.column("gb")], names=["a", "b"]).filter(keep)
 
     return run
 
@@ -370,7 +504,7 @@ def _sets(words: int, wanted):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = np.frombuffer(wanted.value, np.uint64), set()
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), _texts(batch), strict=True):
                 if doc is None or not _hit(bits, doc):
@@ -430,7 +564,6 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: float = 0.8)
     if not 0.75 <= threshold <= 1:
         raise ValueError("threshold must be from 0.75 to 1")
     spark, percent = docs.sparkSession, math.ceil(round(threshold * 100, 6))
-    bounded_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     width = shuffle_width(spark)
 
@@ -443,81 +576,142 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: float = 0.8)
 
     reps = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min("fam").alias("fam"), F.min("n").alias("n"))
     reps = saved(reps, "reps")
-    many = spark.sparkContext.broadcast(_filter_of(reps.groupBy("fam").count().where("count > 1"), "fam").tobytes())
-
-    firsts = spark.sparkContext.broadcast(_filter_of(reps.where("rep is not null"), "rep").tobytes())
-    part = saved(texts.mapInArrow(_part(words, percent, counts, many, firsts), PARTS), "parts")
-    stars = part.where("whole").select("fam", "sig", "n", "blob").repartition(width, "fam").sortWithinPartitions("fam", "sig").mapInArrow(_star(percent, counts), STARS)
+    ids = reps.where("rep is not null").select("sig", "rep")
+    families = saved(reps.groupBy("fam").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "families")
+    many = b""
+    if families.count() <= FILTER_MOST:
+        many = _filter_of(families, "fam").tobytes()
+        source, bits = _chosen(texts, ids.select("rep"))
+        source = source.select("doc_id", "text", F.lit(None).cast("boolean").alias("whole"))
+    else:
+        told = reps.where("rep is not null").join(families, "fam", "left").select("rep", F.col("members").isNotNull().alias("whole"))
+        source, bits = texts.join(told, texts["doc_id"] == told["rep"]).select("doc_id", "text", "whole"), b""
+    many = spark.sparkContext.broadcast(many)
+    part = saved(source.mapInArrow(_part(words, percent, counts, many, spark.sparkContext.broadcast(bits)), PARTS), "parts")
+    # Whole sets of one family meet in a task; those of a large one are dealt out, and its parts meet as groups.
+    sub = F.pmod(F.xxhash64("sig"), F.ceil(F.coalesce("members", F.lit(1)) / FAMILY)).cast("int")
+    whole = part.where("whole").join(families.where(F.col("members") > FAMILY), "fam", "left").select("fam", sub.alias("part"), "hub", (-F.col("hub")).alias("down"), "sig", "n", "blob")
+    stars = whole.repartition(width, "fam", "part").sortWithinPartitions("fam", "part", "down", "sig").mapInArrow(_star(percent, counts), STARS)
     stars = saved(stars, "stars")
 
-    total = part.where("not whole").agg(F.sum(F.length("blob"))).first()[0] or 0
-    total += stars.agg(F.sum(F.length("blob"))).first()[0] or 0
+    own, grouped = part.where("not whole"), stars.where("blob is not null")
+    total = (own.agg(F.sum(F.length("blob"))).first()[0] or 0) + (grouped.agg(F.sum(F.length("blob"))).first()[0] or 0)
     buckets = max(width, -(-total // (8 * TOKENS_PER_BUCKET)))
-    tokens = part.where("not whole").select("gid", "n", "blob").union(stars.where("blob is not null").select("gid", "n", "blob")).mapInArrow(_spread(buckets), TOKENS)
-    pairs = tokens.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_pairs(percent), PAIRS)
-    pairs = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
-    names = part.where("not whole").select("gid", F.col("sig").alias("grp")).union(stars.where("blob is not null and sig = grp").select("gid", "grp"))
-    pairs = pairs.join(names.select(F.col("gid").alias("a"), F.col("grp").alias("ga")), "a").join(names.select(F.col("gid").alias("b"), F.col("grp").alias("gb")), "b")
-    pairs = saved(pairs.select(F.col("ga").alias("a"), F.col("gb").alias("b")), "pairs")
+    tokens = own.select("gid", "n", "hub", "blob").union(grouped.select("gid", "n", "hub", "blob")).mapInArrow(_spread(buckets), TOKENS)
+    shared = saved(tokens.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(percent), SHARED), "shared")
+    names = own.select("gid", F.col("sig").alias("grp"), F.col("n").cast("long").alias("low"), F.col("n").cast("long").alias("high"), F.lit(1).cast("long").alias("m"))
+    names = names.union(grouped.groupBy("gid").agg(F.first("grp"), F.min("n").cast("long"), F.max("n").cast("long"), F.count(F.lit(1))))
+    # Only groups that share a token are named from here on.
+    names = saved(names.join(shared.where("token is not null").select(F.col("a").alias("gid")).distinct(), "gid", "left_semi"), "names")
+    linked_to = saved(stars.where("pivot is not null").select("grp", "sig", "pivot"), "linked")
+    groups = saved(grouped.select("grp", "sig"), "groups")
+    for done in (families, part, stars):
+        discard(done)
 
-    ids = reps.where("rep is not null").select("sig", "rep")
-    groups = stars.where("blob is not null").select("grp", "sig")
-    named = pairs.select(F.col("a").alias("grp")).union(pairs.select("b")).distinct()
-    wanted = named.join(groups, "grp", "left").select(F.coalesce("sig", "grp").alias("sig")).distinct()
-    bits = spark.sparkContext.broadcast(_filter_of(wanted.join(ids, "sig").select("rep"), "rep").tobytes())
-    sets = saved(texts.mapInArrow(_sets(words, bits), SETS), "sets")
+    spent: list[DataFrame] = []
     cores = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     members = saved(cores.join(groups, "grp").select("grp", "sig"), "members")
 
-    def each(df: DataFrame, group: str, whole: bool) -> DataFrame:
+    def named(pairs: DataFrame) -> DataFrame:
+        """Pairs of groups by their roots, of counted tokens as many as their sizes ask for."""
+        counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need")).where("shared >= need")
+        left, right = (names.select(F.col("gid").alias(x), F.col("grp").alias(f"g{x}"), F.col("low").alias(f"l{x}"), F.col("high").alias(f"h{x}")) for x in ("a", "b"))
+        sized = counted.join(left, "a").join(right, "b").select("ga", "gb", "shared", "la", "ha", "lb", "hb")
+        return sized.mapInArrow(_need(percent), "a binary, b binary")
+
+    def with_sizes(pairs: DataFrame) -> DataFrame:
+        """Pairs as home, the group with more members, and query."""
+        sized = pairs.join(cores.select(F.col("grp").alias("a"), F.col("m").alias("ma")), "a", "left").join(cores.select(F.col("grp").alias("b"), F.col("m").alias("mb")), "b", "left")
+        first = F.coalesce("ma", F.lit(1)) >= F.coalesce("mb", F.lit(1))
+        return sized.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("home"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("query"), F.greatest("ma", "mb").isNotNull().alias("core"), (F.col("ma").isNotNull() & F.col("mb").isNotNull()).alias("cores"))
+
+    def sets_of(sigs: DataFrame) -> DataFrame:
+        """The whole sets of these."""
+        source, bits = _chosen(texts, sigs.distinct().join(ids, "sig").select("rep"))
+        return saved(source.mapInArrow(_sets(words, spark.sparkContext.broadcast(bits)), SETS), "sets")
+
+    def each(df: DataFrame, group: str, all_: bool) -> DataFrame:
         """With every member's sig, or the root's alone."""
-        if not whole:
+        if not all_:
             return df.withColumn("sig", F.col(group))
         right = members.select(F.col("grp").alias(group), F.col("sig").alias("_sig"))
         return df.join(right, group, "left").withColumn("sig", F.coalesce("_sig", group)).drop("_sig")
 
-    def compared(opened: DataFrame, all_queries: bool, all_members: bool) -> DataFrame:
+    def compared(opened: DataFrame, sets: DataFrame, all_queries: bool, all_members: bool) -> DataFrame:
         """Links between what stands for the groups home and query."""
         asked = each(opened, "query", all_queries).select("home", "sig")
         homes = asked.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
         asked = asked.join(homes, "home").select("home", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("member"), "sig")
         held = each(homes, "home", all_members).select("home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("member"), "sig")
-        roles = asked.union(held).join(sets.select("sig", "n", "blob"), "sig")
+        # Saved, so its size is known before the join is planned: where few sets are asked for, the others stay where they are.
+        roles = saved(asked.union(held), "roles")
+        spent.append(roles)
+        roles = roles.join(sets.select("sig", "n", "blob"), "sig")
         return roles.repartition(width, "home", "block").sortWithinPartitions("home", "block", "member", "sig").mapInArrow(_open(percent), LINKS)
 
+    def bounded(sized: DataFrame, sets: DataFrame) -> DataFrame:
+        """Pairs whose roots may be linked, by their places."""
+        light = sets.select("sig", "n", "places")
+        both = sized.join(light.select(F.col("sig").alias("home"), F.col("n").alias("na"), F.col("places").alias("pa")), "home").join(light.select(F.col("sig").alias("query"), F.col("n").alias("nb"), F.col("places").alias("pb")), "query")
+        return both.select("home", "query", "pa", "pb", "na", "nb").mapInArrow(_bounded(percent), "home binary, query binary")
+
     def numbered(links: DataFrame) -> DataFrame:
         out = links.join(ids.select(F.col("sig").alias("a"), F.col("rep").alias("src")), "a")
         return out.join(ids.select(F.col("sig").alias("b"), F.col("rep").alias("dst")), "b").select("src", "dst")
 
-    # Roots with roots, by their places first; then roots with members, and members with members, of what isn't connected yet.
-    sized = pairs.join(cores.select(F.col("grp").alias("a"), F.col("m").alias("ma")), "a", "left").join(cores.select(F.col("grp").alias("b"), F.col("m").alias("mb")), "b", "left")
-    first = F.coalesce("ma", F.lit(1)) >= F.coalesce("mb", F.lit(1))
-    sized = sized.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("home"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("query"), F.greatest("ma", "mb").isNotNull().alias("core"), (F.col("ma").isNotNull() & F.col("mb").isNotNull()).alias("cores"))
-    sized = saved(sized, "sized")
-    light = sets.select("sig", "n", "places")
-    bounded = sized.join(light.select(F.col("sig").alias("home"), F.col("n").alias("na"), F.col("places").alias("pa")), "home").join(light.select(F.col("sig").alias("query"), F.col("n").alias("nb"), F.col("places").alias("pb")), "query")
-    bounded = bounded.select("home", "query", "pa", "pb", "na", "nb").mapInArrow(_bounded(percent), "home binary, query binary")
-    within = stars.where("pivot is not null").select("grp", F.col("pivot").alias("sig")).join(groups.select("sig", F.col("grp").alias("other")), "sig").where("grp != other").select(F.col("grp").alias("a"), F.col("other").alias("b"))
-    links = saved(compared(bounded, False, False).union(within.distinct()), "links")
-    spent = [part, stars, pairs, sets, members, sized, links]
-    for which, all_queries in (("core", False), ("cores", True)):
-        # A member stands for its group here, as groups are connected.
-        of_group = groups.select(F.col("sig").alias("b"), F.col("grp").alias("_b"))
+    of_group = groups.select(F.col("sig").alias("b"), F.col("grp").alias("_b"))
+
+    def components(links: DataFrame) -> DataFrame:
+        """sig and component of the roots of linked groups; a member stands for its group, as groups are connected."""
         ends = links.join(of_group, "b", "left").select("a", F.coalesce("_b", "b").alias("b")).join(of_group.withColumnsRenamed({"b": "a", "_b": "_a"}), "a", "left").select(F.coalesce("_a", "a").alias("a"), "b")
         comps = connected_components(numbered(ends))
-        of = saved(ids.join(comps.withColumnRenamed("node", "rep"), "rep").select("sig", "component"), "component-of")
+        found = saved(ids.join(comps.withColumnRenamed("node", "rep"), "rep").select("sig", "component"), "component-of")
+        discard(comps)
+        return found
+
+    # First phase: each heavy token's groups with its foremost ones, root by root.
+    pairs = saved(named(shared.where("token is null").select("a", "b", "need")), "pairs")
+    sets = sets_of(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")))
+    within = linked_to.select("grp", F.col("pivot").alias("sig")).join(groups.select("sig", F.col("grp").alias("other")), "sig").where("grp != other").select(F.col("grp").alias("a"), F.col("other").alias("b"))
+    links = saved(compared(bounded(with_sizes(pairs), sets), sets, False, False).union(within.distinct()), "links")
+    for done in (pairs, sets):
+        discard(done)
+
+    # Second phase: all pairs of groups of different components.
+    of = components(links)
+    placed = names.select("gid", F.col("grp").alias("sig"), "low", "high", "m").join(of, "sig", "left").select(F.col("gid").alias("a"), "low", "high", "m", "component")
+    postings = shared.where("token is not null").select("token", "a").join(placed, "a")
+    # A single set has no more in common with another than its shared prefix tokens and all tokens behind its prefix; without enough of them it can't be linked.
+    few = F.greatest(F.when(F.col("low") < SMALL, 1).otherwise(EXTRA), F.floor(F.col("low") / EXTRA_SHARE))
+    rest = F.ceil(F.col("low") * percent / F.lit(100)) - few
+    postings = postings.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("a"))).withColumn("few", few)
+    postings = postings.where("m > 1 or held >= few").withColumn("most", F.when(F.col("m") == 1, F.col("held") + rest).otherwise(F.col("high")))
+    postings = postings.select("token", F.col("component").isNull().alias("alone"), F.coalesce("component", F.lit(0).cast("long")).alias("comp"), F.col("a").alias("gid"), "low", "high", F.col("most").cast("long").alias("most"))
+    crossed = postings.repartition(width, "token").sortWithinPartitions("token", "alone", "comp").mapInArrow(_crossed(percent), PAIRS)
+    pairs = saved(named(crossed), "pairs")
+    for done in (shared, names, of):
+        discard(done)
+    sized = saved(with_sizes(pairs), "sized")
+    asked = pairs.select(F.col("a").alias("grp")).union(pairs.select("b")).distinct()
+    sets = sets_of(asked.join(members, "grp", "left").select(F.coalesce("sig", "grp").alias("sig")))
+    spent += [pairs, links, sets, members, sized]
+    links = saved(links.union(compared(bounded(sized, sets), sets, False, False)), "links")
+    spent.append(links)
+    # Roots with members, then members with members, of what isn't connected yet.
+    for which, all_queries in (("core", False), ("cores", True)):
+        of = components(links)
         left = sized.where(which).select("home", "query").join(of.select(F.col("sig").alias("home"), F.col("component").alias("ca")), "home", "left").join(of.select(F.col("sig").alias("query"), F.col("component").alias("cb")), "query", "left")
         left = saved(left.where("ca is null or cb is null or ca != cb").select("home", "query"), "left")
         spent += [of, left]
         if left.isEmpty():
             continue
-        links = saved(links.union(compared(left, all_queries, True)), "links")
+        links = saved(links.union(compared(left, sets, all_queries, True)), "links")
         spent.append(links)
 
-    edges = stars.where("pivot is not null").select(F.col("sig").alias("a"), F.col("pivot").alias("b")).union(links).where("a != b").distinct()
+    edges = linked_to.select(F.col("sig").alias("a"), F.col("pivot").alias("b")).union(links).where("a != b").distinct()
     comps = connected_components(numbered(edges))
     # The components are saved by now, and only base and reps are read from here on.
-    for done in spent:
+    for done in (*spent, linked_to, groups):
         discard(done)
     return _labelled(rows, reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component")))
 

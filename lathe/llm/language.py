@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import bounded_batches
+from .common import pieces
 
 DIM = 1 << 15
 #: Bounds of the training sample: rows and landmarks per language; of more than SHARED languages each gets fewer, but FEWEST rows.
@@ -64,7 +64,7 @@ def _batches(texts: list[str], rows: int = 64, chars: int = 1 << 20) -> Iterator
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         texts = batch.column("text").to_pylist()
         bits = [b for lot in _batches(texts) for b in np.packbits(presences([texts[i] for i in lot]), axis=1)]
         yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([b.tobytes() for b in bits], pa.binary())], names=["lang", "bits"])
@@ -106,7 +106,7 @@ def fit(langs: list[str], bits: np.ndarray, names: list[str], landmarks: int = L
 def _predict(names: list[str], model, carry: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.frombuffer(model.value, np.float32).reshape(DIM + 1, max(1, len(names)))
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             known = [i for i, t in enumerate(texts) if (names or carry) and _LETTER.search(t)]
@@ -135,7 +135,6 @@ def _held_out() -> Column:
 def learned(docs: DataFrame) -> tuple[list[str], Broadcast]:
     """Languages and weights from the labelled rows that aren't held out."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     usable = rows.where(~_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     count = max(1, usable.select("lang").distinct().count())

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import pieces
 
 #: Bound of the classifier's training sample, half of each label; places for hashed trigrams of character kinds.
 SAMPLE, PLACES = 4000, 1 << 11
@@ -44,7 +44,7 @@ def features(text: bytes) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         rows = [features(t or b"").tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("good"), pa.array(rows, pa.binary())], names=["good", "x"])
 
@@ -68,7 +68,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _evidence(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.frombuffer(model.value, np.float64)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             score = [float(features(t) @ w) if t else 0.0 for t in texts]
             rest = [n for n in batch.schema.names if n != "text"]
@@ -115,7 +115,6 @@ def judge_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     equal results; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     rows = docs.select("doc_id", "text", F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"))
     marks = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("good"))
     labelled = rows.select("doc_id", "host", "path").join(marks, "doc_id")

@@ -20,7 +20,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches
+from .common import pieces
 
 #: The rules in the order in which kinds are listed. The last value is the least length of the part after the sign, or 0.
 RULES = (
@@ -337,7 +337,7 @@ FOUND = "doc_id long, kinds array<string>, starts array<int>, ends array<int>"
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     s = scanner()
-    for batch in batches:
+    for batch in pieces(batches):
         found = [s.scan(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
         columns = [[[s.rules[r][0] for _, r, _ in f] for f in found], [[a for a, _, _ in f] for f in found], [[b for _, _, b in f] for f in found]]
         types = [pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
@@ -351,7 +351,6 @@ def secrets(docs: DataFrame) -> DataFrame:
     kind as in RULES, and empty without secrets. Repeated rows give repeated results, an empty
     table an empty one; columns other than doc_id and text are ignored.
     """
-    bounded_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_scan, FOUND)
 
 
