@@ -3,12 +3,12 @@
 Rules are regular expressions over bytes (literals, classes, groups,
 alternatives, ?, *, +, {m}, {m,}, {m,n}), parsed here, turned into one NFA and
 from there by subset construction and partition refinement into a transition
-array over byte classes. The pass finds the rules that match in a text at all;
-only for these are the spans located, by the same kind of automaton for the
-rule alone: where a match first ends, backwards to its leftmost start, and
-from there forwards to its longest end. For rules of which no match begins
-inside an unfinished earlier one these are the leftmost, non-overlapping,
-greedy matches.
+array over byte classes. The text is passed over once, whatever the number of
+rules; the pass notes the stretches in which a rule is in a matching state. A
+match ends in such a stretch, and only there the rule's own automata go over
+the bytes again: backwards to the leftmost start, and from there forwards to
+the longest end. For rules of which no match begins inside an unfinished
+earlier one these are the leftmost, non-overlapping, greedy matches.
 """
 
 from __future__ import annotations
@@ -257,30 +257,47 @@ class Scanner:
         trees = [_Parser(p, kind in either_case).alternatives() for kind, p, _ in rules]
         self.rules = rules
         # Rules with more than one part run without their counts here: the product of many counters would be large, and their spans are located exactly anyway.
-        self.combined = Automaton([_relaxed(t) if len(t) > 2 else t for t in trees], True)
-        self.each = [(Automaton([t], True), Automaton([_reversed(t)], False), Automaton([t], False)) for t in trees]
+        loose = [_relaxed(t) if len(t) > 2 else t for t in trees]
+        self.combined = Automaton(loose, True)
+        self.each = [(Automaton([t], True), Automaton([_reversed(x)], False), Automaton([_reversed(t)], False), Automaton([t], False)) for t, x in zip(trees, loose, strict=True)]
 
-    def matching(self, data: bytes) -> int:
-        """The rules that match somewhere in data, as bits: one pass over all bytes, whatever the number of rules."""
-        a, found, every = self.combined, 0, (1 << len(self.rules)) - 1
+    def stretches(self, data: bytes) -> list[tuple[int, int, int]]:
+        """(rule, first, last): where a rule is in a matching state without a break, by the bytes after which it is; in one pass."""
+        a, out = self.combined, []
         table, accepting, state, accepts, width = a.table, a.first_accepting, a.start, a.accepts, a.width
-        for c in data.translate(a.classes):
+        open_: dict[int, list[int]] = {}
+        rules = {m: [k for k in range(len(self.rules)) if m >> k & 1] for m in set(accepts)}
+        for i, c in enumerate(data.translate(a.classes)):
             state = table[state + c]
             if state >= accepting:
-                found |= accepts[state // width]
-                if found == every:
-                    break
-        return found
-
-    def spans(self, rule: int, data: bytes) -> list[tuple[int, int]]:
-        """The rule's matches as byte offsets, leftmost first, without overlaps."""
-        search, back, ahead = self.each[rule]
-        out, at, n = [], 0, len(data)
-        forward = data.translate(search.classes)
-        while at < n:
-            state, table, accepting, end = search.start, search.table, search.first_accepting, -1
-            for i in range(at, n):
-                state = table[state + forward[i]]
+                for k in rules[accepts[state // width]]:
+                    now = open_.get(k)
+                    if now and now[1] == i - 1:
+                        now[1] = i
+                    else:
+                        if now:
+                            out.append((k, *now))
+                        open_[k] = [i, i]
+        out += [(k, *now) for k, now in open_.items()]
+        return sorted(out)
+
+    def spans(self, rule: int, data: bytes, first: int, last: int, at: int) -> list[tuple[int, int]]:
+        """The rule's matches that end in a stretch, as byte offsets, leftmost first, without overlaps and from at on."""
+        search, loose, back, ahead = self.each[rule]
+        out = []
+        # The stretch's matches begin no earlier than the leftmost loose match that ends with its first byte.
+        state, low = loose.start, first + 1
+        for i in range(first, at - 1, -1):
+            state = loose.table[state + loose.classes[data[i]]]
+            if state >= loose.first_accepting:
+                low = i
+            elif state == loose.dead:
+                break
+        at = max(at, low)
+        while at <= last:
+            state, table, accepting, classes, end = search.start, search.table, search.first_accepting, search.classes, -1
+            for i in range(at, last + 1):
+                state = table[state + classes[data[i]]]
                 if state >= accepting:
                     end = i + 1
                     break
@@ -294,7 +311,7 @@ class Scanner:
                 elif state == back.dead:
                     break
             state = ahead.start
-            for i in range(start, n):
+            for i in range(start, len(data)):
                 state = ahead.table[state + ahead.classes[data[i]]]
                 if state >= ahead.first_accepting:
                     end = i + 1
@@ -306,11 +323,12 @@ class Scanner:
 
     def scan(self, data: bytes) -> list[tuple[int, int, int]]:
         """All secrets as (start, rule, end) in code points, in order of start and rule."""
-        found, out = self.matching(data), []
-        for rule, (_, _, least) in enumerate(self.rules):
-            if found >> rule & 1:
-                for start, end in self.spans(rule, data):
-                    if not least or _value_length(data[start:end]) >= least:
+        out, at = [], [0] * len(self.rules)
+        for rule, first, last in self.stretches(data):
+            if last >= at[rule]:
+                for start, end in self.spans(rule, data, first, last, at[rule]):
+                    at[rule] = end
+                    if _value_length(data[start:end]) >= self.rules[rule][2]:
                         out.append((start, rule, end))
         if not out:
             return out
@@ -322,8 +340,8 @@ class Scanner:
 
 
 def _value_length(match: bytes) -> int:
-    """Length of what follows the first sign of an assignment, blanks and a quote."""
-    rest = match[min(i for i in (match.find(b":"), match.find(b"=")) if i >= 0) + 1 :].lstrip(b" ")
+    """Length of what follows the first sign of an assignment, blanks and a quote; of the whole without a sign."""
+    rest = match[min((i for i in (match.find(b":"), match.find(b"=")) if i >= 0), default=-1) + 1 :].lstrip(b" ")
     return len(rest[1:] if rest[:1] in (b'"', b"'") else rest)
 
 
