@@ -11,7 +11,7 @@ texts is scored by one matrix product.
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +21,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import pieces
+from .common import pieces, unused
 
 DIM = 1 << 15
 #: Bounds of the training sample: rows and landmarks per language; of more than SHARED languages each gets fewer, but FEWEST rows.
 ROWS, LANDMARKS, SHARED, FEWEST = 400, 50, 64, 8
 RIDGE, SHARPNESS = 0.1, 4.0
-_LETTER = re.compile(r"[^\W\d_]")
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,6 +49,11 @@ def presences(texts: list[str]) -> np.ndarray:
     return out.reshape(len(texts), DIM)
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter by Unicode (category L), as \\p{L} has it; numbers like ½ and Ⅷ aren't."""
+    return any(map(str.isalpha, text))
+
+
 def _batches(texts: list[str], rows: int = 64, chars: int = 1 << 20) -> Iterator[list[int]]:
     """Indexes of texts in lots of bounded rows and, but for single long texts, characters."""
     lot, size = [], 0
@@ -103,13 +107,13 @@ def fit(langs: list[str], bits: np.ndarray, names: list[str], landmarks: int = L
     return np.vstack([marks.T @ (white @ beta[:-1]).astype(np.float32), beta[-1:]]).astype(np.float32)
 
 
-def _predict(names: list[str], model, carry: bool = False):
+def _predict(names: list[str], model, columns: tuple[str, str] = ("lang_pred", "score"), carry: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.frombuffer(model.value, np.float32).reshape(DIM + 1, max(1, len(names)))
         for batch in pieces(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
-            known = [i for i, t in enumerate(texts) if (names or carry) and _LETTER.search(t)]
+            known = [i for i, t in enumerate(texts) if (names or carry) and has_letter(t)]
             if not names:
                 for i in known:
                     lang[i] = None
@@ -123,7 +127,7 @@ def _predict(names: list[str], model, carry: bool = False):
                 for i, k in zip(at, s.argmax(axis=1), strict=True):
                     lang[i] = names[k]
             rest = [n for n in batch.schema.names if carry or n != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(lang, pa.string()), pa.array(score)], names=[*rest, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(lang, pa.string()), pa.array(score)], names=[*rest, *columns])
 
     return run
 
@@ -140,10 +144,15 @@ def learned(docs: DataFrame) -> tuple[list[str], Broadcast]:
     count = max(1, usable.select("lang").distinct().count())
     per = min(ROWS, max(FEWEST, ROWS * SHARED // count))
     lettered = usable.where(F.col("text").rlike(r"\p{L}"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = lettered.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= per).select("doc_id", "lang").distinct()
+    # Of large languages about as many rows as are wanted, by hash, so none meets in a task as a whole; equal rows are one.
+    sizes = lettered.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    order = F.xxhash64("doc_id", "text")
+    share = (per + 8 * math.sqrt(per) + 16) / F.col("rows")
+    few = lettered.select("doc_id", "lang", "text", order.alias("order")).join(F.broadcast(sizes), "lang").where(F.pmod("order", F.lit(1 << 30)) < share * (1 << 30))
+    few = few.groupBy("lang", "order", "doc_id").agg(F.first("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("order", F.lit(1 << 30)), "order", "doc_id"))
     # At most ROWS * SHARED rows of DIM / 8 bytes each, or FEWEST a language.
-    sample = lettered.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").mapInArrow(_packed, "lang string, bits binary").collect()
+    sample = few.withColumn("rank", rank).where(F.col("rank") <= per).select("lang", "text").mapInArrow(_packed, "lang string, bits binary").collect()
     sample = sorted((r["lang"], bytes(r["bits"])) for r in sample)
     names, weights = sorted({lang for lang, _ in sample}), np.zeros((DIM + 1, 1), np.float32)
     if names:
@@ -158,7 +167,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
     Learns from text and lang of rows whose crc32(doc_id) mod 4 isn't 2 (these
     are held_out), from the first ROWS with a letter of every language in an
-    order that a hash of doc_id gives; all languages are learned, of more than
+    order that a hash of doc_id and text gives, equal rows once; all languages are learned, of more than
     SHARED from fewer rows each. A null text or one without a letter gets 'und' and 0, and so does
     everything if nothing can be learned. A null lang isn't learned from, a
     null doc_id isn't held out. Ties go to the first language by name. Repeated rows get equal
@@ -169,11 +178,12 @@ def identify(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_predict(names, model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def with_language(docs: DataFrame) -> DataFrame:
-    """docs with lang_pred and score behind its own columns, which pass through as they are; docs has no columns of these names.
+def with_language(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, and their names: the predicted language and its score. Its own columns pass through as they are, whatever they are called.
 
-    Where nothing can be learned, lang_pred is null for texts with a letter and 'und' for others.
+    Where nothing can be learned, the language is null for texts with a letter and 'und' for others.
     """
     names, model = learned(docs)
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.mapInArrow(_predict(names, model, carry=True), schema)
+    lang, score = unused(docs, "lang_pred"), unused(docs, "score")
+    schema = StructType([*docs.schema.fields, StructField(lang, StringType()), StructField(score, DoubleType())])
+    return docs.mapInArrow(_predict(names, model, (lang, score), carry=True), schema), lang, score
