@@ -9,7 +9,9 @@ Grams are counted by their own bytes, with nothing hashed or left out, so the
 models grow with the URLs; the most frequent grams are scored from a broadcast
 of bounded size, all others by joins. A URL is allowed if the
 length-normalised log-likelihood difference reaches a threshold, which is
-calibrated on a fifth of the URLs that the models haven't counted.
+calibrated on a fifth of the URLs that the models haven't counted: the one that
+tells both kinds apart best, but none that blocks more than FALSE_BLOCKS of the
+accepted ones.
 """
 
 from __future__ import annotations
@@ -21,14 +23,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, discard, saved
+from .common import ascii_lower, discard, pieces, saved
 
 #: Fixed values: (host, path, verdict); a rule's name is its host and path.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 #: Words in hosts that count as rejected.
 REJECTED_WORDS = ("casino", "poker", "bets", "pills", "pharma", "ads-", "track", "porn", "xxx", "loan")
 ORDER, KAPPA = 5, 4.0
-BINS, SPAN = 400, 4.0
+BINS, SPAN = 4000, 4.0
+#: Share of the accepted URLs held out that the threshold may block at most.
+FALSE_BLOCKS = 0.005
+#: Bytes of URLs that are turned into grams at once; each makes some hundred bytes.
+AT_ONCE = 1 << 18
 #: Bits of a symbol of a gram: a byte, or 256 before the first one.
 BITS = 9
 
@@ -49,27 +55,42 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def _grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """For all bytes of all URLs: the owner, and the byte with the ORDER symbols before it as one number (the byte lowest)."""
-    raw = [bytes(ORDER) + u.encode() for u in urls]
-    flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
-    sizes = np.array([len(r) for r in raw])
-    owner = np.repeat(np.arange(len(raw)), sizes)
-    real = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) >= ORDER
-    flat[~real] = 256
-    at, gram = np.flatnonzero(real), np.int64(0)
-    for k in range(ORDER + 1):
-        gram = gram + (flat[at - k] << (BITS * k))
-    return owner[at], gram
+def _grams(urls: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For all bytes of all URLs, about AT_ONCE at a time: the owner, and the byte with the ORDER symbols before it as one number (the byte lowest)."""
+    lot: list[tuple[int, bytes, int]] = []
+
+    def made() -> tuple[np.ndarray, np.ndarray]:
+        flat = np.frombuffer(b"".join(r for _, r, _ in lot), np.uint8).astype(np.int64)
+        sizes = np.array([len(r) for _, r, _ in lot])
+        owner = np.repeat([k for k, _, _ in lot], sizes)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        # Before a URL's first byte stand symbols of their own; before a later part of a long one, its own bytes.
+        flat[(place < ORDER) & np.repeat([first == 0 for *_, first in lot], sizes)] = 256
+        at, gram = np.flatnonzero(place >= ORDER), np.int64(0)
+        for k in range(ORDER + 1):
+            gram = gram + (flat[at - k] << (BITS * k))
+        return owner[at], gram
+
+    size = 0
+    for k, u in enumerate(urls):
+        raw = bytes(ORDER) + u.encode()
+        for first in range(0, len(raw) - ORDER, AT_ONCE):
+            part = raw[first : first + AT_ONCE + ORDER]
+            lot.append((k, part, first))
+            size += len(part)
+            if size >= AT_ONCE:
+                yield made()
+                lot, size = [], 0
+    if lot:
+        yield made()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Grams of every batch: how often they occur, and how often in URLs the models count, accepted and rejected."""
-    for batch in batches:
+    """Grams of every lot: how often they occur, and how often in URLs the models count, accepted and rejected."""
+    for batch in pieces(batches):
         urls = batch.column(0).to_pylist()
-        if any(urls):
-            bad, held = (np.array(batch.column(k).to_pylist(), bool) for k in (1, 2))
-            owner, gram = _grams(urls)
+        bad, held = (np.array(batch.column(k).to_pylist(), bool) for k in (1, 2))
+        for owner, gram in _grams(urls):
             found, at = np.unique(gram, return_inverse=True)
             counts = [np.bincount(at[x[owner]], minlength=len(found)) for x in (np.ones(len(urls), bool), ~held & ~bad, ~held & bad)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (found, *counts)], names=["gram", "n", "n0", "n1"])
@@ -107,28 +128,28 @@ def _scored(rows: DataFrame, ratios: DataFrame, hot: int) -> DataFrame:
     most = ratios.orderBy(F.col("n").desc(), "gram").limit(hot).select("gram", "d").toPandas().sort_values("gram")
     model = spark.sparkContext.broadcast((most["gram"].to_numpy(np.int64), most["d"].to_numpy(np.float64)))
 
-    def found(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def found(urls: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         keys, values = model.value
-        owner, gram = _grams(urls)
-        at = np.minimum(np.searchsorted(keys, gram), max(0, len(keys) - 1))
-        known = keys[at] == gram if len(keys) else np.zeros(len(gram), bool)
-        return owner, gram, known, np.where(known, values[at], 0.0) if len(keys) else np.zeros(len(gram))
+        for owner, gram in _grams(urls):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
+                known = keys[at] == gram
+                yield owner, gram, known, np.where(known, values[at], 0.0)
+            else:
+                yield owner, gram, np.zeros(len(gram), bool), np.zeros(len(gram))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             urls = batch.column("text").to_pylist()
             total, size = np.zeros(len(urls)), np.zeros(len(urls), np.int64)
-            if any(urls):
-                owner, _, _, d = found(urls)
-                total, size = np.bincount(owner, d, len(urls)), np.bincount(owner, minlength=len(urls))
+            for owner, _, _, d in found(urls):
+                total, size = total + np.bincount(owner, d, len(urls)), size + np.bincount(owner, minlength=len(urls))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total), pa.array(size)], names=[*batch.schema.names, "total", "bytes"])
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            urls = batch.column("text").to_pylist()
-            if any(urls):
-                owner, gram, known, _ = found(urls)
-                row = np.array(batch.column("_row").to_pylist(), np.int64)
+        for batch in pieces(batches):
+            row = np.array(batch.column("_row").to_pylist(), np.int64)
+            for owner, gram, known, _ in found(batch.column("text").to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(row[owner[~known]]), pa.array(gram[~known])], names=["_row", "gram"])
 
     kinds = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
@@ -148,7 +169,8 @@ def judge_urls(pages: DataFrame, rules=RULES, hot: int = 1 << 19) -> DataFrame:
     log-likelihood difference per byte of host and path (0 if both are empty).
     A null URL or one without '://' has an empty host and path and is allowed
     if 0 reaches the threshold. Without URLs of both kinds the
-    threshold is the lowest, so all are allowed. hot grams (16 bytes each) are
+    threshold is the lowest, so all are allowed. Very long URLs are counted and
+    scored in parts. hot grams (16 bytes each) are
     broadcast; the result doesn't depend on their number. Repeated rows get
     equal results; an empty table an empty result.
     """
@@ -176,5 +198,7 @@ def judge_urls(pages: DataFrame, rules=RULES, hot: int = 1 << 19) -> DataFrame:
         share = by / np.maximum(1, by.sum(axis=1, keepdims=True))
         right = np.append(0, np.cumsum(share[1]))[: BINS + 1] + 1 - np.append(0, np.cumsum(share[0]))[: BINS + 1]
         best = np.flatnonzero(right >= right.max() - 1e-12)
-        threshold = best[len(best) // 2] * (2 * SPAN / BINS) - SPAN
+        # None of the lowest bins that hold more than the share of accepted ones that may be blocked.
+        harmless = int(np.searchsorted(np.cumsum(share[0]), FALSE_BLOCKS, side="right"))
+        threshold = min(best[len(best) // 2], harmless) * (2 * SPAN / BINS) - SPAN
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= threshold, "allow").otherwise("block")).alias("verdict"), "score")
