@@ -18,7 +18,8 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pieces, shuffle_width
@@ -27,8 +28,9 @@ VOCABULARY = os.environ.get("LATHE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.ti
 #: The split pattern of that vocabulary, and the marks of the template.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 START, END = "<|im_start|>", "<|im_end|>"
-#: Characters that are encoded at once; longer texts are encoded in pieces.
+#: Characters that are encoded at once; longer texts are cut before a blank between two other characters, where the pattern always breaks.
 PIECE = 1 << 16
+_BREAK = re.compile(r"(?<=\S) (?=\S)")
 
 
 def escaped(text: str) -> str:
@@ -50,18 +52,21 @@ def _role_back(role: str) -> str:
 class Codec:
     """A byte-level vocabulary with two reserved ids behind it."""
 
-    def __init__(self, path: str):
+    def __init__(self, vocabulary: bytes):
         import tiktoken
 
-        with open(path, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.start, self.end = len(ranks) + 1, len(ranks) + 2
         self.coder = tiktoken.Encoding("lathe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        for i in range(0, len(text), PIECE):
-            out += self.coder.encode_ordinary(text[i : i + PIECE])
+        begin = 0
+        while begin < len(text):
+            cut = _BREAK.search(text, begin + PIECE)
+            end = cut.start() if cut else len(text)
+            out += self.coder.encode_ordinary(text[begin:end])
+            begin = end
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -69,8 +74,14 @@ class Codec:
 
 
 @cache
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(vocabulary: bytes) -> Codec:
+    return Codec(vocabulary)
+
+
+def _shipped(spark: SparkSession, path: str) -> Broadcast:
+    """The vocabulary's file (some MB), read by the driver, so executors need no copy of their own."""
+    with open(path, "rb") as file:
+        return spark.sparkContext.broadcast(file.read())
 
 
 def assemble(c: Codec, role: str, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -96,9 +107,9 @@ def disassemble(c: Codec, ids: list[int], mask: list[int]) -> tuple[str, str, st
 TURNS = "conv_id long, turn long, role string, ids array<int>, mask array<tinyint>"
 
 
-def _format(path: str):
+def _format(vocabulary: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = codec(vocabulary.value)
         for batch in pieces(batches):
             turns = [assemble(c, r or "", t or "") for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)]
             ids, mask = pa.array([a for a, _ in turns], pa.list_(pa.int32())), pa.array([b for _, b in turns], pa.list_(pa.int8()))
@@ -115,17 +126,17 @@ def format_turns(conversations: DataFrame, vocabulary: str = VOCABULARY) -> Data
     empty table gives an empty result; other columns are ignored.
     """
     rows = conversations.selectExpr("cast(conv_id as long) as conv_id", "cast(turn as long) as turn", "cast(role as string) as role", "text")
-    return rows.mapInArrow(_format(vocabulary), TURNS)
+    return rows.mapInArrow(_format(_shipped(conversations.sparkSession, vocabulary)), TURNS)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def _digest(path: str):
+def _digest(vocabulary: Broadcast):
     """Reads turns in order of (conv_id, turn) back. Holds running hashes, not conversations."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, key, state = codec(path), None, None
+        c, key, state = codec(vocabulary.value), None, None
 
         def result(done: list[tuple]) -> pa.RecordBatch:
             rows = [(k[0], n, turns.hexdigest(), chars, loss.hexdigest(), total) for k, n, turns, chars, loss, total in done]
@@ -161,7 +172,7 @@ def conversation_digests(turns: DataFrame, vocabulary: str = VOCABULARY) -> Data
     role and ids. A null conv_id is a conversation of its own.
     """
     width = shuffle_width(turns.sparkSession)
-    return turns.repartition(width, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "ids").mapInArrow(_digest(vocabulary), DIGEST)
+    return turns.repartition(width, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "ids").mapInArrow(_digest(_shipped(turns.sparkSession, vocabulary)), DIGEST)
 
 
 def probe(conversations: DataFrame) -> DataFrame:
