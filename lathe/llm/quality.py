@@ -70,7 +70,7 @@ def _evidence(model):
         w = np.frombuffer(model.value, np.float64)
         for batch in pieces(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            score = [float(features(t) @ w) if t else 0.0 for t in texts]
+            score = [float(features(t) @ w) if t else None for t in texts]
             rest = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(score, pa.float64())], names=[*rest, "evidence"])
 
@@ -109,7 +109,8 @@ def judge_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
 
     labels has doc_id and quality (0 or 1; others are ignored). prior is the
     posterior of the document's host and path, of its host where the path has
-    no labels, else the global rate. A null or empty text has no evidence; a
+    no labels, else the global rate. host and path name the columns that stand
+    for these; documents have no URL, so their source and language do. A null or empty text has no evidence; a
     null host or path is a site of its own. Without labels of both kinds there
     is no evidence at all. Of a doc_id's several labels the highest counts. Repeated rows get
     equal results; an empty table gives an empty result.
@@ -125,7 +126,9 @@ def judge_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
         # A bounded sample by hash, about half of each label, however many labels there are.
         share = F.when(F.col("good") == 1, SAMPLE / 2 / counts[1]).otherwise(SAMPLE / 2 / counts[0])
         chosen = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).limit(2 * SAMPLE)
-        sample = rows.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("good", "text").mapInArrow(_features, "good int, x binary").collect()
+        # Of rows that share a doc_id one.
+        sample = rows.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("good").alias("good"), F.min("text").alias("text"))
+        sample = sample.select("good", "text").mapInArrow(_features, "good int, x binary").collect()
         y = np.array([r["good"] for r in sample], float)
         if len(y) and 0 < y.sum() < len(y):
             w = fit(np.frombuffer(b"".join(bytes(r["x"]) for r in sample), np.float32).reshape(len(y), -1), y)
@@ -135,6 +138,6 @@ def judge_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     scored = scored.join(paths.withColumnsRenamed({"host": "_h", "path": "_p"}), F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")), "left")
     scored = scored.join(hosts.withColumnRenamed("host", "_g"), F.col("host").eqNullSafe(F.col("_g")), "left")
     scored = scored.withColumn("prior", F.coalesce("path_posterior", "host_posterior", F.lit(rate)))
-    evidence = F.when(F.col("evidence") == 0, 0.0).otherwise(F.col("evidence") - base)
+    evidence = F.coalesce(F.col("evidence") - base, F.lit(0.0))
     quality = 1 / (1 + F.exp(-(_logit(F.col("prior")) + evidence)))
     return scored.select("doc_id", evidence.alias("evidence"), "prior", quality.alias("quality"), (quality >= keep_from).alias("kept"))
