@@ -137,19 +137,24 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 100) -> Data
 
     Returns one row per row of docs: doc_id, size (UTF-8 bytes plus 1),
     text_crc32, law ('rows'), shard, slot (gapless from 0 in each shard),
-    grown_shard (null under this law), group_size (documents with that text).
+    grown_shard (null under this law), group_size (documents with that text)
+    and group_shards (shards that hold them; more than one: the text is cut).
     A null text has size 1 and counts as equal to an empty one. Null and repeated doc_ids are
     placed like others. Which of several equal texts lies where depends on
     doc_id alone. rounds is a safety bound that is not reached in practice.
-    An empty table gives an empty result.
+    Very long texts move as hashes only; other columns are ignored. An empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("hub"))
     rows = saved(rows, "sharded-rows")
-    texts = saved(rows.groupBy("hub").agg(F.count(F.lit(1)).alias("total")), "texts")
-    size = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    n_texts, n = size[0], size[1]
+    n = rows.count()
+    # Parts of a text's documents: about 20,000 rows each at most, however many a text has.
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(bucket_count(n))).cast("int")
+    parts = saved(rows.groupBy("hub", part.alias("part")).agg(F.count(F.lit(1)).alias("n")), "parts")
+    texts = saved(parts.groupBy("hub").agg(F.sum("n").alias("total")), "texts")
+    n_texts = texts.count()
     counts = [n // shards + (k < n % shards) for k in range(shards)]
     # At most four texts a shard.
     large = counts[-1] // 4
@@ -161,14 +166,17 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 100) -> Data
     single = texts.where("total = 1").select("hub", "total", F.pmod(F.xxhash64("hub"), F.lit(shards)).cast("int").alias("shard"), F.col("total").alias("n"))
     cells = saved(pinned.union(moved).union(single), "cells")
     pieces = _seated(cells, counts, n_texts, large)
-    order = Window.partitionBy("hub").orderBy("shard", "slot").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumn("low", F.coalesce(F.sum("n").over(order), F.lit(0))).select(F.col("hub").alias("_hub"), "shard", "slot", "low", (F.col("low") + F.col("n")).alias("high"))
-
-    # The place of a document among its equals; texts with very many documents are ranked in parts.
-    per = 20_000
-    inner = rows.join(texts.where("total > 1"), "hub").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("total") / per)).cast("int")).withColumn("one", F.lit(1))
-    inner = running_total(inner, ["hub"], "part", ["doc_id"], "one", "at").drop("one", "part")
-    single = rows.join(texts.where("total = 1"), "hub").withColumn("at", F.lit(0).cast("long"))
-    ranked = inner.unionByName(single)
-    out = ranked.join(pieces, (F.col("hub") == F.col("_hub")) & (F.col("at") >= F.col("low")) & (F.col("at") < F.col("high")))
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("slot") + F.col("at") - F.col("low")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("total").alias("group_size"))
+    own = Window.partitionBy("hub")
+    order = own.orderBy("shard", "slot").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("low", F.coalesce(F.sum("n").over(order), F.lit(0))).withColumn("high", F.col("low") + F.col("n"))
+    pieces = pieces.select("hub", "shard", "slot", "low", "high", F.size(F.collect_set("shard").over(own)).alias("group_shards"), F.sum("n").over(own).alias("group_size"))
+
+    # Where each part's documents lie among their equals, and so in which pieces.
+    before = own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).join(pieces, "hub").where((F.col("first") < F.col("high")) & (F.col("first") + F.col("n") > F.col("low")))
+    begin = F.greatest("first", "low")
+    placed = placed.select(F.col("hub").alias("_hub"), F.col("part").alias("_part"), "shard", (F.col("slot") + begin - F.col("low")).alias("slot"), (begin - F.col("first")).alias("low"), (F.least(F.col("first") + F.col("n"), F.col("high")) - F.col("first")).alias("high"), "group_size", "group_shards")
+    at = F.row_number().over(Window.partitionBy("hub", "part").orderBy("doc_id")) - 1
+    ranked = rows.withColumn("part", part).withColumn("at", at.cast("long"))
+    out = ranked.join(placed, (F.col("hub") == F.col("_hub")) & (F.col("part") == F.col("_part")) & (F.col("at") >= F.col("low")) & (F.col("at") < F.col("high")))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("slot") + F.col("at") - F.col("low")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "group_size", "group_shards")
