@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from .chat import conversation_digests, format_turns, probe
 from .decontaminate import contamination
 from .exact import exact_duplicates
@@ -31,7 +30,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op1_sql() -> str:
     """All kinds by their patterns; positions from the lengths of the pieces between the matches."""
     kinds = (
-        ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""),
+        ("assign", "(" + "|".join(re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", w) for w in ("password", "passwd", "secret", "token", "api_?key")) + r""")["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""),
         ("access", "AKIA[A-Z0-9]{16,}"),
         ("hex", "[0-9a-f]{24,}"),
         ("github", "gh[oprsu]_[A-Za-z0-9]{36}"),
@@ -171,18 +170,19 @@ t AS (
   SELECT source, source_size, CASE WHEN is_full THEN (source_size * 2)::DOUBLE
     ELSE least((budget - 2 * coalesce(sum(source_size) FILTER (is_full) OVER (), 0))::DOUBLE * weight / sum(weight) FILTER (NOT is_full) OVER (), source_size * 2) END AS target FROM f
 ), r AS (
-  SELECT d.*, t.source_size, t.target, floor(t.target)::BIGINT AS quota, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY turn, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  SELECT d.*, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY turn, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-), k AS (
-  SELECT *, greatest(least(size, quota - before), 0) AS a, greatest(least(size, quota - before - source_size), 0) AS b FROM r
-), u AS (
-  SELECT doc_id, source, turn, size, a AS words, (before + a) / target AS time, 0 AS pass FROM k WHERE a > 0
-  UNION ALL SELECT doc_id, source, turn, size, b, (before + source_size + b) / target, 1 FROM k WHERE b > 0
-), m AS (
-  SELECT *, coalesce(sum(words) OVER (ORDER BY time, source NULLS FIRST, turn, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS mix_start FROM u
+), b AS (SELECT floor(sum(target) + 1e-6)::BIGINT AS budget FROM t),
+s AS (SELECT *, greatest(floor(target / 1000), 1)::BIGINT AS most, unnest([0, 1]) AS pass FROM r WHERE size > 0 AND target > 0),
+k AS (SELECT *, before + source_size * pass AS begin_, unnest(range(0, (size - 1) // most + 1)) AS k FROM s),
+w AS (SELECT *, least(most, size - k * most)::BIGINT AS words FROM k),
+u AS (SELECT doc_id, source, turn, size, before, pass, k, words, (begin_ + k * most + words) / target AS time FROM w),
+m AS (SELECT *, coalesce(sum(words) OVER (ORDER BY time, source NULLS FIRST, turn, size, before, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS mix_start FROM u),
+g AS (
+  SELECT doc_id, sum(least(words, budget - mix_start))::BIGINT AS taken, max(time) FILTER (pass = 0) AS finish, min(mix_start) FILTER (pass = 0) AS mix_start
+  FROM m, b WHERE budget - mix_start > 0 GROUP BY doc_id
 )
-SELECT k.doc_id, k.size, k.source_size, k.target, (a + b)::BIGINT AS taken, CASE WHEN a > 0 THEN (before + a) / target END AS finish, m.mix_start
-FROM k LEFT JOIN m ON m.doc_id = k.doc_id AND m.pass = 0
+SELECT r.doc_id, r.size, r.source_size, r.target, coalesce(g.taken, 0)::BIGINT AS taken, g.finish, g.mix_start FROM r LEFT JOIN g ON g.doc_id = r.doc_id
 """
 
 
@@ -198,7 +198,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": op8_chat_format,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_mixing": op10_mixing,
-        "pipeline": corpus_pipeline.run,
     }
 
 
