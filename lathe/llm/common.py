@@ -27,20 +27,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows that a Python worker gets at once while a table is saved, as rows may be whole texts.
+ROWS_AT_ONCE = 1000
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: cuts lineage, survives lost executors, keeps column pruning."""
-    spark = df.sparkSession
+    """Write a table into the shared folder and read it back: cuts lineage, survives lost executors, keeps column pruning.
+
+    Python workers get small batches meanwhile; the session's setting is as before afterwards.
+    """
+    spark, rows = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     path = f"{shared_folder(spark)}/lathe-{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, ROWS_AT_ONCE)
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(rows, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches in slices of so many rows and, but for single rows, about so many bytes, as rows may be whole texts. Spark bounds a batch by spark.sql.execution.arrow.maxBytesPerBatch."""
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of so many rows and, but for single rows, about so many bytes. Spark bounds a batch by spark.sql.execution.arrow.maxBytesPerBatch. Gives memory back at the end, as workers live on."""
     for batch in batches:
         step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
         for i in range(0, batch.num_rows, step):
             yield batch.slice(i, step)
+    pa.default_memory_pool().release_unused()
 
 
 def unused(df: DataFrame, name: str) -> str:

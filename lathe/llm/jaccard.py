@@ -700,13 +700,15 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: float = 0.8)
     # Roots with members, then members with members, of what isn't connected yet.
     for which, all_queries in (("core", False), ("cores", True)):
         of = components(links)
-        left = sized.where(which).select("home", "query").join(of.select(F.col("sig").alias("home"), F.col("component").alias("ca")), "home", "left").join(of.select(F.col("sig").alias("query"), F.col("component").alias("cb")), "query", "left")
-        left = saved(left.where("ca is null or cb is null or ca != cb").select("home", "query"), "left")
+        left = sized.where(which).select("home", "query", "cores").join(of.select(F.col("sig").alias("home"), F.col("component").alias("ca")), "home", "left").join(of.select(F.col("sig").alias("query"), F.col("component").alias("cb")), "query", "left")
+        left = saved(left.where("ca is null or cb is null or ca != cb").select("home", "query", "cores"), "left")
         spent += [of, left]
         if left.isEmpty():
-            continue
+            break
         links = saved(links.union(compared(left, sets, all_queries, True)), "links")
         spent.append(links)
+        if left.where("cores").isEmpty():
+            break
 
     edges = linked_to.select(F.col("sig").alias("a"), F.col("pivot").alias("b")).union(links).where("a != b").distinct()
     comps = connected_components(numbered(edges))

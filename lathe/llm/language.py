@@ -27,6 +27,8 @@ DIM = 1 << 15
 #: Bounds of the training sample: rows and landmarks per language; of more than SHARED languages each gets fewer, but FEWEST rows.
 ROWS, LANDMARKS, SHARED, FEWEST = 400, 50, 64, 8
 RIDGE, SHARPNESS = 0.1, 4.0
+#: Rows that are unpacked at once while the model is fitted.
+FEW = 32
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,26 +79,31 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(langs: list[str], bits: np.ndarray, names: list[str], landmarks: int = LANDMARKS) -> np.ndarray:
     """Weights (DIM + 1 rows, a column per name) such that presences / sqrt(their number) times the weights, plus the last row, are the scores.
 
-    bits are packed presences. The sample stays packed; a hundred rows at a time become numbers.
+    bits are packed presences. The sample stays packed; a few rows at a time become numbers.
     """
 
     def rows(at: np.ndarray) -> np.ndarray:
         x = np.unpackbits(bits[at], axis=1)
-        return x.astype(np.float32) / np.sqrt(np.maximum(1, x.sum(axis=1, dtype=np.int64)))[:, None].astype(np.float32)
+        size = np.sqrt(np.maximum(1, x.sum(axis=1, dtype=np.int64))).astype(np.float32)
+        x = x.astype(np.float32)
+        x /= size[:, None]
+        return x
 
     own: dict[str, list[int]] = {name: [] for name in names}
     for i, lang in enumerate(langs):
         own[lang].append(i)
     pick = np.array([i for name in names for i in own[name][:landmarks]])
-    marks = np.vstack([rows(pick[i : i + 100]) for i in range(0, len(pick), 100)])
+    marks = np.empty((len(pick), bits.shape[1] * 8), np.float32)
+    for i in range(0, len(pick), FEW):
+        marks[i : i + FEW] = rows(pick[i : i + FEW])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6 * values[-1]
     white = vectors[:, keep] / np.sqrt(values[keep])
     place = {name: k for k, name in enumerate(names)}
     label = np.array([place[lang] for lang in langs])
     squares, sums = np.zeros((white.shape[1] + 1, white.shape[1] + 1)), np.zeros((white.shape[1] + 1, len(names)))
-    for i in range(0, len(bits), 100):
-        at = np.arange(i, min(i + 100, len(bits)))
+    for i in range(0, len(bits), FEW):
+        at = np.arange(i, min(i + FEW, len(bits)))
         features = np.hstack([(rows(at) @ marks.T).astype(np.float64) @ white, np.ones((len(at), 1))])
         y = np.where(label[at][:, None] == np.arange(len(names))[None, :], 1.0, -1.0)
         squares += features.T @ features
@@ -153,7 +160,7 @@ def learned(docs: DataFrame) -> tuple[list[str], Broadcast]:
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("order", F.lit(1 << 30)), "order", "doc_id"))
     # At most ROWS * SHARED rows of DIM / 8 bytes each, or FEWEST a language.
     sample = few.withColumn("rank", rank).where(F.col("rank") <= per).select("lang", "text").mapInArrow(_packed, "lang string, bits binary").collect()
-    sample = sorted((r["lang"], bytes(r["bits"])) for r in sample)
+    sample = sorted((r["lang"], r["bits"]) for r in sample)
     names, weights = sorted({lang for lang, _ in sample}), np.zeros((DIM + 1, 1), np.float32)
     if names:
         bits = np.frombuffer(b"".join(b for _, b in sample), np.uint8).reshape(len(sample), -1)
