@@ -48,6 +48,12 @@ def parent_of(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, r"/[^/]*$", "")).otherwise("")
 
 
+def walked_up(path: Column, dots: Column) -> Column:
+    """The folder that so many leading dots of a relative import lead to from a file: one for its own, one more for each level; the root's is empty."""
+    parts = F.split(path, "/")
+    return F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - dots, F.lit(0))), "/")
+
+
 def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
@@ -104,11 +110,15 @@ def file_distance(a: Column, b: Column) -> Column:
     return F.when(a == b, 0.0).otherwise(1 - same / longest)
 
 
+#: Words that make a line control flow or a definition.
+CONTROL, DEFINITION = ("if ", "elif ", "else:", "for ", "while ", "try:", "except:", "with "), ("def ", "function ", "class ")
+
+
 def complexity(text: Column) -> Column:
-    """Share of lines with control flow or definitions, 1 at most."""
+    """Lines with control flow and lines with a definition, as a share of all lines; 1 at most."""
     lines = F.split(text, "\n")
-    control = F.size(F.filter(lines, lambda x: F.ltrim(x).rlike(r"^(if |elif |else:|for |while |try:|except:|with )")))
-    defined = F.size(F.filter(lines, lambda x: F.ltrim(x).rlike(r"^(def |function |class )")))
+    control = F.size(F.filter(lines, lambda x: x.rlike("|".join(CONTROL))))
+    defined = F.size(F.filter(lines, lambda x: x.rlike("|".join(DEFINITION))))
     return F.least(F.lit(1.0), (control + defined) / F.greatest(F.size(lines), F.lit(1)))
 
 

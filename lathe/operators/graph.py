@@ -8,6 +8,10 @@ before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,19 +41,31 @@ def expand(start: DataFrame, edges: DataFrame, types: list[str], limit: int, out
     return first_rows(near.join(start.select("node_id").distinct(), "node_id", "left_semi"), ["node_id"], [F.col("neighbor_id"), F.col("edge_type")], limit)
 
 
+#: Lines of a bucket that spans are dealt over, so that spans and points of a long file only meet where they can.
+BUCKET = 64
+
+
+def _bucketed(spans: DataFrame) -> DataFrame:
+    return spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start_line") / BUCKET), F.floor(F.greatest("start_line", "end_line") / BUCKET))))
+
+
 def enclosing(points: DataFrame, symbols: DataFrame) -> DataFrame:
     """The tightest symbol around each point (point_id, path, line); of equal spans the first node_id."""
-    spans = symbols.select("path", "node_id", "start_line", "end_line")
-    inside = points.join(spans, "path").where((F.col("start_line") <= F.col("line")) & (F.col("line") <= F.col("end_line")))
+    spans = _bucketed(symbols.select("path", "node_id", "start_line", "end_line"))
+    inside = points.withColumn("bucket", F.floor(F.col("line") / BUCKET)).join(spans, ["path", "bucket"]).where((F.col("start_line") <= F.col("line")) & (F.col("line") <= F.col("end_line")))
     return first_rows(inside, ["point_id"], [F.col("end_line") - F.col("start_line"), F.col("node_id")], 1).select("point_id", "path", "line", "node_id")
 
 
 def hierarchy(symbols: DataFrame) -> DataFrame:
-    """Parents of symbols in a file: of those before it in order (start, longest, node_id) that contain it, the latest."""
+    """Parents of symbols in a file: of those before it in order (start, longest, node_id) that contain it, the latest.
+
+    A container of a symbol covers its first line, so both meet in that line's bucket.
+    """
     order = [F.col("start_line"), F.col("end_line").desc(), F.col("node_id")]
     placed = symbols.select("path", "node_id", "start_line", "end_line", F.row_number().over(Window.partitionBy("path").orderBy(*order)).alias("pos"))
-    outer = placed.select("path", F.col("node_id").alias("parent_id"), F.col("start_line").alias("_s"), F.col("end_line").alias("_e"), F.col("pos").alias("_pos"))
-    inside = placed.join(outer, "path").where((F.col("_pos") < F.col("pos")) & (F.col("_s") <= F.col("start_line")) & (F.col("end_line") <= F.col("_e")))
+    outer = _bucketed(placed).select("path", "bucket", F.col("node_id").alias("parent_id"), F.col("start_line").alias("_s"), F.col("end_line").alias("_e"), F.col("pos").alias("_pos"))
+    inside = placed.withColumn("bucket", F.floor(F.col("start_line") / BUCKET)).join(outer, ["path", "bucket"])
+    inside = inside.where((F.col("_pos") < F.col("pos")) & (F.col("_s") <= F.col("start_line")) & (F.col("end_line") <= F.col("_e")))
     return inside.groupBy("path", "node_id").agg(F.max_by("parent_id", "_pos").alias("parent_id"))
 
 
@@ -59,13 +75,64 @@ def overlaps(spans: DataFrame, lines: DataFrame, least: float = 0.0) -> DataFram
     Lines are bucketed by 64 and spans exploded over their buckets, so a long
     file's pairs are compared only where they can meet.
     """
-    bucket = spans.select("node_id", "path", "start_line", "end_line", F.explode(F.sequence(F.floor(F.col("start_line") / 64), F.floor(F.col("end_line") / 64))).alias("bucket"))
-    hits = bucket.join(lines.withColumn("bucket", F.floor(F.col("line") / 64)), ["path", "bucket"]).where(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    bucket = spans.select("node_id", "path", "start_line", "end_line", F.explode(F.sequence(F.floor(F.col("start_line") / BUCKET), F.floor(F.col("end_line") / BUCKET))).alias("bucket"))
+    hits = bucket.join(lines.withColumn("bucket", F.floor(F.col("line") / BUCKET)), ["path", "bucket"]).where(F.col("line").between(F.col("start_line"), F.col("end_line")))
     out = hits.groupBy("node_id", "path", "start_line", "end_line").agg(F.count_distinct("line").alias("overlap_lines"), F.array_join(F.array_sort(F.collect_set("hunk_id")), ",").alias("hunk_ids"))
     ratio = F.col("overlap_lines") / (F.col("end_line") - F.col("start_line") + 1)
     return out.withColumn("overlap_ratio", F.round(ratio, 6)).where(ratio >= least)
 
 
+def lines_inside(lines: DataFrame, spans: DataFrame) -> DataFrame:
+    """The different lines (path, line) that lie in any span of their file."""
+    inside = lines.select("path", "line").distinct().withColumn("bucket", F.floor(F.col("line") / BUCKET)).join(_bucketed(spans.select("path", "start_line", "end_line").distinct()), ["path", "bucket"])
+    return inside.where(F.col("line").between(F.col("start_line"), F.col("end_line"))).select("path", "line").distinct()
+
+
+def overlap_counts(spans: DataFrame, lines: DataFrame) -> DataFrame:
+    """Hits of lines in spans and different symbols hit, by file."""
+    hits = lines.withColumn("bucket", F.floor(F.col("line") / BUCKET)).join(_bucketed(spans.select("path", "node_id", "start_line", "end_line")), ["path", "bucket"]).where(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    return hits.groupBy("path").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("node_id").alias("symbols"))
+
+
+def counts_by_type(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes (id, kind) and edges between known nodes, counted by kind and type."""
+    ids = nodes.select("id").distinct()
+    known = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return nodes.groupBy(F.lit("node").alias("what"), F.col("kind").alias("type")).agg(F.count(F.lit(1)).alias("n")).union(known.groupBy(F.lit("edge"), "edge_type").agg(F.count(F.lit(1))))
+
+
+def docs_by_prefix(texts: DataFrame, prefixes: tuple[str, ...], total: int) -> DataFrame:
+    """Texts below each prefix by path and line: a share of the total each, and no more than that in all, in the prefixes' order by name."""
+    which = None
+    for p in prefixes:
+        which = F.when(F.col("path").startswith(p), p) if which is None else which.when(F.col("path").startswith(p), p)
+    rows = first_rows(texts.withColumn("prefix", which).where("prefix IS NOT NULL"), ["prefix"], [F.col("path"), F.col("start_line"), F.col("node_id")], max(1, total // len(prefixes)), "_r")
+    return rows.orderBy("prefix", "_r").limit(total).drop("_r")
+
+
+def rewritten(nodes: DataFrame, stale: Column, fresh: DataFrame) -> DataFrame:
+    """nodes without the stale part, and what is written in its place."""
+    return nodes.where(~stale).unionByName(fresh)
+
+
+def has_file_edges(files: DataFrame) -> DataFrame:
+    """Edges from folders to what lies in them, if the folder is known."""
+    parents = files.select(F.col("path").alias("_path"))
+    return files.join(parents, F.col("parent") == F.col("_path")).select(F.col("parent").alias("src"), F.col("path").alias("dst"), F.lit("HAS_FILE").alias("edge_type"))
+
+
+def of_types(edges: DataFrame, types: list[str]) -> DataFrame:
+    """Edges of the given types, trimmed and upper-cased; none: no edges."""
+    kinds = [t.strip().upper() for t in types if t.strip()]
+    return edges.where(F.col("edge_type").isin(kinds)) if kinds else edges.limit(0)
+
+
+def with_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges whose ends are both known, with the kinds of these."""
+    kind = lambda side: nodes.select(F.col("node_id").alias(side), F.col("kind").alias(f"{side}_kind"))
+    return edges.join(kind("src"), "src").join(kind("dst"), "dst")
+
+
 def merge_latest(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
     """Upsert: of all rows of a key the one with the highest version; new wins a tie."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
@@ -100,3 +167,105 @@ def resolve_first(refs: DataFrame, candidates: str, files: DataFrame) -> DataFra
     """For each reference (ref_id) the first of its candidate paths that is a file."""
     tried = refs.select("ref_id", F.posexplode(candidates).alias("pos", "path")).join(files.select("path"), "path")
     return tried.groupBy("ref_id").agg(F.min_by("path", "pos").alias("resolved"))
+
+
+def symbol_index(symbols: DataFrame) -> DataFrame:
+    """Lookup by file and name: of equal names the first symbol in order, and of equal qualified names the last one's."""
+    order = F.struct("start_line", "node_id")
+    return symbols.groupBy("path", "name").agg(F.min_by("node_id", order).alias("first_id"), F.max_by("node_id", order).alias("last_id"), F.count(F.lit(1)).alias("n"))
+
+
+def resolve_calls(calls: DataFrame, imports: DataFrame, types: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Callees of call sites, one row per site that has one: call_id, path, line, callee_id.
+
+    calls: call_id, path, line, callee, receiver (null: a plain call). imports:
+    path, local (the name in the file), target (file), original (name there;
+    null: the module itself). types: path, variable, class_name. A plain call
+    is an imported name; a receiver is a module, an imported class, or a
+    variable whose class is imported. Names are looked up in the target file,
+    of several the first; methods by qualified name, of several the last.
+    """
+    named = imports.where("original IS NOT NULL").select("path", "local", "target", "original")
+    modules = imports.where("original IS NULL").select("path", "local", "target")
+    plain = calls.where("receiver IS NULL").join(named, (calls["path"] == named["path"]) & (F.col("callee") == F.col("local"))).select("call_id", calls["path"], "line", F.lit(0).alias("rank"), "target", F.col("original").alias("name"), F.lit(False).alias("qualified"))
+    with_receiver = calls.where("receiver IS NOT NULL")
+    by_module = with_receiver.join(modules, (with_receiver["path"] == modules["path"]) & (F.col("receiver") == F.col("local"))).select("call_id", with_receiver["path"], "line", F.lit(0).alias("rank"), "target", F.col("callee").alias("name"), F.lit(False).alias("qualified"))
+    method = F.concat("original", F.lit("."), "callee")
+    by_class = with_receiver.join(named, (with_receiver["path"] == named["path"]) & (F.col("receiver") == F.col("local"))).select("call_id", with_receiver["path"], "line", F.lit(1).alias("rank"), "target", method.alias("name"), F.lit(True).alias("qualified"))
+    typed = with_receiver.join(types.withColumnRenamed("path", "_path"), (F.col("path") == F.col("_path")) & (F.col("receiver") == F.col("variable")))
+    by_type = typed.join(named.withColumnRenamed("path", "_file"), (F.col("path") == F.col("_file")) & (F.col("class_name") == F.col("local"))).select("call_id", "path", "line", F.lit(2).alias("rank"), "target", method.alias("name"), F.lit(True).alias("qualified"))
+    wanted = plain.union(by_module).union(by_class).union(by_type)
+    # The first way that applies decides, whether or not it finds a symbol.
+    wanted = first_rows(wanted, ["call_id"], [F.col("rank"), F.col("target")], 1, "_first").drop("_first", "rank")
+    order = F.struct("start_line", "node_id")
+    by_name = symbols.groupBy(F.col("path").alias("target"), "name").agg(F.min_by("node_id", order).alias("callee_id")).withColumn("qualified", F.lit(False))
+    by_qualified = symbols.where("qualified_name IS NOT NULL").groupBy(F.col("path").alias("target"), F.col("qualified_name").alias("name")).agg(F.max_by("node_id", order).alias("callee_id")).withColumn("qualified", F.lit(True))
+    return wanted.join(by_name.unionByName(by_qualified), ["target", "name", "qualified"]).select("call_id", "path", "line", "callee_id")
+
+
+def call_edges(calls: DataFrame, symbols: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Distinct CALLS edges from the tightest symbol around each resolved call to its callee, none from a symbol to itself."""
+    callers = enclosing(resolved.select(F.col("call_id").alias("point_id"), "path", "line"), symbols).select(F.col("point_id").alias("call_id"), F.col("node_id").alias("caller"))
+    return resolved.join(callers, "call_id").where("caller != callee_id").select("caller", F.col("callee_id").alias("callee")).distinct()
+
+
+def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that occur more than once, with their count: what a uniqueness constraint rejects."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+
+
+#: Queries that a task compares its vectors with at once.
+QUERIES_AT_ONCE = 1000
+
+
+def nearest(vectors: DataFrame, queries: str, k: int, digits: int = 4) -> DataFrame:
+    """q, vec_id, similarity (cosine, rounded) of the k nearest other vectors (vec_id, embedding) for each vector that meets the condition; ties by vec_id.
+
+    Vectors are dealt out once for each block of QUERIES_AT_ONCE queries, whose
+    vectors the tasks get by broadcast; a task keeps the best k of its own, and
+    of these few the best are ranked. So nothing is gathered but the queries,
+    block by block.
+    """
+    spark, asked = vectors.sparkSession, vectors.where(queries).select("vec_id", "embedding")
+    blocks = max(1, -(-asked.count() // QUERIES_AT_ONCE))
+    found = None
+    for block in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).collect()
+        ids = np.array([r["vec_id"] for r in own], np.int64)
+        data = np.array([r["embedding"] for r in own], np.float64) if own else np.zeros((0, 1))
+        shared = spark.sparkContext.broadcast((ids, data))
+
+        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, data = shared.value
+            size = np.sqrt((data * data).sum(axis=1))
+            top: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
+            for batch in batches:
+                if not batch.num_rows or not len(ids):
+                    continue
+                own = batch.column("vec_id").to_numpy(zero_copy_only=False)
+                x = np.array(batch.column("embedding").to_pylist(), np.float64)
+                scores = np.round((data @ x.T) / (size[:, None] * np.sqrt((x * x).sum(axis=1))[None, :]), digits)
+                for i, q in enumerate(ids):
+                    keep = own != q
+                    n, s = np.concatenate([top[i][0], own[keep]]), np.concatenate([top[i][1], scores[i][keep]])
+                    order = np.lexsort((n, -s))[:k]
+                    top[i] = n[order], s[order]
+            if len(ids):
+                q = np.repeat(ids, [len(n) for n, _ in top])
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate([n for n, _ in top])), pa.array(np.concatenate([s for _, s in top]))], names=["q", "vec_id", "similarity"])
+
+        part = vectors.select("vec_id", "embedding").mapInArrow(best, "q long, vec_id long, similarity double")
+        found = part if found is None else found.unionByName(part)
+    return first_rows(found, ["q"], [F.col("similarity").desc(), F.col("vec_id")], k).drop("rank")
+
+
+def merge_counts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: rows after a merge, before it, and by these how many were created and how many updated."""
+    counts = after.agg(F.count(F.lit(1)).alias("total")).crossJoin(before.agg(F.count(F.lit(1)).alias("initial")))
+    created = F.greatest(F.lit(0).cast("long"), F.col("total") - F.col("initial"))
+    return counts.withColumn("created", created).withColumn("updated", F.greatest(F.lit(0).cast("long"), F.col("total") - created))
+
+
+def drifted(indexed: Column, head: Column) -> Column:
+    """Whether the graph was built from another commit than the head; not if it was never built."""
+    return indexed.isNotNull() & (indexed != head)

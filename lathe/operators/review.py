@@ -63,11 +63,28 @@ def prefix_budget(items: DataFrame, pack: str, order: list[str], size: str, limi
     return items.withColumn("running", F.sum(size).over(w).cast("long")).where(F.col("running") <= limit)
 
 
-def relevance(score: dict[str, Column]) -> Column:
-    """Relevance from its parts: seed, same_file, distance, relation, calls, doc, test, main, path_sim, complexity, extension; within 0 and 1."""
-    s = F.when(score["seed"], 0.9).otherwise(0.0)
-    s = s + F.when(score["same_file"], 0.7).otherwise(F.greatest(F.lit(0.0), 0.5 * (1 - score["distance"])))
-    s = s + F.when(score["calls"] > 0, 0.6 * (score["relation"] + F.least(F.lit(0.2), 0.05 * score["calls"]))).otherwise(0.0)
-    s = s + F.when(score["doc"], 0.10).otherwise(0.0) + F.when(score["test"], 0.15).otherwise(0.0) + F.when(score["main"], 0.10).otherwise(0.0)
-    s = s + F.when(score["path_sim"] > 0.3, 0.15 * score["path_sim"]).otherwise(0.0) - F.when(score["complexity"] > 0.7, 0.05).otherwise(0.0)
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), s * score["extension"]))
+#: How hard symbols are by kind.
+KIND_COMPLEXITY = {"function": "medium", "method": "medium", "class": "high", "variable": "low", "constant": "low"}
+
+
+def analysed(seeds: DataFrame) -> DataFrame:
+    """seeds (kind, changed: whether their file is) with priority (1 is the highest), complexity, and what context they need."""
+    kind, called = F.col("kind"), F.col("kind").isin("function", "method")
+    priority = F.when(F.col("changed"), 1).when(kind.isin("function", "method", "class"), 2).otherwise(3)
+    rows = seeds.withColumn("priority", priority).withColumn("complexity", chosen(kind, KIND_COMPLEXITY, F.lit("medium")))
+    return rows.withColumn("needs_callers", called).withColumn("needs_callees", called).withColumn("needs_inheritance", kind == "class").withColumn("max_hops", F.when(kind == "class", 2).otherwise(1))
+
+
+def search_strategy(analysed_seeds: DataFrame) -> DataFrame:
+    """One row: whether urgent seeds go first, expansions per seed, and whether tests are included, by the number of seeds."""
+    total, urgent = F.count(F.lit(1)), F.coalesce(F.sum((F.col("priority") <= 2).cast("long")), F.lit(0))
+    return analysed_seeds.agg((urgent > 0).alias("urgent_first"), F.when(total < 10, 8).otherwise(5).alias("max_expansion"), (total < 20).alias("include_tests"))
+
+
+def file_reasons(files: DataFrame, lines: DataFrame, hits: DataFrame) -> DataFrame:
+    """files (path, change_type, binary) with why they give no seed symbols, or seeded: deleted or binary, without changed lines, or none of these in a symbol."""
+    changed = lines.select("path").distinct().withColumn("_changed", F.lit(True))
+    hit = hits.select("path").distinct().withColumn("_hit", F.lit(True))
+    rows = files.join(changed, "path", "left").join(hit, "path", "left")
+    reason = F.when(F.col("change_type") == "removed", "file_deleted").when(F.col("binary"), "binary_file").when(F.col("_changed").isNull(), "patch_missing").when(F.col("_hit").isNull(), "no_symbol_match").otherwise("seeded")
+    return rows.withColumn("reason", reason).drop("_changed", "_hit")

@@ -130,20 +130,6 @@ def oracle(text: View, *needs: str) -> str:
     return sql(d, text(d), needs)
 
 
-def both(name: str, *needs: str):
-    """Registers a query that is one SQL text in both engines."""
-
-    def add(text: View) -> View:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            d = Dialect(sf_dir)
-            return spark.sql(sql(d, text(d), needs))
-
-        register(name, oracle(text, *needs))(run)
-        return text
-
-    return add
-
-
 def frame(name: str, text: View | None = None, *needs: str):
     """Registers a query built from DataFrame operators, with the SQL that must give the same."""
     return register(name, None if text is None else oracle(text, *needs))

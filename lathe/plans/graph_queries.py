@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import graph
-from .dialect import both, frame, table
+from ..operators import graph, pack, rank
+from ..sources import tree
+from .dialect import frame, table
 
 REQUESTS = "SELECT seed_id AS request_id, path, name, kind, fingerprint FROM seeds"
 ORDINAL = "row_number() OVER (PARTITION BY {p} ORDER BY {o})"
@@ -74,13 +75,19 @@ def kg_import_neighborhood(spark, sf_dir):
     return out.union(graph.expand(reached, edges, ["IMPORTS"], 5, outgoing=False).select("node_id", "neighbor_id", F.lit("in"), "rank"))
 
 
-both("kg_docs_prefix", "kg_texts")(lambda d: "SELECT node_id, path, start_line FROM kg_texts WHERE path LIKE 'docs/%' ORDER BY path, start_line, node_id LIMIT 20")
+@frame("kg_docs_prefix", lambda d: "SELECT node_id, path, start_line FROM kg_texts WHERE path LIKE 'docs/%' ORDER BY path, start_line, node_id LIMIT 20", "kg_texts")
+def kg_docs_prefix(spark, sf_dir):
+    texts = table(spark, sf_dir, "kg_texts").where(F.col("path").startswith("docs/"))
+    return texts.orderBy("path", "start_line", "node_id").limit(20).select("node_id", "path", "start_line")
 
-both("kg_docs_budget", "kg_texts")(lambda d: """
+
+@frame("kg_docs_budget", lambda d: """
 SELECT node_id, path, prefix FROM (SELECT *, row_number() OVER (ORDER BY prefix, rn) AS total FROM (
   SELECT node_id, path, prefix, row_number() OVER (PARTITION BY prefix ORDER BY path, start_line, node_id) AS rn FROM (
     SELECT node_id, path, start_line, CASE WHEN path LIKE 'README%' THEN 'README' WHEN path LIKE 'docs/%' THEN 'docs/' WHEN path LIKE 'doc/%' THEN 'doc/' WHEN path LIKE 'documentation/%' THEN 'documentation/' END AS prefix FROM kg_texts) p
-  WHERE prefix IS NOT NULL) r WHERE rn <= 5) t WHERE total <= 20""")
+  WHERE prefix IS NOT NULL) r WHERE rn <= 5) t WHERE total <= 20""", "kg_texts")
+def kg_docs_budget(spark, sf_dir):
+    return graph.docs_by_prefix(table(spark, sf_dir, "kg_texts"), ("README", "docs/", "doc/", "documentation/"), 20).select("node_id", "path", "prefix")
 
 
 @frame("kg_candidates_dedup", lambda d: """
@@ -96,13 +103,20 @@ def kg_candidates_dedup(spark, sf_dir):
     return graph.staged_dedup(stages, "node_id", [50, 200, 300]).select("node_id", "stage", "ord")
 
 
-both("kg_node_edge_counts", "kg_symbols", "kg_files", "kg_edges")(lambda d: """
+@frame("kg_node_edge_counts", lambda d: """
 SELECT 'node' AS what, kind AS type, count(*) AS n FROM (SELECT kind FROM kg_files UNION ALL SELECT 'symbol' FROM kg_symbols) x GROUP BY kind
-UNION ALL SELECT 'edge', edge_type, count(*) FROM kg_edges e JOIN (SELECT path AS id FROM kg_files UNION SELECT node_id FROM kg_symbols) a ON a.id = e.src JOIN (SELECT path AS id FROM kg_files UNION SELECT node_id FROM kg_symbols) b ON b.id = e.dst GROUP BY edge_type""")
+UNION ALL SELECT 'edge', edge_type, count(*) FROM kg_edges e JOIN (SELECT path AS id FROM kg_files UNION SELECT node_id FROM kg_symbols) a ON a.id = e.src JOIN (SELECT path AS id FROM kg_files UNION SELECT node_id FROM kg_symbols) b ON b.id = e.dst GROUP BY edge_type""", "kg_symbols", "kg_files", "kg_edges")
+def kg_node_edge_counts(spark, sf_dir):
+    files, symbols = table(spark, sf_dir, "kg_files").select(F.col("path").alias("id"), "kind"), table(spark, sf_dir, "kg_symbols").select(F.col("node_id").alias("id"), F.lit("symbol").alias("kind"))
+    return graph.counts_by_type(files.union(symbols), table(spark, sf_dir, "kg_edges"))
+
 
-both("kg_merge_stats", "kg_symbols")(lambda d: """
+@frame("kg_merge_stats", lambda d: """
 SELECT count(*) AS total, sum(CASE WHEN start_line % 2 = 0 THEN 1 ELSE 0 END) AS initial, greatest(0, count(*) - sum(CASE WHEN start_line % 2 = 0 THEN 1 ELSE 0 END)) AS created,
-  greatest(0, count(*) - greatest(0, count(*) - sum(CASE WHEN start_line % 2 = 0 THEN 1 ELSE 0 END))) AS updated FROM kg_symbols""")
+  greatest(0, count(*) - greatest(0, count(*) - sum(CASE WHEN start_line % 2 = 0 THEN 1 ELSE 0 END))) AS updated FROM kg_symbols""", "kg_symbols")
+def kg_merge_stats(spark, sf_dir):
+    symbols = table(spark, sf_dir, "kg_symbols")
+    return graph.merge_counts(symbols.where("start_line % 2 = 0"), symbols)
 
 
 def _versions(spark, sf_dir):
@@ -130,21 +144,74 @@ def kg_ttl_cleanup(spark, sf_dir):
     return graph.expire(table(spark, sf_dir, "kg_symbols"), table(spark, sf_dir, "kg_edges").where("edge_type = 'CALLS'"), "start_line", F.lit(150))[1].select("src", "dst", "edge_type")
 
 
-both("kg_delete_then_write", "kg_symbols")(lambda d: """
-SELECT node_id, path, kind FROM kg_symbols WHERE path NOT LIKE 'AFRICA/%' UNION ALL SELECT node_id, path, 'rewritten' FROM kg_symbols WHERE path LIKE 'AFRICA/%' AND start_line > 100""")
+@frame("kg_delete_then_write", lambda d: """
+SELECT node_id, path, kind FROM kg_symbols WHERE path NOT LIKE 'AFRICA/%' UNION ALL SELECT node_id, path, 'rewritten' FROM kg_symbols WHERE path LIKE 'AFRICA/%' AND start_line > 100""", "kg_symbols")
+def kg_delete_then_write(spark, sf_dir):
+    s, africa = table(spark, sf_dir, "kg_symbols").select("node_id", "path", "kind", "start_line"), F.col("path").startswith("AFRICA/")
+    fresh = s.where(africa & (F.col("start_line") > 100)).withColumn("kind", F.lit("rewritten"))
+    return graph.rewritten(s, africa, fresh).drop("start_line")
+
+
+@frame("kg_commit_drift", lambda d: f"""
+SELECT kg_sha, head_sha, kg_sha IS NOT NULL AND kg_sha <> head_sha AS drifted FROM (SELECT min(fingerprint) AS kg_sha, {d.sha256("'head'")} AS head_sha FROM seeds) x""", "seeds")
+def kg_commit_drift(spark, sf_dir):
+    return table(spark, sf_dir, "seeds").agg(F.min("fingerprint").alias("kg_sha")).select("kg_sha", F.sha2(F.lit("head"), 256).alias("head_sha")).withColumn("drifted", graph.drifted(F.col("kg_sha"), F.col("head_sha")))
+
+
+@frame("fs_tree_nodes", lambda d: """
+SELECT path, kind, parent FROM kg_files f WHERE kind = 'file' OR path = '.' OR EXISTS (SELECT 1 FROM kg_files c WHERE c.kind = 'file' AND starts_with(c.path, f.path || '/')) OR path IN ('lib')""".replace("SELECT path, kind, parent", "SELECT path, kind, parent"), "kg_files")
+def fs_tree_nodes(spark, sf_dir):
+    files = table(spark, sf_dir, "kg_files").where("kind = 'file'").select("path", F.lit(1).cast("long").alias("length"))
+    return tree.nodes(files).select("path", "kind", "parent")
+
+
+@frame("fs_has_file_edges", lambda d: "SELECT c.parent AS src, c.path AS dst, 'HAS_FILE' AS edge_type FROM kg_files c JOIN kg_files p ON p.path = c.parent", "kg_files")
+def fs_has_file_edges(spark, sf_dir):
+    return graph.has_file_edges(table(spark, sf_dir, "kg_files"))
+
+
+PLACES = (".git/config", "src/.svn/x.py", "a/node_modules/b.js", "dist/app.js", "out/x.py", "lib.egg-info/PKG", "pkg/__snapshots__/a.ts", ".gitignore", "Cargo.lock", "go.sum", "src/composer.lock", ".env", ".envrc", ".hidden", "src/main.py", "env/x.py", "Build/x.py", "a/htmlcov/i.html", "docs/out.md", "a.gradle")
+NAMES = ("x.py", "Dockerfile", "x.bash", "x.sh", "x.JS", "x.ts", "x.tsx", "x.java", "x.c", "x.cpp", "x.cs", "x.go", "x.rb", "x.rs", "x.sql", "x.kt", "x.php", "x.html", "x.properties", "x.yml", "x.yaml", "x.xml", "x.md", "x.json", "x", "x.h")
+
+
+def _named(d, names: tuple[str, ...], prefix: str = "''") -> str:
+    cases = " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(names))
+    return f"SELECT doc_id, n_chars, {prefix} || CASE doc_id % {len(names)} {cases} END AS path FROM {d.t('documents')}"
+
+
+def _sql(spark, sf_dir, names, prefix="''"):
+    from .dialect import Dialect
+
+    return spark.sql(_named(Dialect(sf_dir), names, prefix))
 
-both("kg_commit_drift", "seeds")(lambda d: f"""
-SELECT kg_sha, head_sha, kg_sha IS NOT NULL AND kg_sha <> head_sha AS drifted FROM (SELECT min(fingerprint) AS kg_sha, {d.sha256("'head'")} AS head_sha FROM seeds) x""")
 
-both("fs_tree_nodes", "kg_files")(lambda d: "SELECT path, kind, parent FROM kg_files")
+FOLDERS = ".git .svn .hg .bzr __pycache__ .pytest_cache .mypy_cache .tox .nox .venv venv env .env node_modules bower_components .next .nuxt dist build out target .gradle .idea .vscode .DS_Store coverage .coverage htmlcov .eggs __snapshots__"
+LOCKS = ".gitignore .gitattributes .editorconfig package-lock.json yarn.lock pnpm-lock.yaml Pipfile.lock poetry.lock Gemfile.lock Cargo.lock composer.lock go.sum"
 
-both("fs_has_file_edges", "kg_files")(lambda d: "SELECT c.parent AS src, c.path AS dst, 'HAS_FILE' AS edge_type FROM kg_files c JOIN kg_files p ON p.path = c.parent")
 
-EXCLUDED = ("node_modules", ".git", "__pycache__", "dist", "build", "src0", "src1")
-both("fs_exclusions", "kg_texts")(lambda d: f"""
-SELECT node_id, path FROM kg_texts WHERE NOT ({' OR '.join(f"'/' || lower(path) LIKE '%/{x}/%'" for x in EXCLUDED)}) AND NOT ({d.matches("path", "(^|/)[.][^/]*$")} AND NOT {d.matches("path", "(^|/)[.](env|envrc)$")})""")
+@frame("fs_exclusions", lambda d: f"""
+SELECT doc_id, path FROM ({_named(d, PLACES)}) x WHERE NOT regexp_matches(path, '(^|/)({'|'.join(f.replace('.', '[.]') for f in FOLDERS.split())}|[^/]*[.]egg-info)/') AND NOT regexp_matches(path, '(^|/)({'|'.join(f.replace('.', '[.]') for f in LOCKS.split())})$')
+  AND (NOT regexp_matches(path, '(^|/)[.][^/]*$') OR regexp_matches(path, '(^|/)[.]envr?c?$'))""")
+def fs_exclusions(spark, sf_dir):
+    return _sql(spark, sf_dir, PLACES).where(~tree.excluded(F.col("path"))).select("doc_id", "path")
+
+
+TYPES = "WHEN 'py' THEN 'python' WHEN 'bash' THEN 'bash' WHEN 'sh' THEN 'bash' WHEN 'js' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'java' THEN 'java' WHEN 'c' THEN 'c' WHEN 'cpp' THEN 'cpp' WHEN 'cs' THEN 'csharp' WHEN 'go' THEN 'go' WHEN 'rb' THEN 'ruby' WHEN 'rs' THEN 'rust' WHEN 'sql' THEN 'sql' WHEN 'kt' THEN 'kotlin' WHEN 'php' THEN 'php' WHEN 'html' THEN 'html' WHEN 'properties' THEN 'properties' WHEN 'yml' THEN 'yaml' WHEN 'yaml' THEN 'yaml' WHEN 'xml' THEN 'xml'"
+
+
+@frame("fs_size_routing", lambda d: f"""
+SELECT doc_id, path, type, CASE WHEN bytes > 10485760 THEN 'skip' WHEN type = 'UNKNOWN' THEN 'unsupported' WHEN bytes > 1048576 THEN 'large' ELSE 'normal' END AS route FROM (
+  SELECT *, n_chars * 5000 AS bytes, CASE WHEN lower(path) LIKE '%/dockerfile' THEN 'dockerfile' ELSE CASE CASE WHEN path LIKE '%.%' THEN regexp_extract(path, '[^.]+$') END {TYPES} ELSE 'UNKNOWN' END END AS type FROM ({_named(d, NAMES, "'src/'")}) x) y""")
+def fs_size_routing(spark, sf_dir):
+    rows, path = _sql(spark, sf_dir, NAMES, "'src/'"), F.col("path")
+    return rows.select("doc_id", "path", tree.file_type(path).alias("type"), tree.route(F.col("n_chars") * 5000, path).alias("route"))
+
+
+@frame("large_file_batches", lambda d: """
+SELECT path, CAST(floor((r - 1) / 50) AS BIGINT) AS batch, count(*) AS rows FROM (SELECT path, row_number() OVER (PARTITION BY path ORDER BY start_line, end_line DESC, node_id) AS r FROM kg_symbols) x GROUP BY path, floor((r - 1) / 50)""", "kg_symbols")
+def large_file_batches(spark, sf_dir):
+    return tree.batches_of(table(spark, sf_dir, "kg_symbols"))
 
-both("fs_size_routing")(lambda d: f"SELECT doc_id, CASE WHEN n_chars > 10000 THEN 'skip' WHEN n_chars > 1000 THEN 'large' ELSE 'normal' END AS route FROM {d.t('documents')}")
 
 LANGUAGES = {".py": "python", ".md": "markdown", ".js": "javascript", ".ts": "typescript", ".java": "java", ".go": "go", ".rs": "rust", ".txt": "text"}
 
@@ -196,44 +263,123 @@ SELECT ref_id, path AS resolved FROM (SELECT t.ref_id, t.path, row_number() OVER
 _resolution("import_resolution_py", "CASE WHEN p_partkey % 3 = 0 THEN 'none' ELSE p_brand END", ["'lib/' || m || '/__init__.py'", "'lib/' || m || '.py'", "m || '.py'"])
 _resolution("import_resolution_js", "p_brand", ["'lib/' || m", "'lib/' || m || '.js'", "'lib/' || m || '.ts'", "'lib/' || m || '.py'", "'lib/' || m || '/index.js'"])
 
-both("call_edges", "kg_symbols", "changed_lines")(lambda d: """
-SELECT DISTINCT caller, callee FROM (
-  SELECT s.node_id AS caller, p.node_id AS callee, row_number() OVER (PARTITION BY c.path, c.line ORDER BY s.end_line - s.start_line, s.node_id, p.node_id) AS r
-  FROM (SELECT DISTINCT path, line FROM changed_lines) c JOIN kg_symbols s ON s.path = c.path AND c.line BETWEEN s.start_line AND s.end_line JOIN (SELECT name, min(node_id) AS node_id FROM kg_symbols WHERE node_id LIKE 'p%' GROUP BY name) p ON length(p.name) = c.line % 20) x
-WHERE r = 1 AND caller <> callee""")
-
-both("kg_rel_type_filter", "kg_edges")(lambda d: "SELECT src, dst, edge_type FROM kg_edges WHERE edge_type IN (upper(trim(' imports ')), upper(trim('has_symbol')))")
-both("kg_edge_endpoints", "kg_edges", "kg_symbols")(lambda d: "SELECT e.src, e.dst, a.kind AS src_kind, b.kind AS dst_kind FROM kg_edges e JOIN kg_symbols a ON a.node_id = e.src JOIN kg_symbols b ON b.node_id = e.dst WHERE a.start_line > 200")
-both("symbol_index_lookup", "kg_symbols")(lambda d: """
-SELECT path, name, first_id, last_qualified FROM (SELECT path, name, min(node_id) AS first_id, max(qualified_name) AS last_qualified FROM kg_symbols GROUP BY path, name) x""")
-both("per_file_symbol_cap", "kg_symbols")(lambda d: "SELECT path, node_id, r FROM (SELECT path, node_id, row_number() OVER (PARTITION BY path ORDER BY start_line, end_line DESC, node_id) AS r FROM kg_symbols) x WHERE r <= 20")
-both("index_counters", "kg_files", "kg_symbols")(lambda d: """
+RESOLVED = """
+SELECT c.call_id, c.path, c.line, s.node_id AS callee_id FROM (SELECT c.*, i.target AS file FROM call_sites c JOIN import_map i ON i.path = c.path AND i.local = coalesce(c.receiver, c.callee) AND (i.original IS NULL) = (c.receiver IS NOT NULL)) c
+JOIN (SELECT path, name, node_id, row_number() OVER (PARTITION BY path, name ORDER BY start_line, node_id) AS r FROM kg_symbols) s ON s.path = c.file AND s.name = c.callee AND s.r = 1"""
+
+
+def _resolved(spark, sf_dir):
+    calls, imports = table(spark, sf_dir, "call_sites"), table(spark, sf_dir, "import_map")
+    types = spark.createDataFrame([], "path string, variable string, class_name string")
+    return graph.resolve_calls(calls.select("call_id", "path", "line", "callee", "receiver"), imports, types, table(spark, sf_dir, "kg_symbols"))
+
+
+@frame("call_resolution", lambda d: RESOLVED, "call_sites", "import_map", "kg_symbols")
+def call_resolution(spark, sf_dir):
+    return _resolved(spark, sf_dir)
+
+
+@frame("call_edges", lambda d: f"""
+SELECT DISTINCT caller, callee FROM (SELECT r.callee_id AS callee, s.node_id AS caller, row_number() OVER (PARTITION BY r.call_id ORDER BY s.end_line - s.start_line, s.node_id) AS n FROM ({RESOLVED}) r JOIN kg_symbols s ON s.path = r.path AND r.line BETWEEN s.start_line AND s.end_line) x WHERE n = 1 AND caller <> callee""", "call_sites", "import_map", "kg_symbols")
+def call_edges(spark, sf_dir):
+    return graph.call_edges(None, table(spark, sf_dir, "kg_symbols"), _resolved(spark, sf_dir))
+
+
+@frame("kg_rel_type_filter", lambda d: "SELECT src, dst, edge_type FROM kg_edges WHERE edge_type IN (upper(trim(' imports ')), upper(trim('has_symbol')))", "kg_edges")
+def kg_rel_type_filter(spark, sf_dir):
+    return graph.of_types(table(spark, sf_dir, "kg_edges"), [" imports ", "has_symbol", " "])
+
+
+@frame("kg_edge_endpoints", lambda d: "SELECT e.src, e.dst, a.kind AS src_kind, b.kind AS dst_kind FROM kg_edges e JOIN kg_symbols a ON a.node_id = e.src JOIN kg_symbols b ON b.node_id = e.dst", "kg_edges", "kg_symbols")
+def kg_edge_endpoints(spark, sf_dir):
+    return graph.with_ends(table(spark, sf_dir, "kg_edges"), table(spark, sf_dir, "kg_symbols")).select("src", "dst", "src_kind", "dst_kind")
+
+
+@frame("symbol_index_lookup", lambda d: """
+SELECT path, name, first_id, last_id, n FROM (SELECT path, name, first_value(node_id) OVER w AS first_id, last_value(node_id) OVER w AS last_id, count(*) OVER w AS n, row_number() OVER (PARTITION BY path, name ORDER BY node_id) AS r FROM kg_symbols
+  WINDOW w AS (PARTITION BY path, name ORDER BY start_line, node_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) x WHERE r = 1""", "kg_symbols")
+def symbol_index_lookup(spark, sf_dir):
+    return graph.symbol_index(table(spark, sf_dir, "kg_symbols"))
+
+
+@frame("kg_unique_keys", lambda d: "SELECT src, dst, count(*) AS rows FROM kg_edges GROUP BY src, dst HAVING count(*) > 1 UNION ALL SELECT node_id, '', count(*) FROM kg_symbols GROUP BY node_id HAVING count(*) > 1", "kg_edges", "kg_symbols")
+def kg_unique_keys(spark, sf_dir):
+    nodes = graph.duplicate_keys(table(spark, sf_dir, "kg_symbols"), ["node_id"]).select(F.col("node_id").alias("src"), F.lit("").alias("dst"), "rows")
+    return graph.duplicate_keys(table(spark, sf_dir, "kg_edges"), ["src", "dst"]).unionByName(nodes)
+
+
+@frame("per_file_symbol_cap", lambda d: "SELECT path, node_id, r FROM (SELECT path, node_id, row_number() OVER (PARTITION BY path ORDER BY start_line, end_line DESC, node_id) AS r FROM kg_symbols) x WHERE r <= 20", "kg_symbols")
+def per_file_symbol_cap(spark, sf_dir):
+    return graph.first_rows(table(spark, sf_dir, "kg_symbols"), ["path"], [F.col("start_line"), F.col("end_line").desc(), F.col("node_id")], 20, "r").select("path", "node_id", "r")
+
+
+@frame("index_counters", lambda d: """
 SELECT count(*) AS files, sum(CASE WHEN n IS NULL THEN 1 ELSE 0 END) AS without_symbols, sum(CASE WHEN n > 5 THEN 1 ELSE 0 END) AS large, CAST(sum(coalesce(n, 0)) AS BIGINT) AS symbols
-FROM kg_files f LEFT JOIN (SELECT path, count(*) AS n FROM kg_symbols GROUP BY path) s ON s.path = f.path WHERE f.kind = 'file'""")
-both("tree_size", "kg_files", "kg_symbols")(lambda d: """
-SELECT f.parent AS dir, count(DISTINCT f.path) AS files, CAST(sum(s.end_line - s.start_line + 1) AS BIGINT) AS size FROM kg_files f JOIN kg_symbols s ON s.path = f.path GROUP BY f.parent""")
-both("path_classify", "kg_texts")(lambda d: f"""
-SELECT node_id, {d.matches('path', '(?i)(test_|_test[.]|tests?/|spec/|__tests__/)')} AS is_test, {d.matches('path', '(?i)(config|settings|[.]ya?ml$|[.]json$|[.]toml$)')} AS is_config, {d.matches('path', '(?i)(readme|docs?/|[.]md$|[.]rst$)')} AS is_doc FROM kg_texts""")
-both("main_interface", "kg_symbols")(lambda d: """
-SELECT node_id, name IN ('main', 'init', '__init__', 'setup', 'configure') OR kind IN ('class', 'interface') OR (kind = 'function' AND (name LIKE '%export%' OR name LIKE '%public%' OR name LIKE '%widget%')) AS is_main FROM kg_symbols""")
-both("item_classify", "candidates")(lambda d: f"""
-SELECT src, item_id, is_seed OR symbol_type = 'changed_symbol' AS is_seed_item, {d.matches('lower(file_path)', 'test_|_test|/tests/|/test/|spec[.]|[.]test[.]')} AS is_test FROM candidates""")
-both("item_projection_legacy", "candidates")(lambda d: "SELECT src, item_id, file_path, symbol_name, coalesce(code_snippet, '') AS code_snippet, priority, strength, is_seed, 'kg' AS source FROM candidates")
-both("item_type_title", "candidates")(lambda d: "SELECT src, item_id, CASE WHEN is_seed THEN 'seed' WHEN priority <= 2 THEN 'kg_caller' ELSE 'kg_callee' END AS source, upper(substr(symbol_type, 1, 1)) || substr(symbol_type, 2) || ': ' || coalesce(nullif(symbol_name, ''), 'unknown') AS title FROM candidates")
-both("repos_by_installation", "kg_files")(lambda d: f"""
-SELECT n_regionkey AS installation_id, n_nationkey AS repo_id, count(*) AS customers FROM {d.t('nation')} JOIN {d.t('customer')} ON c_nationkey = n_nationkey GROUP BY n_regionkey, n_nationkey""")
-both("workflow_ownership", "workflow_events")(lambda d: "SELECT DISTINCT workflow_id FROM workflow_events w WHERE EXISTS (SELECT 1 FROM workflow_events x WHERE x.workflow_id = w.workflow_id AND x.event_type = 'workflow_started')")
+FROM kg_files f LEFT JOIN (SELECT path, count(*) AS n FROM kg_symbols GROUP BY path) s ON s.path = f.path WHERE f.kind = 'file'""", "kg_files", "kg_symbols")
+def index_counters(spark, sf_dir):
+    own = table(spark, sf_dir, "kg_symbols").groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    files = table(spark, sf_dir, "kg_files").where("kind = 'file'").join(own, "path", "left")
+    count = lambda x: F.sum(F.coalesce(x, F.lit(False)).cast("long"))
+    return files.agg(F.count(F.lit(1)).alias("files"), count(F.col("n").isNull()).alias("without_symbols"), count(F.col("n") > 5).alias("large"), F.sum(F.coalesce("n", F.lit(0))).alias("symbols"))
+
+
+@frame("tree_size", lambda d: """
+SELECT f.parent AS dir, count(DISTINCT f.path) AS files, CAST(sum(s.end_line - s.start_line + 1) AS BIGINT) AS size FROM kg_files f JOIN kg_symbols s ON s.path = f.path GROUP BY f.parent""", "kg_files", "kg_symbols")
+def tree_size(spark, sf_dir):
+    sizes = table(spark, sf_dir, "kg_symbols").groupBy("path").agg(F.sum(F.col("end_line") - F.col("start_line") + 1).alias("size"))
+    return table(spark, sf_dir, "kg_files").join(sizes, "path").groupBy(F.col("parent").alias("dir")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("size"))
+
+
+KINDS = ("test_a.py", "a_test.py", "tests/a.py", "spec/a.rb", "__tests__/a.js", "a.json", "a.yml", "A.YAML", "a.toml", "a.ini", "a.cfg", "a.conf", "config.py", "a.md", "a.rst", "a.txt", "a.doc", "docs/a.py", "README", "contest.py")
+
+
+@frame("path_classify", lambda d: f"""
+SELECT doc_id, path, contains(lower(path), 'test_') OR contains(lower(path), '_test.') OR contains(lower(path), 'test/') OR contains(lower(path), 'tests/') OR contains(lower(path), 'spec/') OR contains(lower(path), '__tests__/') AS is_test,
+  list_contains(['json', 'yml', 'yaml', 'toml', 'ini', 'cfg', 'conf'], regexp_extract(lower(path), '[.]([^./]+)$', 1)) AS is_config, list_contains(['md', 'rst', 'txt', 'doc'], regexp_extract(lower(path), '[.]([^./]+)$', 1)) AS is_doc FROM ({_named(d, KINDS, "'src/'")}) x""")
+def path_classify(spark, sf_dir):
+    path = F.col("path")
+    return _sql(spark, sf_dir, KINDS, "'src/'").select("doc_id", "path", path.rlike(rank.TEST_PATH).alias("is_test"), path.rlike(rank.CONFIG_PATH).alias("is_config"), path.rlike(rank.DOC_PATH).alias("is_doc"))
+
+
+@frame("main_interface", lambda d: """
+SELECT src, item_id, lower(symbol_name) IN ('main', 'init', '__init__', 'setup', 'configure') OR symbol_type IN ('class', 'interface') OR (symbol_type IN ('function', 'method') AND symbol_name NOT LIKE '\\_%' ESCAPE '\\' AND regexp_matches(code_snippet, 'export|public|@api|def ')) AS is_main FROM candidates""".replace("\\\\", "\\"), "candidates")
+def main_interface(spark, sf_dir):
+    return table(spark, sf_dir, "candidates").select("src", "item_id", rank.is_main_interface(F.col("symbol_name"), F.col("symbol_type"), F.col("code_snippet")).alias("is_main"))
+
+
+@frame("item_classify", lambda d: f"""
+SELECT src, item_id, is_seed OR symbol_type = 'changed_symbol' AS is_seed_item, {d.matches('lower(file_path)', 'test_|_test|/tests/|/test/|spec[.]|[.]test[.]')} AS is_test FROM candidates""", "candidates")
+def item_classify(spark, sf_dir):
+    seed, test = F.col("is_seed") | (F.col("symbol_type") == "changed_symbol"), F.lower("file_path").rlike(r"test_|_test|/tests/|/test/|spec[.]|[.]test[.]")
+    return table(spark, sf_dir, "candidates").select("src", "item_id", seed.alias("is_seed_item"), test.alias("is_test"))
+
+
+@frame("item_projection_legacy", lambda d: "SELECT src, item_id, file_path, symbol_name, md5(coalesce(code_snippet, '')) AS code_snippet, priority, strength, is_seed, 'kg' AS source FROM candidates", "candidates")
+def item_projection_legacy(spark, sf_dir):
+    return pack.legacy(table(spark, sf_dir, "candidates")).withColumn("code_snippet", F.md5("code_snippet"))
+
+
+@frame("item_type_title", lambda d: "SELECT src, item_id, CASE WHEN is_seed THEN 'seed' WHEN priority <= 2 THEN 'kg_caller' ELSE 'kg_callee' END AS source, upper(substr(symbol_type, 1, 1)) || substr(symbol_type, 2) || ': ' || coalesce(nullif(symbol_name, ''), 'unknown') AS title FROM candidates", "candidates")
+def item_type_title(spark, sf_dir):
+    rows = table(spark, sf_dir, "candidates")
+    return rows.select("src", "item_id", pack.source_of(F.col("is_seed"), F.col("priority")).alias("source"), pack.title_of(F.col("symbol_type"), F.col("symbol_name")).alias("title"))
+
+
+@frame("repos_by_installation", lambda d: f"""
+SELECT n_regionkey AS installation_id, n_nationkey AS repo_id, count(*) AS customers FROM {d.t('nation')} JOIN {d.t('customer')} ON c_nationkey = n_nationkey GROUP BY n_regionkey, n_nationkey""", "kg_files")
+def repos_by_installation(spark, sf_dir):
+    own = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("customers"))
+    return table(spark, sf_dir, "nation").join(own, "n_nationkey").select(F.col("n_regionkey").alias("installation_id"), F.col("n_nationkey").alias("repo_id"), "customers")
+
+
+@frame("workflow_ownership", lambda d: "SELECT DISTINCT workflow_id FROM workflow_events w WHERE EXISTS (SELECT 1 FROM workflow_events x WHERE x.workflow_id = w.workflow_id AND x.event_type = 'workflow_started')", "workflow_events")
+def workflow_ownership(spark, sf_dir):
+    return table(spark, sf_dir, "workflow_events").where("event_type = 'workflow_started'").select("workflow_id").distinct()
 
 
 @frame("vector_topk", lambda d: """
 SELECT q, vec_id, similarity FROM (SELECT a.vec_id AS q, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) DESC, b.vec_id) AS r
-  FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) a JOIN embeddings b ON a.vec_id <> b.vec_id) x WHERE r <= 10""")
+  FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) a JOIN embeddings b ON a.vec_id <> b.vec_id) x WHERE r <= 10""")
 def vector_topk(spark, sf_dir):
-    """The stated queries (every 100th vector) against all vectors, in one pass with the queries broadcast."""
-    all_ = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    all_ = all_.withColumn("v", F.transform("v", lambda x: x)).withColumn("n", norm)
-    q = all_.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("v").alias("qv"), F.col("n").alias("qn"))
-    dot = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    pairs = all_.join(F.broadcast(q) if q.count() <= 10_000 else q, F.col("vec_id") != F.col("q")).select("q", "vec_id", F.round(dot / (F.col("n") * F.col("qn")), 4).alias("similarity"))
-    return graph.first_rows(pairs, ["q"], [F.col("similarity").desc(), F.col("vec_id")], 10).drop("rank")
+    """The ten nearest of all vectors for every vector whose id is divisible by 20, in blocks of queries."""
+    return graph.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", 10)

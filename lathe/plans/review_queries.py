@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import diff, graph, review
-from .dialect import both, frame, table
+from ..operators import anchor, detect, diff, graph, pack, persist, rank, report, response, review, text, validate
+from ..sources import snippets
+from .dialect import frame, table
 
 c = F.col
 
@@ -44,24 +46,38 @@ def diff_line_lookup(spark, sf_dir):
     return diff.patch_lines(_patches(spark, sf_dir)).where(c("new_line").isNotNull()).groupBy("path", "new_line").agg(F.min("hunk").alias("hunk"), F.min("idx").alias("idx"))
 
 
-both("diff_integrity", "hunks")(lambda d: """
+@frame("diff_integrity", lambda d: """
 SELECT path, CAST(sum(additions) AS BIGINT) AS additions, CAST(sum(deletions) AS BIGINT) AS deletions, CAST(sum(CASE WHEN overlapping THEN 1 ELSE 0 END) AS BIGINT) AS overlapping FROM (
-  SELECT *, new_start < lag(new_start + new_count) OVER (PARTITION BY path ORDER BY new_start) - 8 AS overlapping FROM hunks) x GROUP BY path""")
+  SELECT *, new_start < lag(new_start + new_count) OVER (PARTITION BY path ORDER BY new_start) - 8 AS overlapping FROM hunks) x GROUP BY path""", "hunks")
+def diff_integrity(spark, sf_dir):
+    return diff.integrity(table(spark, sf_dir, "hunks"), 8)
 
 
 @frame("diff_change_type", lambda d: """
-SELECT path, CASE WHEN a > 0 AND d = 0 THEN 'added' WHEN a = 0 AND d > 0 THEN 'removed' ELSE 'modified' END AS change_type FROM (SELECT path, sum(additions) AS a, sum(deletions) AS d FROM hunks GROUP BY path) x""", "hunks")
+SELECT path, CASE WHEN status = 'copied' OR status = 'odd' THEN plain WHEN status = 'renamed' THEN plain ELSE status END AS change_type, CASE WHEN status = 'odd' THEN 'modified' ELSE status END AS status FROM (
+  SELECT path, CASE min(doc_id) % 5 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' WHEN 2 THEN 'renamed' WHEN 3 THEN 'copied' ELSE 'odd' END AS status,
+    CASE WHEN sum(additions) > 0 AND sum(deletions) = 0 THEN 'added' WHEN sum(additions) = 0 AND sum(deletions) > 0 THEN 'removed' WHEN sum(additions) + sum(deletions) = 0 AND min(doc_id) % 5 = 2 THEN 'renamed' ELSE 'modified' END AS plain FROM hunks GROUP BY path) x""", "hunks")
 def diff_change_type(spark, sf_dir):
-    sums = table(spark, sf_dir, "hunks").groupBy("path").agg(F.sum("additions").alias("a"), F.sum("deletions").alias("d"))
-    return sums.select("path", diff.change_type(c("a"), c("d"), F.lit("modified")).alias("change_type"))
+    sums = table(spark, sf_dir, "hunks").groupBy("path").agg(F.sum("additions").alias("a"), F.sum("deletions").alias("d"), F.min("doc_id").alias("id"))
+    status = F.element_at(F.array(*map(F.lit, ("added", "removed", "renamed", "copied", "odd"))), (c("id") % 5 + 1).cast("int"))
+    return sums.select("path", diff.change_type(c("a"), c("d"), status).alias("change_type"), diff.file_status(status).alias("status"))
+
+
+SUFFIXES = ".png .jpg .jpeg .gif .bmp .ico .svg .pdf .doc .docx .xls .xlsx .ppt .pptx .zip .tar .gz .rar .7z .exe .dll .so .dylib .mp3 .mp4 .avi .mov .wav .ttf .otf .woff .woff2".split()
+TRIED = (*SUFFIXES, ".py", ".SO", ".webp", ".bin", ".pngx", ".Tar")
+
+
+def _tried(d) -> str:
+    names = " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(TRIED))
+    return f"SELECT doc_id, coalesce(text, '') AS text, source || CASE doc_id % {len(TRIED)} {names} END AS path FROM {d.t('documents')}"
 
 
 @frame("diff_binary", lambda d: f"""
-SELECT doc_id, path, {d.matches("text", "Binary files? .* differ")} OR lower(path) LIKE '%.png' OR lower(path) LIKE '%.so' AS is_binary
-FROM (SELECT doc_id, coalesce(text, '') AS text, source || CASE doc_id % 4 WHEN 0 THEN '.png' WHEN 1 THEN '.SO' ELSE '.py' END AS path FROM {d.t('documents')}) x""")
+SELECT doc_id, path, {d.matches("text", "Binary files? .* differ")} OR {d.matches("lower(path)", "[.](" + "|".join(x[1:] for x in SUFFIXES) + ")$")} AS is_binary FROM ({_tried(d)}) x""")
 def diff_binary(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "coalesce(text, '') AS text", "source || CASE doc_id % 4 WHEN 0 THEN '.png' WHEN 1 THEN '.SO' ELSE '.py' END AS path")
-    return docs.select("doc_id", "path", diff.is_binary(c("path"), c("text")).alias("is_binary"))
+    from .dialect import Dialect
+
+    return spark.sql(_tried(Dialect(sf_dir))).select("doc_id", "path", diff.is_binary(c("path"), c("text")).alias("is_binary"))
 
 
 @frame("hunk_ids", lambda d: f"SELECT path, hunk, 'hunk_' || substr({d.sha256(chr(39).join(['path || ', '::', ' || CAST(hunk AS STRING)']))}, 1, 12) AS hunk_id FROM hunks", "hunks")
@@ -82,18 +98,81 @@ def diff_position_adjusted(spark, sf_dir):
     return diff.nearest_commentable(table(spark, sf_dir, "patch_lines"), ["path", "hunk"]).select("path", "hunk", "idx", "target_idx")
 
 
-both("line_number_from_hunk", "patch_lines", "hunks")(lambda d: """
+def _anchors(d) -> str:
+    """A place in a hunk for every document: some without one, in other files, in hunks that aren't there, or behind a hunk's end."""
+    return f"""SELECT doc_id AS ord, CASE WHEN doc_id % 13 = 5 THEN 'elsewhere.py' ELSE ' /' || source || '/' || CAST(doc_id AS STRING) || '.py' END AS file_path, CASE WHEN doc_id % 11 = 3 THEN NULL ELSE 'h' || CAST(doc_id % 3 AS STRING) END AS hunk_id,
+  CASE WHEN doc_id % 17 = 4 THEN -1 ELSE doc_id % 23 END AS line_in_hunk FROM {d.t('documents')}"""
+
+
+def _hunk_lines(spark, sf_dir):
+    lines = table(spark, sf_dir, "patch_lines").groupBy("path", "hunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.concat("mark", "content").alias("line")))), lambda x: x["line"]).alias("lines"))
+    return lines.withColumn("hunk_id", F.concat(F.lit("h"), c("hunk").cast("string")))
+
+
+def _positions(spark, sf_dir):
+    from .dialect import Dialect
+
+    return diff.comment_positions(spark.sql(_anchors(Dialect(sf_dir))), _hunk_lines(spark, sf_dir))
+
+
+POSITIONS = """
+SELECT ord, file_path, hunk_id, line_in_hunk, CASE WHEN reason IS NULL THEN CAST(before + target + 2 AS BIGINT) END AS position, CASE WHEN reason IS NULL THEN target <> line_in_hunk ELSE reason LIKE 'Target%' END AS adjusted, reason AS failure_reason FROM (
+  SELECT x.*, CASE WHEN hunk_id IS NULL THEN 'not anchored' WHEN file IS NULL THEN 'No patch found for file: ' || file_path WHEN n IS NULL THEN 'Hunk not found: ' || hunk_id WHEN line_in_hunk < 0 THEN 'line_in_hunk cannot be negative: ' || CAST(line_in_hunk AS STRING)
+    WHEN line_in_hunk >= n THEN 'line_in_hunk ' || CAST(line_in_hunk AS STRING) || ' is out of range (hunk has ' || CAST(n AS STRING) || ' lines)' WHEN target IS NULL THEN 'Target line is a deletion and no valid adjacent line found' END AS reason FROM (
+    SELECT a.ord, a.file_path, a.hunk_id, a.line_in_hunk, max(f.path) AS file, max(h.n) AS n, max(h.before) AS before, coalesce(min(CASE WHEN p.mark <> '-' AND p.idx >= a.line_in_hunk THEN p.idx END), max(CASE WHEN p.mark <> '-' AND p.idx < a.line_in_hunk THEN p.idx END)) AS target
+    FROM ({anchors}) a LEFT JOIN (SELECT DISTINCT path FROM hunks) f ON ' /' || f.path = a.file_path
+      LEFT JOIN (SELECT path, hunk, n_lines AS n, coalesce(sum(n_lines + 1) OVER (PARTITION BY path ORDER BY hunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM hunks) h ON h.path = f.path AND 'h' || CAST(h.hunk AS STRING) = a.hunk_id
+      LEFT JOIN patch_lines p ON p.path = h.path AND p.hunk = h.hunk GROUP BY a.ord, a.file_path, a.hunk_id, a.line_in_hunk) x) y"""
+
+
+@frame("diff_position_reasons", lambda d: POSITIONS.format(anchors=_anchors(d)), "hunks", "patch_lines")
+def diff_position_reasons(spark, sf_dir):
+    return _positions(spark, sf_dir).select("ord", "file_path", "hunk_id", "line_in_hunk", "position", "adjusted", "failure_reason")
+
+
+@frame("findings_split", lambda d: f"""
+SELECT count(position) AS anchored, count(*) - count(position) AS unanchored, count(*) FILTER (hunk_id IS NOT NULL) AS calculations, count(*) FILTER (hunk_id IS NOT NULL AND position IS NULL) AS failures, count(*) FILTER (adjusted AND position IS NOT NULL) AS adjustments
+FROM ({POSITIONS.format(anchors=_anchors(d))}) z""", "hunks", "patch_lines")
+def findings_split(spark, sf_dir):
+    return diff.split_counts(_positions(spark, sf_dir))
+
+
+@frame("line_number_from_hunk", lambda d: """
 SELECT p.path, p.hunk, p.idx, CAST(h.new_start + coalesce(sum(CASE WHEN p.mark = '-' THEN 0 ELSE 1 END) OVER (PARTITION BY p.path, p.hunk ORDER BY p.idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line
-FROM patch_lines p JOIN hunks h ON h.path = p.path AND h.hunk = p.hunk""")
-both("diff_file_totals", "hunks")(lambda d: "SELECT path, count(*) AS n_hunks, CAST(sum(additions) AS BIGINT) AS additions, CAST(sum(deletions) AS BIGINT) AS deletions, CAST(sum(additions + deletions) AS BIGINT) AS changed FROM hunks GROUP BY path")
-both("pr_size_flags", "hunks")(lambda d: """
+FROM patch_lines p JOIN hunks h ON h.path = p.path AND h.hunk = p.hunk""", "patch_lines", "hunks")
+def line_number_from_hunk(spark, sf_dir):
+    lines = table(spark, sf_dir, "patch_lines").join(table(spark, sf_dir, "hunks").select("path", "hunk", "new_start"), ["path", "hunk"])
+    before = F.sum((c("mark") != "-").cast("long")).over(Window.partitionBy("path", "hunk").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
+    return lines.select("path", "hunk", "idx", (c("new_start") + F.coalesce(before, F.lit(0))).cast("long").alias("line"))
+
+
+@frame("diff_file_totals", lambda d: "SELECT path, count(*) AS n_hunks, CAST(sum(additions) AS BIGINT) AS additions, CAST(sum(deletions) AS BIGINT) AS deletions, CAST(sum(additions + deletions) AS BIGINT) AS changed FROM hunks GROUP BY path", "hunks")
+def diff_file_totals(spark, sf_dir):
+    return diff.file_totals(table(spark, sf_dir, "hunks"))
+
+
+@frame("pr_size_flags", lambda d: """
 SELECT pr, count(DISTINCT path) AS files, CAST(sum(additions + deletions) AS BIGINT) AS changes, count(DISTINCT path) > 25 OR sum(additions + deletions) > 500 AS is_large, count(DISTINCT path) > 50 AS rejected,
-  count(DISTINCT path) > 50 OR sum(additions + deletions) > 2500 AS skip FROM (SELECT *, doc_id % 20 AS pr FROM hunks) h GROUP BY pr""")
-both("patch_accessors", "hunks")(lambda d: "SELECT path, sum(additions + deletions) > 0 AS has_code_changes, CAST(sum(additions + deletions) AS BIGINT) AS total_lines_changed FROM hunks GROUP BY path")
-both("changed_line_union", "changed_lines")(lambda d: f"SELECT path, {d.joined_set('line')} AS lines FROM changed_lines WHERE path LIKE 'ASIA/%' GROUP BY path")
-both("hunk_header_parse", "hunks")(lambda d: f"""
-SELECT path, hunk, CAST(coalesce(nullif({d.extract('header', '^@@ -([0-9]+)(?:,([0-9]+))? [+]([0-9]+)(?:,([0-9]+))? @@', 2)}, ''), '1') AS BIGINT) AS old_count, CAST({d.extract('header', '^@@ -([0-9]+)(?:,([0-9]+))? [+]([0-9]+)(?:,([0-9]+))? @@', 3)} AS BIGINT) AS new_start
-FROM (SELECT path, hunk, '@@ -' || CAST(old_start AS STRING) || CASE WHEN hunk % 2 = 0 THEN ',' || CAST(CAST(old_count AS BIGINT) AS STRING) ELSE '' END || ' +' || CAST(new_start AS STRING) || ' @@ x' AS header FROM hunks) x""")
+  count(DISTINCT path) > 50 OR sum(additions + deletions) > 2500 AS skip FROM (SELECT *, doc_id % 20 AS pr FROM hunks) h GROUP BY pr""", "hunks")
+def pr_size_flags(spark, sf_dir):
+    return diff.size_flags(table(spark, sf_dir, "hunks").withColumn("pr", c("doc_id") % 20), "pr")
+
+
+@frame("patch_accessors", lambda d: "SELECT path, sum(additions + deletions) > 0 AS has_code_changes, CAST(sum(additions + deletions) AS BIGINT) AS total_lines_changed FROM hunks GROUP BY path", "hunks")
+def patch_accessors(spark, sf_dir):
+    return diff.file_totals(table(spark, sf_dir, "hunks")).select("path", (c("changed") > 0).alias("has_code_changes"), c("changed").alias("total_lines_changed"))
+
+
+@frame("changed_line_union", lambda d: f"SELECT path, {d.joined_set('line')} AS lines FROM changed_lines GROUP BY path", "changed_lines")
+def changed_line_union(spark, sf_dir):
+    return table(spark, sf_dir, "changed_lines").groupBy("path").agg(F.array_join(validate.changed_line_list(F.collect_list("line")), ",").alias("lines"))
+
+
+@frame("hunk_header_parse", lambda d: "SELECT path, hunk, CASE WHEN hunk % 2 = 0 THEN CAST(old_count AS BIGINT) ELSE 1 END AS old_count, CAST(new_start AS BIGINT) AS new_start FROM hunks", "hunks")
+def hunk_header_parse(spark, sf_dir):
+    size = F.when(c("hunk") % 2 == 0, F.concat(F.lit(","), c("old_count").cast("long").cast("string"))).otherwise("")
+    header = F.concat(F.lit("@@ -"), c("old_start").cast("string"), size, F.lit(" +"), c("new_start").cast("string"), F.lit(" @@ x"))
+    return table(spark, sf_dir, "hunks").select("path", "hunk", diff.header_part(header, 2, 1).alias("old_count"), diff.header_part(header, 3, 1).alias("new_start"))
 
 
 # --- overlap and seeds --------------------------------------------------------------------------------------------------
@@ -112,68 +191,145 @@ def seed_overlap_ratio(spark, sf_dir):
     return graph.overlaps(table(spark, sf_dir, "kg_symbols"), table(spark, sf_dir, "changed_lines"), 0.25)
 
 
-both("seed_overlap_counts", "kg_symbols", "changed_lines")(lambda d: "SELECT s.path, count(*) AS hits, count(DISTINCT s.node_id) AS symbols FROM kg_symbols s JOIN changed_lines c ON c.path = s.path AND c.line BETWEEN s.start_line AND s.end_line GROUP BY s.path")
-both("seed_file_reasons", "kg_files", "changed_lines", "kg_symbols")(lambda d: """
+@frame("seed_overlap_counts", lambda d: "SELECT s.path, count(*) AS hits, count(DISTINCT s.node_id) AS symbols FROM kg_symbols s JOIN changed_lines c ON c.path = s.path AND c.line BETWEEN s.start_line AND s.end_line GROUP BY s.path", "kg_symbols", "changed_lines")
+def seed_overlap_counts(spark, sf_dir):
+    return graph.overlap_counts(table(spark, sf_dir, "kg_symbols"), table(spark, sf_dir, "changed_lines"))
+
+
+@frame("seed_file_reasons", lambda d: """
 SELECT f.path, CASE WHEN f.path LIKE '%7.py' THEN 'file_deleted' WHEN f.path LIKE '%3.py' THEN 'binary_file' WHEN l.path IS NULL THEN 'patch_missing' WHEN o.path IS NULL THEN 'no_symbol_match' ELSE 'seeded' END AS reason
-FROM kg_files f LEFT JOIN (SELECT DISTINCT path FROM changed_lines) l ON l.path = f.path LEFT JOIN (SELECT DISTINCT s.path FROM kg_symbols s JOIN changed_lines c ON c.path = s.path AND c.line BETWEEN s.start_line AND s.end_line) o ON o.path = f.path WHERE f.kind = 'file'""")
-both("seed_languages", "seeds")(lambda d: f"SELECT {d.joined_set('kind')} AS kinds, count(DISTINCT path) AS files, count(DISTINCT kind) AS n_kinds FROM seeds")
-both("seed_paths_union", "seeds", "candidates")(lambda d: "SELECT path FROM seeds UNION SELECT file_path FROM candidates")
-both("line_intersection", "changed_lines", "seeds")(lambda d: "SELECT DISTINCT c.path, c.line FROM changed_lines c JOIN seeds s ON s.path = c.path AND c.line BETWEEN s.start_line AND s.end_line")
-both("seed_priority", "seeds")(lambda d: """
-SELECT node_id, CASE kind WHEN 'class' THEN 1 WHEN 'function' THEN 2 WHEN 'method' THEN 2 ELSE 3 END AS priority, CASE WHEN end_line - start_line > 30 THEN 'high' WHEN end_line - start_line > 10 THEN 'medium' ELSE 'low' END AS complexity,
-  CASE WHEN kind IN ('class', 'interface') THEN 'contains' ELSE 'callers' END AS strategy FROM seeds""")
-both("candidate_enrich", "candidates", "seeds")(lambda d: """
-SELECT c.src, c.item_id, s.name IS NOT NULL AS is_seed_symbol, coalesce(s.priority, 5) AS seed_priority FROM candidates c LEFT JOIN (SELECT name, min(seed_id % 5) AS priority FROM seeds GROUP BY name) s ON s.name = c.symbol_name""")
-both("seed_affected", "seeds", "changed_lines")(lambda d: "SELECT s.node_id, c.path IS NOT NULL AS affected_by_patch FROM seeds s LEFT JOIN (SELECT DISTINCT path FROM changed_lines) c ON c.path = s.path")
+FROM kg_files f LEFT JOIN (SELECT DISTINCT path FROM changed_lines) l ON l.path = f.path LEFT JOIN (SELECT DISTINCT s.path FROM kg_symbols s JOIN changed_lines c ON c.path = s.path AND c.line BETWEEN s.start_line AND s.end_line) o ON o.path = f.path WHERE f.kind = 'file'""", "kg_files", "changed_lines", "kg_symbols")
+def seed_file_reasons(spark, sf_dir):
+    files = table(spark, sf_dir, "kg_files").where("kind = 'file'").select("path", F.when(c("path").endswith("7.py"), "removed").otherwise("modified").alias("change_type"), c("path").endswith("3.py").alias("binary"))
+    return review.file_reasons(files, table(spark, sf_dir, "changed_lines"), graph.overlap_counts(table(spark, sf_dir, "kg_symbols"), table(spark, sf_dir, "changed_lines"))).select("path", "reason")
+
+
+@frame("seed_languages", lambda d: f"SELECT {d.joined_set('kind')} AS kinds, count(DISTINCT path) AS files, count(DISTINCT kind) AS n_kinds FROM seeds", "seeds")
+def seed_languages(spark, sf_dir):
+    seeds = table(spark, sf_dir, "seeds")
+    return seeds.agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.count_distinct("path").alias("files"), F.count_distinct("kind").alias("n_kinds"))
+
+
+@frame("seed_paths_union", lambda d: "SELECT path FROM seeds UNION SELECT file_path FROM candidates", "seeds", "candidates")
+def seed_paths_union(spark, sf_dir):
+    return table(spark, sf_dir, "seeds").select("path").union(table(spark, sf_dir, "candidates").select("file_path")).distinct()
+
+
+@frame("line_intersection", lambda d: "SELECT DISTINCT c.path, c.line FROM changed_lines c JOIN seeds s ON s.path = c.path AND c.line BETWEEN s.start_line AND s.end_line", "changed_lines", "seeds")
+def line_intersection(spark, sf_dir):
+    return graph.lines_inside(table(spark, sf_dir, "changed_lines"), table(spark, sf_dir, "seeds"))
+
+
+@frame("seed_priority", lambda d: """
+SELECT s.node_id, CASE WHEN c.path IS NOT NULL THEN 1 WHEN s.kind IN ('function', 'method', 'class') THEN 2 ELSE 3 END AS priority, CASE s.kind WHEN 'class' THEN 'high' WHEN 'variable' THEN 'low' WHEN 'constant' THEN 'low' ELSE 'medium' END AS complexity,
+  s.kind = 'function' OR s.kind = 'method' AS needs_callers, s.kind = 'class' AS needs_inheritance, CASE s.kind WHEN 'class' THEN 2 ELSE 1 END AS max_hops FROM seeds s LEFT JOIN (SELECT DISTINCT path FROM changed_lines WHERE line % 50 = 1) c ON c.path = s.path""", "seeds", "changed_lines")
+def seed_priority(spark, sf_dir):
+    changed = table(spark, sf_dir, "changed_lines").where("line % 50 = 1").select("path").distinct().withColumn("changed", F.lit(True))
+    return review.analysed(table(spark, sf_dir, "seeds").join(changed, "path", "left").withColumn("changed", F.coalesce("changed", F.lit(False)))).select("node_id", "priority", "complexity", "needs_callers", "needs_inheritance", "max_hops")
+
+
+@frame("candidate_enrich", lambda d: """
+SELECT c.src, c.item_id, s.name IS NOT NULL AS is_seed_symbol, coalesce(s.priority, 5) AS seed_priority FROM candidates c LEFT JOIN (SELECT name, min(seed_id % 5) AS priority FROM seeds GROUP BY name) s ON s.name = c.symbol_name""", "candidates", "seeds")
+def candidate_enrich(spark, sf_dir):
+    seeds = table(spark, sf_dir, "seeds").withColumn("priority", c("seed_id") % 5)
+    return pack.enriched(table(spark, sf_dir, "candidates"), seeds).select("src", "item_id", "is_seed_symbol", "seed_priority")
+
+
+@frame("seed_affected", lambda d: "SELECT s.node_id, c.path IS NOT NULL AS affected_by_patch FROM seeds s LEFT JOIN (SELECT DISTINCT path FROM changed_lines) c ON c.path = s.path", "seeds", "changed_lines")
+def seed_affected(spark, sf_dir):
+    changed = table(spark, sf_dir, "changed_lines").select("path").distinct().withColumn("_hit", F.lit(True))
+    return table(spark, sf_dir, "seeds").join(changed, "path", "left").select("node_id", c("_hit").isNotNull().alias("affected_by_patch"))
+
 
 # --- ranking ------------------------------------------------------------------------------------------------------------
-both("rank_path_similarity", "candidates", "kg_edges")(lambda d: f"""
-SELECT item_id, src, round(CAST({d.size(f"array_intersect({d.split('file_path', '/')}, {d.split('own', '/')})" if d.spark else f"list_intersect({d.split('file_path', '/')}, {d.split('own', '/')})")} AS DOUBLE) / {d.size(f"array_union({d.split('file_path', '/')}, {d.split('own', '/')})" if d.spark else f"list_distinct(list_concat({d.split('file_path', '/')}, {d.split('own', '/')}))")}, 6) AS similarity
-FROM (SELECT c.item_id, c.src, c.file_path, e.src AS own FROM candidates c JOIN kg_edges e ON e.dst = c.src AND e.edge_type = 'HAS_SYMBOL') x""")
+def _files(spark, sf_dir):
+    return table(spark, sf_dir, "kg_files").where("kind = 'file'").select("path")
+
 
+@frame("rank_path_similarity", lambda d: """
+SELECT f.path, round(max(CAST(len(list_intersect(string_split(f.path, '/'), string_split(s.path, '/'))) AS DOUBLE) / len(list_distinct(list_concat(string_split(f.path, '/'), string_split(s.path, '/'))))), 6) AS similarity
+FROM kg_files f CROSS JOIN (SELECT DISTINCT path FROM seeds) s WHERE f.kind = 'file' GROUP BY f.path""", "kg_files", "seeds")
+def rank_path_similarity(spark, sf_dir):
+    return rank.path_similarities(_files(spark, sf_dir), table(spark, sf_dir, "seeds").select("path")).select("path", F.round("similarity", 6).alias("similarity"))
 
-@frame("rank_file_distance", lambda d: """
-SELECT a, b, round(CASE WHEN a = b THEN 0.0E0 WHEN split_part(a, '/', 1) <> split_part(b, '/', 1) THEN 1.0E0 WHEN split_part(a, '/', 2) <> split_part(b, '/', 2) THEN 1 - 1 / 3.0E0 ELSE 1 - 2 / 3.0E0 END, 6) AS distance
-FROM (SELECT s.path AS a, t.path AS b FROM seeds s JOIN (SELECT path, row_number() OVER (ORDER BY path) % 40 AS k FROM kg_files WHERE kind = 'file' AND path NOT LIKE 'lib/%') t ON t.k = s.seed_id % 40) x""", "seeds", "kg_files")
+
+DISTANCE = """SELECT f.path, min(1 - CASE WHEN split_part(f.path, '/', 1) <> split_part(s.path, '/', 1) THEN 0 WHEN split_part(f.path, '/', 2) <> split_part(s.path, '/', 2) OR f.path LIKE 'lib/%' THEN 1 ELSE 2 END / 3.0E0) AS distance
+FROM kg_files f CROSS JOIN (SELECT DISTINCT path FROM seeds) s WHERE f.kind = 'file' GROUP BY f.path"""
+
+
+@frame("rank_file_distance", lambda d: f"SELECT path, round(distance, 6) AS distance FROM ({DISTANCE}) x", "kg_files", "seeds")
 def rank_file_distance(spark, sf_dir):
-    files = spark.sql("SELECT path AS b, row_number() OVER (ORDER BY path) % 40 AS k FROM {f} WHERE kind = 'file' AND path NOT LIKE 'lib/%'", f=table(spark, sf_dir, "kg_files"))
-    pairs = table(spark, sf_dir, "seeds").select(c("path").alias("a"), (c("seed_id") % 40).alias("k")).join(files, "k")
-    return pairs.select("a", "b", F.round(scalar.file_distance(c("a"), c("b")), 6).alias("distance"))
+    return rank.file_distances(_files(spark, sf_dir), table(spark, sf_dir, "seeds").select("path")).select("path", F.round("distance", 6).alias("distance"))
 
 
 LINES = "{lines}"
 
 
 @frame("rank_complexity", lambda d: f"""
-SELECT doc_id, round(least(1.0E0, CAST(sum(CASE WHEN {d.matches('ltrim(content)', '^(if |elif |else:|for |while |try:|except:|with |def |function |class )')} THEN 1 ELSE 0 END) AS DOUBLE) / count(*)), 6) AS complexity FROM doc_lines GROUP BY doc_id""", "doc_lines")
+SELECT doc_id, round(least(1.0E0, CAST(sum(CASE WHEN {d.matches('content', 'if |elif |else:|for |while |try:|except:|with ')} THEN 1 ELSE 0 END + CASE WHEN {d.matches('content', 'def |function |class ')} THEN 1 ELSE 0 END) AS DOUBLE) / count(*)), 6) AS complexity FROM doc_lines GROUP BY doc_id""", "doc_lines")
 def rank_complexity(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.round(scalar.complexity(c("text")), 6).alias("complexity"))
 
 
-@frame("rank_score", lambda d: """
-SELECT src, item_id, round(least(1.0E0, greatest(0.0E0, (CASE WHEN is_seed THEN 0.9E0 ELSE 0.0E0 END + CASE WHEN same THEN 0.7E0 ELSE greatest(0.0E0, 0.5E0 * (1 - strength)) END
-  + CASE WHEN calls > 0 THEN 0.6E0 * (0.8E0 + least(0.2E0, 0.05E0 * calls)) ELSE 0.0E0 END + CASE WHEN doc THEN 0.1E0 ELSE 0.0E0 END + CASE WHEN test THEN 0.15E0 ELSE 0.0E0 END + CASE WHEN main THEN 0.1E0 ELSE 0.0E0 END
-  + CASE WHEN strength > 0.3 THEN 0.15E0 * strength ELSE 0.0E0 END - CASE WHEN strength > 0.7 THEN 0.05E0 ELSE 0.0E0 END) * 1.0E0)), 6) AS score
-FROM (SELECT src, item_id, is_seed, strength, priority = 1 AS same, priority - 2 AS calls, priority = 3 AS doc, priority = 4 AS test, symbol_type IN ('class', 'interface') AS main FROM candidates) x""", "candidates")
+@frame("rank_score")
 def rank_score(spark, sf_dir):
-    parts = {"seed": c("is_seed"), "same_file": c("priority") == 1, "distance": c("strength"), "calls": c("priority") - 2, "relation": F.lit(0.8), "doc": c("priority") == 3, "test": c("priority") == 4, "main": c("symbol_type").isin("class", "interface"), "path_sim": c("strength"), "complexity": c("strength"), "extension": F.lit(1.0)}
-    return table(spark, sf_dir, "candidates").select("src", "item_id", F.round(review.relevance(parts), 6).alias("score"))
+    """All candidates by all features, name similarity included, which SQL can't express; tests hold the score against brute force."""
+    seeds = table(spark, sf_dir, "seeds").select("path", "name")
+    names = text.best_name_similarity(table(spark, sf_dir, "kg_symbols").select(F.lower("name").alias("name")).distinct(), seeds.select(F.lower("name").alias("name")))
+    cands = table(spark, sf_dir, "candidates").withColumn("relationship_type", F.lit("CALLS")).withColumn("calls", c("priority") - 1)
+    return rank.scored(cands, seeds, names).select("src", "item_id", F.round("score", 6).alias("score"))
+
+
+@frame("rank_dedup", lambda d: """
+SELECT file_path, symbol_name, item_id, src FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(nullif(item_id, ''), file_path || ':' || symbol_name) ORDER BY priority, src) AS r FROM candidates) x WHERE r = 1""", "candidates")
+def rank_dedup(spark, sf_dir):
+    return pack.deduplicated(table(spark, sf_dir, "candidates"), ["priority", "src"]).select("file_path", "symbol_name", "item_id", "src")
 
 
-both("rank_dedup", "candidates")(lambda d: """
-SELECT file_path, symbol_name, item_id, src FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(nullif(item_id, ''), file_path || ':' || symbol_name) ORDER BY priority, src) AS r FROM candidates) x WHERE r = 1""")
-both("rank_stats", "candidates")(lambda d: """
+@frame("rank_stats", lambda d: """
 SELECT count(*) AS n, sum(CASE WHEN strength > 0.7 THEN 1 ELSE 0 END) AS high, sum(CASE WHEN strength >= 0.4 AND strength <= 0.7 THEN 1 ELSE 0 END) AS medium, sum(CASE WHEN strength >= 0.1 AND strength < 0.4 THEN 1 ELSE 0 END) AS low,
-  sum(CASE WHEN strength < 0.1 THEN 1 ELSE 0 END) AS minimal, round(avg(strength), 6) AS mean, min(strength) AS least, max(strength) AS most FROM candidates""")
-both("rank_threshold_keep_errors", "candidates")(lambda d: "SELECT src, item_id, CASE WHEN priority = 5 THEN 0.01E0 ELSE strength END AS score FROM candidates WHERE strength >= 0.1 OR priority = 5")
-both("rank_fallback_score", "candidates")(lambda d: "SELECT src, item_id, round(greatest(0.1E0, 1 - 0.1E0 * (row_number() OVER (PARTITION BY src ORDER BY priority, item_id) - 1)), 6) AS score FROM candidates")
-both("rank_simple_fallback", "candidates")(lambda d: """
-SELECT src, item_id, round(least(1.0E0, CASE WHEN is_seed THEN 0.8E0 WHEN priority = 1 THEN 0.6E0 WHEN symbol_type IN ('function', 'method') THEN 0.3E0 WHEN symbol_type = 'class' THEN 0.2E0 ELSE 0.1E0 END + greatest(0.0E0, 0.2E0 - 0.05E0 * 2)), 6) AS score FROM candidates""")
-both("snippet_seed_fallback", "candidates")(lambda d: "SELECT src, item_id, coalesce(CASE WHEN priority > 2 THEN code_snippet END, CASE WHEN is_seed THEN code_snippet END, '# ' || symbol_name) AS snippet FROM candidates")
-both("snippet_mock", "candidates")(lambda d: "SELECT DISTINCT item_id, '# mock content of ' || file_path || ' lines ' || CAST(start_line AS STRING) || '-' || CAST(end_line AS STRING) AS snippet FROM candidates")
+  sum(CASE WHEN strength < 0.1 THEN 1 ELSE 0 END) AS minimal, round(avg(strength), 6) AS mean, min(strength) AS least, max(strength) AS most FROM candidates""", "candidates")
+def rank_stats(spark, sf_dir):
+    return pack.score_classes(table(spark, sf_dir, "candidates"), "strength")
+
+
+@frame("rank_threshold_keep_errors", lambda d: "SELECT src, item_id, CASE WHEN priority = 5 THEN 0.01E0 ELSE strength END AS score FROM candidates WHERE strength >= 0.1 OR priority = 5", "candidates")
+def rank_threshold_keep_errors(spark, sf_dir):
+    return pack.relevant(table(spark, sf_dir, "candidates").withColumn("score", c("strength")), "score", c("priority") == 5).select("src", "item_id", "score")
+
+
+@frame("rank_fallback_score", lambda d: "SELECT src, item_id, round(greatest(0.1E0, 1 - 0.1E0 * (row_number() OVER (PARTITION BY src ORDER BY priority, item_id) - 1)), 6) AS score FROM candidates", "candidates")
+def rank_fallback_score(spark, sf_dir):
+    return pack.place_score(table(spark, sf_dir, "candidates"), "src").select("src", "item_id", "score")
+
+
+@frame("rank_simple_fallback", lambda d: """
+SELECT src, item_id, round(least(1.0E0, CASE WHEN is_seed THEN 0.8E0 WHEN priority = 1 THEN 0.6E0 WHEN symbol_type IN ('function', 'method') THEN 0.3E0 WHEN symbol_type = 'class' THEN 0.2E0 ELSE 0.1E0 END + greatest(0.0E0, 0.2E0 - 0.05E0 * 2)), 6) AS score FROM candidates""", "candidates")
+def rank_simple_fallback(spark, sf_dir):
+    return table(spark, sf_dir, "candidates").select("src", "item_id", F.round(pack.simple_score(c("is_seed"), c("priority") == 1, c("symbol_type")), 6).alias("score"))
+
+
+@frame("snippet_seed_fallback", lambda d: "SELECT src, item_id, md5(coalesce(CASE WHEN priority > 2 THEN code_snippet END, CASE WHEN is_seed THEN code_snippet END, '# ' || symbol_name)) AS snippet FROM candidates", "candidates")
+def snippet_seed_fallback(spark, sf_dir):
+    code = c("code_snippet")
+    return table(spark, sf_dir, "candidates").select("src", "item_id", F.md5(pack.snippet_or_fallback(F.when(c("priority") > 2, code), F.when(c("is_seed"), code), c("symbol_name"))).alias("snippet"))
+
+
+@frame("snippet_mock", lambda d: "SELECT DISTINCT item_id, '# mock content of ' || file_path || ' lines ' || CAST(start_line AS STRING) || '-' || CAST(end_line AS STRING) AS snippet FROM candidates", "candidates")
+def snippet_mock(spark, sf_dir):
+    return table(spark, sf_dir, "candidates").select("item_id", pack.mock_snippet(c("file_path"), c("start_line"), c("end_line")).alias("snippet")).distinct()
+
 
 # --- snippets and budgets -----------------------------------------------------------------------------------------------
-both("snippet_slice", "doc_lines")(lambda d: "SELECT doc_id, n, content FROM doc_lines WHERE n BETWEEN doc_id % 5 + 1 AND doc_id % 5 + 51")
+
+
+@frame("snippet_slice", lambda d: """
+SELECT doc_id, CAST(doc_id % 5 + 1 AS BIGINT) AS first_line, CASE WHEN doc_id % 5 + 1 <= n THEN CAST(least(doc_id % 5 + 51, n) AS BIGINT) END AS last_line, md5(CASE WHEN doc_id % 5 + 1 <= n THEN array_to_string(list_slice(lines, CAST(doc_id % 5 + 1 AS INT), CAST(least(doc_id % 5 + 51, n) AS INT)), chr(10)) || CASE WHEN doc_id % 5 + 51 < n OR ended THEN chr(10) ELSE '' END ELSE '' END) AS content,
+  CASE WHEN doc_id % 5 + 1 > n THEN 'starts behind the end' END AS error FROM (SELECT doc_id, ended, CASE WHEN ended THEN list_slice(l, 1, len(l) - 1) ELSE l END AS lines, len(l) - CASE WHEN ended THEN 1 ELSE 0 END AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l, text LIKE '%' || chr(10) AS ended FROM documents WHERE text IS NOT NULL) y) x""", "doc_lines")
+def snippet_slice(spark, sf_dir):
+    cands = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.concat("source", F.lit("/"), c("doc_id").cast("string")).alias("file_path"), (c("doc_id") % 5 + 1).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"), F.lit(None).cast("int").alias("max_lines"))
+    files = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.concat("source", F.lit("/"), c("doc_id").cast("string")).alias("path"), F.octet_length("text").cast("long").alias("length"), c("text").cast("binary").alias("content"))
+    return snippets.snippets(cands, files).select("doc_id", "first_line", "last_line", F.md5("content").alias("content"), "error")
 
 
 @frame("snippet_truncate_lines", lambda d: f"""
@@ -213,41 +369,139 @@ def pack_prefix_budget(spark, sf_dir):
     return review.prefix_budget(_sized(spark, sf_dir), "pack", ["priority", "_down", "item_id"], "chars", 6000).select("pack", "item_id", "running")
 
 
-both("prompt_budget", "candidates")(lambda d: """
+@frame("prompt_budget", lambda d: """
 SELECT pack, item_id, CASE WHEN running <= 6000 THEN chars ELSE 6000 - (running - chars) END AS kept FROM (
   SELECT pack, item_id, CAST(length(code_snippet) AS BIGINT) AS chars, CAST(sum(length(code_snippet)) OVER (PARTITION BY pack ORDER BY priority, -strength, item_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM candidates) x
-WHERE running <= 6000 OR 6000 - (running - chars) > 500""")
-both("budget_estimate", "candidates")(lambda d: "SELECT pack, count(*) AS items, CAST(sum(length(code_snippet)) AS BIGINT) AS chars, CAST(sum(least(length(code_snippet), 2000)) AS BIGINT) AS after_truncation, count(*) > 35 OR sum(least(length(code_snippet), 2000)) > 120000 AS exceeded FROM candidates GROUP BY pack")
-both("pack_fallback_select", "candidates")(lambda d: """
+WHERE running <= 6000 OR 6000 - (running - chars) > 500""", "candidates")
+def prompt_budget(spark, sf_dir):
+    return pack.cut_to_budget(table(spark, sf_dir, "candidates").withColumn("chars", F.length("code_snippet").cast("long")), "pack", [c("priority"), c("strength").desc(), c("item_id")], "chars", 6000).select("pack", "item_id", "kept")
+
+
+@frame("budget_estimate", lambda d: "SELECT pack, count(*) AS items, CAST(sum(length(code_snippet)) AS BIGINT) AS chars, CAST(sum(least(length(code_snippet), 2000)) AS BIGINT) AS after_truncation, count(*) > 35 OR sum(least(length(code_snippet), 2000)) > 120000 AS exceeded FROM candidates GROUP BY pack", "candidates")
+def budget_estimate(spark, sf_dir):
+    return pack.estimate(table(spark, sf_dir, "candidates").withColumn("chars", F.length("code_snippet").cast("long")), "pack", "chars")
+
+
+@frame("pack_fallback_select", lambda d: """
 SELECT pack, item_id, score FROM (SELECT pack, item_id, CASE WHEN is_seed THEN 0.8E0 WHEN priority = 1 THEN 0.6E0 ELSE 0.3E0 END AS score, is_seed OR priority = 1 AS sure, row_number() OVER (PARTITION BY pack, is_seed OR priority = 1 ORDER BY priority, item_id) AS r, row_number() OVER (PARTITION BY pack ORDER BY priority, item_id) AS scan FROM candidates) x
-WHERE scan <= 12 AND (sure OR r <= 3)""")
-both("pack_min_context", "candidates")(lambda d: """
-SELECT pack, item_id FROM (SELECT pack, item_id, row_number() OVER (PARTITION BY pack ORDER BY is_seed DESC, item_id) AS r, sum(CASE WHEN strength >= 0.95 THEN 1 ELSE 0 END) OVER (PARTITION BY pack) AS selected FROM candidates) x WHERE r = 1 AND selected = 0""")
-both("prompt_items_topn", "candidates")(lambda d: "SELECT pack, item_id, r FROM (SELECT pack, item_id, row_number() OVER (PARTITION BY pack ORDER BY priority, -strength, item_id) AS r FROM candidates) x WHERE r <= 3")
-both("array_caps", "candidates")(lambda d: "SELECT pack, count(*) AS kept FROM (SELECT pack, row_number() OVER (PARTITION BY pack ORDER BY item_id) AS r FROM candidates) x WHERE r <= 10 GROUP BY pack")
-both("pack_totals", "candidates")(lambda d: "SELECT pack, symbol_type, count(*) AS n, CAST(sum(length(code_snippet)) AS BIGINT) AS chars FROM candidates GROUP BY pack, symbol_type")
-both("pack_rates", "candidates")(lambda d: "SELECT pack, round(coalesce(CAST(sum(CASE WHEN length(code_snippet) > 2000 THEN 1 ELSE 0 END) AS DOUBLE) / nullif(count(*), 0) * 100, 0), 4) AS truncation_rate, round(coalesce(CAST(sum(CASE WHEN is_seed THEN 1 ELSE 0 END) AS DOUBLE) / nullif(count(*), 0) * 100, 0), 4) AS seed_rate FROM candidates GROUP BY pack")
-both("items_by_type_source", "candidates")(lambda d: "SELECT symbol_type, is_seed, count(*) AS n FROM candidates GROUP BY symbol_type, is_seed")
-both("pipeline_quality_ratios", "candidates", "seeds")(lambda d: """
+WHERE scan <= 12 AND (sure OR r <= 3)""", "candidates")
+def pack_fallback_select(spark, sf_dir):
+    return pack.fallback_selection(table(spark, sf_dir, "candidates"), "pack", 6, 3).select("pack", "item_id", "score")
+
+
+@frame("pack_min_context", lambda d: """
+SELECT pack, item_id FROM (SELECT pack, item_id, row_number() OVER (PARTITION BY pack ORDER BY is_seed DESC, item_id) AS r, sum(CASE WHEN strength >= 0.95 THEN 1 ELSE 0 END) OVER (PARTITION BY pack) AS selected FROM candidates) x WHERE r = 1 AND selected = 0""", "candidates")
+def pack_min_context(spark, sf_dir):
+    return pack.least_context(table(spark, sf_dir, "candidates"), "pack", c("strength") >= 0.95).select("pack", "item_id")
+
+
+@frame("prompt_items_topn", lambda d: "SELECT pack, item_id, r FROM (SELECT pack, item_id, row_number() OVER (PARTITION BY pack ORDER BY priority, -strength, item_id) AS r FROM candidates) x WHERE r <= 3", "candidates")
+def prompt_items_topn(spark, sf_dir):
+    return pack.in_order(table(spark, sf_dir, "candidates"), "pack", 3).select("pack", "item_id", "r")
+
+
+@frame("array_caps", lambda d: "SELECT pack, string_agg(item_id, ',' ORDER BY item_id) AS kept FROM (SELECT DISTINCT pack, item_id, dense_rank() OVER (PARTITION BY pack ORDER BY item_id) AS r FROM candidates) x WHERE r <= 3 GROUP BY pack", "candidates")
+def array_caps(spark, sf_dir):
+    return pack.capped(table(spark, sf_dir, "candidates"), "pack", "item_id", 3).select("pack", F.array_join("values", ",").alias("kept"))
+
+
+
+
+@frame("pack_totals", lambda d: "SELECT pack, symbol_type, count(*) AS n, CAST(sum(length(code_snippet)) AS BIGINT) AS chars FROM candidates GROUP BY pack, symbol_type", "candidates")
+def pack_totals(spark, sf_dir):
+    return pack.totals(table(spark, sf_dir, "candidates").withColumn("chars", F.length("code_snippet").cast("long")), "pack", "symbol_type", "chars")
+
+
+@frame("pack_rates", lambda d: "SELECT pack, round(coalesce(CAST(sum(CASE WHEN length(code_snippet) > 2000 THEN 1 ELSE 0 END) AS DOUBLE) / nullif(count(*), 0) * 100, 0), 4) AS truncation_rate, round(coalesce(CAST(sum(CASE WHEN is_seed THEN 1 ELSE 0 END) AS DOUBLE) / nullif(count(*), 0) * 100, 0), 4) AS seed_rate FROM candidates GROUP BY pack", "candidates")
+def pack_rates(spark, sf_dir):
+    return pack.rates(table(spark, sf_dir, "candidates").withColumn("chars", F.length("code_snippet").cast("long")), "pack", "chars")
+
+
+@frame("items_by_type_source", lambda d: "SELECT symbol_type, is_seed, count(*) AS n FROM candidates GROUP BY symbol_type, is_seed", "candidates")
+def items_by_type_source(spark, sf_dir):
+    return table(spark, sf_dir, "candidates").groupBy("symbol_type", "is_seed").agg(F.count(F.lit(1)).alias("n"))
+
+
+@frame("pipeline_quality_ratios", lambda d: """
 SELECT round(CAST(count(DISTINCT item_id) AS DOUBLE) / greatest(count(*), 1), 6) AS dedup_ratio, round(CAST(sum(CASE WHEN length(code_snippet) > 2000 THEN 1 ELSE 0 END) AS DOUBLE) / greatest(count(*), 1), 6) AS truncation,
-  round(CAST(count(DISTINCT file_path) AS DOUBLE) / greatest((SELECT count(DISTINCT path) FROM seeds), 1), 6) AS coverage FROM candidates""")
+  round(CAST(count(DISTINCT file_path) AS DOUBLE) / greatest((SELECT count(DISTINCT path) FROM seeds), 1), 6) AS coverage FROM candidates""", "candidates", "seeds")
+def pipeline_quality_ratios(spark, sf_dir):
+    return pack.quality(table(spark, sf_dir, "candidates").withColumn("chars", F.length("code_snippet").cast("long")), table(spark, sf_dir, "seeds"), "chars")
+
 
 # --- detection -----------------------------------------------------------------------------------------------------------
-FRAMEWORKS = (("markup", "\\|", 0.0), ("react", "\\bth[a-z]*", 0.0), ("logging", "[Tt]oken|secret", 0.0), ("async", "\\bawait\\b|\\bde\\b", 0.0))
-both("framework_detect", "findings")(lambda d: f"""
-SELECT framework, files, round(least(1.0E0, 0.2E0 * files), 6) AS confidence FROM ({' UNION ALL '.join(f"SELECT '{n}' AS framework, sum(CASE WHEN {d.matches('message', p)} THEN 1 ELSE 0 END) AS files FROM findings" for n, p, _ in FRAMEWORKS)}) x WHERE 0.2E0 * files >= 0.4""")
-PATTERNS = (("async", r"async\s+def|await\s+"), ("decorators", r"@\w+[\.\w]*\s*(\(|$)"), ("type_hints", r":\s*(str|int|float|bool|List|Dict|Optional|Any|Tuple)"), ("errors", r"try:|except\s+\w+:|raise\s+\w+"), ("logging", r"logger\.|logging\."), ("assign", r"\w+ = "), ("columns", r"\w+ \| \w+"))
-both("pattern_detect", "findings")(lambda d: f"""
-SELECT pattern, hits, CASE WHEN hits >= 10 THEN 1.0E0 WHEN hits >= 5 THEN 0.8E0 WHEN hits >= 2 THEN 0.6E0 ELSE 0.4E0 END AS confidence
-FROM ({' UNION ALL '.join(f"SELECT '{n}' AS pattern, CAST(sum({d.count_matches('message', p)}) AS BIGINT) AS hits FROM findings" for n, p in PATTERNS)}) x WHERE hits >= 1""")
-both("focus_areas", "findings")(lambda d: f"""
-SELECT area, n FROM (SELECT area, n, row_number() OVER (ORDER BY n DESC, area) AS r FROM ({' UNION ALL '.join(f"SELECT '{n}' AS area, sum(CASE WHEN {d.matches('message', p)} THEN 1 ELSE 0 END) AS n FROM findings" for n, p in (('security', '(?i)token|secret|password'), ('performance', '(?i)loop|cache'), ('tables', ' [|] '), ('contact', '@'), ('words', '(?i)the'), ('none', 'zzzzzz')))}) x WHERE n > 0) y WHERE r <= 5""")
-both("detect_topn", "findings")(lambda d: "SELECT category, n FROM (SELECT category, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, category) AS r FROM findings GROUP BY category) x WHERE r <= 5")
-both("review_complexity", "candidates")(lambda d: """
-SELECT pack, score, CASE WHEN score >= 8 THEN 'high' WHEN score >= 4 THEN 'medium' ELSE 'low' END AS level FROM (SELECT pack, CASE WHEN count(*) > 30 THEN 3 WHEN count(*) > 15 THEN 2 WHEN count(*) > 5 THEN 1 ELSE 0 END
-  + CASE WHEN sum(length(code_snippet)) > 50000 THEN 3 WHEN sum(length(code_snippet)) > 20000 THEN 2 WHEN sum(length(code_snippet)) > 5000 THEN 1 ELSE 0 END + CASE WHEN count(DISTINCT file_path) > 20 THEN 3 WHEN count(DISTINCT file_path) > 10 THEN 2 WHEN count(DISTINCT file_path) > 3 THEN 1 ELSE 0 END AS score FROM candidates GROUP BY pack) x""")
-both("technical_summary", "candidates")(lambda d: f"SELECT pack, 'Touches ' || CAST(count(DISTINCT file_path) AS STRING) || ' files: ' || {d.joined_set('file_path', ', ')} AS summary FROM candidates GROUP BY pack")
-both("prompt_sections", "candidates")(lambda d: f"SELECT pack, {d.joined(chr(39) + '### ' + chr(39) + ' || symbol_name || ' + chr(39) + ' (' + chr(39) + ' || file_path || ' + chr(39) + ')' + chr(39), '; ', 'item_id')} AS section FROM candidates GROUP BY pack")
+def _code(spark, sf_dir):
+    """Files of a change: documents by the path that they have in patches."""
+    return table(spark, sf_dir, "documents").select("source", F.concat("source", F.lit("/"), c("lang"), F.lit("/"), F.element_at(F.array(*map(F.lit, ("app.py", "test_login.py", "models.py", "settings.toml", "api/x.py"))), (c("doc_id") % 5 + 1).cast("int"))).alias("path"), F.coalesce("text", F.lit("")).alias("code"))
+
+
+CODE = """SELECT source, source || '/' || lang || '/' || CASE doc_id % 5 WHEN 0 THEN 'app.py' WHEN 1 THEN 'test_login.py' WHEN 2 THEN 'models.py' WHEN 3 THEN 'settings.toml' ELSE 'api/x.py' END AS path, coalesce(text, '') AS code FROM documents"""
+
+
+def _frameworks_sql(d) -> str:
+    parts = []
+    for k, (name, paths, imports, code, boost) in enumerate(detect.FRAMEWORKS):
+        hits = " + ".join([f"0.2E0 * max(CASE WHEN instr(lower(path), '{w.lower()}') > 0 THEN 1 ELSE 0 END)" for w in paths] or ["0.0E0"])
+        found = [f"max(CASE WHEN regexp_matches(code, '{'|'.join(words)}'{flag}) THEN 1 ELSE 0 END)" for words, flag in ((imports, ", 'i'"), (code, ""))]
+        parts.append(f"SELECT source, '{name}' AS name, {k} AS place, least(1.0E0, round({hits} + 0.4E0 * {found[0]} + 0.3E0 * {found[1]} + {boost}E0, 2)) AS confidence FROM ({CODE}) c GROUP BY source")
+    return f"SELECT source, name, confidence, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY confidence DESC, place) AS rank FROM ({' UNION ALL '.join(parts)}) u WHERE confidence >= 0.4) r WHERE rank <= 10"
+
+
+@frame("framework_detect", _frameworks_sql)
+def framework_detect(spark, sf_dir):
+    return detect.frameworks(_code(spark, sf_dir), ["source"])
+
+
+def _patterns_sql(d) -> str:
+    parts = " UNION ALL ".join(f"SELECT source, '{n}' AS name, sum(len(regexp_extract_all(code, '{p}')))::BIGINT AS hits FROM ({CODE}) c GROUP BY source" for n, p in detect.PATTERNS)
+    return f"SELECT source, name, hits, CASE WHEN hits >= 10 THEN 1.0E0 WHEN hits >= 5 THEN 0.8E0 WHEN hits >= 2 THEN 0.6E0 ELSE 0.4E0 END AS confidence FROM ({parts}) u WHERE hits > 0"
+
+
+@frame("pattern_detect", _patterns_sql)
+def pattern_detect(spark, sf_dir):
+    return detect.patterns(_code(spark, sf_dir), ["source"])
+
+
+def _areas_sql(d) -> str:
+    files = f"(SELECT DISTINCT source, path FROM ({CODE}) c)"
+    parts = [f"SELECT source, '{n}' AS area, {p} AS priority, {k} AS place, count(*) AS files FROM {files} x WHERE {' OR '.join(f"instr(lower(path), '{w}') > 0" for w in words)} GROUP BY source" for k, (n, p, words) in enumerate(detect.AREAS)]
+    parts.append(f"SELECT source, 'Missing Tests', 2, 3, count(*) FROM {files} x GROUP BY source HAVING max(CASE WHEN instr(lower(path), 'test') > 0 THEN 1 ELSE 0 END) = 0")
+    parts.append(f"SELECT source, 'Concurrency', 2, 5, 0 FROM ({_patterns_sql(d)}) p WHERE name = 'async_await' AND confidence >= 0.6")
+    parts.append(f"SELECT DISTINCT source, 'Error Handling', 3, 6, 0 FROM {files} x WHERE source NOT IN (SELECT source FROM ({_patterns_sql(d)}) p WHERE name = 'exception_handling' AND confidence >= 0.4)")
+    return f"SELECT source, area, priority, files, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY priority, place) AS rank FROM ({' UNION ALL '.join(parts)}) u) r WHERE rank <= 5"
+
+
+@frame("focus_areas", _areas_sql)
+def focus_areas(spark, sf_dir):
+    files = _code(spark, sf_dir)
+    return detect.focus_areas(files, detect.patterns(files, ["source"]), ["source"])
+
+
+@frame("detect_topn", lambda d: "SELECT category, n FROM (SELECT category, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, category) AS r FROM findings GROUP BY category) x WHERE r <= 5", "findings")
+def detect_topn(spark, sf_dir):
+    return table(spark, sf_dir, "findings").groupBy("category").agg(F.count(F.lit(1)).alias("n")).orderBy(c("n").desc(), "category").limit(5)
+
+
+@frame("review_complexity", lambda d: """
+SELECT pack, score, CASE WHEN score >= 8 THEN 'high' WHEN score >= 4 THEN 'medium' ELSE 'low' END AS level FROM (SELECT pack, CASE WHEN n > 30 THEN 3 WHEN n > 15 THEN 2 WHEN n > 5 THEN 1 ELSE 0 END + CASE WHEN chars > 50000 THEN 3 WHEN chars > 20000 THEN 2 WHEN chars > 5000 THEN 1 ELSE 0 END
+  + CASE WHEN files > 20 THEN 3 WHEN files > 10 THEN 2 WHEN files > 3 THEN 1 ELSE 0 END + CASE WHEN pack % 8 > 5 THEN 2 WHEN pack % 8 > 2 THEN 1 ELSE 0 END + CASE WHEN pack % 10 > 7 THEN 2 WHEN pack % 10 > 3 THEN 1 ELSE 0 END AS score
+  FROM (SELECT pack, count(*) AS n, sum(length(code_snippet)) AS chars, count(DISTINCT file_path) AS files FROM candidates GROUP BY pack) a) x""", "candidates")
+def review_complexity(spark, sf_dir):
+    per = table(spark, sf_dir, "candidates").groupBy("pack").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("code_snippet")).alias("chars"), F.count_distinct("file_path").alias("files"))
+    score = detect.complexity_score(c("n"), c("chars"), c("files"), c("pack") % 8, c("pack") % 10)
+    return per.select("pack", score.alias("score"), detect.complexity_level(score).alias("level"))
+
+
+@frame("technical_summary", lambda d: """
+SELECT pack, 'Touches ' || CAST(files AS STRING) || ' files: ' || names AS summary FROM (SELECT pack, max(n) AS files, string_agg(file_path, ', ' ORDER BY file_path) AS names FROM (SELECT DISTINCT pack, file_path, dense_rank() OVER (PARTITION BY pack ORDER BY file_path) AS r FROM candidates) x JOIN (SELECT pack, count(DISTINCT file_path) AS n FROM candidates GROUP BY pack) y USING (pack) WHERE r <= 10 GROUP BY pack) z""", "candidates")
+def technical_summary(spark, sf_dir):
+    return pack.summary(table(spark, sf_dir, "candidates"), "pack")
+
+
+@frame("prompt_sections", lambda d: """
+SELECT pack, string_agg('### ' || symbol_name || ' (' || file_path || ')', '; ' ORDER BY item_id) AS section FROM (SELECT *, row_number() OVER (PARTITION BY pack ORDER BY item_id) AS r FROM candidates) x WHERE r <= 35 GROUP BY pack""", "candidates")
+def prompt_sections(spark, sf_dir):
+    return pack.sections(table(spark, sf_dir, "candidates"), "pack")
 
 
 @frame("token_estimate", lambda d: f"SELECT doc_id, CAST(floor(length(text) / 4.0E0) AS BIGINT) AS tokens FROM {d.t('documents')}")
@@ -256,8 +510,23 @@ def token_estimate(spark, sf_dir):
 
 
 # --- responses ------------------------------------------------------------------------------------------------------------
-both("json_extract", "llm_responses")(lambda d: f"""
-SELECT conv_id, turn, nullif({d.extract('raw', '[{][^{}]*[}]')}, '') AS body, CASE WHEN raw LIKE '{{%' THEN 'direct' WHEN raw LIKE '%```json%' THEN 'fenced' WHEN raw LIKE '%{{%}}%' THEN 'braces' ELSE 'failed' END AS strategy FROM llm_responses""")
+JSON = r"json_valid({x}) AND NOT regexp_matches({x}, ',\s*[}}\]]')"
+
+
+@frame("json_extract", lambda d: rf"""
+SELECT conv_id, turn, CASE WHEN {JSON.format(x='raw')} THEN 'direct' WHEN inner_ <> '' AND {JSON.format(x='inner_')} THEN 'fenced' WHEN braces <> '' AND {JSON.format(x='braces')} THEN 'braces' WHEN braces <> '' AND json_valid(fewer) THEN 'literal' ELSE 'failed' END AS strategy,
+  CASE WHEN {JSON.format(x='raw')} THEN raw WHEN inner_ <> '' AND {JSON.format(x='inner_')} THEN inner_ WHEN braces <> '' AND {JSON.format(x='braces')} THEN braces WHEN braces <> '' AND json_valid(fewer) THEN fewer END AS body
+FROM (SELECT *, regexp_replace(braces, ',\s*([}}\]])', '\1', 'g') AS fewer FROM (SELECT *, regexp_extract(raw, '```(?:json)?\s*\n((?s:.*?))\n```', 1) AS inner_, regexp_extract(raw, '(?s)\{{.*\}}') AS braces FROM llm_responses) x) y""", "llm_responses")
+def json_extract(spark, sf_dir):
+    return response.extracted(table(spark, sf_dir, "llm_responses")).select("conv_id", "turn", "strategy", "body")
+
+
+@frame("json_normalize_finding", lambda d: """
+SELECT conv_id, turn, CAST(0 AS BIGINT) AS place, 'Finding ' || CAST(turn AS STRING) AS title, 'A description of it' AS message, CASE turn % 3 WHEN 0 THEN 'blocker' ELSE 'medium' END AS severity, 'security' AS category, '' AS file_path, least(1.0E0, conv_id % 30 / 10.0E0) AS confidence, CAST(conv_id % 50 AS BIGINT) AS line_hint, 3 AS examples FROM conversations WHERE role = 'assistant'
+UNION ALL SELECT conv_id, turn, 1, 'Untitled Finding', 'Short', 'medium', 'style', 'a.py', 0.5E0, 0, 0 FROM conversations WHERE role = 'assistant'""")
+def json_normalize_finding(spark, sf_dir):
+    bodies = response.extracted(table(spark, sf_dir, "llm_reviews"))
+    return response.findings_of(bodies, ["conv_id", "turn"]).select("conv_id", "turn", "place", "title", "message", "severity", "category", "file_path", "confidence", "line_hint", F.coalesce(F.size("code_examples"), F.lit(0)).alias("examples"))
 
 
 def _field(name: str) -> str:
@@ -282,17 +551,100 @@ def json_confidence_clamp(spark, sf_dir):
     return table(spark, sf_dir, "llm_responses").select("conv_id", "turn", scalar.clamped(F.regexp_extract("raw", '"confidence": ([0-9.]+)', 1).cast("double")).alias("confidence"))
 
 
-both("llm_validate_salvage", "findings")(lambda d: "SELECT ord, CASE WHEN length(message) > 500 THEN substr(message, 1, 497) || '...' ELSE message END AS quote FROM findings WHERE length(message) >= 10 AND length(title) BETWEEN 1 AND 255 AND confidence IS NOT NULL")
+def _judged(spark, sf_dir):
+    found = table(spark, sf_dir, "findings")
+    return found.select("ord", "title", "message", F.when(c("ord") % 7 != 0, F.concat(F.lit("Fix "), "title")).otherwise("no").alias("suggested_fix"), F.when(c("ord") % 9 != 0, c("file_path")).otherwise(" / ").alias("file_path"), F.when(c("ord") % 4 != 0, F.lit("h0")).alias("hunk_id"), F.when(c("ord") % 3 != 0, c("ord") % 5 - 1).alias("line_in_hunk"), "confidence")
+
+
+PROBLEMS = """
+SELECT ord, concat_ws(', ', CASE WHEN trim(title, ' ' || chr(10) || chr(9) || chr(13)) = '' THEN 'empty title' END, CASE WHEN length(regexp_replace(coalesce(message, ''), '^\\s+|\\s+$', '', 'g')) < 10 THEN 'short message' END,
+  CASE WHEN ord % 7 = 0 OR length(regexp_replace('Fix ' || title, '^\\s+|\\s+$', '', 'g')) < 10 THEN 'short fix' END, CASE WHEN ord % 9 = 0 THEN 'empty path' END, CASE WHEN ord % 3 <> 0 AND ord % 4 = 0 THEN 'line without a hunk' END, CASE WHEN ord % 3 <> 0 AND ord % 5 = 0 THEN 'negative line' END,
+  CASE WHEN confidence IS NULL THEN 'confidence' END) AS problems FROM findings""".replace("\\\\", "\\")
+
+
+@frame("validate_findings", lambda d: PROBLEMS, "findings")
+def validate_findings(spark, sf_dir):
+    return _judged(spark, sf_dir).select("ord", F.array_join(validate.finding_problems(), ", ").alias("problems"))
+
+
+@frame("llm_validate_salvage", lambda d: f"SELECT ord FROM ({PROBLEMS}) x WHERE problems = ''", "findings")
+def llm_validate_salvage(spark, sf_dir):
+    return validate.checked(_judged(spark, sf_dir), validate.finding_problems()).select("ord")
+
+
+@frame("validate_patches", lambda d: """
+SELECT path, concat_ws(', ', CASE WHEN id % 4 = 3 THEN 'unknown change type' END, CASE WHEN id % 3 = 0 AND id % 4 <> 2 AND id % 4 <> 3 OR id % 3 = 0 AND id % 4 = 3 THEN 'previous name of a file that isn''t renamed' END, CASE WHEN n > 1 AND id % 5 = 0 THEN 'hunks out of order' END) AS problems
+FROM (SELECT path, min(doc_id) AS id, count(*) AS n FROM hunks GROUP BY path) x""", "hunks")
+def validate_patches(spark, sf_dir):
+    start = F.when(c("doc_id") % 5 == 0, -c("new_start")).otherwise(c("new_start"))
+    per = table(spark, sf_dir, "hunks").groupBy("path").agg(F.min("doc_id").alias("id"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"), F.array_sort(F.collect_list(F.struct("hunk", start.alias("new_start"), F.concat(F.lit("h"), c("hunk").cast("string")).alias("hunk_id")))).alias("hunks"))
+    kinds = F.element_at(F.array(*map(F.lit, ("added", "modified", "renamed", "odd"))), (c("id") % 4 + 1).cast("int"))
+    rows = per.select("path", c("path").alias("file_path"), kinds.alias("change_type"), F.when(c("id") % 3 == 0, "old.py").alias("previous_filename"), "additions", "deletions", "hunks")
+    return rows.select("path", F.array_join(validate.patch_problems(rows), ", ").alias("problems"))
+
+
+@frame("validate_pack", lambda d: """
+SELECT pack, count(*) AS items, CAST(sum(length(code_snippet)) AS BIGINT) AS chars, concat_ws(', ', CASE WHEN count(*) > 35 THEN 'too many items' END, CASE WHEN sum(length(code_snippet)) > 120000 THEN 'too large' END) AS problems FROM candidates GROUP BY pack""", "candidates")
+def validate_pack(spark, sf_dir):
+    items = table(spark, sf_dir, "candidates").withColumn("chars", F.length("code_snippet"))
+    return validate.pack_problems(items, "pack").withColumn("problems", F.array_join("problems", ", "))
+
+
+@frame("validate_seeds", lambda d: "SELECT path, name, start_line, end_line, count(*) AS n FROM kg_symbols GROUP BY path, name, start_line, end_line HAVING count(*) > 1", "kg_symbols")
+def validate_seeds(spark, sf_dir):
+    return validate.repeated(table(spark, sf_dir, "kg_symbols"), ["path", "name", "start_line", "end_line"])
+
+
+@frame("validate_repo", lambda d: f"""
+SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN substr({d.sha256("c_name")}, 1, 40) END AS sha, c_custkey % 2 = 0 AS named FROM {d.t('customer')}""")
+def validate_repo(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(c("c_custkey") % 3 != 0, F.upper(F.substring(F.sha2("c_name", 256), 1, 40))).otherwise(F.sha2("c_name", 256)).alias("sha"), F.when(c("c_custkey") % 2 == 0, "owner/name").otherwise("owner/name/x").alias("repo"))
+    return rows.select("c_custkey", validate.commit_sha(c("sha")).alias("sha"), validate.is_repository(c("repo")).alias("named"))
+
 
 # --- anchors ---------------------------------------------------------------------------------------------------------------
-both("anchor_content_match", "patch_lines", "findings")(lambda d: f"""
-SELECT ord, hunk, idx FROM (SELECT f.ord, p.hunk, p.idx, row_number() OVER (PARTITION BY f.ord ORDER BY CASE WHEN p.mark = '+' THEN 0 ELSE 1 END, p.hunk, p.idx) AS r
-  FROM (SELECT ord, substr(title, 1, 12) AS needle FROM findings WHERE length(title) >= 12) f JOIN patch_lines p ON p.doc_id = f.ord AND {d.instr('p.content', 'f.needle')} > 0) x WHERE r = 1""")
-both("anchor_fallback", "patch_lines")(lambda d: "SELECT doc_id, min(hunk) AS hunk, min(CASE WHEN mark = '+' AND hunk = 0 THEN idx END) AS idx FROM patch_lines GROUP BY doc_id")
-both("anchor_lookups", "hunks")(lambda d: "SELECT path, hunk, doc_id % 25 AS idx, doc_id % 25 >= 0 AND doc_id % 25 < n_lines AS is_valid_line FROM hunks")
-both("finding_hunk_join", "findings", "hunks")(lambda d: "SELECT f.ord, h.hunk, h.new_start FROM findings f LEFT JOIN hunks h ON h.doc_id = f.ord AND h.hunk = f.ord % 3")
-both("identifier_dedup", "findings")(lambda d: f"""
-SELECT lower(w) AS folded, min(w) AS first_seen, count(*) AS n FROM (SELECT {d.extract('title', '[A-Za-z_][A-Za-z0-9_]{3,}')} AS w FROM findings) x WHERE w <> '' GROUP BY lower(w)""")
+def _mentioned(d) -> str:
+    """A finding for every document: its file's patch, now and then another file, a hunk that may not be there, code in backticks."""
+    tick = "chr(96)" if not d.spark else "'`'"
+    return f"""SELECT doc_id AS ord, CASE WHEN doc_id % 19 = 7 THEN 'elsewhere.py' ELSE source || '/' || CAST(doc_id AS STRING) || '.py' END AS file_path, 'h' || CAST(doc_id % 4 AS STRING) AS hunk_id, substr(coalesce(text, ''), 1, 60) AS title,
+  CASE WHEN doc_id % 2 = 0 THEN {tick} || substr(coalesce(text, ''), 20 + doc_id % 30, 12) || {tick} ELSE '' END || ' ' || substr(coalesce(text, ''), 1, 300) AS message, CAST(NULL AS STRING) AS suggested_fix FROM {d.t('documents')}"""
+
+
+def _marked_lines(spark, sf_dir):
+    return table(spark, sf_dir, "patch_lines").select("path", "hunk", F.concat(F.lit("h"), c("hunk").cast("string")).alias("hunk_id"), "idx", F.concat("mark", "content").alias("line"))
+
+
+@frame("anchor_content_match")
+def anchor_content_match(spark, sf_dir):
+    from .dialect import Dialect
+
+    return anchor.anchored(spark.sql(_mentioned(Dialect(sf_dir))), _marked_lines(spark, sf_dir))
+
+
+@frame("identifier_dedup")
+def identifier_dedup(spark, sf_dir):
+    return anchor.key_identifiers(table(spark, sf_dir, "findings").select("ord", F.concat_ws(" ", "message", "title").alias("text")))
+
+
+@frame("anchor_fallback", lambda d: "SELECT doc_id, min(hunk) AS hunk, min(CASE WHEN mark = '+' AND hunk = 0 THEN idx END) AS idx FROM patch_lines GROUP BY doc_id", "patch_lines")
+def anchor_fallback(spark, sf_dir):
+    lines = table(spark, sf_dir, "patch_lines")
+    return lines.groupBy("doc_id").agg(F.min("hunk").alias("hunk"), F.min(F.when((c("mark") == "+") & (c("hunk") == 0), c("idx"))).alias("idx"))
+
+
+@frame("anchor_lookups", lambda d: "SELECT path, hunk, doc_id % 25 AS idx, doc_id % 25 >= 0 AND doc_id % 25 < n_lines AS is_valid_line FROM hunks", "hunks")
+def anchor_lookups(spark, sf_dir):
+    at = c("doc_id") % 25
+    return table(spark, sf_dir, "hunks").select("path", "hunk", at.alias("idx"), diff.is_line_of(at, c("n_lines")).alias("is_valid_line"))
+
+
+@frame("finding_hunk_join", lambda d: """
+SELECT f.ord, h.hunk, h.new_start FROM findings f LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id, hunk % 3 ORDER BY hunk DESC) AS r FROM hunks) h ON h.doc_id = f.ord AND h.hunk % 3 = f.ord % 3 AND h.r = 1""", "findings", "hunks")
+def finding_hunk_join(spark, sf_dir):
+    found = table(spark, sf_dir, "findings").select("ord", F.concat(F.lit(" /"), F.regexp_replace("file_path", ".md$", ""), F.lit("\\"), c("ord").cast("string"), F.lit(".py")).alias("file_path"), F.concat(F.lit("h"), (c("ord") % 3).cast("string")).alias("hunk_id"))
+    hunks = table(spark, sf_dir, "hunks").select("path", F.concat(F.lit("h"), (c("hunk") % 3).cast("string")).alias("hunk_id"), "hunk", "new_start")
+    return diff.with_hunks(found, hunks).select("ord", "hunk", "new_start")
+
 
 # --- findings --------------------------------------------------------------------------------------------------------------
 FINAL = "SELECT *, min(ord) OVER (PARTITION BY k) AS position, row_number() OVER (PARTITION BY k ORDER BY coalesce(confidence, 0) DESC, ord) AS r FROM (SELECT *, file_path || '::' || substr(lower({trim}), 1, 50) AS k FROM findings WHERE coalesce(confidence, 0) >= 0.5) q"
@@ -318,11 +670,26 @@ def findings_sorted_limit(spark, sf_dir):
     return review.ordered_findings(review.dedup_findings(review.confident(table(spark, sf_dir, "findings"))), 20).select("finding_id", "number", "ord", "severity", "anchored")
 
 
-both("findings_counts", "findings")(lambda d: "SELECT coalesce(severity, 'medium') AS severity, coalesce(category, 'style') AS category, count(*) AS n FROM findings GROUP BY coalesce(severity, 'medium'), coalesce(category, 'style')")
-both("findings_summary_overflow", "findings")(lambda d: """
-SELECT title, n - 5 AS more FROM (SELECT title, count(*) OVER () AS n, row_number() OVER (ORDER BY ord) AS r FROM findings WHERE NOT anchored AND file_path || '::' || substr(title, 1, 30) NOT IN (SELECT file_path || '::' || substr(title, 1, 30) FROM findings WHERE anchored)) x WHERE r <= 5""")
-both("review_fallback_findings", "seeds", "changed_lines")(lambda d: "SELECT 'finding_' || CAST(row_number() OVER (ORDER BY seed_id) AS STRING) AS finding_id, name, path, 'medium' AS severity, 0.5E0 AS confidence FROM (SELECT * FROM seeds WHERE path IN (SELECT path FROM changed_lines) ORDER BY seed_id LIMIT 5) s")
-both("review_fallback_summary", "hunks")(lambda d: "SELECT 'Reviewed ' || CAST(count(DISTINCT path) AS STRING) || ' files: +' || CAST(CAST(sum(additions) AS BIGINT) AS STRING) || ' -' || CAST(CAST(sum(deletions) AS BIGINT) AS STRING) AS summary FROM hunks")
+@frame("findings_counts", lambda d: "SELECT coalesce(severity, 'medium') AS severity, coalesce(category, 'style') AS category, count(*) AS n FROM findings GROUP BY coalesce(severity, 'medium'), coalesce(category, 'style')", "findings")
+def findings_counts(spark, sf_dir):
+    return report.counts(table(spark, sf_dir, "findings"))
+
+
+@frame("findings_summary_overflow", lambda d: """
+SELECT title, n - 5 AS more FROM (SELECT title, count(*) OVER () AS n, row_number() OVER (ORDER BY ord) AS r FROM findings WHERE NOT anchored AND file_path || '::' || substr(title, 1, 30) NOT IN (SELECT file_path || '::' || substr(title, 1, 30) FROM findings WHERE anchored)) x WHERE r <= 5""", "findings")
+def findings_summary_overflow(spark, sf_dir):
+    return report.overflow(table(spark, sf_dir, "findings"), 5)
+
+
+@frame("review_fallback_findings", lambda d: "SELECT 'finding_' || CAST(row_number() OVER (ORDER BY seed_id) AS STRING) AS finding_id, name, path, 'medium' AS severity, 0.5E0 AS confidence FROM (SELECT * FROM seeds WHERE path IN (SELECT path FROM changed_lines) ORDER BY seed_id LIMIT 5) s", "seeds", "changed_lines")
+def review_fallback_findings(spark, sf_dir):
+    changed = table(spark, sf_dir, "changed_lines").select("path").distinct()
+    return report.fallback_findings(table(spark, sf_dir, "seeds").join(changed, "path", "left_semi"), 5)
+
+
+@frame("review_fallback_summary", lambda d: "SELECT 'Reviewed ' || CAST(count(DISTINCT path) AS STRING) || ' files: +' || CAST(CAST(sum(additions) AS BIGINT) AS STRING) || ' -' || CAST(CAST(sum(deletions) AS BIGINT) AS STRING) AS summary FROM hunks", "hunks")
+def review_fallback_summary(spark, sf_dir):
+    return report.fallback_summary(table(spark, sf_dir, "hunks"))
 
 
 @frame("severity_to_db", lambda d: "SELECT ord, CASE severity WHEN 'blocker' THEN 'CRITICAL' ELSE upper(severity) END AS stored FROM findings", "findings")
@@ -330,8 +697,34 @@ def severity_to_db(spark, sf_dir):
     return table(spark, sf_dir, "findings").select("ord", scalar.severity_to_store(c("severity")).alias("stored"))
 
 
-both("computed_fields", "kg_symbols")(lambda d: "SELECT node_id, end_line - start_line + 1 AS line_span, coalesce(qualified_name, name) AS display_name, length(name) AS character_count FROM kg_symbols")
-both("report_body", "findings")(lambda d: f"SELECT severity, count(*) AS n, {d.joined(chr(39) + '- ' + chr(39) + ' || category', ' ', 'ord')} AS body FROM findings WHERE anchored GROUP BY severity")
-both("report_fallback", "findings")(lambda d: f"SELECT category, '## ' || category || ' (' || CAST(count(*) AS STRING) || ')' AS heading, {d.joined_set('severity', ', ')} AS severities FROM findings GROUP BY category")
-both("path_functions", "kg_files")(lambda d: f"SELECT path, CASE WHEN path LIKE '%/%' THEN {d.replace('path', '/[^/]*$', '')} ELSE '' END AS parent_dir, {d.extract('path', '[^/]+$')} AS base, {d.extract('path', '[.][^./]+$')} AS suffix FROM kg_files")
-both("relative_import_walk", "kg_files")(lambda d: f"SELECT path, {d.replace('path', '(/[^/]*){1}$', '')} AS one_dot, {d.replace('path', '(/[^/]*){2}$', '')} AS two_dots FROM kg_files WHERE kind = 'file'")
+@frame("computed_fields", lambda d: "SELECT node_id, end_line - start_line + 1 AS line_span, coalesce(qualified_name, name) AS display_name, length(name) AS character_count FROM kg_symbols", "kg_symbols")
+def computed_fields(spark, sf_dir):
+    return table(spark, sf_dir, "kg_symbols").select("node_id", (c("end_line") - c("start_line") + 1).alias("line_span"), F.coalesce("qualified_name", "name").alias("display_name"), F.length("name").alias("character_count"))
+
+
+@frame("report_body", lambda d: """
+SELECT severity, max(n) AS n, string_agg('**[' || upper(severity) || '] ' || title || '** (`' || file_path || '`, ' || category || ')', chr(10) ORDER BY r) AS body FROM (SELECT *, row_number() OVER (PARTITION BY severity ORDER BY coalesce(confidence, 0) DESC, ord) AS r, count(*) OVER (PARTITION BY severity) AS n FROM findings WHERE anchored) x WHERE r <= 10 GROUP BY severity""", "findings")
+def report_body(spark, sf_dir):
+    return report.body(table(spark, sf_dir, "findings").where("anchored"), 10)
+
+
+@frame("report_fallback", lambda d: """
+SELECT file_path, '### `' || file_path || '` (' || CAST(max(n) AS STRING) || ')' || chr(10) || string_agg('- **' || severity || '** ' || title, chr(10) ORDER BY r) || CASE WHEN max(n) > 5 THEN chr(10) || '- ... and ' || CAST(max(n) - 5 AS STRING) || ' more' ELSE '' END AS section
+FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY CASE severity WHEN 'blocker' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, coalesce(confidence, 0) DESC, ord) AS r, count(*) OVER (PARTITION BY file_path) AS n FROM findings) x WHERE r <= 5 GROUP BY file_path""", "findings")
+def report_fallback(spark, sf_dir):
+    return report.fallback(table(spark, sf_dir, "findings"), 5)
+
+
+@frame("path_functions", lambda d: f"SELECT path, CASE WHEN path LIKE '%/%' THEN {d.replace('path', '/[^/]*$', '')} ELSE '' END AS parent_dir, {d.extract('path', '[^/]+$')} AS base, {d.extract('path', '[.][^./]+$')} AS suffix FROM kg_files", "kg_files")
+def path_functions(spark, sf_dir):
+    path = c("path")
+    return table(spark, sf_dir, "kg_files").select("path", scalar.parent_of(path).alias("parent_dir"), scalar.base_name(path).alias("base"), scalar.suffix(path).alias("suffix"))
+
+
+@frame("relative_import_walk", lambda d: """
+SELECT path, array_to_string(list_slice(string_split(path, '/'), 1, len(string_split(path, '/')) - 1), '/') AS one_dot, array_to_string(list_slice(string_split(path, '/'), 1, greatest(len(string_split(path, '/')) - 2, 0)), '/') AS two_dots FROM kg_files WHERE kind = 'file'""", "kg_files")
+def relative_import_walk(spark, sf_dir):
+    files = table(spark, sf_dir, "kg_files").where("kind = 'file'")
+    return files.select("path", scalar.walked_up(c("path"), F.lit(1)).alias("one_dot"), scalar.walked_up(c("path"), F.lit(2)).alias("two_dots"))
+
+

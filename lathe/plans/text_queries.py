@@ -87,11 +87,36 @@ def stream_metrics_window(spark, sf_dir):
     return streams.drained(spark, streams.windowed(streams.event_stream(spark, sf_dir)), "complete").select(F.date_format("start_at", "yyyy-MM-dd HH:mm:ss").alias("start_at"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@frame("stream_event_tail")
+def _folders(spark) -> tuple[str, str]:
+    """Folders for a stream's rows and its checkpoint, below the one that the cluster shares."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lathe-stream-")
+    name = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{name}/rows", f"{name}/checkpoint"
+
+
+@frame("stream_event_tail", lambda d: """
+SELECT workflow_id, count(*) AS delivered, max(sequence) AS last_sequence FROM (SELECT *, min(CASE WHEN event_type = 'workflow_completed' THEN sequence END) OVER (PARTITION BY workflow_id) AS e FROM workflow_events) x WHERE e IS NULL OR sequence <= e GROUP BY workflow_id""", "workflow_events")
 def stream_event_tail(spark, sf_dir):
-    return streams.drained(spark, streams.tail(streams.event_stream(spark, sf_dir)), "append")
+    tail = streams.written(streams.appended(streams.event_stream(spark, sf_dir), until_end=True), *_folders(spark))
+    return tail.groupBy("workflow_id").agg(F.count(F.lit(1)).alias("delivered"), F.max("sequence").alias("last_sequence"))
+
+
+@frame("stream_event_append", lambda d: "SELECT workflow_id, event_id, sequence FROM workflow_events", "workflow_events")
+def stream_event_append(spark, sf_dir):
+    return streams.written(streams.appended(streams.event_stream(spark, sf_dir)), *_folders(spark)).select("workflow_id", "event_id", "sequence")
+
+
+@frame("event_frames", lambda d: """
+SELECT workflow_id, sequence, 'event: activity' || chr(10) || 'id: ' || sequence || chr(10) || 'data: {"workflow_id":"' || workflow_id || '","sequence_number":' || sequence || ',"event_type":"' || event_type || '","event_id":' || event_id || '}' || chr(10) || chr(10)
+  || CASE WHEN event_type = 'workflow_completed' THEN 'event: close' || chr(10) || 'data: {"reason":"workflow_completed"}' || chr(10) || chr(10) ELSE '' END AS frame FROM workflow_events WHERE sequence <= 20""", "workflow_events")
+def event_frames(spark, sf_dir):
+    return streams.frames(table(spark, sf_dir, "workflow_events").where("sequence <= 20"))
 
 
-@frame("stream_heartbeat_frames")
+@frame("stream_heartbeat_frames", lambda d: """
+SELECT workflow_id, CAST(ts AS STRING) AS after, CAST(floor((floor(epoch(next)) - floor(epoch(ts)) - 1) / 30) AS BIGINT) AS beats FROM (SELECT *, lead(ts) OVER (PARTITION BY workflow_id ORDER BY ts) AS next FROM workflow_events) x WHERE floor((floor(epoch(next)) - floor(epoch(ts)) - 1) / 30) >= 1""", "workflow_events")
 def stream_heartbeat_frames(spark, sf_dir):
-    return streams.drained(spark, streams.heartbeats(streams.event_stream(spark, sf_dir)), "complete")
+    return streams.heartbeats(table(spark, sf_dir, "workflow_events").select("workflow_id", "ts")).select("workflow_id", F.col("after").cast("timestamp_ntz").cast("string").alias("after"), "beats")

@@ -106,12 +106,35 @@ FROM {d.t('events')}"""
 
 @view("candidates", "kg_edges", "kg_symbols")
 def candidates(d: Dialect) -> str:
-    """Called parts of every 29th order, with a document as their code."""
+    """Called parts of every order, with a document as their code."""
     return f"""
 SELECT e.src, CAST(substr(e.src, 2) AS BIGINT) AS pack, e.dst AS item_id, s.path AS file_path, s.name AS symbol_name, s.kind AS symbol_type, s.start_line, s.end_line,
   CAST(substr(e.dst, 2) AS BIGINT) % 5 + 1 AS priority, (CAST(substr(e.dst, 2) AS BIGINT) * 37 % 100) / 100.0E0 AS strength, CAST(substr(e.dst, 2) AS BIGINT) % 7 = 0 AS is_seed,
-  t.text AS code_snippet FROM kg_edges e JOIN kg_symbols s ON s.node_id = e.dst JOIN {d.t('documents')} t ON t.doc_id = CAST(substr(e.dst, 2) AS BIGINT) % 200
-WHERE e.edge_type = 'CALLS' AND CAST(substr(e.src, 2) AS BIGINT) % 29 = 0"""
+  t.text AS code_snippet FROM kg_edges e JOIN kg_symbols s ON s.node_id = e.dst CROSS JOIN (SELECT count(*) AS docs FROM {d.t('documents')}) n JOIN {d.t('documents')} t ON t.doc_id = CAST(substr(e.dst, 2) AS BIGINT) % n.docs
+WHERE e.edge_type = 'CALLS'"""
+
+
+@view("call_sites", "kg_edges", "kg_symbols")
+def call_sites(d: Dialect) -> str:
+    """Calls of parts in the files of orders: by the part's module, by its own name, or by a name that isn't imported."""
+    return """
+SELECT CAST(substr(e.src, 2) AS BIGINT) * 100000 + CAST(substr(e.dst, 2) AS BIGINT) AS call_id, o.path, o.start_line + CAST(substr(e.dst, 2) AS BIGINT) % 5 AS line, p.name AS callee,
+  CASE WHEN p.start_line % 3 = 0 THEN 'm_' || substr(p.path, 5, length(p.path) - 7) WHEN p.start_line % 7 = 0 THEN 'unknown' END AS receiver, p.path AS target
+FROM kg_edges e JOIN kg_symbols o ON o.node_id = e.src JOIN kg_symbols p ON p.node_id = e.dst WHERE e.edge_type = 'CALLS'"""
+
+
+@view("import_map", "call_sites")
+def import_map(d: Dialect) -> str:
+    """What files import: modules under an alias, and names of parts."""
+    return "SELECT DISTINCT path, 'm_' || substr(target, 5, length(target) - 7) AS local, target, CAST(NULL AS STRING) AS original FROM call_sites UNION SELECT DISTINCT path, callee, min(target), callee FROM call_sites WHERE receiver IS NULL GROUP BY path, callee"
+
+
+@view("llm_reviews")
+def llm_reviews(d: Dialect) -> str:
+    """Assistant turns as whole reviews of two findings, with other names for some fields."""
+    one = "'{\"title\": \"Finding ' || CAST(turn AS STRING) || '\", \"description\": \"A description of it\", \"severity\": \"' || CASE turn % 3 WHEN 0 THEN 'Critical' WHEN 1 THEN 'warning' ELSE 'odd' END || '\", \"category\": \"vulnerability\", \"confidence\": ' || CAST(conv_id % 30 / 10.0E0 AS STRING) || ', \"line\": ' || CAST(conv_id % 50 AS STRING) || ', \"code_examples\": [\"a\", \"b\", \"c\", \"d\"]}'"
+    two = "'{\"message\": \"Short\", \"file_path\": \"a.py\", \"line_in_hunk\": 0, \"line\": 7}'"
+    return f"SELECT conv_id, turn, '{{\"findings\": [' || {one} || ', ' || {two} || '], \"summary\": \"ok\"}}' AS raw FROM {d.t('conversations')} WHERE role = 'assistant'"
 
 
 @view("llm_responses")

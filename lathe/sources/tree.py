@@ -6,16 +6,25 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import base_name, chosen, parent_of, suffix
 
 #: Folders and files that a scan leaves out, file types by suffix, and size limits in bytes.
-EXCLUDED_DIRS = (".git", ".hg", ".svn", ".idea", ".vscode", "node_modules", "__pycache__", ".venv", "venv", "env", "dist", "build", "target", ".tox", ".pytest_cache", ".mypy_cache", "coverage", ".next")
-EXCLUDED_FILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "pipfile.lock", ".ds_store", "thumbs.db")
+EXCLUDED_DIRS = (
+    ".git", ".svn", ".hg", ".bzr", "__pycache__", ".pytest_cache", ".mypy_cache", ".tox", ".nox", ".venv", "venv", "env", ".env", "node_modules", "bower_components", ".next", ".nuxt",
+    "dist", "build", "out", "target", ".gradle", ".idea", ".vscode", ".DS_Store", "coverage", ".coverage", "htmlcov", ".eggs", "__snapshots__",
+)
+EXCLUDED_DIR_SUFFIX = ".egg-info"
+EXCLUDED_FILES = (
+    ".gitignore", ".gitattributes", ".editorconfig", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Pipfile.lock", "poetry.lock", "Gemfile.lock", "Cargo.lock", "composer.lock", "go.sum",
+)
 HIDDEN_KEPT = (".env", ".envrc")
-FILE_TYPES = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".go": "go", ".rs": "rust", ".c": "c", ".cpp": "cpp", ".cs": "csharp", ".rb": "ruby", ".php": "php", ".kt": "kotlin", ".swift": "swift", ".scala": "scala", ".sh": "bash", ".sql": "sql", ".html": "html", ".css": "css", ".json": "json", ".yml": "yaml", ".yaml": "yaml", ".md": "markdown"}
+FILE_TYPES = {
+    ".sh": "bash", ".bash": "bash", ".py": "python", ".js": "javascript", ".ts": "typescript", ".java": "java", ".c": "c", ".cpp": "cpp", ".cs": "csharp", ".go": "go", ".rb": "ruby", ".rs": "rust", ".sql": "sql",
+    ".kt": "kotlin", ".php": "php", ".html": "html", ".properties": "properties", ".yaml": "yaml", ".yml": "yaml", ".xml": "xml",
+}
 TEXT_SUFFIXES = (".md", ".txt", ".rst", ".markdown")
 LARGE, TOO_LARGE = 1 << 20, 10 << 20
 
@@ -71,18 +80,26 @@ def scan_tree(spark: SparkSession, root: str, with_content: bool = True) -> Data
 
 def excluded(path: Column) -> Column:
     """Whether a path lies in an excluded folder, is an excluded file, or is hidden."""
-    parts = F.split(F.lower(path), "/")
+    parts = F.split(path, "/")
     name = F.element_at(parts, -1)
-    folders = F.slice(parts, 1, F.size(parts) - 1)
-    return F.exists(folders, lambda x: x.isin(*EXCLUDED_DIRS) | x.endswith(".egg-info")) | name.isin(*EXCLUDED_FILES) | (name.startswith(".") & ~name.isin(*HIDDEN_KEPT))
+    above = F.slice(parts, 1, F.size(parts) - 1)
+    return F.exists(above, lambda x: x.isin(*EXCLUDED_DIRS) | x.endswith(EXCLUDED_DIR_SUFFIX)) | name.isin(*EXCLUDED_FILES) | (name.startswith(".") & ~name.isin(*HIDDEN_KEPT))
 
 
 def file_type(path: Column) -> Column:
-    return F.when(F.lower(base_name(path)) == "dockerfile", "dockerfile").otherwise(chosen(suffix(path), FILE_TYPES, F.lit("unknown")))
+    """The type by name or, in its own case, by suffix; UNKNOWN else."""
+    return F.when(F.lower(base_name(path)) == "dockerfile", "dockerfile").otherwise(chosen(suffix(path), FILE_TYPES, F.lit("UNKNOWN")))
 
 
 def route(length: Column, path: Column) -> Column:
-    return F.when(length > TOO_LARGE, "skip").when(file_type(path) == "unknown", "unsupported").when(length > LARGE, "large").otherwise("normal")
+    """How a file is taken in: skip beyond TOO_LARGE, unsupported without a type, large beyond LARGE (in batches), else normal."""
+    return F.when(length > TOO_LARGE, "skip").when(file_type(path) == "UNKNOWN", "unsupported").when(length > LARGE, "large").otherwise("normal")
+
+
+def batches_of(symbols: DataFrame, size: int = 50) -> DataFrame:
+    """Symbols of large files in batches: path, batch, rows. Numbers within a file only, so a file's rows are all that a task holds."""
+    order = F.row_number().over(Window.partitionBy("path").orderBy("start_line", F.col("end_line").desc(), "node_id")) - 1
+    return symbols.withColumn("batch", F.floor(order / size).cast("long")).groupBy("path", "batch").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def folders(files: DataFrame) -> DataFrame:
@@ -102,8 +119,10 @@ def nodes(files: DataFrame) -> DataFrame:
 
 
 def incremental(files: DataFrame, changed: DataFrame) -> DataFrame:
-    """The files among the changed paths."""
-    return files.join(changed.select("path").distinct(), "path", "left_semi")
+    """The changed paths, each found among the files or failed, as one that isn't there can't be read."""
+    own = files.select(F.col("path").alias("_path"))
+    rows = changed.select("path").distinct().join(own, F.col("path") == F.col("_path"), "left")
+    return rows.select("path", F.when(F.col("_path").isNull(), "failed").otherwise("found").alias("outcome"))
 
 
 def text_files(files: DataFrame) -> DataFrame:

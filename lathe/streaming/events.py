@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -31,34 +31,64 @@ def windowed(events: DataFrame, width: str = "5 minutes", late: str = "10 minute
     return by.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start_at"), "event_type", "n", "total")
 
 
-def _numbered(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Numbers a workflow's events and ends its stream after the first terminal one."""
-    sequence, ended = state.get if state.exists else (0, False)
-    rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-    out = []
-    for event_id, kind in zip(rows["event_id"], rows["event_type"], strict=True):
-        if ended:
-            break
-        sequence += 1
-        out.append((key[0], event_id, sequence, kind))
-        ended = kind in TERMINAL
-    state.update((sequence, ended))
-    yield pd.DataFrame(out, columns=["workflow_id", "event_id", "sequence", "event_type"])
+def _numbered(until_end: bool):
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Numbers a workflow's events, frame by frame; ends its stream after the first terminal one if asked to."""
+        sequence, ended = state.get if state.exists else (0, False)
+        for rows in frames:
+            rows, out = rows.sort_values(["ts", "event_id"]), []
+            for event_id, kind in zip(rows["event_id"], rows["event_type"], strict=True):
+                if ended and until_end:
+                    break
+                sequence += 1
+                out.append((key[0], event_id, sequence, kind))
+                ended = ended or kind in TERMINAL
+            if out:
+                yield pd.DataFrame(out, columns=["workflow_id", "event_id", "sequence", "event_type"])
+        state.update((sequence, ended))
 
+    return run
 
-def tail(events: DataFrame) -> DataFrame:
-    """Events as they are delivered: numbered by workflow, none after a terminal one."""
+
+def appended(events: DataFrame, until_end: bool = False) -> DataFrame:
+    """Events as the log takes them in: each with its workflow's next sequence number, in order of arrival; with until_end none after a terminal one."""
     named = events.select(F.concat(F.lit("wf-"), F.col("user_id").cast("string")).alias("workflow_id"), "ts", "event_id", F.when(F.col("event_type") == "purchase", TERMINAL[0]).otherwise(F.col("event_type")).alias("event_type"))
-    return named.groupBy("workflow_id").applyInPandasWithState(_numbered, "workflow_id string, event_id long, sequence long, event_type string", "sequence long, ended boolean", "append", GroupStateTimeout.NoTimeout)
+    return named.groupBy("workflow_id").applyInPandasWithState(_numbered(until_end), "workflow_id string, event_id long, sequence long, event_type string", "sequence long, ended boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def heartbeats(events: DataFrame, every: int = 30) -> DataFrame:
+    """Beats of the idle stretches of a workflow's log (workflow_id, ts): one every so many seconds after an event while nothing comes, up to the next event."""
+    order = Window.partitionBy("workflow_id").orderBy("ts")
+    gaps = events.withColumn("next", F.lead("ts").over(order)).withColumn("idle", F.unix_timestamp(F.col("next").cast("timestamp")) - F.unix_timestamp(F.col("ts").cast("timestamp")))
+    beats = F.floor((F.col("idle") - 1) / every)
+    return gaps.where(beats >= 1).select("workflow_id", F.col("ts").alias("after"), beats.cast("long").alias("beats"))
+
+
+def frames(page: DataFrame) -> DataFrame:
+    """Server-sent text of events (workflow_id, sequence, event_type, event_id): an activity frame each, and after a terminal one the closing frame."""
+    data = F.to_json(F.struct("workflow_id", F.col("sequence").alias("sequence_number"), "event_type", "event_id"))
+    text = F.concat(F.lit("event: activity\nid: "), F.col("sequence").cast("string"), F.lit("\ndata: "), data, F.lit("\n\n"))
+    close = F.concat(F.lit("event: close\ndata: "), F.to_json(F.struct(F.col("event_type").alias("reason"))), F.lit("\n\n"))
+    return page.select("workflow_id", "sequence", F.concat(text, F.when(F.col("event_type").isin(*TERMINAL), close).otherwise("")).alias("frame"))
+
 
+def connected(workflow: str, cursor: int) -> str:
+    """The first frame of a connection, with the sequence number that the client has already."""
+    return f'event: connected\ndata: {{"workflow_id": "{workflow}", "sequence": {cursor}}}\n\n'
 
-def heartbeats(events: DataFrame, every: str = "30 seconds") -> DataFrame:
-    """A frame for each interval in which a workflow had events."""
-    return events.groupBy(F.window("ts", every), "user_id").agg(F.count(F.lit(1)).alias("events")).select(F.col("window.start").alias("at"), "user_id", "events")
+
+def written(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """Runs a stream over what is there, appends its rows to a folder and returns all of them. A later call with the same checkpoint goes on where this one ended; files keep what was written, so a lost executor loses nothing."""
+    query = stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    finally:
+        query.stop()
+    return stream.sparkSession.read.schema(stream.schema).parquet(folder)
 
 
 def drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what is there and returns its result, for batch callers and tests."""
+    """Runs an aggregating stream over what is there and returns its result table, which is as small as its groups, for batch callers and tests."""
     name = f"drained_{uuid.uuid4().hex}"
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     try:

