@@ -192,5 +192,7 @@ def with_language(docs: DataFrame) -> tuple[DataFrame, str, str]:
     """
     names, model = learned(docs)
     lang, score = unused(docs, "lang_pred"), unused(docs, "score")
-    schema = StructType([*docs.schema.fields, StructField(lang, StringType()), StructField(score, DoubleType())])
-    return docs.mapInArrow(_predict(names, model, (lang, score), carry=True), schema), lang, score
+    # mapInArrow can't take names with a dot in them.
+    plain = docs.toDF(*[unused(docs, f"column{k}") if "." in c else c for k, c in enumerate(docs.columns)])
+    schema = StructType([*plain.schema.fields, StructField(lang, StringType()), StructField(score, DoubleType())])
+    return plain.mapInArrow(_predict(names, model, (lang, score), carry=True), schema).toDF(*docs.columns, lang, score), lang, score
