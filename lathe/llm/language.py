@@ -29,25 +29,31 @@ ROWS, LANDMARKS, SHARED, FEWEST = 400, 50, 64, 8
 RIDGE, SHARPNESS = 0.1, 4.0
 #: Rows that are unpacked at once while the model is fitted.
 FEW = 32
+#: Characters whose n-grams are hashed at once.
+PIECE = 1 << 16
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
 def presences(texts: list[str]) -> np.ndarray:
-    """A row of DIM zeros and ones for every text: which n-grams occur in it."""
+    """A row of DIM zeros and ones for every text: which n-grams occur in it. Works on PIECE characters at once, however long a text is."""
     out = np.zeros(len(texts) * DIM, np.uint8)
     lowered = [f" {t.lower()} " for t in texts]
-    flat = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.array([len(t) for t in lowered])
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    h = np.zeros(len(flat), np.uint64)
-    for n in range(1, 5):
-        if n > len(flat):
-            break
-        h = (h[: len(flat) - n + 1] ^ (flat[n - 1 :] + np.uint64(n))) * _K
-        h ^= h >> np.uint64(31)
-        whole = owner[: len(h)] == owner[n - 1 :]
-        slots = (h >> np.uint64(7)) & np.uint64(DIM - 1)
-        out[(owner[: len(h)] * DIM + slots.astype(np.int64))[whole]] = 1
+    flat = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([len(t) for t in lowered])
+    for begin in range(0, len(flat), PIECE):
+        # n-grams that begin in this piece, so with the characters that they reach into the next.
+        part = flat[begin : begin + PIECE + 3].astype(np.uint64)
+        owner = np.searchsorted(ends, np.arange(begin, begin + len(part)), side="right")
+        h = np.zeros(min(len(part), PIECE), np.uint64)
+        for n in range(1, 5):
+            size = min(len(h), len(part) - n + 1)
+            if size <= 0:
+                break
+            h = (h[:size] ^ (part[n - 1 : n - 1 + size] + np.uint64(n))) * _K
+            h ^= h >> np.uint64(31)
+            slots = (h >> np.uint64(7)) & np.uint64(DIM - 1)
+            whole = owner[:size] == owner[n - 1 : n - 1 + size]
+            out[(owner[:size] * DIM + slots.astype(np.int64))[whole]] = 1
     return out.reshape(len(texts), DIM)
 
 

@@ -106,11 +106,11 @@ def test_pipeline_with_clashing_names_and_no_ids(spark, tmp_path):
 
 
 def test_settings_stay_as_they_are(spark):
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
+    names = [f"spark.sql.execution.arrow.max{what}PerBatch" for what in ("Records", "Bytes")]
+    before = [spark.conf.get(name) for name in names]
     df = spark.createDataFrame([(1, "a b c d e f", "en", "s")], "doc_id long, text string, lang string, source string")
     for made in (secrets.secret_digests(df), language.identify(df), jaccard.jaccard_components(df), mixing.mix(df)):
-        assert made.count() == 1 and spark.conf.get(name) == before
+        assert made.count() == 1 and [spark.conf.get(name) for name in names] == before
 
 
 def test_letters_by_category(spark):
@@ -120,6 +120,25 @@ def test_letters_by_category(spark):
     assert [got[i][0] for i in range(8)] == ["und"] * 5 + ["en"] * 3 and all(got[i][1] == 0 for i in range(5))
 
 
+def test_pieces_of_texts_lose_no_ngram(monkeypatch):
+    """A row has the n-grams of its own text only, wherever the pieces are cut: the same as every text's n-grams one by one."""
+    texts = ["", "a", "é字😀 ab", " ".join(prose(60)), "x" * 300, "ΩİK\t1½", " ".join(prose(400))]
+    slots: dict[str, int] = {}
+    for gram in sorted({f" {t.lower()} "[i : i + n] for t in texts for n in range(1, 5) for i in range(len(t.lower()) + 3 - n)}):
+        h = 0
+        for n, c in enumerate(gram, 1):
+            h = ((h ^ (ord(c) + n)) * int(language._K)) % (1 << 64)
+            h ^= h >> 31
+        slots[gram] = (h >> 7) % language.DIM
+    want = np.zeros((len(texts), language.DIM), np.uint8)
+    for row, t in zip(want, texts, strict=True):
+        padded = f" {t.lower()} "
+        row[[slots[padded[i : i + n]] for n in range(1, 5) for i in range(len(padded) - n + 1)]] = 1
+    for piece in (1, 2, 3, 5, 64, 1 << 16):
+        monkeypatch.setattr(language, "PIECE", piece)
+        assert (language.presences(texts) == want).all()
+
+
 def test_language_model_is_the_kernel_ridge():
     """The folded weights score texts as landmarks' kernels, whitened, and a ridge regression do."""
     texts = [" ".join(random.choice(v) for _ in range(12)) for v in (WORDS[:40], WORDS[40:80], WORDS[80:120]) for _ in range(12)]
