@@ -171,9 +171,9 @@ def _filter_of(df: DataFrame, column: str) -> np.ndarray:
     sides = F.explode(F.array(F.col(column), F.shiftrightunsigned(column, 29)))
     slot = F.shiftrightunsigned("_x", 6).bitwiseAND(words - 1).cast("int")
     bit = F.expr("shiftleft(1L, cast(_x & 63L as int))")
-    found = df.select(sides.alias("_x")).groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    found = df.select(sides.alias("_x")).groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("bits")).toArrow()
     out = np.zeros(words, np.int64)
-    out[found["slot"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    out[found["slot"].to_numpy()] = found["bits"].to_numpy()
     return out.view(np.uint64)
 
 
