@@ -27,23 +27,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Rows that a Python worker gets at once while a table is saved, as rows may be whole texts.
-ROWS_AT_ONCE = 1000
+#: Rows that a Python worker gets at once while a table is saved, as rows may be whole texts; and their bytes, but for the row that exceeds them.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 1000, 8 << 20
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back: cuts lineage, survives lost executors, keeps column pruning.
 
-    Python workers get small batches meanwhile; the session's setting is as before afterwards.
+    Python workers get small batches meanwhile; the session's settings are as before afterwards.
     """
-    spark, rows = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark, small = df.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": ROWS_AT_ONCE, "spark.sql.execution.arrow.maxBytesPerBatch": BYTES_AT_ONCE}
     path = f"{shared_folder(spark)}/lathe-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(rows)
-    spark.conf.set(rows, ROWS_AT_ONCE)
+    before = {setting: spark.conf.get(setting) for setting in small}
+    for setting, value in small.items():
+        spark.conf.set(setting, value)
     try:
         df.write.mode("overwrite").parquet(path)
     finally:
-        spark.conf.set(rows, before)
+        for setting, value in before.items():
+            spark.conf.set(setting, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
