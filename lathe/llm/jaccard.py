@@ -412,7 +412,8 @@ def _crossed(percent: int):
     """Rows in order of (token, alone, component): all pairs of a token's groups that aren't in one component, if their sets' sizes allow a link.
 
     alone tells that the group is a component of its own; most, how many
-    tokens it can have in common with any other.
+    tokens it can have in common with a set whose prefix ends later in the
+    order of tokens. Of two sets it holds for one, so the larger one counts.
     """
 
     def pairs_of(token, alone, comp, gid, low, high, most) -> Iterator[pa.RecordBatch]:
@@ -430,7 +431,7 @@ def _crossed(percent: int):
             a = np.repeat(at[i:j], size)
             b = np.repeat(begin[i:j] - np.cumsum(size) + size, size) + np.arange(len(a))
             fits = (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a])
-            fits &= (100 + percent) * np.minimum(most[a], most[b]) >= percent * (low[a] + low[b])
+            fits &= (100 + percent) * np.maximum(most[a], most[b]) >= percent * (low[a] + low[b])
             a, b, i = a[fits], b[fits], j
             if len(a):
                 need = needed(percent, low[a], high[a], low[b], high[b])
@@ -681,7 +682,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: float = 0.8)
     of = components(links)
     placed = names.select("gid", F.col("grp").alias("sig"), "low", "high", "m").join(of, "sig", "left").select(F.col("gid").alias("a"), "low", "high", "m", "component")
     postings = shared.where("token is not null").select("token", "a").join(placed, "a")
-    # A single set has no more in common with another than its shared prefix tokens and all tokens behind its prefix; without enough of them it can't be linked.
+    # A single set has no more in common with one whose prefix ends later than its shared prefix tokens and all tokens behind its prefix. With any linked set it shares few prefix tokens at least.
     few = F.greatest(F.when(F.col("low") < SMALL, 1).otherwise(EXTRA), F.floor(F.col("low") / EXTRA_SHARE))
     rest = F.ceil(F.col("low") * percent / F.lit(100)) - few
     postings = postings.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("a"))).withColumn("few", few)

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,60 @@ def test_needed_tokens_never_exceed_the_truth():
         assert jaccard.LOW[jaccard.size_class(a)] <= a <= jaccard.HIGH[jaccard.size_class(a)]
 
 
+def test_pairs_of_linked_sets_pass_every_bound_on_their_sizes():
+    """Two linked sets that share tokens with nobody else still meet, wherever either prefix ends."""
+    draw, met, tight = np.random.default_rng(5), 0, 0
+    for _ in range(4000):
+        counts = (2 ** draw.integers(0, 9, 1024)).astype(np.uint16)
+        universe = draw.choice(1 << 40, 400, replace=False).astype(np.uint64)
+        n = int(draw.integers(8, 180))
+        a, inside = universe[:n], int(round(n * draw.uniform(0.82, 1)))
+        b = np.concatenate([a[:inside], universe[200 : 200 + int(draw.integers(0, max(1, n // 5)))]])
+        both = inside
+        if 100 * both < 80 * (n + len(b) - both):
+            continue
+        left, right = (jaccard.prefix_tokens(np.sort(x), counts, 80)[0] for x in (a, b))
+        shared = np.intersect1d(left, right)
+        sizes, rest = np.array([n, len(b)]), []
+        for x in sizes:
+            rest.append(len(shared) + -(-80 * int(x) // 100) - int(jaccard.extra(np.int64(x))))
+        assert len(shared) >= jaccard.extra(sizes).min() and both <= max(rest)
+        tight += both > min(rest)
+        k = len(shared)
+        columns = [np.repeat(np.sort(shared).astype(np.int64), 2), np.ones(2 * k, bool), np.zeros(2 * k, np.int64), np.tile([1, 2], k), *(np.tile(sizes, k) for _ in range(2)), np.tile(rest, k)]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "alone", "comp", "gid", "low", "high", "most"])
+        need = [x for out in jaccard._crossed(80)(iter([batch])) for x in out.column("need").to_pylist()]
+        assert len(need) == k and k >= need[0]
+        met += 1
+    assert met > 1000 and tight > 20
+
+
+def test_links_near_the_threshold(spark):
+    """Pairs of similarity 0.8 to 0.87 and just below, of many sizes, made of passages of very different frequency."""
+    passages, rows = [prose(12) for _ in range(30)], []
+    for k in range(700):
+        words = [w for _ in range(random.randint(0, 5)) for w in passages[min(29, int(random.expovariate(0.15)))]] + prose(random.randint(10, 90))
+        size = len(words) - 4
+        edge = random.randint(int(0.09 * size), int(0.24 * size) + 1)
+        front = random.randint(0, edge)
+        other = prose(front // 2) + words[front : len(words) - (edge - front)] + prose(random.choice((0, 0, front // 3)))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    holders, sets = defaultdict(list), {i: set(grams(t.split())) for i, t in rows}
+    for i, found in sets.items():
+        for gram in found:
+            holders[gram].append(i)
+    shared = Counter((a, b) for ids in holders.values() for x, a in enumerate(ids) for b in ids[x + 1 :])
+    top, close = {i: i for i in sets}, 0
+    for (a, b), n in shared.items():
+        if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+            close += 100 * n < 85 * (len(sets[a]) + len(sets[b]) - n)
+            x, y = sorted((top[a], top[b]))
+            top = {i: x if t == y else t for i, t in top.items()}
+    assert close > 80
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(df).collect()} == top
+
+
 def test_pipeline_with_clashing_names_and_no_ids(spark, tmp_path):
     """Every stage keeps columns that are called like its own, and rows without a doc_id."""
     names = ("score", "lang_pred", "_gone", "_leaking", "_key", "_key2", "_source", "_turn", "_copy", "_end0", "hub", "size", "a.b")

@@ -82,10 +82,11 @@ def shingles(text):
 ORACLES = queries.oracle_sql()
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 @pytest.mark.parametrize("name", sorted(ORACLES))
-def test_against_sql(spark, duck, name):
-    got = spark_rows(queries.queries()[name](spark, "/root/testdata/sf0.001"))
-    assert got == duck_rows(duck("sf0.001"), ORACLES[name])
+def test_query_matches_its_sql(spark, duck, name, sf):
+    got = spark_rows(queries.queries()[name](spark, f"/root/testdata/{sf}"))
+    assert got == duck_rows(duck(sf), ORACLES[name])
 
 
 def test_secrets_against_regexes(odd, empty):
