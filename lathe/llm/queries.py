@@ -8,15 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import conversation_digests, format_turns, probe
+from .codes import vector_codes
 from .decontaminate import contamination
 from .exact import exact_duplicates
 from .jaccard import jaccard_components
 from .language import identify
 from .mixing import mix
+from .neighbours import nearest_vectors
 from .quality import judge_quality
 from .secrets import secret_digests
 from .sharding import shard_documents
 from .urls import judge_urls
+from .variants import spelling_variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -186,6 +189,66 @@ SELECT r.doc_id, r.size, r.source_size, r.target, coalesce(g.taken, 0)::BIGINT A
 """
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+#: Hashes by a table of 256 remainders, bytes from code points, pairs by what is left of a word without one of its points.
+OP11_SQL = r"""
+WITH RECURSIVE tab AS MATERIALIZED (
+  SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t
+), r AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents
+), c AS (SELECT doc_id, run, count(*) AS n, string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, '') AS points FROM r GROUP BY doc_id, run),
+b AS (SELECT run, n, flatten(list_transform(points, lambda p: CASE WHEN unicode(p) < 128 THEN [unicode(p)::BIGINT] ELSE [195::BIGINT, unicode(p)::BIGINT - 64] END)) AS bytes FROM c),
+h AS (SELECT run, n, xor(list_reduce(bytes, lambda x, y: xor(x // 256, t[xor(x % 256, y) + 1]), 4294967295::BIGINT), 4294967295) AS h FROM b, tab),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+g AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS MATERIALIZED (
+  SELECT a.word, b.word AS other FROM g a JOIN g b ON a.i = b.i AND a.rest = b.rest AND a.word != b.word
+  UNION SELECT g.word, v.word FROM g JOIN v ON v.word = g.rest UNION SELECT v.word, g.word FROM g JOIN v ON v.word = g.rest
+), best AS (
+  SELECT near.word, count(*) AS n_near, arg_min(other, struct_pack(less := -v.n, word := other)) AS form, max(v.n) AS form_n FROM near JOIN v ON v.word = near.other GROUP BY near.word
+), told AS MATERIALIZED (
+  SELECT v.word, CASE WHEN form_n >= 2 * v.n THEN form END AS form, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 2 * v.n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)
+), chain AS (SELECT word, word AS at FROM v UNION ALL SELECT chain.word, told.form FROM chain JOIN told ON told.word = chain.at WHERE told.form IS NOT NULL),
+root AS (SELECT chain.word, chain.at AS root FROM chain JOIN told ON told.word = chain.at WHERE told.form IS NULL)
+SELECT told.word, told.form, root.root, told.n, told.n_near, told.form_n FROM told JOIN root USING (word)
+"""
+
+
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql(rounds: int = 6) -> str:
+    """Every round compares all parts with all entries."""
+    near = "SELECT vec_id, j, arg_min(e, struct_pack(d := d, e := e)) AS e, min(d) AS d FROM (SELECT p.vec_id, p.j, b.e, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM p JOIN b{k} b ON b.j = p.j) GROUP BY vec_id, j"
+    steps = []
+    for k in range(rounds):
+        steps.append(f"a{k} AS MATERIALIZED ({near.format(k=k)})")
+        steps.append(
+            f"m{k} AS (SELECT j, e, list(v ORDER BY i) AS x FROM (SELECT j, e, i, (sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*) AS v FROM (SELECT a.j, a.e, unnest(p.x) AS v, unnest(range(1, len(p.x) + 1)) AS i FROM a{k} a JOIN p ON p.vec_id = a.vec_id AND p.j = a.j) GROUP BY j, e, i) GROUP BY j, e)"
+        )
+        steps.append(f"b{k + 1} AS MATERIALIZED (SELECT b.j, b.e, list_transform(coalesce(m.x, b.x), lambda v: v::BIGINT) AS x FROM b{k} b LEFT JOIN m{k} m ON m.j = b.j AND m.e = b.e)")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda c: floor(c::DOUBLE * 4096)::BIGINT) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(embedding) > 0
+), p AS MATERIALIZED (SELECT vec_id, j, x[j * len(x) // 8 + 1:(j + 1) * len(x) // 8] AS x FROM (SELECT *, unnest(range(0, 8)) AS j FROM v)),
+b0 AS MATERIALIZED (SELECT p.j, r.e, p.x FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v) r ON r.vec_id = p.vec_id WHERE r.e < 16),
+{", ".join(steps)},
+f AS ({near.format(k=rounds)}),
+c AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY j) AS code, sum(d)::BIGINT AS error FROM f GROUP BY vec_id),
+s AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY j, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT c.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY v.label))::BIGINT AS label_error, s.codebooks_sha256 FROM c JOIN v ON v.vec_id = c.vec_id, s
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
@@ -198,6 +261,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": op8_chat_format,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_mixing": op10_mixing,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_nearest": op12_nearest,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
@@ -209,4 +275,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_chat_format": OP8_SQL,
         "op9_jaccard_join": OP9_SQL,
         "op10_mixing": OP10_SQL,
+        "op11_spelling_variants": OP11_SQL,
+        "op13_vector_codes": _op13_sql(),
     }
