@@ -87,13 +87,14 @@ def extra(n):
     return np.maximum(np.where(np.asarray(n) < SMALL, 1, EXTRA), n // EXTRA_SHARE)
 
 
-def prefix_tokens(tokens: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The rarest tokens of a set, as many as the prefix bound asks for; and how frequent these are, from 0 to 255."""
+def prefix_tokens(tokens: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int, int]:
+    """The rarest tokens of a set, as many as the prefix bound asks for; how frequent these are, from 0 to 255; and where the last of them stands in the order of all tokens."""
     n = len(tokens)
     keep = min(n, n - -(-percent * n // 100) + int(extra(n)))
     often = counts[(tokens & np.uint64(len(counts) - 1)).astype(np.int64)]
     order = np.argsort(often, kind="stable")[:keep]
-    return tokens[order], min(255, int(16 * np.log2(1.0 + often[order]).mean()))
+    last = order[-1]
+    return tokens[order], min(255, int(16 * np.log2(1.0 + often[order]).mean())), int(often[last]) << 47 | int(tokens[last]) >> 17
 
 
 def size_class(n):
@@ -227,8 +228,8 @@ def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(v, 65535).astype(np.uint16).tobytes() for v in sums.values()], pa.binary())], names=["slice", "blob"])
 
 
-PARTS = "fam long, sig binary, n int, blob binary, whole boolean, gid long, hub int"
-_PARTS = pa.schema([("fam", pa.int64()), ("sig", pa.binary()), ("n", pa.int32()), ("blob", pa.binary()), ("whole", pa.bool_()), ("gid", pa.int64()), ("hub", pa.int32())])
+PARTS = "fam long, sig binary, n int, blob binary, whole boolean, gid long, hub int, last long"
+_PARTS = pa.schema([("fam", pa.int64()), ("sig", pa.binary()), ("n", pa.int32()), ("blob", pa.binary()), ("whole", pa.bool_()), ("gid", pa.int64()), ("hub", pa.int32()), ("last", pa.int64())])
 
 
 def _first_id(kind: int) -> int:
@@ -252,8 +253,8 @@ def _part(words: int, percent: int, counts, many, firsts):
                     continue
                 seen.add(sig)
                 whole = _hit(bits, int(tokens[0])) if whole is None else whole
-                prefix, hub = prefix_tokens(tokens, table, percent)
-                rows.append((tokens[0], sig, len(tokens), (tokens if whole else prefix).tobytes(), whole, gid, hub))
+                prefix, hub, end = prefix_tokens(tokens, table, percent)
+                rows.append((tokens[0], sig, len(tokens), (tokens if whole else prefix).tobytes(), whole, gid, hub, end))
                 gid += 1
             if rows:
                 fams, *rest = zip(*rows, strict=True)
@@ -262,8 +263,8 @@ def _part(words: int, percent: int, counts, many, firsts):
     return run
 
 
-STARS = "sig binary, pivot binary, grp binary, gid long, n int, blob binary, hub int"
-_STARS = pa.schema([("sig", pa.binary()), ("pivot", pa.binary()), ("grp", pa.binary()), ("gid", pa.int64()), ("n", pa.int32()), ("blob", pa.binary()), ("hub", pa.int32())])
+STARS = "sig binary, pivot binary, grp binary, gid long, n int, blob binary, hub int, last long"
+_STARS = pa.schema([("sig", pa.binary()), ("pivot", pa.binary()), ("grp", pa.binary()), ("gid", pa.int64()), ("n", pa.int32()), ("blob", pa.binary()), ("hub", pa.int32()), ("last", pa.int64())])
 
 
 def _star(percent: int, counts):
@@ -285,8 +286,9 @@ def _star(percent: int, counts):
                     root = roots[links[0]]
                 else:
                     root, gid = (sig, gid), gid + 1
-                prefix = prefix_tokens(tokens, table, percent)[0].tobytes()
-                rows += [(sig, sigs[i], *root, n, prefix if k == 0 else None, hub) for k, i in enumerate(links)] or [(sig, None, *root, n, prefix, hub)]
+                prefix, _, end = prefix_tokens(tokens, table, percent)
+                prefix = prefix.tobytes()
+                rows += [(sig, sigs[i], *root, n, prefix if k == 0 else None, hub, end) for k, i in enumerate(links)] or [(sig, None, *root, n, prefix, hub, end)]
                 if len(pivots) < PIVOTS:
                     pivots.append(tokens)
                     sigs.append(sig)
@@ -412,11 +414,11 @@ def _crossed(percent: int):
     """Rows in order of (token, alone, component): all pairs of a token's groups that aren't in one component, if their sets' sizes allow a link.
 
     alone tells that the group is a component of its own; most, how many
-    tokens it can have in common with a set whose prefix ends later in the
-    order of tokens. Of two sets it holds for one, so the larger one counts.
+    tokens it can have in common with a set whose prefix doesn't end before
+    last, where the first of its own prefixes ends in the order of tokens.
     """
 
-    def pairs_of(token, alone, comp, gid, low, high, most) -> Iterator[pa.RecordBatch]:
+    def pairs_of(token, alone, comp, gid, low, high, most, last) -> Iterator[pa.RecordBatch]:
         ends = np.append(np.flatnonzero(token[1:] != token[:-1]) + 1, len(token))
         changes = (token[1:] != token[:-1]) | alone[1:] | alone[:-1] | (comp[1:] != comp[:-1])
         runs = np.append(np.flatnonzero(changes) + 1, len(token))
@@ -431,7 +433,8 @@ def _crossed(percent: int):
             a = np.repeat(at[i:j], size)
             b = np.repeat(begin[i:j] - np.cumsum(size) + size, size) + np.arange(len(a))
             fits = (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a])
-            fits &= (100 + percent) * np.maximum(most[a], most[b]) >= percent * (low[a] + low[b])
+            both = np.where(last[a] < last[b], most[a], np.where(last[b] < last[a], most[b], np.maximum(most[a], most[b])))
+            fits &= (100 + percent) * both >= percent * (low[a] + low[b])
             a, b, i = a[fits], b[fits], j
             if len(a):
                 need = needed(percent, low[a], high[a], low[b], high[b])
@@ -440,7 +443,7 @@ def _crossed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
         for batch in batches:
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "alone", "comp", "gid", "low", "high", "most")]
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "alone", "comp", "gid", "low", "high", "most", "last")]
             now = now if kept is None else [np.concatenate(x) for x in zip(kept, now, strict=True)]
             if not len(now[0]):
                 continue
@@ -600,8 +603,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: float = 0.8)
     buckets = max(width, -(-total // (8 * TOKENS_PER_BUCKET)))
     tokens = own.select("gid", "n", "hub", "blob").union(grouped.select("gid", "n", "hub", "blob")).mapInArrow(_spread(buckets), TOKENS)
     shared = saved(tokens.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(percent), SHARED), "shared")
-    names = own.select("gid", F.col("sig").alias("grp"), F.col("n").cast("long").alias("low"), F.col("n").cast("long").alias("high"), F.lit(1).cast("long").alias("m"))
-    names = names.union(grouped.groupBy("gid").agg(F.first("grp"), F.min("n").cast("long"), F.max("n").cast("long"), F.count(F.lit(1))))
+    names = own.select("gid", F.col("sig").alias("grp"), F.col("n").cast("long").alias("low"), F.col("n").cast("long").alias("high"), F.lit(1).cast("long").alias("m"), "last")
+    names = names.union(grouped.groupBy("gid").agg(F.first("grp"), F.min("n").cast("long"), F.max("n").cast("long"), F.count(F.lit(1)), F.min("last")))
     # Only groups that share a token are named from here on.
     names = saved(names.join(shared.where("token is not null").select(F.col("a").alias("gid")).distinct(), "gid", "left_semi"), "names")
     linked_to = saved(stars.where("pivot is not null").select("grp", "sig", "pivot"), "linked")
@@ -680,14 +683,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: float = 0.8)
 
     # Second phase: all pairs of groups of different components.
     of = components(links)
-    placed = names.select("gid", F.col("grp").alias("sig"), "low", "high", "m").join(of, "sig", "left").select(F.col("gid").alias("a"), "low", "high", "m", "component")
+    placed = names.select("gid", F.col("grp").alias("sig"), "low", "high", "m", "last").join(of, "sig", "left").select(F.col("gid").alias("a"), "low", "high", "m", "last", "component")
     postings = shared.where("token is not null").select("token", "a").join(placed, "a")
     # A single set has no more in common with one whose prefix ends later than its shared prefix tokens and all tokens behind its prefix. With any linked set it shares few prefix tokens at least.
     few = F.greatest(F.when(F.col("low") < SMALL, 1).otherwise(EXTRA), F.floor(F.col("low") / EXTRA_SHARE))
     rest = F.ceil(F.col("low") * percent / F.lit(100)) - few
     postings = postings.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("a"))).withColumn("few", few)
     postings = postings.where("m > 1 or held >= few").withColumn("most", F.when(F.col("m") == 1, F.col("held") + rest).otherwise(F.col("high")))
-    postings = postings.select("token", F.col("component").isNull().alias("alone"), F.coalesce("component", F.lit(0).cast("long")).alias("comp"), F.col("a").alias("gid"), "low", "high", F.col("most").cast("long").alias("most"))
+    postings = postings.select("token", F.col("component").isNull().alias("alone"), F.coalesce("component", F.lit(0).cast("long")).alias("comp"), F.col("a").alias("gid"), "low", "high", F.col("most").cast("long").alias("most"), "last")
     crossed = postings.repartition(width, "token").sortWithinPartitions("token", "alone", "comp").mapInArrow(_crossed(percent), PAIRS)
     pairs = saved(named(crossed), "pairs")
     for done in (shared, names, of):

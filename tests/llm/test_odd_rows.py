@@ -90,16 +90,16 @@ def test_pairs_of_linked_sets_pass_every_bound_on_their_sizes():
         both = inside
         if 100 * both < 80 * (n + len(b) - both):
             continue
-        left, right = (jaccard.prefix_tokens(np.sort(x), counts, 80)[0] for x in (a, b))
+        (left, _, end), (right, _, other_end) = (jaccard.prefix_tokens(np.sort(x), counts, 80) for x in (a, b))
         shared = np.intersect1d(left, right)
         sizes, rest = np.array([n, len(b)]), []
         for x in sizes:
             rest.append(len(shared) + -(-80 * int(x) // 100) - int(jaccard.extra(np.int64(x))))
-        assert len(shared) >= jaccard.extra(sizes).min() and both <= max(rest)
+        assert len(shared) >= jaccard.extra(sizes).min() and both <= (rest[0] if end < other_end else rest[1] if other_end < end else max(rest))
         tight += both > min(rest)
         k = len(shared)
-        columns = [np.repeat(np.sort(shared).astype(np.int64), 2), np.ones(2 * k, bool), np.zeros(2 * k, np.int64), np.tile([1, 2], k), *(np.tile(sizes, k) for _ in range(2)), np.tile(rest, k)]
-        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "alone", "comp", "gid", "low", "high", "most"])
+        columns = [np.repeat(np.sort(shared).astype(np.int64), 2), np.ones(2 * k, bool), np.zeros(2 * k, np.int64), np.tile([1, 2], k), *(np.tile(sizes, k) for _ in range(2)), np.tile(rest, k), np.tile([end, other_end], k)]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "alone", "comp", "gid", "low", "high", "most", "last"])
         need = [x for out in jaccard._crossed(80)(iter([batch])) for x in out.column("need").to_pylist()]
         assert len(need) == k and k >= need[0]
         met += 1
