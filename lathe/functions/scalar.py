@@ -116,10 +116,10 @@ CONTROL, DEFINITION = ("if ", "elif ", "else:", "for ", "while ", "try:", "excep
 
 def complexity(text: Column) -> Column:
     """Lines with control flow and lines with a definition, as a share of all lines; 1 at most."""
-    lines = F.split(text, "\n")
-    control = F.size(F.filter(lines, lambda x: x.rlike("|".join(CONTROL))))
-    defined = F.size(F.filter(lines, lambda x: x.rlike("|".join(DEFINITION))))
-    return F.least(F.lit(1.0), (control + defined) / F.greatest(F.size(lines), F.lit(1)))
+    # A match takes the rest of its line, so each line counts once, in one pass over the text.
+    found = lambda words: F.regexp_count(text, F.lit("(?:" + "|".join(words) + ")[^\\n]*"))
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    return F.least(F.lit(1.0), (found(CONTROL) + found(DEFINITION)) / lines)
 
 
 def severity_from_response(x: Column) -> Column:

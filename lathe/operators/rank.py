@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import EXTENSION_WEIGHTS, chosen, suffix
+from ..functions.scalar import EXTENSION_WEIGHTS, chosen, complexity, suffix
 
 #: Weights of relations, and the forms of test, configuration and documentation paths.
 RELATION_WEIGHTS = {"CALLS": 0.8, "CALLED_BY": 0.8, "CONTAINS_SYMBOL": 0.6, "CONTAINED_BY": 0.6, "IMPORTS": 0.5, "IMPORTED_BY": 0.5, "IMPLEMENTS": 0.7, "EXTENDS": 0.7, "REFERENCES": 0.4, "DEFINES": 0.5}
@@ -65,11 +65,22 @@ def path_similarities(files: DataFrame, seeds: DataFrame) -> DataFrame:
     return files.select("path").distinct().join(best, "path", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
 
 
-def is_main_interface(name: Column, kind: Column, code: Column) -> Column:
-    """A main function, a class or interface, or a function that doesn't begin with an underscore and whose code shows that it is public."""
+def is_shown(code: Column) -> Column:
+    """Whether code shows that it is public."""
     shown = F.lit(False)
     for word in PUBLIC:
         shown = shown | F.contains(F.coalesce(code, F.lit("")), F.lit(word))
+    return shown
+
+
+def with_code_features(codes: DataFrame, code: Column) -> DataFrame:
+    """codes with what a ranking reads of a code: complexity (0 without code) and shown. Made where each code is stored once, so that texts needn't travel with candidates."""
+    text = F.coalesce(code, F.lit(""))
+    return codes.withColumn("complexity", F.when(text == "", 0.0).otherwise(complexity(text))).withColumn("shown", is_shown(text))
+
+
+def is_main_interface(name: Column, kind: Column, shown: Column) -> Column:
+    """A main function, a class or interface, or a function that doesn't begin with an underscore and is shown to be public."""
     return F.lower(name).isin(*MAIN_NAMES) | kind.isin(*MAIN_KINDS) | (kind.isin(*CALLABLE) & ~name.startswith("_") & shown)
 
 
@@ -84,27 +95,46 @@ def relevance(f: dict[str, Column]) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), s * f["extension"]))
 
 
-def scored(candidates: DataFrame, seeds: DataFrame, names: DataFrame, weights: Weights | None = None) -> DataFrame:
-    """candidates (item_id, file_path, symbol_name, symbol_type, relationship_type, calls, code_snippet) with score, from all features; those below the threshold are left out.
+def described(symbols: DataFrame, seeds: DataFrame, names: DataFrame, weights: Weights | None = None, files: DataFrame | None = None) -> DataFrame:
+    """symbols (file_path, symbol_name, symbol_type, and a key) with all features that don't depend on who calls them.
 
-    seeds: path, name. names: name and similarity of all candidates' names with
-    the seeds' (see best_name_similarity). Features of paths and names are
+    seeds: path, name. names: name and similarity of all symbols' names with
+    the seeds' (see names.best_name_similarity). files: all paths (path) of
+    symbols; without it they are collected from these. Features of paths are
     worked out once for each different one.
     """
-    w = weights or Weights()
-    paths = candidates.select(F.col("file_path").alias("path")).distinct()
-    near = file_distances(paths, seeds).join(path_similarities(paths, seeds), "path").withColumnRenamed("path", "_path")
+    w, path = weights or Weights(), F.col("path")
+    paths = (symbols.select(F.col("file_path").alias("path")) if files is None else files.select("path")).distinct()
+    near = file_distances(paths, seeds).join(path_similarities(paths, seeds), "path")
+    near = near.select(path.alias("_path"), "distance", "similarity", path.rlike(DOC_PATH).alias("doc"), path.rlike(TEST_PATH).alias("test"), w.extension(path).alias("extension"))
     same = seeds.select(F.col("path").alias("_same")).distinct()
+    near = near.join(same, F.col("_path") == F.col("_same"), "left")
     called = seeds.select(F.lower("name").alias("_seed")).distinct()
-    rows = candidates.join(near, F.col("file_path") == F.col("_path"), "left").join(same, F.col("file_path") == F.col("_same"), "left").join(called, F.lower("symbol_name") == F.col("_seed"), "left")
-    rows = rows.join(names.select(F.col("name").alias("_name"), F.col("similarity").alias("_name_sim")), F.lower("symbol_name") == F.col("_name"), "left")
-    from ..functions.scalar import complexity
-
-    path, code = F.col("file_path"), F.coalesce("code_snippet", F.lit(""))
+    alike = names.select(F.col("name").alias("_name"), F.col("similarity").alias("_name_sim")).join(called, F.col("_name") == F.col("_seed"), "left")
+    rows = symbols.join(near, F.col("file_path") == F.col("_path"), "left").join(alike, F.lower("symbol_name") == F.col("_name"), "left")
     features = {
-        "seed": F.col("_seed").isNotNull(), "same_file": F.col("_same").isNotNull(), "distance": F.coalesce("distance", F.lit(1.0)), "relation": w.relation(F.col("relationship_type")), "calls": F.col("calls"),
-        "doc": path.rlike(DOC_PATH), "test": path.rlike(TEST_PATH), "main": is_main_interface(F.col("symbol_name"), F.col("symbol_type"), code), "name_sim": F.coalesce("_name_sim", F.lit(0.0)),
-        "path_sim": F.coalesce("similarity", F.lit(0.0)), "complexity": F.when(code == "", 0.0).otherwise(complexity(code)), "extension": w.extension(path),
+        "seed": F.col("_seed").isNotNull(), "same_file": F.col("_same").isNotNull(), "distance": F.coalesce("distance", F.lit(1.0)), "doc": F.coalesce("doc", F.lit(False)), "test": F.coalesce("test", F.lit(False)),
+        "name_sim": F.coalesce("_name_sim", F.lit(0.0)), "path_sim": F.coalesce("similarity", F.lit(0.0)), "extension": F.coalesce("extension", F.lit(1.0)),
     }
-    rows = rows.withColumn("score", relevance(features)).where(F.col("score") >= w.threshold)
-    return rows.select(*candidates.columns, "score")
+    return rows.select(*symbols.columns, *[v.alias(f"_{k}") for k, v in features.items()])
+
+
+def scored(candidates: DataFrame, symbols: DataFrame, on: list[str], weights: Weights | None = None) -> DataFrame:
+    """candidates (relationship_type, calls, complexity, shown: see with_code_features) with score, from all features; those below the threshold are left out.
+
+    symbols: described(), which candidates find by the columns on. So a
+    candidate is joined once, however many features there are.
+    """
+    w = weights or Weights()
+    features = ("seed", "same_file", "distance", "doc", "test", "name_sim", "path_sim", "extension")
+    right = symbols.select(*[F.col(c).alias(f"_on_{c}") for c in on], F.col("symbol_name").alias("_called"), F.col("symbol_type").alias("_kind"), *[f"_{k}" for k in features])
+    rows = candidates.join(right, [F.col(c) == F.col(f"_on_{c}") for c in on])
+    main = is_main_interface(F.col("_called"), F.col("_kind"), F.col("shown"))
+    rows = rows.withColumn("score", relevance({k: F.col(f"_{k}") for k in features} | {"relation": w.relation(F.col("relationship_type")), "calls": F.col("calls"), "main": main, "complexity": F.col("complexity")}))
+    return rows.where(F.col("score") >= w.threshold).select(*candidates.columns, "score")
+
+
+def in_score_order(items: DataFrame, pack: str) -> DataFrame:
+    """items with place, from 1 on in each pack: the highest score first, then seeds, then the most urgent, then by id."""
+    order = [F.col("score").desc(), F.col("is_seed").desc(), F.col("priority"), F.col("item_id")]
+    return items.withColumn("place", F.row_number().over(Window.partitionBy(pack).orderBy(*order)))

@@ -1,9 +1,8 @@
-"""Text operators that Spark's functions can't express: chunks, similarity of names, boundaries, repairs, spreading."""
+"""Text operators that Spark's functions can't express: chunks, boundaries, repairs, spreading."""
 
 from __future__ import annotations
 
 import ast
-import difflib
 import json
 import re
 from collections.abc import Iterator
@@ -54,10 +53,6 @@ def linked_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("next_chunk", F.lead("chunk").over(w)).withColumn("first_line", first.cast("long"))
 
 
-def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
-
-
 _BOUNDARY = re.compile(r"^(?:def |async def |function |class |\s*#|\s*//|\s*$)", re.MULTILINE)
 
 
@@ -98,23 +93,6 @@ def _repair(raw: pd.Series) -> pd.Series:
 
 
 # The functions are made when a plan asks for them: workers import this module, and can't make any.
-def name_similarity(a: Column | str, b: Column | str) -> Column:
-    return F.pandas_udf(_ratios, "double")(a, b)
-
-
-def best_name_similarity(symbols: DataFrame, seeds: DataFrame) -> DataFrame:
-    """symbols with similarity: the largest of the name with any name of seeds, 0 without a name or seeds.
-
-    Every distinct name meets every distinct seed name once, pair by pair, in
-    tasks dealt by name.
-    """
-    width = int(symbols.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = symbols.select(F.col("name").alias("_name")).where("name != ''").distinct().repartition(width, "_name")
-    others = seeds.select(F.col("name").alias("_seed")).distinct()
-    best = names.crossJoin(others).select("_name", name_similarity("_name", "_seed").alias("_ratio")).groupBy("_name").agg(F.max("_ratio").alias("similarity"))
-    return symbols.join(best, F.col("name") == F.col("_name"), "left").drop("_name").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
-
-
 def boundary_truncated(text: Column | str, n: Column | str) -> Column:
     return F.pandas_udf(_boundary, "string")(text, n)
 

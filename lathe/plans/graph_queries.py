@@ -344,7 +344,8 @@ def path_classify(spark, sf_dir):
 @frame("main_interface", lambda d: """
 SELECT src, item_id, lower(symbol_name) IN ('main', 'init', '__init__', 'setup', 'configure') OR symbol_type IN ('class', 'interface') OR (symbol_type IN ('function', 'method') AND symbol_name NOT LIKE '\\_%' ESCAPE '\\' AND regexp_matches(code_snippet, 'export|public|@api|def ')) AS is_main FROM candidates""".replace("\\\\", "\\"), "candidates")
 def main_interface(spark, sf_dir):
-    return table(spark, sf_dir, "candidates").select("src", "item_id", rank.is_main_interface(F.col("symbol_name"), F.col("symbol_type"), F.col("code_snippet")).alias("is_main"))
+    codes = rank.with_code_features(table(spark, sf_dir, "documents"), F.col("text")).select(F.col("doc_id").alias("code_id"), "shown")
+    return table(spark, sf_dir, "candidates").join(codes, "code_id").select("src", "item_id", rank.is_main_interface(F.col("symbol_name"), F.col("symbol_type"), F.col("shown")).alias("is_main"))
 
 
 @frame("item_classify", lambda d: f"""

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import anchor, detect, diff, graph, pack, persist, rank, report, response, review, text, validate
+from ..operators import anchor, detect, diff, graph, names, pack, persist, rank, report, response, review, text, validate
 from ..sources import snippets
 from .dialect import frame, table
 
@@ -273,11 +273,13 @@ def rank_complexity(spark, sf_dir):
 
 @frame("rank_score")
 def rank_score(spark, sf_dir):
-    """All candidates by all features, name similarity included, which SQL can't express; tests hold the score against brute force."""
+    """All candidates by all features and in order of their scores. SQL can't express name similarity; tests hold scores and order against brute force."""
     seeds = table(spark, sf_dir, "seeds").select("path", "name")
-    names = text.best_name_similarity(table(spark, sf_dir, "kg_symbols").select(F.lower("name").alias("name")).distinct(), seeds.select(F.lower("name").alias("name")))
-    cands = table(spark, sf_dir, "candidates").withColumn("relationship_type", F.lit("CALLS")).withColumn("calls", c("priority") - 1)
-    return rank.scored(cands, seeds, names).select("src", "item_id", F.round("score", 6).alias("score"))
+    similar = names.best_name_similarity(table(spark, sf_dir, "kg_symbols").select(F.lower("name").alias("name")).distinct(), seeds.select(F.lower("name").alias("name")))
+    codes = rank.with_code_features(table(spark, sf_dir, "documents"), c("text")).select(c("doc_id").alias("code_id"), "complexity", "shown")
+    symbols = table(spark, sf_dir, "kg_symbols").where("node_id LIKE 'p%'").select(c("node_id").alias("item_id"), c("path").alias("file_path"), c("name").alias("symbol_name"), c("kind").alias("symbol_type"))
+    cands = table(spark, sf_dir, "candidates").select("src", "item_id", "relationship_type", "calls", "is_seed", "priority", "code_id").join(codes, "code_id")
+    return rank.in_score_order(rank.scored(cands, rank.described(symbols, seeds, similar), ["item_id"]), "src").select("src", "item_id", F.round("score", 6).alias("score"), "place")
 
 
 @frame("rank_dedup", lambda d: """
@@ -349,7 +351,7 @@ def snippet_truncate_chars(spark, sf_dir):
 
 
 def _sized(spark, sf_dir):
-    return table(spark, sf_dir, "candidates").withColumn("chars", F.length("code_snippet").cast("long")).withColumn("_down", -c("strength"))
+    return table(spark, sf_dir, "candidates").withColumn("_down", -c("strength"))
 
 
 @frame("pack_greedy_budget", lambda d: """
@@ -374,12 +376,12 @@ SELECT pack, item_id, CASE WHEN running <= 6000 THEN chars ELSE 6000 - (running
   SELECT pack, item_id, CAST(length(code_snippet) AS BIGINT) AS chars, CAST(sum(length(code_snippet)) OVER (PARTITION BY pack ORDER BY priority, -strength, item_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM candidates) x
 WHERE running <= 6000 OR 6000 - (running - chars) > 500""", "candidates")
 def prompt_budget(spark, sf_dir):
-    return pack.cut_to_budget(table(spark, sf_dir, "candidates").withColumn("chars", F.length("code_snippet").cast("long")), "pack", [c("priority"), c("strength").desc(), c("item_id")], "chars", 6000).select("pack", "item_id", "kept")
+    return pack.cut_to_budget(table(spark, sf_dir, "candidates"), "pack", [c("priority"), c("strength").desc(), c("item_id")], "chars", 6000).select("pack", "item_id", "kept")
 
 
 @frame("budget_estimate", lambda d: "SELECT pack, count(*) AS items, CAST(sum(length(code_snippet)) AS BIGINT) AS chars, CAST(sum(least(length(code_snippet), 2000)) AS BIGINT) AS after_truncation, count(*) > 35 OR sum(least(length(code_snippet), 2000)) > 120000 AS exceeded FROM candidates GROUP BY pack", "candidates")
 def budget_estimate(spark, sf_dir):
-    return pack.estimate(table(spark, sf_dir, "candidates").withColumn("chars", F.length("code_snippet").cast("long")), "pack", "chars")
+    return pack.estimate(table(spark, sf_dir, "candidates"), "pack", "chars")
 
 
 @frame("pack_fallback_select", lambda d: """
@@ -409,12 +411,12 @@ def array_caps(spark, sf_dir):
 
 @frame("pack_totals", lambda d: "SELECT pack, symbol_type, count(*) AS n, CAST(sum(length(code_snippet)) AS BIGINT) AS chars FROM candidates GROUP BY pack, symbol_type", "candidates")
 def pack_totals(spark, sf_dir):
-    return pack.totals(table(spark, sf_dir, "candidates").withColumn("chars", F.length("code_snippet").cast("long")), "pack", "symbol_type", "chars")
+    return pack.totals(table(spark, sf_dir, "candidates"), "pack", "symbol_type", "chars")
 
 
 @frame("pack_rates", lambda d: "SELECT pack, round(coalesce(CAST(sum(CASE WHEN length(code_snippet) > 2000 THEN 1 ELSE 0 END) AS DOUBLE) / nullif(count(*), 0) * 100, 0), 4) AS truncation_rate, round(coalesce(CAST(sum(CASE WHEN is_seed THEN 1 ELSE 0 END) AS DOUBLE) / nullif(count(*), 0) * 100, 0), 4) AS seed_rate FROM candidates GROUP BY pack", "candidates")
 def pack_rates(spark, sf_dir):
-    return pack.rates(table(spark, sf_dir, "candidates").withColumn("chars", F.length("code_snippet").cast("long")), "pack", "chars")
+    return pack.rates(table(spark, sf_dir, "candidates"), "pack", "chars")
 
 
 @frame("items_by_type_source", lambda d: "SELECT symbol_type, is_seed, count(*) AS n FROM candidates GROUP BY symbol_type, is_seed", "candidates")
@@ -426,7 +428,7 @@ def items_by_type_source(spark, sf_dir):
 SELECT round(CAST(count(DISTINCT item_id) AS DOUBLE) / greatest(count(*), 1), 6) AS dedup_ratio, round(CAST(sum(CASE WHEN length(code_snippet) > 2000 THEN 1 ELSE 0 END) AS DOUBLE) / greatest(count(*), 1), 6) AS truncation,
   round(CAST(count(DISTINCT file_path) AS DOUBLE) / greatest((SELECT count(DISTINCT path) FROM seeds), 1), 6) AS coverage FROM candidates""", "candidates", "seeds")
 def pipeline_quality_ratios(spark, sf_dir):
-    return pack.quality(table(spark, sf_dir, "candidates").withColumn("chars", F.length("code_snippet").cast("long")), table(spark, sf_dir, "seeds"), "chars")
+    return pack.quality(table(spark, sf_dir, "candidates"), table(spark, sf_dir, "seeds"), "chars")
 
 
 # --- detection -----------------------------------------------------------------------------------------------------------
@@ -487,7 +489,7 @@ SELECT pack, score, CASE WHEN score >= 8 THEN 'high' WHEN score >= 4 THEN 'mediu
   + CASE WHEN files > 20 THEN 3 WHEN files > 10 THEN 2 WHEN files > 3 THEN 1 ELSE 0 END + CASE WHEN pack % 8 > 5 THEN 2 WHEN pack % 8 > 2 THEN 1 ELSE 0 END + CASE WHEN pack % 10 > 7 THEN 2 WHEN pack % 10 > 3 THEN 1 ELSE 0 END AS score
   FROM (SELECT pack, count(*) AS n, sum(length(code_snippet)) AS chars, count(DISTINCT file_path) AS files FROM candidates GROUP BY pack) a) x""", "candidates")
 def review_complexity(spark, sf_dir):
-    per = table(spark, sf_dir, "candidates").groupBy("pack").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("code_snippet")).alias("chars"), F.count_distinct("file_path").alias("files"))
+    per = table(spark, sf_dir, "candidates").groupBy("pack").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.count_distinct("file_path").alias("files"))
     score = detect.complexity_score(c("n"), c("chars"), c("files"), c("pack") % 8, c("pack") % 10)
     return per.select("pack", score.alias("score"), detect.complexity_level(score).alias("level"))
 
@@ -586,7 +588,7 @@ def validate_patches(spark, sf_dir):
 @frame("validate_pack", lambda d: """
 SELECT pack, count(*) AS items, CAST(sum(length(code_snippet)) AS BIGINT) AS chars, concat_ws(', ', CASE WHEN count(*) > 35 THEN 'too many items' END, CASE WHEN sum(length(code_snippet)) > 120000 THEN 'too large' END) AS problems FROM candidates GROUP BY pack""", "candidates")
 def validate_pack(spark, sf_dir):
-    items = table(spark, sf_dir, "candidates").withColumn("chars", F.length("code_snippet"))
+    items = table(spark, sf_dir, "candidates")
     return validate.pack_problems(items, "pack").withColumn("problems", F.array_join("problems", ", "))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import text
+from ..operators import names, text
 from ..streaming import events as streams
 from .dialect import frame, table
 
@@ -47,7 +47,7 @@ def chunk_line_offsets(spark, sf_dir):
 @frame("rank_name_similarity")
 def rank_name_similarity(spark, sf_dir):
     symbols = table(spark, sf_dir, "kg_symbols").select("node_id", "name")
-    return text.best_name_similarity(symbols, table(spark, sf_dir, "seeds").select("name")).select("node_id", F.round("similarity", 6).alias("similarity"))
+    return names.best_name_similarity(symbols, table(spark, sf_dir, "seeds").select("name")).select("node_id", F.round("similarity", 6).alias("similarity"))
 
 
 @frame("snippet_truncate_boundary")

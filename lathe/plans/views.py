@@ -104,14 +104,14 @@ SELECT 'wf-' || CAST(user_id AS STRING) AS workflow_id, row_number() OVER (PARTI
 FROM {d.t('events')}"""
 
 
-@view("candidates", "kg_edges", "kg_symbols")
+@view("candidates", "kg_symbols")
 def candidates(d: Dialect) -> str:
-    """Called parts of every order, with a document as their code."""
+    """Called parts of every order, with how often it calls them and a document as their code, whose length is told where documents are stored."""
     return f"""
-SELECT e.src, CAST(substr(e.src, 2) AS BIGINT) AS pack, e.dst AS item_id, s.path AS file_path, s.name AS symbol_name, s.kind AS symbol_type, s.start_line, s.end_line,
+SELECT e.src, e.pack, e.dst AS item_id, 'CALLS' AS relationship_type, e.calls, s.path AS file_path, s.name AS symbol_name, s.kind AS symbol_type, s.start_line, s.end_line,
   CAST(substr(e.dst, 2) AS BIGINT) % 5 + 1 AS priority, (CAST(substr(e.dst, 2) AS BIGINT) * 37 % 100) / 100.0E0 AS strength, CAST(substr(e.dst, 2) AS BIGINT) % 7 = 0 AS is_seed,
-  t.text AS code_snippet FROM kg_edges e JOIN kg_symbols s ON s.node_id = e.dst CROSS JOIN (SELECT count(*) AS docs FROM {d.t('documents')}) n JOIN {d.t('documents')} t ON t.doc_id = CAST(substr(e.dst, 2) AS BIGINT) % n.docs
-WHERE e.edge_type = 'CALLS'"""
+  t.doc_id AS code_id, t.chars, t.text AS code_snippet FROM (SELECT 'o' || CAST(l_orderkey AS STRING) AS src, l_orderkey AS pack, 'p' || CAST(l_partkey AS STRING) AS dst, count(*) AS calls FROM {d.t('lineitem')} GROUP BY l_orderkey, l_partkey) e
+JOIN kg_symbols s ON s.node_id = e.dst CROSS JOIN (SELECT count(*) AS docs FROM {d.t('documents')}) n JOIN (SELECT doc_id, text, CAST(length(text) AS BIGINT) AS chars FROM {d.t('documents')}) t ON t.doc_id = CAST(substr(e.dst, 2) AS BIGINT) % n.docs"""
 
 
 @view("call_sites", "kg_edges", "kg_symbols")

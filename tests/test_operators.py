@@ -5,7 +5,7 @@ import difflib
 from pyspark.sql import functions as F
 
 from lathe.functions import scalar
-from lathe.operators import diff, events, graph, metrics, review, text
+from lathe.operators import diff, events, graph, metrics, names, review, text
 from lathe.sources import parser, tree
 
 
@@ -123,9 +123,9 @@ def test_best_name_similarity_is_over_all_seeds(spark):
     """Seeds of other files count, and a symbol without a seed in its file has a row."""
     symbols = spark.createDataFrame([("a", "x.py", "parse_file"), ("b", "y.py", "parse_line"), ("c", "y.py", "parse_file"), ("d", "z.py", None), ("e", "z.py", "")], "node_id string, path string, name string")
     seeds = spark.createDataFrame([("x.py", "run"), ("q.py", "parse_files"), ("q.py", "parse_files"), ("q.py", None)], "path string, name string")
-    got = {r.node_id: r.similarity for r in text.best_name_similarity(symbols, seeds).collect()}
+    got = {r.node_id: r.similarity for r in names.best_name_similarity(symbols, seeds).collect()}
     want = {i: max((difflib.SequenceMatcher(None, n, s).ratio() for s in ("run", "parse_files")), default=0) if n else 0 for i, _, n in symbols.collect()}
-    assert got == want and text.best_name_similarity(symbols, seeds.limit(0)).where("similarity = 0").count() == 5
+    assert got == want and names.best_name_similarity(symbols, seeds.limit(0)).where("similarity = 0").count() == 5
 
 
 def test_rank_name_similarity_has_every_symbol(spark):

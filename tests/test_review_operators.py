@@ -8,7 +8,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lathe.operators import anchor, detect, diff, graph, metrics, persist, rank, response, text, validate
+from lathe.operators import anchor, detect, diff, graph, metrics, names, persist, rank, response, validate
+from lathe.plans import registry
 from lathe.sources import recorded, snippets, tree
 from lathe.streaming import events as streams
 
@@ -93,8 +94,9 @@ def test_relevance_against_brute_force(spark):
     cands = [(str(k), random.choice(["src/a/x.py", "src/a/z.js", "tests/test_q.py", "docs/r.md", "k.zip", "src/b/c/d.tsx"]), random.choice(["loadFile", "load_files", "main", "_hid", "Other"]), random.choice(["function", "class", "variable"]), random.choice(["CALLS", "IMPORTS", "odd"]), random.randint(0, 6), random.choice(["", "def f():\n    if x:\n        pass", "if a \nfor b \nwhile c "])) for k in range(60)]
     df = spark.createDataFrame(cands, "item_id string, file_path string, symbol_name string, symbol_type string, relationship_type string, calls long, code_snippet string")
     seed_df = spark.createDataFrame(seeds, "path string, name string")
-    names = text.best_name_similarity(df.select(F.lower("symbol_name").alias("name")).distinct(), seed_df.select(F.lower("name").alias("name")))
-    got = {r.item_id: r.score for r in rank.scored(df, seed_df, names, rank.Weights(threshold=0.0)).collect()}
+    similar = names.best_name_similarity(df.select(F.lower("symbol_name").alias("name")).distinct(), seed_df.select(F.lower("name").alias("name")))
+    score_by = lambda w: rank.scored(rank.with_code_features(df, F.col("code_snippet")), rank.described(df.select("item_id", "file_path", "symbol_name", "symbol_type"), seed_df, similar, w), ["item_id"], w)
+    got = {r.item_id: r.score for r in score_by(rank.Weights(threshold=0.0)).collect()}
 
     def score(path, name, kind, relation, calls, code):
         parts, low = path.split("/"), name.lower()
@@ -119,7 +121,41 @@ def test_relevance_against_brute_force(spark):
 
     assert len(got) == 60 and all(abs(got[k] - score(*rest)) < 1e-9 for k, *rest in cands)
     heavy = rank.Weights(threshold=0.5, extensions={".py": 0.0})
-    assert all(not r.file_path.endswith(".py") and r.score >= 0.5 for r in rank.scored(df, seed_df, names, heavy).collect())
+    assert all(not r.file_path.endswith(".py") and r.score >= 0.5 for r in score_by(heavy).collect())
+
+
+def test_name_index_gives_what_all_pairs_give(spark, monkeypatch):
+    """The same ratios as of all pairs, from few of them; also with many small indexes and parts."""
+    draw = lambda: "".join(random.choice("abcdefgh_AZé") for _ in range(random.randint(1, 14)))
+    seeds, symbols = [draw() for _ in range(150)], [draw() for _ in range(300)] + ["", None, "\U0001f600x"]
+    symbols += [s[:-1] + "q" for s in seeds[:50]] + seeds[:5]
+    want = {s: max(difflib.SequenceMatcher(None, s, t).ratio() for t in seeds) for s in symbols if s}
+    df, others = spark.createDataFrame([(s,) for s in symbols], "name string"), spark.createDataFrame([(s,) for s in seeds], "name string")
+    found = names.name_similarities(df, others)
+    got = found.collect()
+    assert {r["_name"]: r.similarity for r in got} == want
+    # Of random names of few letters; real ones differ more.
+    assert sum(r.compared for r in got) < 0.35 * len(want) * len(set(seeds))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    monkeypatch.setattr(names, "INDEX", 40)
+    monkeypatch.setattr(names, "LOOKUPS", 90)
+    assert {r["_name"]: r.similarity for r in names.name_similarities(df, others).collect()} == want
+    assert {r.name: r.similarity for r in names.best_name_similarity(df, others.limit(0)).collect()} == dict.fromkeys(symbols, 0.0)
+
+
+def test_ranked_items_stand_in_order(spark):
+    rows = [("p", "a", 0.5, False, 2), ("p", "b", 0.5, True, 3), ("p", "c", 0.9, False, 5), ("p", "d", 0.5, True, 1), ("q", "e", 0.1, False, 1), ("p", "f", 0.5, False, 2)]
+    placed = rank.in_score_order(spark.createDataFrame(rows, "pack string, item_id string, score double, is_seed boolean, priority int"), "pack").collect()
+    assert [r.item_id for r in sorted(placed, key=lambda r: (r.pack, r.place))] == ["c", "d", "b", "a", "f", "e"]
+
+
+def test_texts_stay_out_of_packs(spark):
+    """No exchange of the pack family carries texts: lengths and flags come from where the documents are."""
+    for name in ("pack_greedy_budget", "pack_prefix_budget", "prompt_budget", "budget_estimate", "pack_totals", "validate_pack", "pipeline_quality_ratios", "rank_score"):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        for line in plan.split("\n"):
+            assert not re.search(r"(Exchange|Join|Sort\b).*\b(text|code_snippet)#", line), (name, line)
 
 
 def test_validation(spark):
