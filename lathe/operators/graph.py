@@ -110,11 +110,6 @@ def docs_by_prefix(texts: DataFrame, prefixes: tuple[str, ...], total: int) -> D
     return rows.orderBy("prefix", "_r").limit(total).drop("_r")
 
 
-def rewritten(nodes: DataFrame, stale: Column, fresh: DataFrame) -> DataFrame:
-    """nodes without the stale part, and what is written in its place."""
-    return nodes.where(~stale).unionByName(fresh)
-
-
 def has_file_edges(files: DataFrame) -> DataFrame:
     """Edges from folders to what lies in them, if the folder is known."""
     parents = files.select(F.col("path").alias("_path"))

@@ -113,3 +113,9 @@ def rollup(parts: DataFrame, value: str, warn: float, fail: float, names: tuple[
 def within(at: Column, now: Column, seconds: int) -> Column:
     """Whether a time is no longer than so many seconds before now."""
     return at >= now - F.make_dt_interval(secs=F.lit(seconds))
+
+
+def exported(rows: DataFrame, key: str) -> DataFrame:
+    """key, metrics: the figures of each kind (ms, failed) as one JSON object."""
+    figures = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("failures"), F.round(F.avg("ms"), 2).alias("mean"), F.round(F.min("ms"), 2).alias("least"), F.round(F.max("ms"), 2).alias("most"))
+    return figures.select(key, F.to_json(F.struct("n", "failures", "mean", "least", "most")).alias("metrics"))

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import graph, pack, rank
 from ..sources import tree
+from ..sources.store import Store, scratch
 from .dialect import frame, table
 
+#: Buckets of the stores that queries write.
+BUCKETS = 8
 REQUESTS = "SELECT seed_id AS request_id, path, name, kind, fingerprint FROM seeds"
 ORDINAL = "row_number() OVER (PARTITION BY {p} ORDER BY {o})"
 
@@ -129,13 +132,24 @@ SELECT node_id, path, kind, version FROM (SELECT *, row_number() OVER (PARTITION
   SELECT node_id, path, kind, start_line AS version, 0 AS fresh FROM kg_symbols WHERE start_line % 3 <> 0
   UNION ALL SELECT node_id, path, 'changed', start_line + CASE WHEN start_line % 4 = 0 THEN 7 ELSE -1 END, 1 FROM kg_symbols WHERE start_line % 2 = 0) u) x WHERE r = 1""", "kg_symbols")
 def kg_merge_nodes(spark, sf_dir):
-    return graph.merge_latest(*_versions(spark, sf_dir), ["node_id"], "version")
+    """What a store holds after its first nodes and an upsert, which is repeated with the same token."""
+    stored, fresh = _versions(spark, sf_dir)
+    nodes = Store(spark, scratch(spark, "nodes"), ["node_id"], BUCKETS)
+    merge = lambda old, new: graph.merge_latest(old, new, ["node_id"], "version")
+    nodes.append(stored, "first")
+    for _ in range(2):
+        nodes.change(fresh, merge, "second")
+    return nodes.read()
 
 
 @frame("kg_merge_edges", lambda d: "SELECT src, dst, edge_type FROM kg_edges", "kg_edges")
 def kg_merge_edges(spark, sf_dir):
-    e = table(spark, sf_dir, "kg_edges")
-    return graph.merge_edges(e.where(F.crc32(F.col("dst").cast("binary")) % 3 != 0), e.where(F.crc32(F.col("dst").cast("binary")) % 3 != 1))
+    """What a store holds after two merges that have a third of the edges in common."""
+    e, part = table(spark, sf_dir, "kg_edges"), F.crc32(F.col("dst").cast("binary")) % 3
+    edges = Store(spark, scratch(spark, "edges"), ["src", "edge_type", "dst"], BUCKETS)
+    for token, rows in (("first", e.where(part != 0)), ("second", e.where(part != 1))):
+        edges.change(rows, graph.merge_edges, token)
+    return edges.read()
 
 
 @frame("kg_ttl_cleanup", lambda d: """
@@ -149,7 +163,11 @@ SELECT node_id, path, kind FROM kg_symbols WHERE path NOT LIKE 'AFRICA/%' UNION
 def kg_delete_then_write(spark, sf_dir):
     s, africa = table(spark, sf_dir, "kg_symbols").select("node_id", "path", "kind", "start_line"), F.col("path").startswith("AFRICA/")
     fresh = s.where(africa & (F.col("start_line") > 100)).withColumn("kind", F.lit("rewritten"))
-    return graph.rewritten(s, africa, fresh).drop("start_line")
+    nodes = Store(spark, scratch(spark, "nodes"), ["node_id"], BUCKETS)
+    nodes.append(s)
+    nodes.delete(s.where(africa), "cleared")
+    nodes.append(fresh, "written again")
+    return nodes.read().drop("start_line")
 
 
 @frame("kg_commit_drift", lambda d: f"""
@@ -190,8 +208,8 @@ LOCKS = ".gitignore .gitattributes .editorconfig package-lock.json yarn.lock pnp
 
 
 @frame("fs_exclusions", lambda d: f"""
-SELECT doc_id, path FROM ({_named(d, PLACES)}) x WHERE NOT regexp_matches(path, '(^|/)({'|'.join(f.replace('.', '[.]') for f in FOLDERS.split())}|[^/]*[.]egg-info)/') AND NOT regexp_matches(path, '(^|/)({'|'.join(f.replace('.', '[.]') for f in LOCKS.split())})$')
-  AND (NOT regexp_matches(path, '(^|/)[.][^/]*$') OR regexp_matches(path, '(^|/)[.]envr?c?$'))""")
+SELECT doc_id, path FROM ({_named(d, PLACES)}) x WHERE NOT regexp_matches(lower(path), '(^|/)({'|'.join(f.replace('.', '[.]') for f in FOLDERS.split())}|[^/]*[.]egg-info)/') AND NOT regexp_matches(lower(path), '(^|/)({'|'.join(f.replace('.', '[.]') for f in LOCKS.split())})$')
+  AND (NOT regexp_matches(path, '(^|/)[.][^/]*$') OR regexp_matches(lower(path), '(^|/)[.]envr?c?$'))""")
 def fs_exclusions(spark, sf_dir):
     return _sql(spark, sf_dir, PLACES).where(~tree.excluded(F.col("path"))).select("doc_id", "path")
 
@@ -302,10 +320,15 @@ def symbol_index_lookup(spark, sf_dir):
     return graph.symbol_index(table(spark, sf_dir, "kg_symbols"))
 
 
-@frame("kg_unique_keys", lambda d: "SELECT src, dst, count(*) AS rows FROM kg_edges GROUP BY src, dst HAVING count(*) > 1 UNION ALL SELECT node_id, '', count(*) FROM kg_symbols GROUP BY node_id HAVING count(*) > 1", "kg_edges", "kg_symbols")
+@frame("kg_unique_keys", lambda d: """
+SELECT 'o' || CAST(l_orderkey AS STRING) AS src, 'p' || CAST(l_partkey AS STRING) AS dst, count(*) AS rows FROM lineitem GROUP BY l_orderkey, l_partkey HAVING count(*) > 1
+UNION ALL SELECT path || ':' || name, '', count(*) FROM kg_symbols GROUP BY path, name HAVING count(*) > 1""", "kg_symbols")
 def kg_unique_keys(spark, sf_dir):
-    nodes = graph.duplicate_keys(table(spark, sf_dir, "kg_symbols"), ["node_id"]).select(F.col("node_id").alias("src"), F.lit("").alias("dst"), "rows")
-    return graph.duplicate_keys(table(spark, sf_dir, "kg_edges"), ["src", "dst"]).unionByName(nodes)
+    """What unique keys would reject of the calls as they arrive, before they are merged, and of symbols by file and name."""
+    symbols = table(spark, sf_dir, "kg_symbols").select(F.concat_ws(":", "path", "name").alias("src"))
+    nodes = graph.duplicate_keys(symbols, ["src"]).select("src", F.lit("").alias("dst"), "rows")
+    calls = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
+    return graph.duplicate_keys(calls, ["src", "dst"]).unionByName(nodes)
 
 
 @frame("per_file_symbol_cap", lambda d: "SELECT path, node_id, r FROM (SELECT path, node_id, row_number() OVER (PARTITION BY path ORDER BY start_line, end_line DESC, node_id) AS r FROM kg_symbols) x WHERE r <= 20", "kg_symbols")

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from ..operators import events as ev
 from ..operators import metrics, persist, validate
 from ..sources import webhook
+from ..sources.store import Store, scratch
 from .dialect import frame, table
 
 c = F.col
 NOW = "2024-01-31 00:00:00"
+#: Buckets of the stores that queries write.
+BUCKETS = 8
 
 
 def _recent(d, seconds: int) -> str:
@@ -200,7 +203,11 @@ def pr_upsert(spark, sf_dir):
     first = F.row_number().over(Window.partitionBy("repository_id", "pr_number").orderBy("at"))
     old = _reviews(spark, sf_dir, 0).withColumn("r", first).where("r = 1")
     stored = old.select("repository_id", "pr_number", F.lit("Stored").alias("title"), "head_sha", "base_sha", F.lit("closed").alias("state"), c("at").alias("updated_at"))
-    return persist.pull_requests(stored, _reviews(spark, sf_dir, 1))
+    pulls = Store(spark, scratch(spark, "pulls"), ["repository_id", "pr_number"], BUCKETS)
+    pulls.append(stored, "first")
+    for _ in range(2):  # the second time it is there already
+        pulls.change(_reviews(spark, sf_dir, 1), persist.pull_requests, "reviews")
+    return pulls.read()
 
 
 @frame("review_run_status", lambda d: """
@@ -208,7 +215,10 @@ SELECT o_orderkey AS run_id, coalesce(ok, false) AS published, CASE WHEN ok IS N
 def review_run_status(spark, sf_dir):
     runs = persist.runs_started(spark.createDataFrame([], "run_id long, published boolean, status string"), table(spark, sf_dir, "orders").select(c("o_orderkey").alias("run_id")))
     outcomes = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 != 0").select(c("l_orderkey").alias("run_id"), (c("l_returnflag") != "R").alias("ok"))
-    return persist.runs_published(runs, outcomes).select("run_id", "published", "status")
+    stored = Store(spark, scratch(spark, "runs"), ["run_id"], BUCKETS)
+    stored.append(runs, "started")
+    stored.change(outcomes, persist.runs_published, "published")
+    return stored.read().select("run_id", "published", "status")
 
 
 @frame("snapshot_append", lambda d: """
@@ -231,7 +241,10 @@ def findings_append(spark, sf_dir):
     lines = table(spark, sf_dir, "patch_lines").groupBy("path", "hunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.concat("mark", "content").alias("line")))), lambda x: x["line"]).alias("lines"))
     hunks = table(spark, sf_dir, "hunks").join(lines, ["path", "hunk"]).select(F.concat_ws("-", c("doc_id").cast("string"), c("hunk").cast("string")).alias("hunk_id"), "new_start", "lines", c("hunk").alias("place"))
     found = table(spark, sf_dir, "findings").select("ord", F.lit("run").alias("run_id"), "file_path", F.concat_ws("-", c("ord").cast("string"), (c("ord") % 2).cast("string")).alias("hunk_id"), F.when(c("ord") % 4 != 0, c("ord") % 9).alias("line_in_hunk"), F.when(c("ord") % 3 == 0, 7).alias("line_number"), "severity", "category", "message", F.lit(None).cast("string").alias("suggested_fix"))
-    return persist.findings_stored(found, hunks).select("ord", "line_number", "finding_type", "severity")
+    stored = Store(spark, scratch(spark, "findings"), ["ord"], BUCKETS)
+    for _ in range(2):
+        stored.append(persist.findings_stored(found, hunks), "run")
+    return stored.read().select("ord", "line_number", "finding_type", "severity")
 
 
 @frame("installation_upsert", lambda d: """
@@ -240,7 +253,10 @@ FROM nation LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY
 def installation_upsert(spark, sf_dir):
     stored = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(c("n_nationkey").cast("long").alias("installation_id"), c("n_name").alias("account"), F.lit(0).cast("long").alias("updated_at"))
     created = table(spark, sf_dir, "supplier").select(c("s_nationkey").cast("long").alias("installation_id"), c("s_name").alias("account"), c("s_suppkey").alias("updated_at"))
-    return persist.installations(stored, created)
+    kept = Store(spark, scratch(spark, "installations"), ["installation_id"], BUCKETS)
+    kept.append(stored, "first")
+    kept.change(created, persist.installations, "created")
+    return kept.read()
 
 
 @frame("webhook_routing", lambda d: "SELECT event_id, CASE WHEN event_id % 7 IN (3, 5) THEN 'rejected' WHEN event_id % 4 = 0 THEN 'review' WHEN event_id % 8 = 1 THEN 'installation' WHEN event_id % 4 = 2 THEN 'index' ELSE 'ignored' END AS route FROM events")
@@ -253,6 +269,22 @@ def webhook_routing(spark, sf_dir):
     return webhook.routed(rows, b"key").select("event_id", "route")
 
 
+@frame("webhook_rejections", lambda d: """
+SELECT event_id, CASE WHEN event_id % 2 = 0 AND event_id % 4 = 2 THEN 'unsupported action' WHEN event_id % 7 = 3 OR event_id % 9 = 4 OR (user_id = 0 AND event_id % 25 <= 22) THEN 'missing fields' WHEN event_id % 5 = 1 THEN 'fork' WHEN event_id % 25 > 22 OR c_custkey IS NULL THEN 'unknown repository' ELSE 'accepted' END AS outcome,
+  CASE WHEN NOT (event_id % 4 = 2 OR event_id % 7 = 3 OR event_id % 9 = 4 OR event_id % 5 = 1 OR event_id % 25 > 22) AND c_custkey IS NOT NULL THEN c_custkey END AS repo_id
+FROM events LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0) k ON c_custkey = user_id""")
+def webhook_rejections(spark, sf_dir):
+    """Deliveries about pull requests: of forks, without a field, of repositories that nobody has indexed; and those that lead to a review."""
+    id_, text = c("event_id"), lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    head = F.when(id_ % 5 == 1, F.lit("fork/x")).otherwise("o/x")
+    payload = F.concat(
+        F.lit('{"action": "'), F.when(id_ % 4 == 2, "closed").otherwise("opened"), F.lit('", "pull_request": {"number": '), F.when(id_ % 9 == 4, "0").otherwise("7"), F.lit(', "head": {"sha": '), F.when(id_ % 7 == 3, "null").otherwise('"ab"'), F.lit(', "repo": {"full_name": '), text(head),
+        F.lit('}}, "base": {"sha": "cd", "repo": {"full_name": "o/x"}}}, "repository": {"id": '), F.when(id_ % 25 > 22, "-1").otherwise(c("user_id").cast("string")), F.lit(', "full_name": "o/x"}, "installation": {"id": 5}}'),
+    )
+    known = table(spark, sf_dir, "customer").where("c_custkey % 3 != 0").select(c("c_custkey").alias("github_repo_id"), c("c_custkey").alias("repo_id"))
+    return webhook.review_requests(table(spark, sf_dir, "events").select("event_id", payload.alias("payload")), known).select("event_id", "outcome", "repo_id")
+
+
 @frame("webhook_validation", lambda d: "SELECT event_id, event_id % 3 <> 0 AND event_id % 5 <> 0 AS valid, CASE WHEN event_id % 2 = 0 THEN 'dev' ELSE 'main' END AS branch, CASE WHEN event_id % 5 = 0 THEN '' ELSE 'o/' || CAST(user_id AS STRING) END AS full_name FROM events")
 def webhook_validation(spark, sf_dir):
     id_, name = c("event_id").cast("string"), c("user_id").cast("string")

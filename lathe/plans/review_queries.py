@@ -222,9 +222,9 @@ def line_intersection(spark, sf_dir):
 
 @frame("seed_priority", lambda d: """
 SELECT s.node_id, CASE WHEN c.path IS NOT NULL THEN 1 WHEN s.kind IN ('function', 'method', 'class') THEN 2 ELSE 3 END AS priority, CASE s.kind WHEN 'class' THEN 'high' WHEN 'variable' THEN 'low' WHEN 'constant' THEN 'low' ELSE 'medium' END AS complexity,
-  s.kind = 'function' OR s.kind = 'method' AS needs_callers, s.kind = 'class' AS needs_inheritance, CASE s.kind WHEN 'class' THEN 2 ELSE 1 END AS max_hops FROM seeds s LEFT JOIN (SELECT DISTINCT path FROM changed_lines WHERE line % 50 = 1) c ON c.path = s.path""", "seeds", "changed_lines")
+  s.kind = 'function' OR s.kind = 'method' AS needs_callers, s.kind = 'class' AS needs_inheritance, CASE s.kind WHEN 'class' THEN 2 ELSE 1 END AS max_hops FROM seeds s LEFT JOIN (SELECT DISTINCT path FROM changed_lines) c ON c.path = s.path""", "seeds", "changed_lines")
 def seed_priority(spark, sf_dir):
-    changed = table(spark, sf_dir, "changed_lines").where("line % 50 = 1").select("path").distinct().withColumn("changed", F.lit(True))
+    changed = table(spark, sf_dir, "changed_lines").select("path").distinct().withColumn("changed", F.lit(True))
     return review.analysed(table(spark, sf_dir, "seeds").join(changed, "path", "left").withColumn("changed", F.coalesce("changed", F.lit(False)))).select("node_id", "priority", "complexity", "needs_callers", "needs_inheritance", "max_hops")
 
 
@@ -432,12 +432,20 @@ def pipeline_quality_ratios(spark, sf_dir):
 
 
 # --- detection -----------------------------------------------------------------------------------------------------------
+#: What files of a change hold beside their prose, one line each by document: imports of all frameworks and code of all patterns.
+LINES_OF_CODE = (
+    "from fastapi import Depends", "from django import forms", "from flask import Flask", "import pytest", "import unittest", "from sqlalchemy import Column", "from pydantic import BaseModel", "import asyncio", "from celery import shared_task", "import httpx", "import requests",
+    "from langchain import LLMChain", "from langgraph import graph", "from temporalio import workflow", "async def f(): await g()", "@cache()", "def f(a: int): pass", "with open(x) as y:", "z = [x for x in y]", "@dataclass", "raise ValueError", "logger.info(x)", "g = Depends(x)", "pass",
+)
+
+
 def _code(spark, sf_dir):
-    """Files of a change: documents by the path that they have in patches."""
-    return table(spark, sf_dir, "documents").select("source", F.concat("source", F.lit("/"), c("lang"), F.lit("/"), F.element_at(F.array(*map(F.lit, ("app.py", "test_login.py", "models.py", "settings.toml", "api/x.py"))), (c("doc_id") % 5 + 1).cast("int"))).alias("path"), F.coalesce("text", F.lit("")).alias("code"))
+    """Files of a change: documents by the path that they have in patches, with a line of code; a source has every second line."""
+    line = F.element_at(F.array(*map(F.lit, LINES_OF_CODE)), ((c("doc_id") % 12 * 2 + F.length("source") % 2) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("source", F.concat("source", F.lit("/"), c("lang"), F.lit("/"), F.element_at(F.array(*map(F.lit, ("app.py", "test_login.py", "models.py", "settings.toml", "api/x.py"))), (c("doc_id") % 5 + 1).cast("int"))).alias("path"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), line).alias("code"))
 
 
-CODE = """SELECT source, source || '/' || lang || '/' || CASE doc_id % 5 WHEN 0 THEN 'app.py' WHEN 1 THEN 'test_login.py' WHEN 2 THEN 'models.py' WHEN 3 THEN 'settings.toml' ELSE 'api/x.py' END AS path, coalesce(text, '') AS code FROM documents"""
+CODE = f"""SELECT source, source || '/' || lang || '/' || CASE doc_id % 5 WHEN 0 THEN 'app.py' WHEN 1 THEN 'test_login.py' WHEN 2 THEN 'models.py' WHEN 3 THEN 'settings.toml' ELSE 'api/x.py' END AS path, coalesce(text, '') || chr(10) || (['{"', '".join(LINES_OF_CODE)}'])[doc_id % 12 * 2 + length(source) % 2 + 1] AS code FROM documents"""
 
 
 def _frameworks_sql(d) -> str:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import names, text
+from ..operators import metrics, names, report, text
+from ..sources import sinks
+from ..sources.store import Store, scratch
 from ..streaming import events as streams
 from .dialect import frame, table
 
 c = F.col
+#: Buckets of the stores that queries write.
+BUCKETS = 8
 
 CHUNK_SQL = """
 WITH RECURSIVE t AS (SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL),
@@ -62,38 +66,61 @@ def json_repair_literal(spark, sf_dir):
 
 @frame("anchor_spread")
 def anchor_spread(spark, sf_dir):
-    found = table(spark, sf_dir, "findings").select("ord", (c("ord") % 200).alias("doc_id"), (c("ord") % 3).alias("hunk"), (c("ord") % 7).alias("line"))
+    """Findings of every document, four in each of two hunks, of which some want one line."""
+    four = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")
+    found = table(spark, sf_dir, "findings").select("ord", four).select((c("ord") * 8 + c("k")).alias("ord"), c("ord").alias("doc_id"), (c("k") % 2).cast("long").alias("hunk"), ((c("ord") + F.floor(c("k") / 4)) % 7).alias("line"))
     hunks = table(spark, sf_dir, "hunks").select("doc_id", "hunk", c("path").alias("file"), "n_lines")
     return text.spread(found.join(hunks, ["doc_id", "hunk"]).select("file", "hunk", "ord", "line", "n_lines"))
 
 
-@frame("review_payload_json")
-def review_payload_json(spark, sf_dir):
-    return table(spark, sf_dir, "findings").where("anchored").select("ord", F.to_json(F.struct("file_path", "severity", "category", "title")).alias("payload"))
+def _payload_sql(d) -> str:
+    line = "'[' || upper(severity) || '] **' || title || '**' || chr(10) || chr(10) || '*Category: ' || category || '*' || chr(10) || chr(10) || message || chr(10) || chr(10) || '*Confidence: ' || printf('%.0f', coalesce(confidence, 0) * 100) || '%*'"
+    section = "'#### [' || upper(severity) || '] ' || title || chr(10) || '**File:** `' || file_path || '`' || chr(10) || '*Severity: ' || severity || ' | Category: ' || category || '*' || chr(10) || chr(10) || message || chr(10) || chr(10) || '*Confidence: ' || printf('%.0f', coalesce(confidence, 0) * 100) || '%*' || chr(10)"
+    return f"""
+SELECT * FROM (WITH f AS (SELECT *, row_number() OVER (PARTITION BY file_path, anchored ORDER BY CASE severity WHEN 'blocker' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, coalesce(confidence, 0) DESC, ord) AS r FROM findings WHERE message IS NOT NULL),
+g AS (SELECT file_path, count(*) AS total, string_agg({section}, chr(10) ORDER BY r) FILTER (NOT anchored AND r <= 10) AS extra, list({{'path': file_path, 'position': ord % 9 + 1, 'body': {line}}} ORDER BY r) FILTER (anchored AND r <= 20) AS comments FROM f GROUP BY file_path)
+SELECT file_path, 'sha-' || file_path AS commit_id, 'COMMENT' AS event, '## Summary' || chr(10) || chr(10) || total || ' findings' || chr(10) || CASE WHEN extra IS NOT NULL THEN chr(10) || '## Additional Findings' || chr(10) || chr(10) || '*The following findings could not be anchored to specific diff locations:*' || chr(10) || chr(10) || extra ELSE '' END AS body,
+  coalesce(len(comments), 0)::BIGINT AS comments, comments[1].position::BIGINT AS first_position, comments[1].body AS first_body FROM g) x"""
 
 
-@frame("metrics_json")
+@frame("review_payload_json", _payload_sql, "findings")
+def review_payload_json(spark, sf_dir):
+    """Payloads of one review for each file, written to a store under a token, then again under the same, and parsed back from the JSON that it holds."""
+    found = table(spark, sf_dir, "findings").where("message IS NOT NULL").select("*", c("file_path").alias("review"), F.when(c("anchored"), c("ord") % 9 + 1).alias("position"), F.lit("").alias("suggested_fix"))
+    reviews = found.groupBy("review").agg(F.concat(F.count(F.lit(1)).cast("string"), F.lit(" findings")).alias("summary")).withColumn("commit_id", F.concat(F.lit("sha-"), c("review")))
+    store = Store(spark, scratch(spark, "reviews"), ["review"], BUCKETS)
+    for _ in range(2):
+        store.append(report.payloads(reviews, found, ["review"], 20, 10), "publish")
+    read = F.from_json("payload", "commit_id string, body string, event string, comments array<struct<path: string, position: long, body: string>>").alias("p")
+    first = F.try_element_at("p.comments", F.lit(1))
+    return store.read().select("review", read).select(c("review").alias("file_path"), "p.commit_id", "p.event", "p.body", F.size("p.comments").cast("long").alias("comments"), first["position"].alias("first_position"), first["body"].alias("first_body"))
+
+
+@frame("metrics_json", lambda d: """
+SELECT query_type, count(*) AS n, sum(CASE WHEN failed THEN 1 ELSE 0 END)::BIGINT AS failures, round(avg(ms), 2) AS mean, round(min(ms), 2) AS least, round(max(ms), 2) AS most FROM query_metrics GROUP BY query_type""", "query_metrics")
 def metrics_json(spark, sf_dir):
-    return table(spark, sf_dir, "query_metrics").groupBy("query_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ms"), 2).alias("mean")).select("query_type", F.to_json(F.struct("n", "mean")).alias("metrics"))
+    """The figures of each kind of query as JSON, written once under a token and parsed back."""
+    store = Store(spark, scratch(spark, "metrics"), ["query_type"], BUCKETS)
+    for _ in range(2):
+        store.append(metrics.exported(table(spark, sf_dir, "query_metrics"), "query_type"), "export")
+    return store.read().select("query_type", F.from_json("metrics", "n long, failures long, mean double, least double, most double").alias("m")).select("query_type", "m.*")
 
 
 @frame("stream_event_sequence", lambda d: "SELECT 'wf-' || CAST(user_id AS STRING) AS workflow_id, count(*) AS last_sequence FROM events GROUP BY user_id")
 def stream_event_sequence(spark, sf_dir):
-    return streams.drained(spark, streams.next_sequences(streams.event_stream(spark, sf_dir)), "complete")
+    store = Store(spark, scratch(spark, "sequences"), ["workflow_id"], BUCKETS)
+    return sinks.upserted_to(streams.next_sequences(streams.event_stream(spark, sf_dir)), store, scratch(spark, "checkpoint"))
 
 
 @frame("stream_metrics_window", lambda d: "SELECT CAST(time_bucket(INTERVAL '5 minutes', ts) AS STRING) AS start_at, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_metrics_window(spark, sf_dir):
-    return streams.drained(spark, streams.windowed(streams.event_stream(spark, sf_dir)), "complete").select(F.date_format("start_at", "yyyy-MM-dd HH:mm:ss").alias("start_at"), "event_type", "n", F.round("total", 4).alias("total"))
+    store = Store(spark, scratch(spark, "windows"), ["start_at", "event_type"], BUCKETS)
+    return sinks.upserted_to(streams.windowed(streams.event_stream(spark, sf_dir)), store, scratch(spark, "checkpoint")).select(F.date_format("start_at", "yyyy-MM-dd HH:mm:ss").alias("start_at"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def _folders(spark) -> tuple[str, str]:
     """Folders for a stream's rows and its checkpoint, below the one that the cluster shares."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lathe-stream-")
-    name = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    name = scratch(spark, "stream")
     return f"{name}/rows", f"{name}/checkpoint"
 
 
@@ -109,11 +136,24 @@ def stream_event_append(spark, sf_dir):
     return streams.written(streams.appended(streams.event_stream(spark, sf_dir)), *_folders(spark)).select("workflow_id", "event_id", "sequence")
 
 
-@frame("event_frames", lambda d: """
+def _frames_sql(d):
+    return """
 SELECT workflow_id, sequence, 'event: activity' || chr(10) || 'id: ' || sequence || chr(10) || 'data: {"workflow_id":"' || workflow_id || '","sequence_number":' || sequence || ',"event_type":"' || event_type || '","event_id":' || event_id || '}' || chr(10) || chr(10)
-  || CASE WHEN event_type = 'workflow_completed' THEN 'event: close' || chr(10) || 'data: {"reason":"workflow_completed"}' || chr(10) || chr(10) ELSE '' END AS frame FROM workflow_events WHERE sequence <= 20""", "workflow_events")
+  || CASE WHEN event_type = 'workflow_completed' THEN 'event: close' || chr(10) || 'data: {"reason":"workflow_completed"}' || chr(10) || chr(10) ELSE '' END AS frame FROM workflow_events"""
+
+
+@frame("event_frames", _frames_sql, "workflow_events")
 def event_frames(spark, sf_dir):
-    return streams.frames(table(spark, sf_dir, "workflow_events").where("sequence <= 20"))
+    return streams.frames(table(spark, sf_dir, "workflow_events"))
+
+
+@frame("stream_event_frames", lambda d: f"SELECT workflow_id, sequence FROM ({_frames_sql(d)}) f", "workflow_events")
+def stream_event_frames(spark, sf_dir):
+    """Frames of a stream in a store that takes each batch once, also when all batches come again."""
+    store = Store(spark, scratch(spark, "frames"), ["workflow_id", "sequence"], BUCKETS)
+    for _ in range(2):  # the second time from a new checkpoint, so every batch is repeated with its number
+        sinks.appended_to(streams.frames(streams.appended(streams.event_stream(spark, sf_dir))), store, scratch(spark, "checkpoint"))
+    return store.read().select("workflow_id", "sequence")
 
 
 @frame("stream_heartbeat_frames", lambda d: """

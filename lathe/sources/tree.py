@@ -79,8 +79,8 @@ def scan_tree(spark: SparkSession, root: str, with_content: bool = True) -> Data
 
 
 def excluded(path: Column) -> Column:
-    """Whether a path lies in an excluded folder, is an excluded file, or is hidden."""
-    parts = F.split(path, "/")
+    """Whether a path lies in an excluded folder, is an excluded file, or is hidden. Names are compared in lower case, so entries with capitals match none."""
+    parts = F.split(F.lower(path), "/")
     name = F.element_at(parts, -1)
     above = F.slice(parts, 1, F.size(parts) - 1)
     return F.exists(above, lambda x: x.isin(*EXCLUDED_DIRS) | x.endswith(EXCLUDED_DIR_SUFFIX)) | name.isin(*EXCLUDED_FILES) | (name.startswith(".") & ~name.isin(*HIDDEN_KEPT))

@@ -38,3 +38,34 @@ def repository_of(payload: Column) -> Column:
     id_, name = get("$.repository.id").try_cast("long"), get("$.repository.full_name")
     valid = id_.isNotNull() & F.coalesce(name != "", F.lit(False)) & get("$.installation.id").isNotNull()
     return F.struct(id_.alias("id"), name.alias("full_name"), F.coalesce(get("$.repository.default_branch"), F.lit("main")).alias("branch"), valid.alias("valid"))
+
+
+#: Actions of a pull request that lead to a review, and what a delivery must tell of it.
+ACTIONS = ("opened", "reopened", "synchronize")
+REQUIRED = ("$.pull_request.number", "$.pull_request.head.sha", "$.pull_request.base.sha", "$.repository.id", "$.repository.full_name", "$.installation.id")
+
+
+def review_requests(deliveries: DataFrame, repositories: DataFrame) -> DataFrame:
+    """deliveries (payload) about pull requests with outcome and, if accepted, repo_id, pr_number, head_sha and base_sha of the review.
+
+    Outcomes in this order: unsupported action, missing fields (absent, null,
+    empty or 0), fork (head and base are of different repositories), unknown
+    repository (not in repositories: github_repo_id, repo_id), accepted. No
+    delivery is dropped.
+    """
+    get = lambda path: F.get_json_object("payload", path)
+    there = F.lit(True)
+    for path in REQUIRED:
+        there = there & ~F.coalesce(get(path), F.lit("")).isin("", "0", "false")
+    same = get("$.pull_request.head.repo.full_name").eqNullSafe(get("$.pull_request.base.repo.full_name"))
+    known = repositories.groupBy(F.col("github_repo_id").cast("long").alias("_id")).agg(F.min("repo_id").alias("_repo"))
+    rows = deliveries.withColumn("_asked", get("$.repository.id").try_cast("long")).join(known, F.col("_asked") == F.col("_id"), "left")
+    outcome = F.when(~F.coalesce(get("$.action").isin(*ACTIONS), F.lit(False)), "unsupported action").when(~there, "missing fields").when(~same, "fork").when(F.col("_repo").isNull(), "unknown repository").otherwise("accepted")
+    rows, good = rows.withColumn("outcome", outcome), F.col("outcome") == "accepted"
+    told = {"repo_id": F.col("_repo"), "pr_number": get("$.pull_request.number").try_cast("long"), "head_sha": get("$.pull_request.head.sha"), "base_sha": get("$.pull_request.base.sha")}
+    return rows.select(*deliveries.columns, "outcome", *[F.when(good, v).alias(k) for k, v in told.items()])
+
+
+def unique_deliveries(deliveries: DataFrame, late: str = "1 hour") -> DataFrame:
+    """A stream of deliveries (delivery_id, at, ...) without those that the host has sent again within the time. State is dropped behind the watermark."""
+    return deliveries.withWatermark("at", late).dropDuplicatesWithinWatermark(["delivery_id"])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -85,14 +84,3 @@ def written(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
     finally:
         query.stop()
     return stream.sparkSession.read.schema(stream.schema).parquet(folder)
-
-
-def drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """Runs an aggregating stream over what is there and returns its result table, which is as small as its groups, for batch callers and tests."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    try:
-        query.awaitTermination()
-    finally:
-        query.stop()
-    return spark.table(name)
