@@ -221,7 +221,7 @@ def test_calls_resolve_by_name_module_class_and_type(spark):
 
 
 def test_excluded_paths(spark):
-    paths = [(".git/x", True), ("a/.bzr/x", True), ("p.egg-info/x", True), ("Cargo.lock", True), (".hidden", True), (".env", False), ("a/b.py", False), ("Build/x.py", False), ("build/x.py", True)]
+    paths = [(".git/x", True), ("a/.bzr/x", True), ("p.egg-info/x", True), ("Cargo.lock", False), (".hidden", True), (".env", False), ("a/b.py", False), ("Build/x.py", True), ("a/Node_Modules/x.py", True), ("build/x.py", True), ("YARN.lock", True)]
     got = {r.p: r.x for r in spark.createDataFrame([p for p, _ in paths], "string").toDF("p").select("p", tree.excluded(F.col("p")).alias("x")).collect()}
     assert got == dict(paths)
 
