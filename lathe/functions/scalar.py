@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,10 +119,13 @@ CONTROL, DEFINITION = ("if ", "elif ", "else:", "for ", "while ", "try:", "excep
 
 def complexity(text: Column) -> Column:
     """Lines with control flow and lines with a definition, as a share of all lines; 1 at most."""
-    # A match takes the rest of its line, so each line counts once, in one pass over the text.
-    found = lambda words: F.regexp_count(text, F.lit("(?:" + "|".join(words) + ")[^\\n]*"))
-    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    return F.least(F.lit(1.0), (found(CONTROL) + found(DEFINITION)) / lines)
+    lines = F.split(text, "\n")
+
+    def holding(words: tuple[str, ...]) -> Column:
+        """How many lines hold any of the words, which are plain text."""
+        return F.size(F.filter(lines, lambda x: reduce(or_, (F.contains(x, F.lit(w)) for w in words))))
+
+    return F.least(F.lit(1.0), (holding(CONTROL) + holding(DEFINITION)) / F.size(lines))
 
 
 def severity_from_response(x: Column) -> Column:

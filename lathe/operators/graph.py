@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import scratch
+
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first n rows of every key, with their rank from 1 on."""
@@ -209,49 +211,59 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
 
 
-#: Queries that a task compares its vectors with at once.
-QUERIES_AT_ONCE = 1000
+#: Queries of a block, and vectors that are compared with them at once.
+QUERIES_AT_ONCE, VECTORS_AT_ONCE = 2000, 2000
+
+
+def _flat(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
+
+
+def _best(ids: np.ndarray, data: np.ndarray, k: int, digits: int):
+    """Rows (vec_id, embedding): of each query the k nearest that a task has seen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = np.sqrt((data * data).sum(axis=1))
+        query, near, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for batch in batches:
+            for i in range(0, batch.num_rows, VECTORS_AT_ONCE):
+                part = batch.slice(i, VECTORS_AT_ONCE)
+                own, x = part.column("vec_id").to_numpy(zero_copy_only=False), _flat(part.column("embedding"), data.shape[1])
+                found = np.round((data @ x.T) / (size[:, None] * np.sqrt((x * x).sum(axis=1))[None, :]), digits)
+                found[ids[:, None] == own[None, :]] = -np.inf
+                # What is as near as the part's k-th, ties included.
+                most = min(k, len(own))
+                kth = -np.partition(-found, most - 1, axis=1)[:, most - 1]
+                q, x = np.nonzero((found >= kth[:, None]) & (found > -np.inf))
+                query, near, score = np.append(query, q), np.append(near, own[x]), np.append(score, found[q, x])
+                order = np.lexsort((near, -score, query))
+                query, near, score = query[order], near[order], score[order]
+                rank = np.arange(len(query)) - np.searchsorted(query, query)
+                query, near, score = query[rank < k], near[rank < k], score[rank < k]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(near), pa.array(score)], names=["q", "vec_id", "similarity"])
+
+    return run
 
 
 def nearest(vectors: DataFrame, queries: str, k: int, digits: int = 4) -> DataFrame:
     """q, vec_id, similarity (cosine, rounded) of the k nearest other vectors (vec_id, embedding) for each vector that meets the condition; ties by vec_id.
 
-    Vectors are dealt out once for each block of QUERIES_AT_ONCE queries, whose
-    vectors the tasks get by broadcast; a task keeps the best k of its own, and
-    of these few the best are ranked. So nothing is gathered but the queries,
-    block by block.
+    Queries are taken in blocks of QUERIES_AT_ONCE, chosen by hash. A block's
+    vectors go to all tasks, each keeps the best k of its own, and these are
+    written before the next block is read: driver and executors hold one block,
+    however many there are.
     """
     spark, asked = vectors.sparkSession, vectors.where(queries).select("vec_id", "embedding")
-    blocks = max(1, -(-asked.count() // QUERIES_AT_ONCE))
-    found = None
+    folder, blocks = scratch(spark, "nearest"), max(1, -(-asked.count() // QUERIES_AT_ONCE))
+    schema = "q long, vec_id long, similarity double"
+    spark.createDataFrame([], schema).write.parquet(folder)
     for block in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).collect()
-        ids = np.array([r["vec_id"] for r in own], np.int64)
-        data = np.array([r["embedding"] for r in own], np.float64) if own else np.zeros((0, 1))
-        shared = spark.sparkContext.broadcast((ids, data))
-
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, data = shared.value
-            size = np.sqrt((data * data).sum(axis=1))
-            top: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                own = batch.column("vec_id").to_numpy(zero_copy_only=False)
-                x = np.array(batch.column("embedding").to_pylist(), np.float64)
-                scores = np.round((data @ x.T) / (size[:, None] * np.sqrt((x * x).sum(axis=1))[None, :]), digits)
-                for i, q in enumerate(ids):
-                    keep = own != q
-                    n, s = np.concatenate([top[i][0], own[keep]]), np.concatenate([top[i][1], scores[i][keep]])
-                    order = np.lexsort((n, -s))[:k]
-                    top[i] = n[order], s[order]
-            if len(ids):
-                q = np.repeat(ids, [len(n) for n, _ in top])
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate([n for n, _ in top])), pa.array(np.concatenate([s for _, s in top]))], names=["q", "vec_id", "similarity"])
-
-        part = vectors.select("vec_id", "embedding").mapInArrow(best, "q long, vec_id long, similarity double")
-        found = part if found is None else found.unionByName(part)
-    return first_rows(found, ["q"], [F.col("similarity").desc(), F.col("vec_id")], k).drop("rank")
+        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toArrow()
+        if own.num_rows:
+            column = own.column("embedding").combine_chunks()
+            data = _flat(column, len(column.flatten()) // len(column))
+            vectors.select("vec_id", "embedding").mapInArrow(_best(own.column("vec_id").to_numpy(), data, k, digits), schema).write.mode("append").parquet(folder)
+    return first_rows(spark.read.schema(schema).parquet(folder), ["q"], [F.col("similarity").desc(), F.col("vec_id")], k).drop("rank")
 
 
 def merge_counts(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Names of an index, and names that one task looks up in it. Bins of characters; those that share one only make the bound wider.
-INDEX, LOOKUPS, BINS = 2000, 20_000, 64
+#: Names of an index. Bins of characters; those that share one only make the bound wider.
+INDEX, BINS = 2000, 64
 #: Cells of the table of bounds that are worked out at once.
 CELLS = 1 << 20
 
@@ -81,17 +81,18 @@ def _looked_up(names: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
 def name_similarities(symbols: DataFrame, seeds: DataFrame) -> DataFrame:
     """_name, similarity, compared: of every different name (not null or empty) the largest ratio with a name of seeds, and how many of these were compared exactly.
 
-    Names are dealt out to tasks, as are seeds where they are more than an
-    index holds; a part of the names meets each index once. The order of a
+    Names are dealt out to as many tasks as the session shuffles to, and seeds
+    to indexes; a part of the names meets each index once. The order of a
     ratio's names counts, as in the sequence matcher: the symbol's comes first.
     """
     names = symbols.select(F.col("name").alias("_name")).where("name != ''").distinct()
     others = seeds.select(F.col("name").alias("_seed")).where("name != ''").distinct()
-    indexes, parts = (max(1, -(-df.count() // most)) for df, most in ((others, INDEX), (names, LOOKUPS)))
+    indexes, parts = max(1, -(-others.count() // INDEX)), int(symbols.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     deal = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = names.withColumn("part", deal("_name", parts)).withColumn("index", every(indexes))
-    right = others.withColumn("index", deal("_seed", indexes)).withColumn("part", every(parts))
+    # With a fixed number of partitions, as the few bytes of names would be put into one task otherwise.
+    left = names.withColumn("part", deal("_name", parts)).withColumn("index", every(indexes)).repartition(parts, "part", "index")
+    right = others.withColumn("index", deal("_seed", indexes)).withColumn("part", every(parts)).repartition(parts, "part", "index")
     found = left.groupBy("part", "index").cogroup(right.groupBy("part", "index")).applyInPandas(lambda a, b: _looked_up(a, b) if len(a) and len(b) else pd.DataFrame({"_name": [], "similarity": [], "compared": []}).astype({"_name": str}), BEST)
     return found.groupBy("_name").agg(F.max("similarity").alias("similarity"), F.sum("compared").alias("compared"))
 

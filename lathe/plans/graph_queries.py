@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
@@ -217,6 +218,25 @@ def fs_exclusions(spark, sf_dir):
 TYPES = "WHEN 'py' THEN 'python' WHEN 'bash' THEN 'bash' WHEN 'sh' THEN 'bash' WHEN 'js' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'java' THEN 'java' WHEN 'c' THEN 'c' WHEN 'cpp' THEN 'cpp' WHEN 'cs' THEN 'csharp' WHEN 'go' THEN 'go' WHEN 'rb' THEN 'ruby' WHEN 'rs' THEN 'rust' WHEN 'sql' THEN 'sql' WHEN 'kt' THEN 'kotlin' WHEN 'php' THEN 'php' WHEN 'html' THEN 'html' WHEN 'properties' THEN 'properties' WHEN 'yml' THEN 'yaml' WHEN 'yaml' THEN 'yaml' WHEN 'xml' THEN 'xml'"
 
 
+FORMS = "CASE doc_id % 6 WHEN 0 THEN source || '/Build/' || doc_id || '.py' WHEN 1 THEN source || '/lib/' || doc_id || '.py' WHEN 2 THEN source || '/' || doc_id || '.bin' WHEN 3 THEN doc_id || '.sql' WHEN 4 THEN source || '/.hidden' || doc_id ELSE source || '/lib/a/b/' || doc_id || '.go' END"
+
+
+@frame("fs_scan_source", lambda d: f"""
+WITH f AS (SELECT {FORMS} AS path, octet_length(encode(coalesce(text, ''))) AS length, doc_id % 6 AS form, source FROM documents)
+SELECT path, 'file' AS kind, length, CASE form WHEN 1 THEN 'python' WHEN 2 THEN 'UNKNOWN' WHEN 3 THEN 'sql' ELSE 'go' END AS type, CASE WHEN length > 10485760 THEN 'skip' WHEN form = 2 THEN 'unsupported' WHEN length > 1048576 THEN 'large' ELSE 'normal' END AS route FROM f WHERE form NOT IN (0, 4)
+UNION ALL SELECT DISTINCT source, 'dir', NULL::BIGINT, NULL, NULL FROM f WHERE form <> 3 UNION ALL SELECT DISTINCT source || '/lib', 'dir', NULL, NULL, NULL FROM f WHERE form IN (1, 5)
+UNION ALL SELECT DISTINCT source || '/lib/a', 'dir', NULL, NULL, NULL FROM f WHERE form = 5 UNION ALL SELECT DISTINCT source || '/lib/a/b', 'dir', NULL, NULL, NULL FROM f WHERE form = 5""")
+def fs_scan_source(spark, sf_dir):
+    """All documents written out as a tree of files, and what the data source finds there."""
+    from ..sources import scan
+
+    root = scratch(spark, "tree")
+    files = table(spark, sf_dir, "documents").select(F.expr(FORMS).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    files.mapInPandas(scan.written(root), "path string").write.format("noop").mode("overwrite").save()
+    scan.register(spark)
+    return spark.read.format("tree").option("root", root).option("content", "false").load().select("path", "kind", "length", "type", "route")
+
+
 @frame("fs_size_routing", lambda d: f"""
 SELECT doc_id, path, type, CASE WHEN bytes > 10485760 THEN 'skip' WHEN type = 'UNKNOWN' THEN 'unsupported' WHEN bytes > 1048576 THEN 'large' ELSE 'normal' END AS route FROM (
   SELECT *, n_chars * 5000 AS bytes, CASE WHEN lower(path) LIKE '%/dockerfile' THEN 'dockerfile' ELSE CASE CASE WHEN path LIKE '%.%' THEN regexp_extract(path, '[^.]+$') END {TYPES} ELSE 'UNKNOWN' END END AS type FROM ({_named(d, NAMES, "'src/'")}) x) y""")
@@ -231,6 +251,28 @@ def large_file_batches(spark, sf_dir):
     return tree.batches_of(table(spark, sf_dir, "kg_symbols"))
 
 
+def _staged(spark, sf_dir):
+    """Batches of symbols by file, of which those with a symbol of a certain start line fail."""
+    place = F.row_number().over(Window.partitionBy("path").orderBy("start_line", F.col("end_line").desc(), "node_id")) - 1
+    rows = table(spark, sf_dir, "kg_symbols").withColumn("batch", F.floor(place / 5).cast("long"))
+    error = F.when(F.max(F.col("start_line") == 7), F.concat(F.lit("batch "), F.col("batch").cast("string")))
+    return rows.groupBy("path", "batch").agg(error.alias("error")), rows
+
+
+STAGED = "SELECT path, node_id, start_line, CAST(floor((row_number() OVER (PARTITION BY path ORDER BY start_line, end_line DESC, node_id) - 1) / 5) AS BIGINT) AS batch FROM kg_symbols"
+
+
+@frame("large_file_published", lambda d: f"SELECT path, node_id FROM kg_symbols WHERE path NOT IN (SELECT path FROM ({STAGED}) s WHERE start_line = 7)", "kg_symbols")
+def large_file_published(spark, sf_dir):
+    return tree.whole_files(*_staged(spark, sf_dir))[0].select("path", "node_id")
+
+
+@frame("large_file_failures", lambda d: f"""
+SELECT path, sum(bad)::BIGINT AS failed, count(*) AS batches, 'batch ' || min(CASE WHEN bad = 1 THEN batch END) AS error FROM (SELECT path, batch, max(CASE WHEN start_line = 7 THEN 1 ELSE 0 END) AS bad FROM ({STAGED}) s GROUP BY path, batch) b GROUP BY path HAVING sum(bad) > 0""", "kg_symbols")
+def large_file_failures(spark, sf_dir):
+    return tree.whole_files(*_staged(spark, sf_dir))[1]
+
+
 LANGUAGES = {".py": "python", ".md": "markdown", ".js": "javascript", ".ts": "typescript", ".java": "java", ".go": "go", ".rs": "rust", ".txt": "text"}
 
 

@@ -102,6 +102,19 @@ def batches_of(symbols: DataFrame, size: int = 50) -> DataFrame:
     return symbols.withColumn("batch", F.floor(order / size).cast("long")).groupBy("path", "batch").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def whole_files(batches: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is published of files that were taken in batch by batch, and why the others aren't.
+
+    batches: path, batch, error (null: it went well). rows: path, batch and
+    what a batch has staged. A file with a failed batch is withdrawn as a
+    whole, by an anti-join on the few paths that failed. Returns the rows that
+    stay and path, failed (batches), batches, error (of the first that failed).
+    """
+    by = batches.groupBy("path").agg(F.count("error").alias("failed"), F.count(F.lit(1)).alias("batches"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("batch"))).alias("error"))
+    failures = by.where("failed > 0")
+    return rows.join(failures.select("path"), "path", "left_anti"), failures
+
+
 def folders(files: DataFrame) -> DataFrame:
     """All folders above the files, the root included: path, parent."""
     parts = F.split("path", "/")

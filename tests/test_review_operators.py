@@ -139,7 +139,6 @@ def test_name_index_gives_what_all_pairs_give(spark, monkeypatch):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     monkeypatch.setattr(names, "INDEX", 40)
-    monkeypatch.setattr(names, "LOOKUPS", 90)
     assert {r["_name"]: r.similarity for r in names.name_similarities(df, others).collect()} == want
     assert {r.name: r.similarity for r in names.best_name_similarity(df, others.limit(0)).collect()} == dict.fromkeys(symbols, 0.0)
 
