@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import graph, pack, rank
-from ..sources import tree
+from ..sources import layout, tree
 from ..sources.store import Store, scratch
 from .dialect import frame, table
 
@@ -61,6 +61,24 @@ def kg_neighbors_in(spark, sf_dir):
     return graph.expand(_start(spark, sf_dir), table(spark, sf_dir, "kg_edges"), ["CALLS"], 8, outgoing=False)
 
 
+def _width(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@frame("kg_laid_out_lookup", _lookup_sql(5), "seeds", "kg_symbols")
+def kg_laid_out_lookup(spark, sf_dir):
+    """Symbols of requests, from a table in buckets of paths."""
+    symbols = layout.laid_out(table(spark, sf_dir, "kg_symbols"), "path", _width(spark), ("name",))
+    return graph.lookup_symbols(_requests(spark, sf_dir), symbols, 5)
+
+
+@frame("kg_laid_out_neighbors", _expand_sql("'CALLS'", 8, "src", "dst"), "seeds", "kg_edges")
+def kg_laid_out_neighbors(spark, sf_dir):
+    """Neighbours over calls, from a table in buckets of sources: neither the join nor the choice of the first ones shuffles it."""
+    edges = layout.laid_out(table(spark, sf_dir, "kg_edges"), "src", _width(spark))
+    return graph.expand(_start(spark, sf_dir), edges, ["CALLS"], 8)
+
+
 @frame("kg_contains", _expand_sql("'HAS_SYMBOL'", 5, "src", "dst"), "seeds", "kg_edges")
 def kg_contains(spark, sf_dir):
     return graph.expand(_start(spark, sf_dir), table(spark, sf_dir, "kg_edges"), ["HAS_SYMBOL"], 5)

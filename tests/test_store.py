@@ -4,9 +4,41 @@ import pytest
 from pyspark.sql import functions as F
 
 from lathe.operators import graph
+from lathe.sources import layout
 from lathe.sources.store import ConcurrentChange, Store
 
 
+def above(plan, what):
+    """The nodes above the first one of a plan that holds a text, from the top down."""
+    stack = []
+    for line in plan.split("\n"):
+        depth = len(line) - len(line.lstrip(" :+-*"))
+        stack = [x for x in stack if x[0] < depth] + [(depth, line.strip())]
+        if what in line:
+            return [x[1] for x in stack]
+    raise AssertionError(f"{what} isn't in the plan")
+
+
+def test_lookups_dont_shuffle_a_table_that_is_laid_out_for_them(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = spark.range(2000).select(F.concat(F.lit("n"), (F.col("id") % 300).cast("string")).alias("src"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("dst"), F.lit("CALLS").alias("edge_type"))
+        start = spark.range(40).select(F.concat(F.lit("n"), (F.col("id") * 5).cast("string")).alias("node_id"))
+        laid = layout.laid_out(edges, "src", 8, ("dst",))
+        plain, found = graph.expand(start, edges, ["CALLS"], 3), graph.expand(start, laid, ["CALLS"], 3)
+        assert rows_of(found) == rows_of(plain) and found.count() == 120
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        assert not any("Exchange" in x for x in above(plan(found), "FileScan parquet")) and any("Exchange" in x for x in above(plan(plain), "Range (0, 2000"))
+        # Buckets are skipped for a plain filter as well, but told only for a bucketed scan.
+        spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+        assert "SelectedBucketsCount: 1 out of 8" in plan(laid.where("src = 'n7'"))
+        assert rows_of(laid.where("src = 'n7' AND dst = 'm307'")) == [("n7", "m307", "CALLS")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+
+
 def rows_of(df):
     return sorted(tuple(r) for r in df.collect())
 
