@@ -1,4 +1,4 @@
-"""Operational analytics: windowed summaries, nearest-index percentiles, circuit breakers, transitions."""
+"""Operational analytics: windowed summaries, nearest-index percentiles, transitions."""
 
 from __future__ import annotations
 
@@ -21,39 +21,6 @@ def summary(df: DataFrame, keys: list[str], value: str, order: list[str]) -> Dat
     )
 
 
-def breaker(df: DataFrame, key: str, order: list[str], failed: str, seconds: str, threshold: int = 5, wait: int = 60, successes: int = 3, decay: bool = False) -> DataFrame:
-    """State of a circuit breaker after all calls of a key, as a fold in order of time.
-
-    Closed opens after threshold failures: in a row, or, with decay, net of
-    successes. Open turns half-open at the first call wait seconds after it
-    opened; successes in half-open close it, a failure opens it again.
-    """
-    calls = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(failed).alias("_failed"), F.col(seconds).alias("_at")))).alias("_calls"))
-    state = F.struct(F.lit("closed").alias("state"), F.lit(0).alias("failures"), F.lit(0).alias("good"), F.lit(0).cast("long").alias("opened"), F.lit(0).alias("trips"))
-
-    def made(state: Column | str, failures: Column | int, good: Column | int, opened: Column, trips: Column) -> Column:
-        as_col = lambda x: F.lit(x) if isinstance(x, (str, int)) else x
-        return F.struct(as_col(state).alias("state"), as_col(failures).cast("int").alias("failures"), as_col(good).cast("int").alias("good"), opened.cast("long").alias("opened"), trips.cast("int").alias("trips"))
-
-    def step(s: Column, c: Column) -> Column:
-        waiting = (s["state"] == "open") & (c["_at"] - s["opened"] < wait)
-        trial = (s["state"] == "half_open") | ((s["state"] == "open") & ~waiting)
-        good = F.when(s["state"] == "half_open", s["good"]).otherwise(0)
-        fewer = F.greatest(s["failures"] - 1, F.lit(0)) if decay else F.lit(0)
-        opened = made("open", s["failures"] + 1, 0, c["_at"], s["trips"] + 1)
-        return (
-            F.when(waiting, s)
-            .when(trial & c["_failed"], opened)
-            .when(trial & (good + 1 >= successes), made("closed", 0, 0, s["opened"], s["trips"]))
-            .when(trial, made("half_open", s["failures"], good + 1, s["opened"], s["trips"]))
-            .when(c["_failed"] & (s["failures"] + 1 >= threshold), opened)
-            .when(c["_failed"], made("closed", s["failures"] + 1, 0, s["opened"], s["trips"]))
-            .otherwise(made("closed", fewer, 0, s["opened"], s["trips"]))
-        )
-
-    return calls.select(key, F.aggregate("_calls", state, step).alias("s")).select(key, "s.state", F.col("s.failures").cast("long").alias("failures"), F.col("s.trips").cast("long").alias("trips"))
-
-
 def transitions(df: DataFrame, key: str, order: list[str], flag: str) -> DataFrame:
     """Rows at which a flag changes from the key's row before (false at first)."""
     before = F.coalesce(F.lag(flag).over(Window.partitionBy(key).orderBy(*order)), F.lit(False))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import events as ev
-from ..operators import metrics, persist, validate
+from ..operators import breaker, metrics, persist, validate
 from ..sources import webhook
 from ..sources.store import Store, scratch
 from .dialect import frame, table
@@ -152,12 +152,12 @@ def _calls(spark, sf_dir):
 
 @frame("breaker_consecutive", _breaker_sql(False))
 def breaker_consecutive(spark, sf_dir):
-    return metrics.breaker(_calls(spark, sf_dir), "user_id", ["ts", "event_id"], "failed", "at", threshold=3, wait=40_000, successes=2)
+    return breaker.breaker(_calls(spark, sf_dir), "user_id", ["ts", "event_id"], "failed", "at", threshold=3, wait=40_000, successes=2)
 
 
 @frame("breaker_decay", _breaker_sql(True))
 def breaker_decay(spark, sf_dir):
-    return metrics.breaker(_calls(spark, sf_dir), "user_id", ["ts", "event_id"], "failed", "at", threshold=3, wait=40_000, successes=2, decay=True)
+    return breaker.breaker(_calls(spark, sf_dir), "user_id", ["ts", "event_id"], "failed", "at", threshold=3, wait=40_000, successes=2, decay=True)
 
 
 @frame("breaker_rollup", lambda d: "SELECT CASE max(CASE WHEN errors > 20 THEN 2 WHEN errors > 10 THEN 1 ELSE 0 END) WHEN 2 THEN 'open' WHEN 1 THEN 'half_open' ELSE 'closed' END AS worst, CAST(sum(errors) AS BIGINT) AS failures, count(*) AS breakers FROM (SELECT user_id, sum(CASE WHEN failed THEN 1 ELSE 0 END) AS errors FROM query_metrics GROUP BY user_id) x", "query_metrics")

@@ -1,11 +1,12 @@
 """Operators on small examples with hand-written results."""
 
 import difflib
+import random
 
 from pyspark.sql import functions as F
 
 from lathe.functions import scalar
-from lathe.operators import diff, events, graph, metrics, names, review, text
+from lathe.operators import breaker, diff, events, graph, metrics, names, review, text
 from lathe.sources import parser, tree
 
 
@@ -81,9 +82,44 @@ def test_greedy_budget_passes_over_what_does_not_fit(spark):
 def test_breakers(spark):
     calls = [(1, t, f) for t, f in ((0, True), (1, True), (2, False), (3, True), (4, True), (5, True), (10, False), (70, False), (71, False), (72, True), (140, False), (141, False), (142, False))]
     df = spark.createDataFrame([(k, t, f, t) for k, t, f in calls], "name long, ts long, failed boolean, at long")
-    r = metrics.breaker(df, "name", ["ts"], "failed", "at", threshold=3).first()
+    r = breaker.breaker(df, "name", ["ts"], "failed", "at", threshold=3).first()
     assert (r.state, r.failures, r.trips) == ("closed", 0, 2)
-    assert metrics.breaker(df.where("ts < 5"), "name", ["ts"], "failed", "at", threshold=3, decay=True).first().state == "open"
+    assert breaker.breaker(df.where("ts < 5"), "name", ["ts"], "failed", "at", threshold=3, decay=True).first().state == "open"
+
+
+def folded(calls, threshold, wait, successes, decay):
+    """The breaker call by call."""
+    state, failures, good, opened, trips = "closed", 0, 0, 0, 0
+    for failed, at in calls:
+        if state == "open" and at - opened < wait:
+            continue
+        if state != "closed":
+            good = good if state == "half_open" else 0
+            if failed:
+                state, failures, opened, trips = "open", failures + 1, at, trips + 1
+            elif good + 1 >= successes:
+                state, failures, good = "closed", 0, 0
+            else:
+                state, good = "half_open", good + 1
+        elif failed and failures + 1 >= threshold:
+            state, failures, opened, trips = "open", failures + 1, at, trips + 1
+        else:
+            failures = failures + 1 if failed else max(failures - 1, 0) if decay else 0
+    return state, failures, trips
+
+
+def test_breakers_of_random_histories_in_stretches(spark):
+    """Stretches of any length give what a fold over all calls gives; one key has half of the calls."""
+    draw, rows, at = random.Random(3), [], 0
+    for i in range(6000):
+        at += draw.choice((0, 0, 1, 1, 5, 40))
+        rows.append((draw.choice(("hot", "hot", "hot", "a", "b", None, "c")), i, draw.random() < draw.choice((0.2, 0.5, 0.8)), at))
+    df = spark.createDataFrame(rows, "k string, n long, failed boolean, at long").repartition(5)
+    for threshold, wait, successes, decay, stretch in ((3, 60, 2, False, 7), (5, 30, 3, True, 50), (1, 0, 1, False, 3), (2, 500, 4, True, 1), (4, 60, 3, False, 20_000)):
+        got = {r.k: (r.state, r.failures, r.trips) for r in breaker.breaker(df, "k", ["n"], "failed", "at", threshold, wait, successes, decay, stretch, 1000).collect()}
+        assert got == {k: folded([(f, t) for key, _, f, t in rows if key == k], threshold, wait, successes, decay) for k in ("hot", "a", "b", "c", None)}
+    plan = breaker.breaker(df, "k", ["n"], "failed", "at")._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
 
 
 def test_percentile_is_nearest_index(spark):
