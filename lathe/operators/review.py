@@ -44,9 +44,10 @@ def greedy_budget(items: DataFrame, pack: str, order: list[str], size: str, max_
     """Items of each pack in order, taken while they fit; one that doesn't is passed over and uses nothing up.
 
     order holds columns that sort ascending. A fold over a pack's sizes, which
-    are no more than a pack's items; texts stay out of it.
+    are no more than a pack's items; texts stay out of it, and so does what is
+    larger than the whole budget.
     """
-    packs = items.groupBy(pack).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(size).cast("long").alias("_size"), F.col("item_id")))).alias("_items"))
+    packs = items.groupBy(pack).agg(F.array_sort(F.collect_list(F.when(F.col(size) <= max_size, F.struct(*order, F.col(size).cast("long").alias("_size"), F.col("item_id"))))).alias("_items"))
     state = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("n"), F.array().cast("array<string>").alias("taken"))
 
     def step(s: Column, x: Column) -> Column:

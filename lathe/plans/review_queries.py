@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import anchor, detect, diff, graph, names, pack, persist, rank, report, response, review, text, validate
+from ..operators import anchor, detect, diff, display, graph, names, pack, persist, rank, report, response, review, text, validate
 from ..sources import snippets
 from .dialect import frame, table
 
@@ -546,19 +546,28 @@ def _field(name: str) -> str:
 SEVERITY_SQL = "CASE s WHEN 'critical' THEN 'blocker' WHEN 'warning' THEN 'medium' WHEN 'suggestion' THEN 'nit' ELSE 'medium' END"
 
 
-@frame("json_normalize_severity", lambda d: f"SELECT conv_id, turn, {SEVERITY_SQL} AS severity FROM (SELECT conv_id, turn, {d.extract('raw', _field('severity'), 1)} AS s FROM llm_responses) x", "llm_responses")
+def _normalised(spark, sf_dir):
+    """The first finding of each response's body, after extraction and normalisation; no row for a response without a body."""
+    bodies = response.extracted(table(spark, sf_dir, "llm_responses"), "raw").where("body IS NOT NULL")
+    return response.findings_of(bodies.select("conv_id", "turn", F.concat(F.lit('{"findings": ['), "body", F.lit("]}")).alias("body")), ["conv_id", "turn"])
+
+
+BODIES = "(SELECT * FROM llm_responses WHERE (conv_id + turn) % 4 <> 3) x"
+
+
+@frame("json_normalize_severity", lambda d: f"SELECT conv_id, turn, {SEVERITY_SQL} AS severity FROM (SELECT conv_id, turn, {d.extract('raw', _field('severity'), 1)} AS s FROM {BODIES}) y", "llm_responses")
 def json_normalize_severity(spark, sf_dir):
-    return table(spark, sf_dir, "llm_responses").select("conv_id", "turn", scalar.severity_from_response(F.regexp_extract("raw", _field("severity"), 1)).alias("severity"))
+    return _normalised(spark, sf_dir).select("conv_id", "turn", "severity")
 
 
-@frame("json_normalize_category", lambda d: f"SELECT conv_id, turn, CASE s WHEN 'error' THEN 'bug' ELSE 'style' END AS category FROM (SELECT conv_id, turn, {d.extract('raw', _field('category'), 1)} AS s FROM llm_responses) x", "llm_responses")
+@frame("json_normalize_category", lambda d: f"SELECT conv_id, turn, CASE s WHEN 'error' THEN 'bug' ELSE 'style' END AS category FROM (SELECT conv_id, turn, {d.extract('raw', _field('category'), 1)} AS s FROM {BODIES}) y", "llm_responses")
 def json_normalize_category(spark, sf_dir):
-    return table(spark, sf_dir, "llm_responses").select("conv_id", "turn", scalar.category_from_response(F.regexp_extract("raw", _field("category"), 1)).alias("category"))
+    return _normalised(spark, sf_dir).select("conv_id", "turn", "category")
 
 
-@frame("json_confidence_clamp", lambda d: f"""SELECT conv_id, turn, least(1.0E0, greatest(0.0E0, CAST({d.extract('raw', '"confidence": ([0-9.]+)', 1)} AS DOUBLE))) AS confidence FROM llm_responses""", "llm_responses")
+@frame("json_confidence_clamp", lambda d: f"""SELECT conv_id, turn, least(1.0E0, greatest(0.0E0, CAST({d.extract('raw', '"confidence": ([0-9.]+)', 1)} AS DOUBLE))) AS confidence FROM {BODIES}""", "llm_responses")
 def json_confidence_clamp(spark, sf_dir):
-    return table(spark, sf_dir, "llm_responses").select("conv_id", "turn", scalar.clamped(F.regexp_extract("raw", '"confidence": ([0-9.]+)', 1).cast("double")).alias("confidence"))
+    return _normalised(spark, sf_dir).select("conv_id", "turn", "confidence")
 
 
 def _judged(spark, sf_dir):
@@ -636,10 +645,15 @@ def identifier_dedup(spark, sf_dir):
     return anchor.key_identifiers(table(spark, sf_dir, "findings").select("ord", F.concat_ws(" ", "message", "title").alias("text")))
 
 
-@frame("anchor_fallback", lambda d: "SELECT doc_id, min(hunk) AS hunk, min(CASE WHEN mark = '+' AND hunk = 0 THEN idx END) AS idx FROM patch_lines GROUP BY doc_id", "patch_lines")
+@frame("anchor_fallback", lambda d: """
+SELECT d.doc_id AS ord, CASE WHEN f.hunk IS NOT NULL THEN 'h' || f.hunk END AS hunk_id, CASE WHEN f.hunk IS NOT NULL THEN coalesce(f.added, 0) END AS line_in_hunk, CASE WHEN f.hunk IS NULL THEN 'none' ELSE 'fallback' END AS method
+FROM documents d LEFT JOIN (SELECT doc_id, hunk, min(CASE WHEN mark = '+' THEN idx END) AS added, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN doc_id % 3 = 0 AND hunk = 1 THEN 0 ELSE 1 END, hunk) AS r FROM patch_lines GROUP BY doc_id, hunk) f ON f.doc_id = d.doc_id AND f.r = 1""", "patch_lines")
 def anchor_fallback(spark, sf_dir):
-    lines = table(spark, sf_dir, "patch_lines")
-    return lines.groupBy("doc_id").agg(F.min("hunk").alias("hunk"), F.min(F.when((c("mark") == "+") & (c("hunk") == 0), c("idx"))).alias("idx"))
+    """Findings that tell nothing to search for: the suggested hunk or the first of their file, and there the first added line."""
+    nothing = F.lit(None).cast("string")
+    found = table(spark, sf_dir, "documents").select(c("doc_id").alias("ord"), F.concat("source", F.lit("/"), c("doc_id").cast("string"), F.lit(".py")).alias("file_path"), F.when(c("doc_id") % 3 == 0, "h1").alias("hunk_id"), nothing.alias("title"), nothing.alias("message"), nothing.alias("suggested_fix"))
+    lines = table(spark, sf_dir, "patch_lines").select("path", "hunk", F.concat(F.lit("h"), c("hunk").cast("string")).alias("hunk_id"), "idx", F.concat("mark", "content").alias("line"))
+    return anchor.anchored(found, lines).select("ord", "hunk_id", "line_in_hunk", "method")
 
 
 @frame("anchor_lookups", lambda d: "SELECT path, hunk, doc_id % 25 AS idx, doc_id % 25 >= 0 AND doc_id % 25 < n_lines AS is_valid_line FROM hunks", "hunks")
@@ -707,9 +721,29 @@ def severity_to_db(spark, sf_dir):
     return table(spark, sf_dir, "findings").select("ord", scalar.severity_to_store(c("severity")).alias("stored"))
 
 
-@frame("computed_fields", lambda d: "SELECT node_id, end_line - start_line + 1 AS line_span, coalesce(qualified_name, name) AS display_name, length(name) AS character_count FROM kg_symbols", "kg_symbols")
+@frame("computed_fields", lambda d: "SELECT node_id, end_line - start_line + 1 AS line_span, coalesce(qualified_name, name) || ' (' || kind || ')' AS display_name FROM kg_symbols", "kg_symbols")
 def computed_fields(spark, sf_dir):
-    return table(spark, sf_dir, "kg_symbols").select("node_id", (c("end_line") - c("start_line") + 1).alias("line_span"), F.coalesce("qualified_name", "name").alias("display_name"), F.length("name").alias("character_count"))
+    return display.seed_fields(table(spark, sf_dir, "kg_symbols")).select("node_id", "line_span", "display_name")
+
+
+@frame("computed_item_fields", lambda d: "SELECT src, item_id, end_line - start_line + 1 AS line_span, length(coalesce(code_snippet, '')) AS character_count, priority <= 2 AS is_high_priority FROM candidates", "candidates")
+def computed_item_fields(spark, sf_dir):
+    return display.item_fields(table(spark, sf_dir, "candidates")).select("src", "item_id", "line_span", "character_count", "is_high_priority")
+
+
+@frame("computed_finding_fields", lambda d: "SELECT ord, ord % 4 <> 0 AND ord % 3 <> 0 AS is_anchorable, coalesce(confidence >= 0.7, false) AS is_high_confidence, severity IN ('blocker', 'high') AS is_critical, upper(severity) AS display_severity FROM findings", "findings")
+def computed_finding_fields(spark, sf_dir):
+    return display.finding_fields(_judged(spark, sf_dir).join(table(spark, sf_dir, "findings").select("ord", "severity"), "ord")).select("ord", "is_anchorable", "is_high_confidence", "is_critical", "display_severity")
+
+
+@frame("validate_spans", lambda d: """
+SELECT node_id, concat_ws(', ', CASE WHEN start_line % 11 = 0 THEN 'empty path' END, CASE WHEN start_line % 13 = 0 THEN 'empty name' END, CASE WHEN end_line <= start_line AND start_line % 17 <> 0 THEN 'ends before it starts' END) AS problems FROM kg_symbols""", "kg_symbols")
+def validate_spans(spark, sf_dir):
+    """Spans of which some have no path, no name, or an end before their start."""
+    s = table(spark, sf_dir, "kg_symbols")
+    start, end = F.when(c("start_line") % 17 == 0, 0).otherwise(c("start_line")), c("end_line") - 1
+    found = validate.span_problems(F.when(c("start_line") % 11 == 0, "").otherwise(c("path")), F.when(c("start_line") % 13 == 0, " ").otherwise(c("name")), start, F.greatest(end, F.lit(0)))
+    return s.select("node_id", F.array_join(found, ", ").alias("problems"))
 
 
 @frame("report_body", lambda d: """

@@ -32,18 +32,17 @@ def windowed(events: DataFrame, width: str = "5 minutes", late: str = "10 minute
 
 def _numbered(until_end: bool):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """Numbers a workflow's events, frame by frame; ends its stream after the first terminal one if asked to."""
+        """Numbers a workflow's events of a batch in order of time, however many frames they come in; ends its stream after the first terminal one if asked to."""
         sequence, ended = state.get if state.exists else (0, False)
-        for rows in frames:
-            rows, out = rows.sort_values(["ts", "event_id"]), []
-            for event_id, kind in zip(rows["event_id"], rows["event_type"], strict=True):
-                if ended and until_end:
-                    break
-                sequence += 1
-                out.append((key[0], event_id, sequence, kind))
-                ended = ended or kind in TERMINAL
-            if out:
-                yield pd.DataFrame(out, columns=["workflow_id", "event_id", "sequence", "event_type"])
+        rows, out = pd.concat(list(frames)).sort_values(["ts", "event_id"]), []
+        for event_id, kind in zip(rows["event_id"], rows["event_type"], strict=True):
+            if ended and until_end:
+                break
+            sequence += 1
+            out.append((key[0], event_id, sequence, kind))
+            ended = ended or kind in TERMINAL
+        if out:
+            yield pd.DataFrame(out, columns=["workflow_id", "event_id", "sequence", "event_type"])
         state.update((sequence, ended))
 
     return run
