@@ -122,8 +122,9 @@ def format_turns(conversations: DataFrame, vocabulary: str = VOCABULARY) -> Data
     """Token ids and loss mask of every turn, one row per row: conv_id, turn, role, ids, mask.
 
     A conversation's formatted form is its turns' in order of turn. A null
-    role or text counts as empty. Repeated rows are turns of their own; an
-    empty table gives an empty result; other columns are ignored.
+    role or text counts as empty. A text of any length is encoded as a whole.
+    Repeated rows are turns of their own; an empty table gives an empty result;
+    other columns are ignored.
     """
     rows = conversations.selectExpr("cast(conv_id as long) as conv_id", "cast(turn as long) as turn", "cast(role as string) as role", "text")
     return rows.mapInArrow(_format(_shipped(conversations.sparkSession, vocabulary)), TURNS)

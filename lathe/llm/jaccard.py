@@ -561,7 +561,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: float = 0.8)
     doc_id reachable by links, its own included). A null or empty text has an
     empty set and no links. Equal sets are one class and link as a whole. A
     text that occurs with null doc_ids only is returned with a null component_id
-    and links no others. Rows that share a doc_id count as one document. An
+    and links no others. A text of any length gives its whole set, which one task holds. Rows that share a doc_id count as one document. An
     empty table gives an empty result. Links are exact but for collisions of 64-bit
     shingle hashes. threshold must be 0.75 or more (see EXTRA).
     """

@@ -104,7 +104,7 @@ def site_posteriors(labelled: DataFrame) -> tuple[DataFrame, DataFrame, float]:
     return hosts, paths, rate
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", keep_from: float = 0.5) -> DataFrame:
+def judge_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", keep_from: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """Quality of every document, one row per row of docs: doc_id, evidence, prior, quality (0 to 1), kept.
 
     labels has doc_id and quality (0 or 1; others are ignored). prior is the
@@ -112,8 +112,11 @@ def judge_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     no labels, else the global rate. host and path name the columns that stand
     for these; documents have no URL, so their source and language do. A null or empty text has no evidence; a
     null host or path is a site of its own. Without labels of both kinds there
-    is no evidence at all. Of a doc_id's several labels the highest counts. Repeated rows get
-    equal results; an empty table gives an empty result.
+    is no evidence at all. Of a doc_id's several labels the highest counts. A text
+    of any length counts as a whole; further columns are ignored. Repeated rows get
+    equal results; an empty table gives an empty result. The classifier is fitted on
+    about sample labelled rows, half of each label, which a hash of doc_id chooses, so a
+    rerun takes the same.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"))
@@ -124,8 +127,8 @@ def judge_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     w, base = np.zeros(PLACES + 2), 0.0
     if len(counts) == 2:
         # A bounded sample by hash, about half of each label, however many labels there are.
-        share = F.when(F.col("good") == 1, SAMPLE / 2 / counts[1]).otherwise(SAMPLE / 2 / counts[0])
-        chosen = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).limit(2 * SAMPLE)
+        share = F.when(F.col("good") == 1, sample / 2 / counts[1]).otherwise(sample / 2 / counts[0])
+        chosen = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample)
         # Of rows that share a doc_id one.
         sample = rows.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("good").alias("good"), F.min("text").alias("text"))
         sample = sample.select("good", "text").mapInArrow(_features, "good int, x binary").collect()

@@ -366,7 +366,8 @@ def secrets(docs: DataFrame) -> DataFrame:
     """The secrets of every text, one row per row of docs: doc_id, kinds, starts, ends (code points, end exclusive).
 
     A null text counts as empty. The lists are in order of start, then of
-    kind as in RULES, and empty without secrets. Repeated rows give repeated results, an empty
+    kind as in RULES, and empty without secrets. A text of any length is scanned
+    as a whole, in one pass. Repeated rows give repeated results, an empty
     table an empty one; columns other than doc_id and text are ignored.
     """
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_scan, FOUND)
