@@ -1,9 +1,12 @@
 """URL filters: rules by host and path, and for all other URLs a ratio of character language models.
 
 Two variable-order Markov models over the bytes of host and path are counted
-over all URLs of the table: one over the rejected ones, which a rule blocks or
-whose host holds one of the rejected words, and one over all others, which
-count as accepted.
+over all URLs of the table: one over the rejected ones, and one over the
+accepted ones. A URL is rejected if a rule blocks it, if its host holds one of
+the rejected words, or if its site is told by its pages: most of the host's
+pages show signs in their visible text. All others are accepted, but for those
+whose page can't be read, which neither model counts. So the models learn words
+of hosts that no list has, and find these where no page tells.
 Orders 0 to ORDER are interpolated, each smoothed with the next lower one.
 Grams are counted by their own bytes, with nothing hashed or left out, so the
 models grow with the URLs; the most frequent grams are scored from a broadcast
@@ -29,6 +32,12 @@ from .common import ascii_lower, discard, pieces, saved
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 #: Words in hosts that count as rejected.
 REJECTED_WORDS = ("casino", "poker", "bets", "pills", "pharma", "ads-", "track", "porn", "xxx", "loan")
+#: Words in a page's visible text that are signs of a rejected site.
+REJECTED_SIGNS = ("casino", "poker", "bets", "pills", "pharma", "porn", "xxx", "loan")
+#: Signs that a page must show to count, the share of a host's pages that must, and pages at the table's own rate that each host is given besides.
+SIGNS, SITE_SHARE, PRIOR_PAGES = 3, 0.5, 0.5
+#: What isn't visible: scripts, styles, comments and tags, each up to the text's end if it isn't closed, so that a search is linear.
+HIDDEN = r"(?is)<(script|style)\b.*?(</\1\s*>|\z)|<!--.*?(-->|\z)|<[^>]*(>|\z)"
 ORDER, KAPPA = 5, 4.0
 BINS, SPAN = 4000, 4.0
 #: Share of the accepted URLs held out that the threshold may block at most.
@@ -55,6 +64,24 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
+def signs(html: Column) -> Column:
+    """How many of the rejected words a page's visible text holds, as whole words in either case; repeats count. 0 for null."""
+    visible = F.regexp_replace(html, HIDDEN, " ")
+    return F.coalesce(F.regexp_count(visible, F.lit(rf"(?i)(?<![\p{{L}}\p{{N}}])({'|'.join(REJECTED_SIGNS)})(?![\p{{L}}\p{{N}}])")), F.lit(0))
+
+
+def rejected_sites(pages: DataFrame) -> DataFrame:
+    """host of every site that its pages tell to be rejected. pages has host and shown (boolean: the page shows signs; null if it can't be read).
+
+    The share of a host's pages is drawn towards that of all pages, by as much
+    as PRIOR_PAGES further ones would; an empty host is no site.
+    """
+    by_host = pages.where("host != ''").groupBy("host").agg(F.count("shown").alias("n"), F.count_if("shown").alias("k"))
+    all_ = pages.agg(F.count_if("shown").alias("k"), F.count("shown").alias("n")).first()
+    rate = all_["k"] / max(1, all_["n"])
+    return by_host.where(F.col("k") > 0).where((F.col("k") + F.lit(PRIOR_PAGES * rate)) / (F.col("n") + PRIOR_PAGES) >= SITE_SHARE).select("host")
+
+
 def _grams(urls: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For all bytes of all URLs, about AT_ONCE at a time: the owner, and the byte with the ORDER symbols before it as one number (the byte lowest)."""
     lot: list[tuple[int, bytes, int]] = []
@@ -165,7 +192,10 @@ def _scored(rows: DataFrame, ratios: DataFrame, hot: int) -> DataFrame:
 def judge_urls(pages: DataFrame, rules=RULES, hot: int = 1 << 19) -> DataFrame:
     """A verdict for every URL, one row per row of pages: page_id, host, path, rule, verdict, score.
 
-    rule is null where none fits; then the models decide. score is the mean
+    rule is null where none fits; then the models decide. Sites are told by the column
+    html, where pages has one. A null or blank html can't be read, so its URL is counted
+    by no model unless a rule, its host or other pages of its site reject it; without
+    the column all URLs count. An html of any length is read as a whole. Other columns are ignored. score is the mean
     log-likelihood difference per byte of host and path (0 if both are empty).
     A null URL or one without '://' has an empty host and path and is allowed
     if 0 reaches the threshold. Without URLs of both kinds the
@@ -175,22 +205,28 @@ def judge_urls(pages: DataFrame, rules=RULES, hot: int = 1 << 19) -> DataFrame:
     equal results; an empty table an empty result.
     """
     host, path = host_and_path(F.col("url"))
-    rows = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
+    html = F.col("html").cast("string") if "html" in pages.columns else F.lit("-")
+    shown = F.when(html.rlike(r"\S"), signs(html) >= SIGNS)
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"), shown.alias("shown"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.select("page_id", "host", "path", name.alias("rule"), verdict.alias("ruled"), F.concat("host", "path").alias("text"))
+    rows = rows.select("page_id", "host", "path", "shown", name.alias("rule"), verdict.alias("ruled"), F.concat("host", "path").alias("text"))
     word = F.lit(False)
     for w in REJECTED_WORDS:
         word = word | F.contains("host", F.lit(w))
-    bad = F.when(F.col("ruled") == "block", 1).when(F.col("ruled").isNull() & word, 1).otherwise(0)
     held = F.pmod(F.xxhash64("text"), F.lit(5)) == 0
-    rows = saved(rows.select("*", bad.alias("bad"), held.alias("held"), F.monotonically_increasing_id().alias("_row")), "urls")
-    grams = saved(rows.select("text", "bad", "held").mapInArrow(_count, "gram long, n long, n0 long, n1 long").groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n", "n0", "n1")]), "grams")
+    rows = saved(rows.select("*", word.alias("listed"), held.alias("held"), F.monotonically_increasing_id().alias("_row")), "urls")
+    # Only the hosts of rejected sites come to the join, one row each.
+    sites = saved(rejected_sites(rows), "sites").withColumn("_site", F.lit(True))
+    rejected = F.col("listed") | F.col("_site").isNotNull()
+    bad = F.when(F.col("ruled") == "block", 1).when(F.col("ruled").isNull() & rejected, 1).otherwise(0)
+    rows = rows.join(sites, "host", "left").withColumn("bad", bad).withColumn("known", (F.col("bad") == 1) | F.col("shown").isNotNull()).drop("shown", "listed", "_site")
+    grams = saved(rows.select("text", "bad", (F.col("held") | ~F.col("known")).alias("held")).mapInArrow(_count, "gram long, n long, n0 long, n1 long").groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n", "n0", "n1")]), "grams")
     scored = saved(_scored(rows, _ratios(grams), hot), "scored")
     seen = grams.agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first()
     threshold = -SPAN
     if min(seen) > 0:
         bins = F.least(F.greatest(F.floor((F.col("score") + SPAN) * (BINS / (2 * SPAN))), F.lit(0)), F.lit(BINS - 1)).cast("int")
-        binned = scored.where("held and text != ''").groupBy(bins.alias("bin"), "bad").count().collect()
+        binned = scored.where("held and known and text != ''").groupBy(bins.alias("bin"), "bad").count().collect()
         by = np.zeros((2, BINS + 1))
         for r in binned:
             by[r["bad"], r["bin"]] = r["count"]

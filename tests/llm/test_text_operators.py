@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent.parent))
@@ -26,7 +27,7 @@ from lathe.llm.mixing import mix  # noqa: E402
 from lathe.llm.quality import judge_quality  # noqa: E402
 from lathe.llm.secrets import Scanner, secret_digests  # noqa: E402
 from lathe.llm.sharding import shard_documents  # noqa: E402
-from lathe.llm.urls import REJECTED_WORDS, judge_urls  # noqa: E402
+from lathe.llm.urls import REJECTED_WORDS, judge_urls, rejected_sites, signs  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, hub string, n int, chunk string, _id long"
 random.seed(7)
@@ -135,10 +136,43 @@ def test_urls_against_rules(spark):
     assert sum((r.verdict == "block") == (r.page_id % 3 == 0) for r in rows) >= 0.95 * len(rows)
 
 
+def test_urls_learn_unlisted_words_from_pages(spark):
+    """Sites that only their pages tell teach the models a word of hosts that no list has; it is found on sites whose pages show nothing."""
+    prose = lambda: " ".join(random.choice(WORDS) for _ in range(30))
+    spam = lambda: f"<html><p>{prose()} Casino {prose()} <b>POKER</b>, bets {prose()}</p>"
+    number = lambda most: random.randint(0, most)
+    site = lambda word: f"http://{random.choice(WORDS)}-{word}{number(99)}.example.info/{number(9999)}"
+    rows = [(i, site(random.choice(WORDS)), f"<p>{prose()}</p><script>casino poker bets casino</script>") for i in range(2000)]
+    rows += [(i, site("jackpot"), spam()) for i in range(2000, 2300)]
+    # Never labelled: hosts of their own with the word, whose pages can't be read.
+    rows += [(i, site("jackpot").replace("-", f"{random.choice(WORDS)}-", 1), random.choice((None, "", "  "))) for i in range(3000, 3100)]
+    # Few of a large site's pages show signs: it stays.
+    rows += [(i, f"http://press.example.info/{random.choice(WORDS)}/{number(9999)}", spam() if i % 20 == 0 else prose()) for i in range(4000, 4100)]
+    assert not any(w in u for _, u, _ in rows for w in REJECTED_WORDS)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.verdict for r in judge_urls(pages).collect()}
+    blocked = lambda ids: sum(got[i] == "block" for i in ids) / len(ids)
+    assert len(got) == len(rows) and blocked(range(3000, 3100)) >= 0.95 and blocked(range(2000, 2300)) >= 0.95
+    assert blocked(range(2000)) <= 0.02 and blocked(range(4000, 4100)) <= 0.02
+    # Without pages there is nothing to learn from.
+    assert judge_urls(pages.drop("html")).where("verdict = 'block'").count() == 0
+
+
+def test_signs_and_sites_against_counting(spark):
+    texts = [(None, 0), ("", 0), ("casino POKER xxx", 3), ("casinos apoker xxx1", 0), ("<p title='casino'>bets</p>", 1), ("<SCRIPT>casino</script>loan<style>pills</style >", 1), ("<script>casino", 0), ("a <!-- poker --> b <!-- bets", 0), ("porn<", 1), ("<script>" * 50_000, 0), ("<" * 200_000 + "casino", 0), ("casino " * 100_000, 100_000)]
+    got = spark.createDataFrame(list(enumerate(t for t, _ in texts)), "i int, html string").select("i", signs(F.col("html")).alias("n")).collect()
+    assert {r.i: r.n for r in got} == {i: n for i, (_, n) in enumerate(texts)}
+    pages = [(random.choice(["", "a", "b", "c.d", "e", "f", "g"]), random.random() < 0.45) for _ in range(60)] + [("one", True), ("two", False)]
+    rate = sum(s for _, s in pages) / len(pages)
+    of = {h: [s for x, s in pages if x == h] for h, _ in pages if h}
+    want = {h for h, s in of.items() if sum(s) and (sum(s) + 0.5 * rate) / (len(s) + 0.5) >= 0.5}
+    frame = spark.createDataFrame(pages, "host string, shown boolean")
+    assert {r.host for r in rejected_sites(frame).collect()} == want and "one" in want
+    assert rejected_sites(frame.limit(0)).count() == 0
+
+
 def test_url_models_against_counting(spark):
     """Scores of many different URLs are those of models that count every context by itself, whatever is broadcast."""
-    from pyspark.sql import functions as F
-
     made = ["".join(random.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(20)) for _ in range(1500)]
     urls = [f"x://{'free-bets' if i % 3 == 0 else 'news'}.{t[:8]}.info/{t[8:]}" for i, t in enumerate(made)]
     pages = spark.createDataFrame([*enumerate(urls), (9999, urls[7])], "page_id long, url string").repartition(4)
