@@ -275,9 +275,10 @@ def rank_complexity(spark, sf_dir):
 def rank_score(spark, sf_dir):
     """All candidates by all features and in order of their scores. SQL can't express name similarity; tests hold scores and order against brute force."""
     seeds = table(spark, sf_dir, "seeds").select("path", "name")
-    similar = names.best_name_similarity(table(spark, sf_dir, "kg_symbols").select(F.lower("name").alias("name")).distinct(), seeds.select(F.lower("name").alias("name")))
-    codes = rank.with_code_features(table(spark, sf_dir, "documents"), c("text")).select(c("doc_id").alias("code_id"), "complexity", "shown")
+    # Only names that candidates can have are compared, so the files of orders aren't derived for them.
     symbols = table(spark, sf_dir, "kg_symbols").where("node_id LIKE 'p%'").select(c("node_id").alias("item_id"), c("path").alias("file_path"), c("name").alias("symbol_name"), c("kind").alias("symbol_type"))
+    similar = names.best_name_similarity(symbols.select(F.lower("symbol_name").alias("name")).distinct(), seeds.select(F.lower("name").alias("name")))
+    codes = rank.with_code_features(table(spark, sf_dir, "documents"), c("text")).select(c("doc_id").alias("code_id"), "complexity", "shown")
     cands = table(spark, sf_dir, "candidates").select("src", "item_id", "relationship_type", "calls", "is_seed", "priority", "code_id").join(codes, "code_id")
     return rank.in_score_order(rank.scored(cands, rank.described(symbols, seeds, similar), ["item_id"]), "src").select("src", "item_id", F.round("score", 6).alias("score"), "place")
 
