@@ -244,6 +244,69 @@ def test_site_posteriors_against_counting(spark):
     assert found[2].evidence == found[3].evidence == 0.0 and all(0 < r.quality < 1 for r in found.values())
 
 
+def test_quality_against_brute_force(spark):
+    """evidence, prior, quality and kept of every document, from features, regression and posteriors that are worked out in plain Python."""
+    made = random.Random(5)
+    kind = lambda b: "a" if 97 <= b <= 122 or b >= 128 else "A" if 65 <= b <= 90 else "0" if 48 <= b <= 57 else chr(b)
+    good = lambda: " ".join(made.choice(("the", "House", "Wälder", "of", "1984", "rain")) for _ in range(made.randint(3, 40)))
+    poor = lambda: "".join(made.choice(("| ", "### ", "the ", "99 ", "!!", "A")) for _ in range(made.randint(3, 40)))
+    docs, labels = [], []
+    for i in range(160):
+        fine = made.random() < 0.5
+        text = made.choice((None, "", "a")) if i % 20 == 19 else (good if fine != (i % 17 == 0) else poor)()
+        docs.append((i, text, made.choice(("rich", "rich", "rich" if fine else "poor", f"s{i}", None)), made.choice(("p", "q", None))))
+        if i % 2:
+            labels.append((i, int(fine)))
+    labels += [(1, 0), (3, 1), (3, 0), (5, 7), (999, 1)]
+    marks = {}
+    for i, q in labels:
+        if q in (0, 1):
+            marks[i] = max(q, marks.get(i, 0))
+
+    def described(text):
+        raw, x = text.encode(), np.zeros(quality.PLACES + 2)
+        for a, b, c in zip(raw, raw[1:], raw[2:]):  # noqa: B905
+            place = (ord(kind(a)) * 7919 + ord(kind(b)) * 104729 + ord(kind(c)) * 1299709) * 2654435761 % 2**32 >> 16 & quality.PLACES - 1
+            x[place] += 1 / (len(raw) - 2)
+        words = raw.split()
+        return np.append(np.sqrt(x[:-2]), [1 - len(set(words)) / len(words) if words else 0, 1])
+
+    known = [(described(t or ""), marks[i], h, p) for i, t, h, p in docs if i in marks]
+    x, y = np.array([k[0] for k in known]), np.array([k[1] for k in known], float)
+    penalty = np.full(x.shape[1], quality.RIDGE * len(x))
+    penalty[-1] = 1e-6
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
+        # Reweighted least squares, in place of Newton steps on the gradient.
+        p = 1 / (1 + np.exp(-(x @ w)))
+        weight = p * (1 - p)
+        w = np.linalg.solve((x.T * weight) @ x + np.diag(penalty), x.T @ (weight * (x @ w) + y - p))
+    base = math.log(y.mean() / (1 - y.mean()))
+    # All labels count for the rate of a site only if a document has them.
+    rate = (y.sum() + 1) / (len(y) + 2)
+    of = lambda key: {k: [g for _, g, h, p in known if key(h, p) == k] for k in {key(h, p) for *_, h, p in known}}
+
+    def shrunk(groups, prior):
+        many = {k: g for k, g in groups.items() if len(g) > 1}
+        v = sum(len(g) * (sum(g) / len(g) - prior(k)) ** 2 - prior(k) * (1 - prior(k)) for k, g in many.items())
+        m = sum(len(g) * prior(k) * (1 - prior(k)) for k, g in many.items())
+        s = 10_000.0 if not m or v <= 0 else min(10_000.0, max(1.0, m / v - 1))
+        return {k: (sum(g) + s * prior(k)) / (len(g) + s) for k, g in groups.items()}
+
+    hosts = shrunk(of(lambda h, p: h), lambda k: rate)
+    paths = shrunk(of(lambda h, p: (h, p)), lambda k: hosts[k[0]])
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").repartition(3)
+    got = {r.doc_id: r for r in quality.judge_quality(frame, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert len(got) == len(docs)
+    for i, t, h, p in docs:
+        evidence = described(t) @ w - base if t else 0.0
+        prior = paths.get((h, p), hosts.get(h, rate))
+        value = 1 / (1 + math.exp(-(math.log(prior / (1 - prior)) + evidence)))
+        assert abs(got[i].evidence - evidence) < 1e-3 and abs(got[i].prior - prior) < 1e-12 and abs(got[i].quality - value) < 1e-3, i
+        assert got[i].kept == (got[i].quality >= 0.5)
+    assert any(got[i].prior == rate for i in got) and len({r.kept for r in got.values()}) == 2
+
+
 def test_false_blocks_are_bounded(spark):
     """Accepted URLs that the models never saw are hardly ever blocked, bad ones are; long ones are scored in parts."""
     bad = lambda: f"http://{random.choice(('casino', 'free-bets'))}-zx{random.randint(0, 99)}.example.info/zx/{random.randint(0, 9999)}"
