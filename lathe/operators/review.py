@@ -43,11 +43,20 @@ def ordered_findings(findings: DataFrame, limit: int) -> DataFrame:
 def greedy_budget(items: DataFrame, pack: str, order: list[str], size: str, max_items: int, max_size: int) -> DataFrame:
     """Items of each pack in order, taken while they fit; one that doesn't is passed over and uses nothing up.
 
-    order holds columns that sort ascending. A fold over a pack's sizes, which
-    are no more than a pack's items; texts stay out of it, and so does what is
-    larger than the whole budget.
+    order holds columns that sort ascending. A fold over those of a pack's
+    sizes that can matter: of each size the first max_items. What is larger
+    than the budget never fits; and if an item fits, so did all before it that
+    are no larger, as less was used up then, so of one size no more than
+    max_items are taken, the first ones. So a pack of any length comes to the
+    fold as a number of items that the budget bounds, and most are left out
+    before the shuffle. Texts stay out of it.
     """
-    packs = items.groupBy(pack).agg(F.array_sort(F.collect_list(F.when(F.col(size) <= max_size, F.struct(*order, F.col(size).cast("long").alias("_size"), F.col("item_id"))))).alias("_items"))
+    fits = F.when(F.col(size) <= max_size, F.col(size).cast("long"))
+    rows = items.select(pack, *[F.col(o).alias(f"_order{k}") for k, o in enumerate(order)], fits.alias("_size"), "item_id")
+    keys = [f"_order{k}" for k in range(len(order))]
+    first = F.row_number().over(Window.partitionBy(pack, "_size").orderBy(*keys, "item_id"))
+    rows = rows.withColumn("_n", first).where(F.col("_n") <= max_items)
+    packs = rows.groupBy(pack).agg(F.array_sort(F.collect_list(F.when(F.col("_size").isNotNull(), F.struct(*keys, "_size", "item_id")))).alias("_items"))
     state = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("n"), F.array().cast("array<string>").alias("taken"))
 
     def step(s: Column, x: Column) -> Column:

@@ -73,6 +73,33 @@ def test_findings(spark):
     assert [(r.finding_id, r.ord) for r in review.ordered_findings(kept, 20).orderBy("number").collect()] == [("finding_1", 1), ("finding_2", 3)]
 
 
+def test_greedy_budget_against_brute_force(spark):
+    """Packs of one item up to thousands, with ties, sizes of zero, nothing that fits and no size at all."""
+    made = random.Random(3)
+    rows = []
+    for pack in [*range(60), None]:
+        for k in range(made.choice((1, 3, 20, 400)) if pack != 7 else 6000):
+            size = None if k % 31 == 30 else made.choice((0, 5, made.randint(1, 40), made.randint(1, 300))) + (1000 if pack == 5 else 0)
+            rows.append((pack, made.randint(0, 9), made.choice((None, 1, 2)), size, f"i{made.randint(0, 999)}"))
+    items = spark.createDataFrame(rows, "pack int, a int, b int, size int, item_id string").repartition(5)
+    for most, budget in ((4, 100), (35, 250), (200, 2000)):
+        got = {r.pack: (r.n_items, r.used, r.item_ids) for r in review.greedy_budget(items, "pack", ["a", "b"], "size", most, budget).collect()}
+        for pack in {r[0] for r in rows}:
+            used, taken = 0, []
+            for *_, size, item in sorted((r for r in rows if r[0] == pack and r[3] is not None), key=lambda r: (r[1], r[2] is not None, r[2] or 0, r[3], r[4])):
+                if len(taken) < most and used + size <= budget:
+                    used, taken = used + size, [*taken, item]
+            assert got[pack] == (len(taken), used, ",".join(taken)), (pack, most)
+        assert len(got) == 61
+
+
+def test_greedy_budget_leaves_rows_out_before_the_shuffle(spark):
+    items = spark.range(1000).selectExpr("id % 2 AS pack", "id AS a", "id % 7 AS size", "CAST(id AS STRING) AS item_id")
+    plan = review.greedy_budget(items, "pack", ["a"], "size", 3, 100)._jdf.queryExecution().executedPlan().toString()
+    # What stands further down in the plan runs first.
+    assert "WindowGroupLimit" in plan and plan.index("Partial") > plan.rindex("Exchange")
+
+
 def test_greedy_budget_passes_over_what_does_not_fit(spark):
     items = spark.createDataFrame([(1, "a", 1, 50), (1, "b", 2, 70), (1, "c", 3, 40), (1, "d", 4, 10)], "pack long, item_id string, priority long, size long")
     r = review.greedy_budget(items, "pack", ["priority"], "size", 3, 100).first()
