@@ -25,11 +25,12 @@ def decoded(content: Column) -> Column:
     return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
 
 
-def snippets(candidates: DataFrame, files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+def snippets(candidates: DataFrame, files: DataFrame, most_bytes: int | None = MOST_BYTES, longest_line: int | None = LONGEST_LINE) -> DataFrame:
     """candidates (ord, file_path, start_line, end_line, max_lines) with content, first and last line, or an error.
 
     files: path, length, content (see scan_tree). Start defaults to 1; the end
-    to max_lines, else 50 lines more. Long lines are cut. Errors: a path that
+    to max_lines, else 50 lines more. Lines over longest_line are cut; None:
+    no line is, or no file is too large (most_bytes). Errors: a path that
     isn't in the tree, a file that is too large or binary, a start behind the
     file's end. Order and number of candidates stay.
     """
@@ -37,10 +38,12 @@ def snippets(candidates: DataFrame, files: DataFrame, most_bytes: int = MOST_BYT
     for suffix in BINARY_SUFFIXES:
         binary = binary | F.lower("path").endswith(suffix)
     zero = F.contains(F.hex(F.substring("content", 1, LOOKED_AT)), F.lit("00")) & F.expr(f"position('00', regexp_replace(hex(substring(content, 1, {LOOKED_AT})), '(..)', '$1 ')) > 0")
-    error = F.when(F.col("length") > most_bytes, "file too large").when(binary, "binary file type").when(zero, "binary file")
+    error = F.when(F.lit(False) if most_bytes is None else F.col("length") > most_bytes, "file too large").when(binary, "binary file type").when(zero, "binary file")
     known = files.withColumn("_error", error)
     lines = F.when(F.col("_error").isNull(), F.split(decoded(F.col("content")), "(?<=\n)"))
-    cut = F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.when(F.length(x) > LONGEST_LINE, F.concat(F.substring(x, 1, LONGEST_LINE - 20), F.lit("... [line truncated]\n"))).otherwise(x))
+    cut = F.filter(lines, lambda x: x != "")
+    if longest_line is not None:
+        cut = F.transform(cut, lambda x: F.when(F.length(x) > longest_line, F.concat(F.substring(x, 1, longest_line - 20), F.lit("... [line truncated]\n"))).otherwise(x))
     known = known.select(F.col("path").alias("_path"), "_error", cut.alias("_lines"))
     start = F.coalesce("start_line", F.lit(1))
     end = F.coalesce("end_line", start + F.col("max_lines") - 1, start + MORE_LINES)
