@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,17 +102,38 @@ def json_repaired(raw: Column | str) -> Column:
     return F.pandas_udf(_repair, "string")(raw)
 
 
-def spread(findings: DataFrame) -> DataFrame:
-    """Gives findings of one hunk lines of their own: file, hunk, ord, line, n_lines -> assigned. A taken line yields to the nearest free one, later first."""
+def _free(links: dict[int, int], line: int) -> int:
+    """The first line from this one on that isn't taken; links lead from taken lines on and are shortened."""
+    passed = []
+    while line in links:
+        passed.append(line)
+        line = links[line]
+    links.update(dict.fromkeys(passed, line))
+    return line
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
-        group = group.sort_values("ord")
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of file, hunk and ord, however they are cut into batches; holds the taken lines of one hunk."""
+    hunk, later, earlier = None, {}, {}
+    for batch in batches:
         out = []
-        for line, n in zip(group["line"], group["n_lines"], strict=True):
-            free = [line + s * k for k in range(int(n) + 1) for s in (1, -1) if 0 <= line + s * k < n and line + s * k not in used]
-            out.append(free[0] if free else line)
-            used.add(out[-1])
-        return group.assign(assigned=out)[["file", "hunk", "ord", "line", "assigned"]]
+        for file, number, line, n in zip(*(batch.column(name).to_pylist() for name in ("file", "hunk", "line", "n_lines")), strict=True):
+            if hunk != (file, number):
+                hunk, later, earlier = (file, number), {}, {}
+            if line is None:
+                out.append(None)
+                continue
+            n = n or 0
+            up, down = _free(later, max(line, 0)), _free(earlier, min(line, n - 1))
+            near = [(abs(x - line), x < line, x) for x in (up, down) if 0 <= x < n and abs(x - line) <= n]
+            out.append(min(near)[2] if near else line)
+            later.setdefault(out[-1], out[-1] + 1)
+            earlier.setdefault(out[-1], out[-1] - 1)
+        columns = ("file", "hunk", "ord", "line")
+        yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in columns), pa.array(out, pa.int64())], names=[*columns, "assigned"])
 
-    return findings.groupBy("file", "hunk").applyInPandas(run, "file string, hunk long, ord long, line long, assigned long")
+
+def spread(findings: DataFrame) -> DataFrame:
+    """Gives findings of one hunk lines of their own: file, hunk, ord, line, n_lines -> assigned. A taken line yields to the nearest free one, later first."""
+    rows = findings.select("file", *(F.col(name).cast("long").alias(name) for name in ("hunk", "ord", "line", "n_lines")))
+    return rows.repartition("file", "hunk").sortWithinPartitions("file", "hunk", "ord").mapInArrow(_spread, "file string, hunk long, ord long, line long, assigned long")
