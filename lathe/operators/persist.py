@@ -48,10 +48,20 @@ def runs_published(runs: DataFrame, outcomes: DataFrame) -> DataFrame:
     return joined.withColumn("published", F.coalesce(F.col("published") | F.col("_ok"), F.col("published"))).withColumn("status", F.when(F.col("_ok"), "published").when(~F.col("_ok"), "failed").otherwise(F.col("status"))).drop("_ok")
 
 
+def stays(lines: Column) -> Column:
+    """Of each line of a hunk whether it isn't removed."""
+    return F.transform(lines, lambda x: ~x.startswith("-"))
+
+
+def number_at(staying: Column, new_start: Column, index: Column) -> Column:
+    """The number in the new file of a hunk's line: its start and one for each line before it that stays."""
+    before = F.slice(staying, 1, F.greatest(F.least(index, F.size(staying)), F.lit(0)))
+    return (F.coalesce(new_start, F.lit(1)) + F.size(F.filter(before, lambda x: x))).cast("long")
+
+
 def line_number(lines: Column, new_start: Column, index: Column) -> Column:
     """The number in the new file of a hunk's line: its start and one for each line before it that isn't removed."""
-    before = F.slice(lines, 1, F.greatest(F.least(index, F.size(lines)), F.lit(0)))
-    return (F.coalesce(new_start, F.lit(1)) + F.size(F.filter(before, lambda x: ~x.startswith("-")))).cast("long")
+    return number_at(stays(lines), new_start, index)
 
 
 def findings_stored(findings: DataFrame, hunks: DataFrame) -> DataFrame:
@@ -60,10 +70,11 @@ def findings_stored(findings: DataFrame, hunks: DataFrame) -> DataFrame:
     The line comes from the hunk (hunk_id, ord, new_start, lines; of equal ids
     the last), else as given, else 0.
     """
-    own = hunks.groupBy("hunk_id").agg(F.max_by(F.struct("new_start", "lines"), "place").alias("_h"))
+    # Of the lines' texts only that is moved to the findings which a number needs.
+    own = hunks.groupBy("hunk_id").agg(F.max_by(F.struct("new_start", stays(F.col("lines")).alias("staying")), "place").alias("_h"))
     joined = findings.join(own, "hunk_id", "left")
     known = F.col("_h").isNotNull() & F.col("line_in_hunk").isNotNull()
-    line = F.when(known, line_number(F.col("_h.lines"), F.col("_h.new_start"), F.col("line_in_hunk").cast("int"))).otherwise(F.coalesce("line_number", F.lit(0)).cast("long"))
+    line = F.when(known, number_at(F.col("_h.staying"), F.col("_h.new_start"), F.col("line_in_hunk").cast("int"))).otherwise(F.coalesce("line_number", F.lit(0)).cast("long"))
     severity = severity_to_store(F.regexp_replace(F.coalesce("severity", F.lit("medium")), r"^\s+|\s+$", ""))
     return joined.select("ord", "run_id", F.coalesce("file_path", F.lit("")).alias("file_path"), line.alias("line_number"), F.coalesce("category", F.lit("general")).alias("finding_type"), severity.alias("severity"), F.coalesce("message", F.lit("")).alias("message"), F.col("suggested_fix").alias("suggestion"), "hunk_id")
 
