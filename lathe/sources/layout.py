@@ -8,6 +8,14 @@ from pyspark.sql import DataFrame
 
 from .store import scratch
 
+#: Rows of a bucket, as it is sorted in one task when it is written and again when it is joined.
+ROWS = 500_000
+
+
+def buckets_for(rows: int, least: int) -> int:
+    """So many buckets for a table of up to rows rows that one has ROWS on average at most."""
+    return max(least, -(-rows // ROWS))
+
 
 def laid_out(rows: DataFrame, by: str, buckets: int, filters: tuple[str, ...] = ()) -> DataFrame:
     """Writes rows into a table of the catalog, in buckets of by and sorted by it, one file each, and reads it back.
@@ -16,7 +24,8 @@ def laid_out(rows: DataFrame, by: str, buckets: int, filters: tuple[str, ...] =
     lookup of given values reads their buckets only, and of these only the row
     groups whose range and whose Bloom filters (of the columns in filters, and
     by) may hold them. Rows with one value of by meet in a bucket, as they do
-    in a shuffle; by should have many more values than there are buckets.
+    in a shuffle; by should have many more values than there are buckets, and
+    buckets should grow with the table (buckets_for).
     """
     spark, name = rows.sparkSession, f"lathe_{uuid.uuid4().hex}"
     writer = rows.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", scratch(spark, "layout"))
